@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quizmill.llm import chat_format, exact_dedup, line_dedup
+from quizmill.llm import chat_format, decontaminate, exact_dedup, line_dedup
 
 MODULES = {
+    "op2_decontaminate": decontaminate,
     "op6_line_dedup": line_dedup,
     "op7_chat_format": chat_format,
     "op10_exact_dedup": exact_dedup,
