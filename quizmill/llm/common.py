@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizmill.session import ship
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: A side of a join is broadcast only if a count proved that it has no more rows than this.
@@ -17,7 +19,7 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,8 +46,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else ``df`` as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def clear(*names: str):
-    """A select list helper: the columns named, in order, with no other column of an input that may carry clashing names."""
-    return [F.col(f"`{n}`") for n in names]

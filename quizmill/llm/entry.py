@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quizmill.llm import chat_format, decontaminate, exact_dedup, line_dedup
+from quizmill.llm import chat_format, decontaminate, exact_dedup, line_dedup, token_output
 
 MODULES = {
+    "op1_token_output": token_output,
     "op2_decontaminate": decontaminate,
     "op6_line_dedup": line_dedup,
     "op7_chat_format": chat_format,
