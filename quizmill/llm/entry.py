@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quizmill.llm import chat_format, decontaminate, exact_dedup, line_dedup, token_output
+from quizmill.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, token_output
 
 MODULES = {
     "op1_token_output": token_output,
     "op2_decontaminate": decontaminate,
+    "op3_jaccard_join": jaccard_join,
     "op6_line_dedup": line_dedup,
     "op7_chat_format": chat_format,
     "op10_exact_dedup": exact_dedup,
