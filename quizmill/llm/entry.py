@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quizmill.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, token_output
+from quizmill.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, token_output
 
 MODULES = {
     "op1_token_output": token_output,
     "op2_decontaminate": decontaminate,
     "op3_jaccard_join": jaccard_join,
     "op4_packing": packing,
+    "op5_pii": pii,
     "op6_line_dedup": line_dedup,
     "op7_chat_format": chat_format,
     "op8_quality": quality,
