@@ -1,11 +1,70 @@
-"""The pipeline over documents; its stages follow as their operators are built."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), calls one operator of ``quizmill.llm`` on all its documents and returns what it keeps;
+``run`` writes each result as Parquet and hands it on. All stages but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quizmill.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
+from quizmill.llm.common import materialise, small, table
+
+KEEP_SCORE = 0.7
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the documents ``ids(doc_id)``, which are broadcast only if a count shows that they are few."""
+    return docs.join(small(ids), "doc_id", "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below KEEP_SCORE go. The classifier learns from the labels of documents of this stage's input."""
+    model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    scores = materialise(quality.score(docs, model), "scores")
+    return without(docs, scores.filter(F.col("score") < KEEP_SCORE).select("doc_id").distinct())
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays; of rows that repeat an id, one."""
+    found = materialise(exact_dedup.exact_dedup(docs, keep="largest"), "exact")
+    gone = found.filter(~F.col("kept"))
+    out = without(docs, gone.filter("doc_id <> keep_id").select("doc_id").distinct())
+    return out if gone.filter("doc_id <=> keep_id").isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates (five words, similarity of 0.8) the document with the smallest id stays."""
+    found = materialise(jaccard_join.jaccard_join(docs, k=5, threshold=80), "near")
+    return without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    found = materialise(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated"), "leaks")
+    return without(docs, found.filter("contaminated").select("doc_id"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of permitted lengths, counted in words."""
+    return packing.best_fit(docs, packing.n_words(F.col("text")))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("best-fit packing", packing_stage),
+]
+
+ORACLE_SQL = None  # the classifier and the packing have no SQL form; tests check each stage against plain Python
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
