@@ -10,9 +10,11 @@ lower band that holds sets it can link with.
 Allocation by cost: a and b are chosen per band from the number of emitted keys and the expected chance matches; r segments
 are spare, and every set leaves out its r costliest ones (the fewer shingles a segment holds, the more sets share it).
 
-Sets with a common key are candidates. A key names its smallest id as its centre, so a group of n sets gives n - 1 pairs and
-not n * n; after these are verified, only keys whose sets still lie in different components give the pairs between those.
-Every candidate pair is verified by the exact size of the intersection.
+Sets with a common key are candidates. Keys held by the same sets count once. A key names a centre, at first its smallest
+id, later the set with the most links, so that a group of n sets gives n - 1 pairs and not n * n. Keys whose sets then still
+lie in different components are compared set by set, in tiles of bounded size, by 1,024-bit parity sketches, which bound the
+symmetric difference from below; only pairs within the bound leave a tile. Every pair that is left is verified by the exact
+size of the intersection.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import materialise, small, table
+from quizmill.llm.common import BROADCAST_ROWS, materialise, small, table
 
 #: Chance that another document holds a given shingle, for the cost of an allocation. It affects speed alone.
 SHARED = 0.2
@@ -31,6 +33,12 @@ SHARED = 0.2
 TASK_KEYS = 1_000_000
 #: Texts are worked on in chunks of about this many bytes, so memory does not grow with a partition.
 CHUNK_BYTES = 4 << 20
+#: Rounds in which a key names a centre.
+HUB_ROUNDS = 3
+#: Sets of a key, about, that one tile compares with as many others.
+TILE = 4000
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 #: Keys that a task holds before it combines those that its documents share.
 CHUNK_KEYS = 1_500_000
 
@@ -192,7 +200,8 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
 
 
 SET_SCHEMA = "doc_id long, n long, f long, g long"
-KEY_SCHEMA = "p long, key long, doc long, centre long, kind int"
+#: ``key`` as its difference from ``p``, which is zero for most rows and takes no room when packed.
+KEY_SCHEMA = "p long, key long, doc long, kind int"
 
 
 def set_rows(batches, k: int):
@@ -204,22 +213,21 @@ def set_rows(batches, k: int):
 
 def _combined(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     """Of each key one row with the smallest id of this chunk, to be shuffled by the key (kind 0; 1 if others share it here);
-    the others keep that id as their centre and are spread by their own hash (kind 2)."""
+    the others are spread by their own hash (kind 2)."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     again = ~new
-    again[1:] &= ~((docs[1:] == docs[:-1]) & again[1:])
+    again[1:] &= docs[1:] != docs[:-1]
     head = np.flatnonzero(new)
-    centre = docs[np.repeat(head, np.diff(np.append(head, len(keys))))]
     several = np.zeros(len(keys), bool)
     several[head] = np.add.reduceat(again, head) > 0
     keep = new | again
     kind = np.where(new, several.astype(np.int32), np.int32(2))[keep].astype(np.int32)
-    keys, docs, centre = keys[keep], docs[keep], centre[keep]
+    keys, docs = keys[keep], docs[keep]
     p = np.where(kind == 2, mix(keys ^ docs.view(U)), keys)
-    return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(docs), pa.array(centre), pa.array(kind)], names=["p", "key", "doc", "centre", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array((keys ^ p).view(np.int64)), pa.array(docs), pa.array(kind)], names=["p", "key", "doc", "kind"])
 
 
 def key_rows(batches, k: int, bands: Bands):
@@ -256,33 +264,74 @@ def _distinct_sets(ids, tokens, bounds):
 
 
 def member_rows(batches):
-    """Of the rows dealt by key: those whose key several sets share, with the smallest id of the key as the centre."""
+    """Of the rows dealt by key: those whose key several sets share."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     data = pa.Table.from_batches(parts)
-    key, doc, centre, kind = (np.asarray(data.column(i).combine_chunks()) for i in (1, 2, 3, 4))
+    p, key, doc, kind = (np.asarray(c.combine_chunks()) for c in data.columns)
+    key = key ^ p
     near = kind == 2
-    out = [(key[near], doc[near], centre[near])]
+    out = [(key[near], doc[near])]
     key, doc, kind = key[~near], doc[~near], kind[~near]
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable")
     key, doc, kind = key[order], doc[order], kind[order]
     if len(key):
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(head, len(key)))
         shared = np.repeat((sizes > 1) | (np.add.reduceat(kind, head) > 0), sizes)
-        out.append((key[shared], doc[shared], np.repeat(doc[head], sizes)[shared]))
-    for k, d, c in out:
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(c)], names=["key", "doc", "centre"])
+        out.append((key[shared], doc[shared]))
+    for k, d in out:
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d)], names=["key", "doc"])
+
+
+def sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of SKETCH * 64 cells. Two sets differ in at least as many tokens as sketches in bits."""
+    bits = SKETCH * 64
+    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * bits + (mix(tokens ^ U(0x632BE59BD9B4E019)) % U(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=(len(bounds) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
 
 
 def token_rows(batches, k: int):
     for ids, texts in chunks(batches):
         tokens, bounds = shingle_sets(texts, k)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), lists], names=["doc_id", "tokens"])
+        sketch = np.ascontiguousarray(sketches(tokens, bounds).T)
+        columns = [ids.cast(pa.int64()), pa.array(np.diff(bounds)), lists, *map(pa.array, sketch)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "tokens", *(f"b{i}" for i in range(SKETCH))])
+
+
+TOKEN_SCHEMA = "doc_id long, n long, tokens array<long>, " + ", ".join(f"b{i} long" for i in range(SKETCH))
+
+
+def tile_rows(batches, threshold: int):
+    """Rows (tile, block, rep, n, c, sketch words) -> pairs of one tile that lie in different components and may link."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    data = pa.Table.from_batches(parts)
+    tile, block, rep, n, c = (np.asarray(data.column(i).combine_chunks()) for i in range(5))
+    words = np.stack([np.asarray(data.column(5 + i).combine_chunks()) for i in range(SKETCH)], axis=1).view(U)
+    order = np.lexsort((rep, tile))
+    head = np.flatnonzero(np.concatenate(([True], tile[order][1:] != tile[order][:-1])))
+    xs, ys = [], []
+    for a, b in zip(head, np.append(head[1:], len(order))):
+        rows = order[a:b]
+        single = (block[rows] == block[rows[0]]).all()
+        step = max(1, 1_000_000 // len(rows) // SKETCH)
+        for i in range(0, len(rows), step):
+            left, right = rows[i : i + step, None], rows[None, i:]
+            fits = (c[left] != c[right]) & (rep[left] < rep[right]) & (100 * np.minimum(n[left], n[right]) >= threshold * np.maximum(n[left], n[right]))
+            if not single:
+                fits &= block[left] != block[right]
+            u, v = np.nonzero(fits)
+            u, v = rows[i + u], rows[i + v]
+            apart = np.bitwise_count(words[u] ^ words[v]).sum(1, dtype=np.int64)
+            near = apart * (100 + threshold) <= (100 - threshold) * (n[u] + n[v])
+            xs.append(rep[u[near]])
+            ys.append(rep[v[near]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,17 +352,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def token_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Size, shingles and sketch of the documents ``ids(doc_id)``, from their texts."""
+    texts = docs.select("doc_id", "text").join(small(materialise(ids, "involved")), "doc_id", "left_semi")
+    return materialise(texts.mapInArrow(lambda it: token_rows(it, k), TOKEN_SCHEMA).dropDuplicates(["doc_id"]), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs ``x, y`` of documents whose sets reach the threshold, by the exact intersection."""
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(small(materialise(involved, "involved")), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(lambda it: token_rows(it, k), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
+    """The pairs ``x, y`` of documents whose sets reach the threshold, by the exact intersection.
+
+    Of pairs that link, the symmetric difference d satisfies d * (100 + threshold) <= (100 - threshold) * (|x| + |y|); the
+    sketches bound d from below, so pairs are refused by 128 bytes a document before whole sets are moved.
+    """
+    sets = token_sets(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), docs, k)
+    words = [f"b{i}" for i in range(SKETCH)]
+    left, right = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), *words), sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), *(F.col(w).alias(f"c{w}") for w in words))
+    apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"c{w}"))) for w in words)
+    near = pairs.join(left, "x").join(right, "y").filter(apart * (100 + threshold) <= (100 - threshold) * (F.col("nx") + F.col("ny"))).select("x", "y")
     left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    met = pairs.join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
+    met = materialise(near, "near").join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
     return met.filter(F.col("i") * 100 >= F.col("u") * threshold).select("x", "y", "i", "u")
 
 
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, class_id, component_id``.
 
@@ -336,32 +404,55 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     bands = Bands(threshold, total[0])
     expected = (total[1] or 0) * (100 - threshold) / threshold * 1.7
     dealt = docs.filter("doc_id is not null").mapInArrow(lambda it: key_rows(it, k, bands), KEY_SCHEMA).repartition(int(expected // TASK_KEYS) + 1, "p")
-    members = materialise(dealt.mapInArrow(member_rows, "key long, doc long, centre long"), "members")
+    members = dealt.mapInArrow(member_rows, "key long, doc long")
 
     of = classes.select(F.col("doc_id").alias("doc"), "rep", "n")
-
-    def candidates(raw: DataFrame) -> DataFrame:
-        """Pairs of class representatives of sizes that can link, from pairs (doc, other) of documents."""
-        named = raw.join(of.toDF("doc", "rx", "nx"), "doc").join(of.toDF("other", "ry", "ny"), "other")
-        fits = (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
-        return named.filter(fits).select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct()
-
-    pairs = materialise(candidates(members.filter("doc <> centre").select("doc", F.col("centre").alias("other")).distinct()), "pairs")
-    links = materialise(verified(pairs, docs, k, threshold), "links")
-    parts = components(links)
-
-    # keys whose sets are not yet in one component: the pairs between the components
-    placed = members.join(of, "doc").join(parts, F.col("rep") == parts["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi").distinct(), "mixed")
-    a, b = placed.toDF("key", "x", "nx", "cx"), placed.toDF("key", "y", "ny", "cy")
-    fits = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
-    rest = materialise(a.join(b, "key").filter(fits).select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialise(verified(rest, docs, k, threshold), "links")
+    held = materialise(members.join(of, "doc").select("key", "rep", "n").distinct(), "members")
+    same = held.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("t"))
+    same = same.filter("size > 1").groupBy("size", "s", "t").agg(F.min("key").alias("key"))
+    placed = materialise(held.join(same, "key", "left_semi"), "groups")
+
+    links, seen, parts = [], None, None
+    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
+    for turn in range(HUB_ROUNDS + 1):
+        placed = placed.select("key", "rep", "n").withColumn("c", F.col("rep"))
+        if parts is not None:
+            placed = placed.drop("c").join(parts, F.col("rep") == parts["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+            mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("size")).filter("a <> b").select("key", "size")
+            placed = materialise(placed.join(mixed, "key"), "mixed")
+        if turn < HUB_ROUNDS:  # pairs with the centre of each key
+            ranked = placed.withColumn("degree", F.lit(0))
+            if links:
+                degree = all_of(links).select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+                ranked = placed.join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+            best = F.max(F.struct("degree", (-F.col("rep")).alias("o"), "rep", "n", "c")).alias("h")
+            hub = ranked.groupBy("key").agg(best).select("key", F.col("h.rep").alias("x"), F.col("h.n").alias("nx"), F.col("h.c").alias("cx"))
+            raw = hub.join(placed.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy")), "key").filter(fits)
+            new = raw.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            new = materialise(new.join(seen, ["x", "y"], "left_anti") if seen is not None else new, "pairs")
+            seen = new if seen is None else seen.union(new)
+        else:  # pairs between components, tile by tile
+            if placed.isEmpty():
+                break
+            sketched = token_sets(placed.select(F.col("rep").alias("doc_id")).distinct(), docs, k).select(F.col("doc_id").alias("rep"), *(f"b{i}" for i in range(SKETCH)))
+            blocks = F.floor(F.col("size") / TILE).cast("int") + 1
+            tiles = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+            tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            tiles = tiles.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "rep", "n", "c")
+            tiles = tiles.repartition("tile").join(small(sketched), "rep")
+            if sketched.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+                tiles = tiles.repartition("tile")
+            tiles = tiles.select("tile", "block", "rep", "n", "c", *(f"b{i}" for i in range(SKETCH)))
+            new = materialise(tiles.mapInArrow(lambda it: tile_rows(it, threshold), "x long, y long").distinct().join(seen, ["x", "y"], "left_anti"), "pairs")
+        if new.isEmpty():
+            continue
+        more = materialise(verified(new, docs, k, threshold), "links")
         if not more.isEmpty():
-            parts = components(links.union(more))
+            links.append(more)
+            parts = components(all_of(links))
 
+    if parts is None:
+        parts = known.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
     out = sets.join(classes.select("doc_id", "rep"), "doc_id", "left").join(parts, F.col("rep") == parts["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
