@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -33,3 +34,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._quizmill_shipped = True
     return spark
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a local one where it is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{label}"
