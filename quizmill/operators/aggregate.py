@@ -126,7 +126,7 @@ def render_summary(df: DataFrame) -> DataFrame:
     for name, heading, items, gap in (("high_frequency_topics", HEADINGS[0], topics, ""), ("focus_areas", HEADINGS[1], areas, "\n"), ("edge_cases", HEADINGS[2], edges, ""), ("prep_advice", HEADINGS[3], advice, "\n")):
         sections.append(F.when(F.size(name) > 0, F.concat(F.lit(heading + "\n\n"), F.array_join(items, ""), F.lit(gap))).otherwise(""))
     # lines are joined, not ended, by line feeds: the last one goes
-    return df.withColumn("content_md", F.regexp_replace(F.concat(*sections), "\n$", ""))
+    return df.withColumn("content_md", F.regexp_replace(F.concat(*sections), r"\n\z", ""))
 
 
 def bucket_status(counts: DataFrame, summaries: DataFrame, compare: str = "candidates") -> DataFrame:

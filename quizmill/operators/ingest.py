@@ -127,13 +127,14 @@ def keyword_score(df: DataFrame, weights: dict[int, list[str]], threshold: int =
 
 
 def page_date(html: Column, text: Column, head: int = 3000) -> Column:
-    """The published date of a page: of two meta tags, else the first valid date in the first ``head`` characters."""
+    """The published date of a page: of two meta tags, else the first valid date in the first ``head`` characters. Days of two
+    digits are read whole."""
     def meta(attr: str, name: str) -> Column:
         a = F.regexp_extract(html, f"(?i)<meta[^>]*{attr}=[\"']{name}[\"'][^>]*content=[\"']([^\"']+)[\"']", 1)
         b = F.regexp_extract(html, f"(?i)<meta[^>]*content=[\"']([^\"']+)[\"'][^>]*{attr}=[\"']{name}[\"']", 1)
         value = F.nullif(F.coalesce(F.nullif(a, F.lit("")), b), F.lit(""))
         return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(value, "(Z|[+-][0-9]{2}:?[0-9]{2})$", ""), "T", " "))
 
-    found = F.regexp_extract_all(F.substring(text, 1, head), F.lit("(20[0-9]{2}[-/年](?:0?[1-9]|1[0-2])[-/月](?:0?[1-9]|[12][0-9]|3[01]))"), F.lit(1))
+    found = F.regexp_extract_all(F.substring(text, 1, head), F.lit("(20[0-9]{2}[-/年](?:0?[1-9]|1[0-2])[-/月](?:3[01]|[12][0-9]|0?[1-9]))(?![0-9])"), F.lit(1))
     dates = F.transform(found, lambda d: F.try_to_timestamp(F.regexp_replace(d, "[/年月]", "-"), F.lit("yyyy-M-d")))
     return F.coalesce(meta("property", "article:published_time"), meta("name", "pubdate"), F.element_at(F.concat(F.filter(dates, lambda d: d.isNotNull()), F.array(F.lit(None).cast("timestamp"))), 1))

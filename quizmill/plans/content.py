@@ -16,7 +16,7 @@ NOISE_SQL = r"""
 SELECT doc_id, lines, list_position([length(trim(x)) BETWEEN 4 AND 29 AND regexp_matches(trim(x), 'erly|heit') FOR x IN lines], true) AS cut FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}) d"""
 STRIPPED_SQL = rf"""
 SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(CASE WHEN cut > 0 THEN lines[1:cut - 1] ELSE lines END,
-  x -> trim(x) = '' OR NOT (regexp_matches(trim(x), '^[0-9]+(\s+[0-9]+)*\s*$|^The and .*$') OR trim(x) IN ('Les.', 'And ornd.'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM ({NOISE_SQL}) n"""
+  lambda x: trim(x) = '' OR NOT (regexp_matches(trim(x), '^[0-9]+(\s+[0-9]+)*\s*$|^The and .*$') OR trim(x) IN ('Les.', 'And ornd.'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM ({NOISE_SQL}) n"""
 
 
 @query("r19_clean_html")
