@@ -23,6 +23,10 @@ class Template:
     ends: tuple = ("assistant",)
     trained: tuple = ("assistant",)
 
+    def __post_init__(self):
+        if min(map(len, self.controls())) < 2:
+            raise ValueError("a control string has at least two characters, so that a backslash can part them")
+
     def controls(self) -> list[str]:
         return [c for pair in self.marks.values() for c in pair] + list(self.other)
 

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = labels.filter("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label"))
     chosen = chosen.orderBy(hashed, "doc_id", "label").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "fold")
-    sample = materialise(rows.mapInArrow(_stat_rows, "doc_id long, stats array<double>, label double, fold int"), "stats").repartition(PARTIALS, "doc_id")
+    sample = materialise(rows.mapInArrow(_stat_rows, "doc_id long, stats array<double>, label double, fold int"), "stats").coalesce(PARTIALS)
 
     d = len(STATS)
     moments = summed(sample, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))

@@ -6,7 +6,9 @@ document id, and can be read by stripes in parallel; a predicate on the id prune
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,33 @@ CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Letters, then marks other than the apostrophe: the vocabulary's pattern parts them just there.
+_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+_TABLE = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+
 class Encoder:
     """Encodes texts word by word (a word is what white space separates, which this vocabulary never joins), so that each
-    distinct word is encoded once per worker. Built on first use in the worker, per path."""
+    distinct word is encoded once, as far as the cache goes. Words of Latin letters go straight to the tokenizer's model;
+    others pass all its steps. Built on first use in the worker, per path."""
 
     loaded: dict = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.by_word = Tokenizer.from_file(path), {}, None
+        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
         spec = self.tokenizer.to_str()
-        self.by_word = '"\\\\s+"' in spec and '"end_of_word_suffix":"</w>"' in spec
+        self.by_word = '"\\\\s+"' in spec and '"end_of_word_suffix":"</w>"' in spec and '"Lowercase"' in spec and '"NFC"' in spec
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -42,17 +59,39 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def whole(self, word: str) -> bytes:
+        """By all steps of the tokenizer."""
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, word: str) -> bytes:
+        """A word of letters. Latin ones are lower-cased here, character by character, as the tokenizer does it."""
+        if word.isascii():
+            plain = word.lower()
+        elif max(word) < "\u0250" and "\u0130" not in word:  # these have one form under NFC, and lower case one by one
+            plain = word.lower().encode().decode("latin-1").translate(_TABLE)
+        else:
+            return self.whole(word)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
     def learn(self, words: list[str]) -> None:
-        """Put the ids of new words, as bytes, into the cache. A full stop or comma after an ASCII letter is a token of its own."""
-        cores = {}
+        """Put the ids of new words, as bytes, into the cache."""
+        cache = self.cache
         for w in words:
-            cores[w] = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha() else (w, "")
-        fold = lambda c: c.lower() if c.isascii() and "<|" not in c else c
-        new = list({x for c, end in cores.values() for x in (fold(c), end) if x and x not in self.cache})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, (c, end) in cores.items():
-            self.cache[w] = self.cache[fold(c)] + (self.cache[end] if end else b"")
+            m = _WORD.fullmatch(w)
+            if not m:
+                cache[w] = self.whole(w)
+                continue
+            core, tail = m.groups()
+            ids = cache.get(core) if tail else None
+            if ids is None:
+                ids = self.letters(core)
+                if tail:
+                    cache[core] = ids
+            if tail:
+                if tail not in cache:
+                    cache[tail] = self.whole(tail)
+                ids = ids + cache[tail]
+            cache[w] = ids
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if not self.by_word:
@@ -60,7 +99,7 @@ class Encoder:
         out = []
         for text in texts:
             # str.split also splits at four control characters that the vocabulary's \s does not
-            words = text.split() if not _ODD & set(text) else [w for w in _plain_split(text) if w]
+            words = text.split() if not any(c in text for c in _ODD) else [w for w in _plain_split(text) if w]
             try:
                 ids = b"".join(map(self.cache.__getitem__, words))
             except KeyError:
@@ -72,7 +111,7 @@ class Encoder:
         return out
 
 
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def _plain_split(text: str) -> list[str]:
