@@ -310,9 +310,9 @@ def _(t):
     return out.select("post_id", "posted_at", "question_count", *(F.array_join(c, ",").alias(c) for c in ("companies", "positions", "round_types")))
 
 
-@query("r69_feed_of_company", feed_sql("AND c.canonical = 'nation_3' AND q.category = 'F'", "LIMIT 20"))
+@query("r69_feed_of_company", feed_sql("AND c.canonical = 'NATION_3' AND q.category = 'F'", "LIMIT 20"))
 def _(t):
-    out = feed(t, company="nation_3", category="F")
+    out = feed(t, company="NATION_3", category="F")
     return out.select("post_id", "posted_at", "question_count", *(F.array_join(c, ",").alias(c) for c in ("companies", "positions", "round_types")))
 
 
@@ -335,9 +335,9 @@ def _(t):
 
 
 @query("r72_bucket_questions_of_period", f"""SELECT q.id, count(*) AS n FROM {{questions}} q JOIN {{posts}} p ON q.post_id = p.id JOIN {{links}} l ON l.post_id = p.id
-WHERE p.extract_status = 'done' AND coalesce(p.quality_score, 0) >= 30 AND company_id = 3 AND position_id = 4 AND year(posted_at) = 1996 GROUP BY q.id""")
+WHERE p.extract_status = 'done' AND coalesce(p.quality_score, 0) >= 30 AND company_id = 3 AND position_id = 4 AND year(posted_at) = 1995 GROUP BY q.id""")
 def _(t):
-    quarters = [catalog.bucket_questions(t.posts, t.links, t.questions, 3, 4, f"1996Q{i}") for i in (1, 2, 3, 4)]
+    quarters = [catalog.bucket_questions(t.posts, t.links, t.questions, 3, 4, f"1995Q{i}") for i in (1, 2, 3, 4)]
     out = quarters[0]
     for q in quarters[1:]:
         out = out.unionByName(q)
