@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors are broadcast in blocks of at most so many rows; more queries make more passes over the gallery.
+from quizmill.session import work_folder
+
+#: Vectors that every task holds, at most; more queries make more passes over the gallery.
 QUERY_BLOCK = 4096
+FOUND = "query_id long, id long, similarity double"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,41 +30,73 @@ def cosine_pairs(q: np.ndarray, g: np.ndarray) -> np.ndarray:
     return q @ g.T
 
 
+def _top(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of each row by similarity, then by the smaller key: (keys, similarities)."""
+    keys = np.broadcast_to(keys, sims.shape)
+    order = np.lexsort((keys, -sims), axis=1)[:, :k]
+    return np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _against_gallery(queries: DataFrame, rows: list, k: int) -> DataFrame:
+    """Queries stream past a small gallery that every task holds."""
+    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+
+    def best(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf) if len(ids) else 0, QUERY_BLOCK):
+                part = pdf.iloc[at : at + QUERY_BLOCK]
+                keys, sims = _top(np.vstack(part["embedding"].to_numpy()).astype(float) @ matrix.T, ids, k)
+                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), keys.shape[1]), "id": keys.ravel(), "similarity": sims.ravel()})
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInPandas(best, FOUND)
+
+
+def _against_queries(block: list, gallery: DataFrame, k: int) -> DataFrame:
+    """The gallery streams past a block of queries; each partition gives its best k."""
+    ids, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], float)
+
+    def best(frames):
+        held = None
+        for pdf in frames:
+            if len(pdf) and len(ids):
+                keys, sims = _top(matrix @ np.vstack(pdf["embedding"].to_numpy()).astype(float).T, pdf["id"].to_numpy(), k)
+                if held is not None:
+                    keys, sims = np.hstack([held[0], keys]), np.hstack([held[1], sims])
+                    order = np.lexsort((keys, -sims), axis=1)[:, :k]
+                    keys, sims = np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
+                held = keys, sims
+        if held is not None:
+            yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "id": held[0].ravel(), "similarity": held[1].ravel()})
+
+    return gallery.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(best, FOUND)
+
+
 def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` nearest rows of ``gallery(id, embedding)`` of each of
     ``queries(query_id, embedding)``; ties go to the smaller id; similarities are rounded to 6 digits at the end.
 
-    Query vectors go to every task in blocks of bounded size; each Arrow batch of the gallery gives its own best k, so the
-    gallery is not shuffled. What is merged is partitions * k rows a query.
+    A gallery of up to QUERY_BLOCK rows goes to every task and the queries stream past it. A larger one streams past the
+    queries, block by block; the best of each block are written to the shared folder if there is more than one. Neither
+    side is shuffled; what is merged is partitions * k rows a query.
     """
-    rows = queries.filter("embedding is not null").orderBy("query_id").collect()
-    parts = []
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r[0] for r in block], np.int64)
-        matrix = np.array([r[1] for r in block], float) if block else np.zeros((0, 1))
-
-        def best(frames, ids=ids, matrix=matrix):
-            held = None
-            for pdf in frames:
-                if len(pdf) and len(ids):
-                    sims = matrix @ np.vstack(pdf["embedding"].to_numpy()).astype(float).T
-                    keys = pdf["id"].to_numpy()
-                    n = min(k, len(keys))
-                    order = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :n]
-                    new = (np.take_along_axis(np.broadcast_to(keys, sims.shape), order, 1), np.take_along_axis(sims, order, 1))
-                    held = new if held is None else tuple(np.hstack([a, b]) for a, b in zip(held, new))
-                    if held[0].shape[1] > k:
-                        order = np.lexsort((held[0], -held[1]), axis=1)[:, :k]
-                        held = tuple(np.take_along_axis(a, order, 1) for a in held)
-            if held is not None:
-                n = held[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": held[0].ravel(), "similarity": held[1].ravel()})
-
-        parts.append(gallery.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(best, "query_id long, id long, similarity double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    queries, gallery = queries.filter("embedding is not null"), gallery.filter("embedding is not null")
+    few = gallery.select("id", "embedding").limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        found = _against_gallery(queries, few, k)
+    else:
+        found, path, last = None, work_folder(queries.sparkSession, "nearest"), None
+        while True:
+            rest = queries if last is None else queries.filter(F.col("query_id") > last)
+            block = rest.select("query_id", "embedding").orderBy("query_id").limit(QUERY_BLOCK).collect()
+            part = _against_queries(block, gallery, k)
+            if last is None and len(block) < QUERY_BLOCK:
+                found = part
+                break
+            if not block:
+                found = queries.sparkSession.read.schema(FOUND).parquet(path)
+                break
+            part.write.mode("append").parquet(path)
+            last = block[-1][0]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
 

@@ -59,12 +59,6 @@ def flatten_records(df: DataFrame, base: str, source: str = "tab") -> DataFrame:
     )
 
 
-def next_ids(names: DataFrame, taken: DataFrame, order: str = "canonical", id_col: str = "id") -> DataFrame:
-    """``names`` with ids after the largest one of ``taken``, in the order of ``order``. ``names`` must be small: only new names."""
-    top = taken.agg(F.coalesce(F.max(id_col), F.lit(0).cast("long")).alias("top"))
-    return names.crossJoin(top).withColumn(id_col, F.col("top") + F.row_number().over(Window.orderBy(order))).drop("top")
-
-
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
     """A YAML seed {entity type: [{canonical, aliases}]} as ``entity_type, canonical, aliases``; a small file, parsed on the driver."""
     import yaml

@@ -112,6 +112,15 @@ def test_status_upsert_report(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) and {r.company_id: r.content_md for r in once.collect()} == {1: "a", 2: "new"}
 
 
+def test_nearest_with_a_large_gallery(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    test_vectors(spark)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, embedding array<double>").repartition(3)
+    queries = df.filter("id < 9").select(F.col("id").alias("query_id"), "embedding")
+    got = search.nearest(queries, df, 2).collect()
+    assert len(got) == 18 and all(r.id % 7 == 6 and r.id in (6, 13) for r in got if r.query_id % 7)
+
+
 def test_vectors(spark):
     q, g = np.array([[1.0, 0], [0, 1.0]]), np.array([[1.0, 0], [0, 1.0], [0.6, 0.8]])
     assert search.cosine_pairs(q, g) == pytest.approx(q @ g.T) and search.cosine_pairs(q, g).shape == (2, 3)
