@@ -75,28 +75,25 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` nearest rows of ``gallery(id, embedding)`` of each of
     ``queries(query_id, embedding)``; ties go to the smaller id; similarities are rounded to 6 digits at the end.
 
-    A gallery of up to QUERY_BLOCK rows goes to every task and the queries stream past it. A larger one streams past the
-    queries, block by block; the best of each block are written to the shared folder if there is more than one. Neither
-    side is shuffled; what is merged is partitions * k rows a query.
+    Up to QUERY_BLOCK queries go to every task and the gallery streams past them; else a gallery of up to that size goes to
+    every task and the queries stream past it; else the gallery streams past one block of queries after the other, and the
+    best of each block are written to the shared folder. Neither side is shuffled; what is merged is partitions * k rows a
+    query.
     """
-    queries, gallery = queries.filter("embedding is not null"), gallery.filter("embedding is not null")
-    few = gallery.select("id", "embedding").limit(QUERY_BLOCK + 1).collect()
-    if len(few) <= QUERY_BLOCK:
+    queries = queries.filter("embedding is not null").select("query_id", "embedding")
+    gallery = gallery.filter("embedding is not null").select("id", "embedding")
+    block = queries.orderBy("query_id").limit(QUERY_BLOCK + 1).collect()
+    if len(block) <= QUERY_BLOCK:
+        found = _against_queries(block, gallery, k)
+    elif len(few := gallery.limit(QUERY_BLOCK + 1).collect()) <= QUERY_BLOCK:
         found = _against_gallery(queries, few, k)
     else:
-        found, path, last = None, work_folder(queries.sparkSession, "nearest"), None
-        while True:
-            rest = queries if last is None else queries.filter(F.col("query_id") > last)
-            block = rest.select("query_id", "embedding").orderBy("query_id").limit(QUERY_BLOCK).collect()
-            part = _against_queries(block, gallery, k)
-            if last is None and len(block) < QUERY_BLOCK:
-                found = part
-                break
-            if not block:
-                found = queries.sparkSession.read.schema(FOUND).parquet(path)
-                break
-            part.write.mode("append").parquet(path)
-            last = block[-1][0]
+        path = work_folder(queries.sparkSession, "nearest")
+        block = block[:QUERY_BLOCK]
+        while block:
+            _against_queries(block, gallery, k).write.mode("append").parquet(path)
+            block = queries.filter(F.col("query_id") > block[-1][0]).orderBy("query_id").limit(QUERY_BLOCK).collect()
+        found = queries.sparkSession.read.schema(FOUND).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
 
