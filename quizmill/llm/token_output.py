@@ -6,9 +6,8 @@ document id, and can be read by stripes in parallel; a predicate on the id prune
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import shared_dir, table
+from quizmill.llm.jaccard_join import chunks
 
 #: A file holds about this many bytes of text; the longest document is the only thing that may exceed it.
 FILE_BYTES = 64_000_000
-#: Entries of one Python worker's cache of encoded words, about 150 MB; a full cache starts anew.
-CACHE_WORDS = 400_000
+#: Entries of one Python worker's cache of encoded words, about 90 MB; a full cache starts anew.
+CACHE_WORDS = 250_000
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -33,9 +33,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-#: Letters, then marks other than the apostrophe: the vocabulary's pattern parts them just there.
-_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-_TABLE = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+#: ASCII marks other than the apostrophe: after letters, the vocabulary's pattern parts them as a token of their own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TABLE = str.maketrans({chr(b): c for b, c in byte_letters().items() if chr(b) != " "})
 
 
 class Encoder:
@@ -46,12 +46,17 @@ class Encoder:
     loaded: dict = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.model = self.tokenizer.model
         spec = self.tokenizer.to_str()
         self.by_word = '"\\\\s+"' in spec and '"end_of_word_suffix":"</w>"' in spec and '"Lowercase"' in spec and '"NFC"' in spec
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -63,52 +68,60 @@ class Encoder:
         """By all steps of the tokenizer."""
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def letters(self, word: str) -> bytes:
-        """A word of letters. Latin ones are lower-cased here, character by character, as the tokenizer does it."""
-        if word.isascii():
-            plain = word.lower()
-        elif max(word) < "\u0250" and "\u0130" not in word:  # these have one form under NFC, and lower case one by one
-            plain = word.lower().encode().decode("latin-1").translate(_TABLE)
+    def bulk(self, words: list[str], write) -> None:
+        """Put words into the cache that ``write`` turns into the model's letters, 1,000 at a time; the tokens that end a word
+        part them again."""
+        if not words:
+            return
+        found = self.plain.encode_batch_fast([write(" ".join(words[i : i + 1000])) for i in range(0, len(words), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found])
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) == len(words):
+            starts = np.concatenate(([0], stops[:-1]))
+            self.cache.update(zip(words, map(ids.tobytes().__getitem__, map(slice, starts.tolist(), stops.tolist()))))
         else:
-            return self.whole(word)
-        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of new words, as bytes, into the cache."""
-        cache = self.cache
+            self.cache.update((w, self.whole(w)) for w in words)
+
+    def letters(self, words: list[str]) -> None:
+        """Put words of letters into the cache. Latin ones are lower-cased here, character by character, as the tokenizer does
+        it, and have one form under NFC; others pass all steps of the tokenizer."""
+        self.bulk([w for w in words if w.isascii()], str.lower)
+        rest = [w for w in words if not w.isascii()]
+        latin = [w for w in rest if max(w) < "\u0250" and "\u0130" not in w]
+        self.bulk(latin, lambda text: text.lower().encode().decode("latin-1").translate(_TABLE))
+        if len(latin) < len(rest):
+            self.cache.update((w, self.whole(w)) for w in set(rest).difference(latin))
+
+    def learn(self, words) -> None:
+        """Put the ids of new words, as bytes, into the cache. Marks after letters, but for the apostrophe, are tokens apart."""
+        cache, parted, cores = self.cache, [], set()
         for w in words:
-            m = _WORD.fullmatch(w)
-            if not m:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                cores.add(core)
+                if len(core) < len(w):
+                    parted.append((w, core, w[len(core) :]))
+            else:
                 cache[w] = self.whole(w)
-                continue
-            core, tail = m.groups()
-            ids = cache.get(core) if tail else None
-            if ids is None:
-                ids = self.letters(core)
-                if tail:
-                    cache[core] = ids
-            if tail:
-                if tail not in cache:
-                    cache[tail] = self.whole(tail)
-                ids = ids + cache[tail]
-            cache[w] = ids
+        self.letters(list(cores.difference(cache)))
+        for w, core, tail in parted:
+            if tail not in cache:
+                cache[tail] = self.whole(tail)
+            cache[w] = cache[core] + cache[tail]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if not self.by_word:
             return [np.asarray(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            # str.split also splits at four control characters that the vocabulary's \s does not
-            words = text.split() if not any(c in text for c in _ODD) else [w for w in _plain_split(text) if w]
-            try:
-                ids = b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                if len(self.cache) > CACHE_WORDS:
-                    self.cache.clear()
-                self.learn([w for w in set(words) if w not in self.cache])
-                ids = b"".join(map(self.cache.__getitem__, words))
-            out.append(ids + end)
-        return out
+        # str.split also splits at four control characters that the vocabulary's \s does not
+        words = [t.split() if not any(c in t for c in _ODD) else [w for w in _plain_split(t) if w] for t in texts]
+        seen: set[str] = set()
+        for ws in words:
+            seen.update(ws)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        self.learn(seen.difference(self.cache))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, ws)) + end for ws in words]
 
 
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -123,14 +136,14 @@ def _plain_split(text: str) -> list[str]:
 def encode_batches(batches, path: str, end_id: int):
     """Arrow batches (doc_id, text) of one sorted partition -> (doc_id, local_start, n_tokens, ids)."""
     encoder, end, at = Encoder.of(path), np.asarray([end_id], "<u4").tobytes(), 0
-    for batch in batches:
-        parts = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end)
+    for ids, texts in chunks(batches):
+        parts = encoder.encode([t or "" for t in texts.to_pylist()], end)
         sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
         starts = at + np.concatenate(([0], np.cumsum(sizes)))
         at = int(starts[-1])
         values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(parts))])
         offsets = pa.array((starts - starts[0]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts[:-1]), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "local_start", "n_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(starts[:-1]), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "local_start", "n_tokens", "ids"])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> None:
