@@ -30,17 +30,17 @@ from quizmill.llm.common import BROADCAST_ROWS, materialise, small, table
 #: Chance that another document holds a given shingle, for the cost of an allocation. It affects speed alone.
 SHARED = 0.2
 #: Rows that one task groups; the number of partitions follows from it.
-TASK_KEYS = 1_000_000
+TASK_KEYS = 500_000
 #: Texts are worked on in chunks of about this many bytes, so memory does not grow with a partition.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Rounds in which a key names a centre.
 HUB_ROUNDS = 3
 #: Sets of a key, about, that one tile compares with as many others.
 TILE = 4000
-#: 64-bit words of a parity sketch.
-SKETCH = 16
+#: 64-bit words of a parity sketch, and of the finer one of sets above FINE_FROM shingles.
+SKETCH, FINE, FINE_FROM = 16, 128, 1200
 #: Keys that a task holds before it combines those that its documents share.
-CHUNK_KEYS = 1_500_000
+CHUNK_KEYS = 600_000
 
 U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -175,7 +175,7 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
             continue
         a, b, r = bands.plan(band)
         m = a + b + 2 * r
-        for part in np.array_split(here, max(1, len(here) * m // 4_000_000)):
+        for part in np.array_split(here, max(1, len(here) * m // 1_000_000)):
             size = n[part]
             took = np.repeat(bounds[part] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             t = tokens[took]
@@ -199,16 +199,31 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
     return (np.concatenate(keys), np.concatenate(sets)) if keys else (np.empty(0, U), np.empty(0, np.int64))
 
 
-SET_SCHEMA = "doc_id long, n long, f long, g long"
+_WORDS = [f"b{i}" for i in range(SKETCH)]
+SET_SCHEMA = "doc_id long, n long, f long, g long, fine array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
 #: ``key`` as its difference from ``p``, which is zero for most rows and takes no room when packed.
 KEY_SCHEMA = "p long, key long, doc long, kind int"
 
 
+def sketches(tokens: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the tokens in each of words * 64 cells. Two sets differ in at least as many tokens as sketches in bits."""
+    bits = words * 64
+    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * bits + (mix(tokens ^ U(0x632BE59BD9B4E019)) % U(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=(len(bounds) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+
 def set_rows(batches, k: int):
+    """Size, fingerprint and sketches of each text."""
     for ids, texts in chunks(batches):
-        tokens, bounds = shingle_sets(texts, k)
-        f, g = fingerprints(tokens, bounds)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(f.view(np.int64)), pa.array(g.view(np.int64))], names=["doc_id", "n", "f", "g"])
+        for at in range(0, len(ids), 2000):
+            part = ids.slice(at, 2000)
+            tokens, bounds = shingle_sets(texts.slice(at, 2000), k)
+            f, g = fingerprints(tokens, bounds)
+            fine = [sketches(tokens[a:b], np.array([0, b - a]), FINE)[0] if b - a > FINE_FROM else None for a, b in zip(bounds[:-1], bounds[1:])]
+            coarse = np.ascontiguousarray(sketches(tokens, bounds, SKETCH).T)
+            columns = [part.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(fine, pa.list_(pa.int64())), *map(pa.array, coarse)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f", "g", "fine", *_WORDS])
 
 
 def _combined(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
@@ -285,24 +300,11 @@ def member_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d)], names=["key", "doc"])
 
 
-def sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parity of the tokens in each of SKETCH * 64 cells. Two sets differ in at least as many tokens as sketches in bits."""
-    bits = SKETCH * 64
-    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * bits + (mix(tokens ^ U(0x632BE59BD9B4E019)) % U(bits)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=(len(bounds) - 1) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
-
-
 def token_rows(batches, k: int):
     for ids, texts in chunks(batches):
         tokens, bounds = shingle_sets(texts, k)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-        sketch = np.ascontiguousarray(sketches(tokens, bounds).T)
-        columns = [ids.cast(pa.int64()), pa.array(np.diff(bounds)), lists, *map(pa.array, sketch)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "tokens", *(f"b{i}" for i in range(SKETCH))])
-
-
-TOKEN_SCHEMA = "doc_id long, n long, tokens array<long>, " + ", ".join(f"b{i} long" for i in range(SKETCH))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), lists], names=["doc_id", "tokens"])
 
 
 def tile_rows(batches, threshold: int):
@@ -319,7 +321,7 @@ def tile_rows(batches, threshold: int):
     for a, b in zip(head, np.append(head[1:], len(order))):
         rows = order[a:b]
         single = (block[rows] == block[rows[0]]).all()
-        step = max(1, 1_000_000 // len(rows) // SKETCH)
+        step = max(1, 500_000 // len(rows) // SKETCH)
         for i in range(0, len(rows), step):
             left, right = rows[i : i + step, None], rows[None, i:]
             fits = (c[left] != c[right]) & (rep[left] < rep[right]) & (100 * np.minimum(n[left], n[right]) >= threshold * np.maximum(n[left], n[right]))
@@ -352,26 +354,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def token_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Size, shingles and sketch of the documents ``ids(doc_id)``, from their texts."""
-    texts = docs.select("doc_id", "text").join(small(materialise(ids, "involved")), "doc_id", "left_semi")
-    return materialise(texts.mapInArrow(lambda it: token_rows(it, k), TOKEN_SCHEMA).dropDuplicates(["doc_id"]), "sets")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs ``x, y`` of documents whose sets reach the threshold, by the exact intersection.
 
     Of pairs that link, the symmetric difference d satisfies d * (100 + threshold) <= (100 - threshold) * (|x| + |y|); the
-    sketches bound d from below, so pairs are refused by 128 bytes a document before whole sets are moved.
+    sketches bound d from below, so pairs are refused by 128 bytes a document, of large sets by 1 KB, before any text is
+    read again or any set moved.
     """
-    sets = token_sets(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), docs, k)
-    words = [f"b{i}" for i in range(SKETCH)]
-    left, right = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), *words), sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), *(F.col(w).alias(f"c{w}") for w in words))
-    apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"c{w}"))) for w in words)
-    near = pairs.join(left, "x").join(right, "y").filter(apart * (100 + threshold) <= (100 - threshold) * (F.col("nx") + F.col("ny"))).select("x", "y")
+    left = sketch.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), *_WORDS)
+    right = sketch.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), *(F.col(w).alias(f"c{w}") for w in _WORDS))
+    apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"c{w}"))) for w in _WORDS)
+    most = (100 - threshold) * (F.col("nx") + F.col("ny"))
+    near = pairs.join(left, "x").join(right, "y").filter(apart * (100 + threshold) <= most).select("x", "y", "nx", "ny")
+    large = sketch.filter("fine is not null")
+    left, right = large.select(F.col("doc_id").alias("x"), F.col("fine").alias("fx")), large.select(F.col("doc_id").alias("y"), F.col("fine").alias("fy"))
+    apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0).cast("long"), lambda a, x: a + x)
+    near = near.join(left, "x", "left").join(right, "y", "left").filter(F.coalesce(apart * (100 + threshold) <= most, F.lit(True))).select("x", "y")
+    near = materialise(near, "near")
+
+    ids = materialise(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "involved")
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    sets = materialise(texts.mapInArrow(lambda it: token_rows(it, k), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
     left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    met = materialise(near, "near").join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
+    met = near.join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
     return met.filter(F.col("i") * 100 >= F.col("u") * threshold).select("x", "y", "i", "u")
 
 
@@ -394,7 +400,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     of shingles is that of 64-bit hashes, and of sets that of 128-bit fingerprints and sizes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(docs.mapInArrow(lambda it: set_rows(it, k), SET_SCHEMA).distinct(), "fingerprints")
+    sketch = materialise(docs.mapInArrow(lambda it: set_rows(it, k), SET_SCHEMA).dropDuplicates(["doc_id", "n", "f", "g"]), "sketches")
+    sets = sketch.select("doc_id", "n", "f", "g")
     known = sets.filter("doc_id is not null")
     total = known.agg(F.count("*"), F.sum("n")).first()
     reps = known.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
@@ -415,11 +422,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     links, seen, parts = [], None, None
     fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
     for turn in range(HUB_ROUNDS + 1):
-        placed = placed.select("key", "rep", "n").withColumn("c", F.col("rep"))
-        if parts is not None:
-            placed = placed.drop("c").join(parts, F.col("rep") == parts["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-            mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("size")).filter("a <> b").select("key", "size")
-            placed = materialise(placed.join(mixed, "key"), "mixed")
+        placed = placed.select("key", "rep", "n")
+        if parts is None:
+            placed = placed.withColumn("c", F.col("rep"))
+        else:
+            placed = placed.join(parts, F.col("rep") == parts["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("size")).filter("a <> b").select("key", "size")
+        placed = materialise(placed.join(mixed, "key"), "mixed")
         if turn < HUB_ROUNDS:  # pairs with the centre of each key
             ranked = placed.withColumn("degree", F.lit(0))
             if links:
@@ -434,7 +443,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
         else:  # pairs between components, tile by tile
             if placed.isEmpty():
                 break
-            sketched = token_sets(placed.select(F.col("rep").alias("doc_id")).distinct(), docs, k).select(F.col("doc_id").alias("rep"), *(f"b{i}" for i in range(SKETCH)))
+            reps = small(materialise(placed.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
+            sketched = materialise(sketch.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), *_WORDS), "sketched")
             blocks = F.floor(F.col("size") / TILE).cast("int") + 1
             tiles = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
             tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -442,11 +452,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
             tiles = tiles.repartition("tile").join(small(sketched), "rep")
             if sketched.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
                 tiles = tiles.repartition("tile")
-            tiles = tiles.select("tile", "block", "rep", "n", "c", *(f"b{i}" for i in range(SKETCH)))
+            tiles = tiles.select("tile", "block", "rep", "n", "c", *_WORDS)
             new = materialise(tiles.mapInArrow(lambda it: tile_rows(it, threshold), "x long, y long").distinct().join(seen, ["x", "y"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
-        more = materialise(verified(new, docs, k, threshold), "links")
+        more = materialise(verified(new, sketch, docs, k, threshold), "links")
         if not more.isEmpty():
             links.append(more)
             parts = components(all_of(links))

@@ -109,10 +109,25 @@ def test_shingle_sets_of_slices_and_long_texts():
     part = J.shingle_sets(pa.array(["pad pad pad"] + texts).slice(1), 4)
     assert np.array_equal(whole[0], part[0]) and np.array_equal(whole[1], part[1])
     assert np.diff(whole[1]).tolist() == [len(shingles(t, 4)) for t in texts]
-    bound = J.sketches(whole[0], whole[1])
+    bound = J.sketches(whole[0], whole[1], J.SKETCH)
     assert bound.shape == (6, J.SKETCH)
 
 
+def test_shared_keys_without_any_link(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"s{i}" for i in range(120))
+    docs = [(i, shared + " " + " ".join(f"t{rng.randrange(9999)}" for _ in range(60))) for i in range(20)]
+    got = run(spark, docs, 4, 85)
+    assert got == plain(docs, 4, 85) and all(c == i for i, (_, c) in got.items())
+
+
+def test_large_sets(spark):
+    rng = random.Random(11)
+    base = [f"l{i}" for i in range(3000)]
+    docs = [(i, " ".join(edited(rng, base, n))) for i, n in enumerate([0, 40, 110, 160, 300, 600])] + [(9, " ".join(base[:2600])), (10, " ".join(base[1000:]))]
+    assert run(spark, docs, 4, 85) == plain(docs, 4, 85)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(200, 300)], "x long, y long")
     assert {r.node: r.component for r in J.components(edges).collect()} == {**{i: 1 for i in range(1, 71)}, 200: 200, 300: 200}
