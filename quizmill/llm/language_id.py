@@ -1,30 +1,33 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Letters of a word, with a mark at its start and its end, are predicted from the letters before them in the word. Counts come
-from all training texts: words are counted per language by Spark, then n-grams of the distinct words. The models are kept in
-sorted arrays of 64-bit n-gram hashes that all languages share, with a column of probabilities per language. A text gets the
-language of least cross-entropy per letter; a threshold per language, calibrated on training texts, marks doubtful ones.
+from all training texts: words are counted per language by Spark, then n-grams of the distinct words, then lower orders,
+totals and discounts. No n-gram is left out. Models that a count shows to be small are sent to the workers, in sorted arrays of
+64-bit n-gram hashes that all languages share, with a column of probabilities per language; larger ones stay tables that the
+distinct words are joined with. A text gets the language of least cross-entropy per letter; a threshold per language, a quantile
+over all training texts, marks doubtful ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import table
+from quizmill.llm.common import materialise, small, table
 
 ORDER = 4
-#: The models that are sent to the workers hold at most so many n-grams a language, the most frequent ones: 24 bytes each.
-MODEL_GRAMS = 300_000
-#: Texts, at most, that the thresholds of rejection are calibrated on: those with the smallest hashes of their ids.
-CALIBRATION_ROWS = 4_000
+#: N-grams times languages, at most, of models that are sent to the workers: 8 bytes each. Larger ones are joined with.
+MODEL_CELLS = 4_000_000
 REJECT_QUANTILE = 0.999
+#: Letters that a text has at least to count for the thresholds of rejection.
+CALIBRATION_LETTERS = 20
 #: Distinct words that one task counts, or one worker remembers, before it starts anew.
 WORDS = 300_000
 
@@ -80,13 +83,15 @@ def _hash(s: str) -> int:
 @dataclass
 class Model:
     """For each order: sorted hashes of n-grams with the discounted probability per language, and sorted hashes of
-    contexts with the weight of the lower order."""
+    contexts with the weight of the lower order; or ``tables(level, part, key, v)`` with the same in place of the arrays."""
 
     langs: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     floor: np.ndarray | None = None
     reject: np.ndarray | None = None
+    tables: DataFrame | None = None
+    order: int = ORDER
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         """The log-probability of each word under each language."""
@@ -202,65 +207,233 @@ def _fold(text_rows, model: Model):
             yield part, *scorer.entropies(part.column(1).to_pylist())
 
 
-def _entropy_rows(batches, model: Model):
-    for part, e, size in _fold(batches, model):
-        own = np.array([model.langs.index(x) if x in model.langs else 0 for x in part.column(0).to_pylist()])
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(e[np.arange(len(own)), own]), pa.array(size)], names=["lang", "e", "size"])
+SCORED = "doc_id long, lang string, lang_pred string, score double, cross_entropy double, own double, letters double"
 
 
-def _predict_rows(batches, model: Model):
+def _scored_rows(batches, model: Model):
+    at = {lang: k for k, lang in enumerate(model.langs)}
     for part, e, size in _fold(batches, model):
         best = e.argmin(1)
         # the posterior of the best language, of texts taken as at most 50 letters long
         odds = np.exp(-(e - e.min(1, keepdims=True)) * np.minimum(size, 50)[:, None])
         score = np.where(size > 0, 1 / odds.sum(1), 0.0)
-        doubt = (size > 0) & (e[np.arange(len(best)), best] > model.reject[best])
         lang = [model.langs[b] if s else "und" for b, s in zip(best, size)]
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(lang), pa.array(score), pa.array(e.min(1)), pa.array(doubt)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+        own = [e[i, at[x]] if x in at else None for i, x in enumerate(part.column(2).to_pylist())]
+        columns = [part.column(0).cast(pa.int64()), part.column(2), pa.array(lang), pa.array(score), pa.array(e.min(1)), pa.array(own, pa.float64()), pa.array(size)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "lang_pred", "score", "cross_entropy", "own", "letters"])
 
 
-def fit(docs: DataFrame, order: int = ORDER, model_grams: int = MODEL_GRAMS) -> Model | None:
-    """Fit on ``docs(doc_id, text, lang)``; None if no text with a language has a letter. Null languages are left out.
+def levels(top: DataFrame, order: int) -> DataFrame:
+    """``level, lang, gram, n``: the n-grams of the highest order and of all lower ones, counted as in ``kneser_ney``."""
+    held = [top.select(F.lit(order).alias("level"), "lang", "gram", "n")]
+    for k in range(order - 1, 0, -1):
+        up = held[-1]
+        found = up.filter(F.length("gram") == k + 1).groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        begin = up.filter(F.length("gram") <= k).select("lang", "gram", "n")
+        held.append(found.union(begin).select(F.lit(k).alias("level"), "lang", "gram", "n"))
+    out = held[0]
+    for part in held[1:]:
+        out = out.union(part)
+    return out
+
 
-    Word and n-gram counts cover all these documents. A model holds the ``model_grams`` most frequent n-grams of each
-    language, which bounds what is broadcast; thresholds are quantiles over ``CALIBRATION_ROWS`` texts.
+def probabilities(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """``level, part, key, v``: values of n-grams (part ``gram``) and weights of contexts (part ``context``) per language.
+
+    Only keys as long as their level are looked up; the shorter ones that begin a word count in the discounts.
     """
-    docs = docs.filter("lang is not null")
-    grams = gram_counts(word_counts(docs), order)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = grams.withColumn("rank", rank).filter(F.col("rank") <= model_grams).select("lang", "gram", "n").collect()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, gram, n in kept:
-        counts.setdefault(lang, {})[gram] = n
-    if not counts:
+    ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    d = F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5)
+    rows = counts.join(F.broadcast(counts.groupBy("level", "lang").agg(d.alias("d"))), ["level", "lang"])  # a row per level and language
+    rows = rows.withColumn("head", F.expr("substring(gram, 1, length(gram) - 1)"))
+    grams = rows.filter(F.length("gram") == F.col("level"))  # the contexts of these hold no shorter n-grams
+    total = F.sum("n").over(Window.partitionBy("level", "lang", "head"))  # no more rows than there are characters
+    values = grams.select("level", F.lit("gram").alias("part"), F.col("gram").alias("key"), "lang", ((F.col("n") - F.col("d")) / total).alias("v"))
+    rest = grams.groupBy("level", "lang", F.col("head").alias("key")).agg((F.max("d") * F.count("*") / F.sum("n")).alias("v"))
+    both = values.unionByName(rest.select("level", F.lit("context").alias("part"), "key", "lang", "v"))
+    found = F.map_from_entries(F.collect_list(F.struct("lang", "v")))
+    per = F.transform(F.array(*map(F.lit, langs)), lambda x: F.try_element_at("found", x))
+    default = F.when(F.col("part") == "gram", 0.0).otherwise(1.0)
+    return both.groupBy("level", "part", "key").agg(found.alias("found")).select("level", "part", "key", F.transform(per, lambda x: F.coalesce(x, default)).alias("v"))
+
+
+def learn(docs: DataFrame, order: int = ORDER, cells: int = MODEL_CELLS) -> Model | None:
+    """The models of ``docs(text, lang)``, without thresholds; None if no text with a language has a letter.
+
+    All n-grams of all texts are in the models. Beyond ``cells`` n-grams times languages they stay a table.
+    """
+    counts = materialise(levels(gram_counts(word_counts(docs), order), order), "grams")
+    vocabulary = dict(counts.filter("level = 1").groupBy("lang").count().collect())
+    langs = sorted(vocabulary)
+    if not langs:
         return None
-    model = kneser_ney(counts, order)
-    # ids are chosen before texts are read: at most CALIBRATION_ROWS of them, which bounds the broadcast
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("calibration")), "doc_id").limit(CALIBRATION_ROWS)
-    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
-    found = sample.mapInArrow(lambda it: _entropy_rows(it, model), "lang string, e double, size double").filter("size >= 20")
-    limits = dict(found.groupBy("lang").agg(F.percentile("e", F.lit(REJECT_QUANTILE))).collect())
+    model = Model(langs, floor=np.array([1.0 / (vocabulary[lang] + 1) for lang in langs]), order=order)
+    tables = materialise(probabilities(counts, langs), "model")
+    if tables.count() * len(langs) > cells:
+        model.tables = tables
+        return model
+    for n in range(1, order + 1):
+        for part, into in (("gram", model.grams), ("context", model.contexts)):
+            found = tables.filter((F.col("level") == n) & (F.col("part") == part)).select("key", "v").toArrow()
+            keys = np.array([_hash(g) for g in found.column(0).to_pylist()] or [0], U)
+            values = found.column(1).combine_chunks().flatten().to_numpy() if found.num_rows else np.full(len(langs), float(part == "context"))
+            by = np.argsort(keys)
+            into.append((keys[by], values.reshape(len(keys), len(langs))[by]))
+    return model
+
+
+def _text_words(batches):
+    """``row, doc_id, lang, word, n`` of each text; texts without letters give a row without a word."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            held = [list(Counter(words_of(t)).items()) or [(None, 0)] for t in part.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in held]))
+            words, n = pa.array([w for x in held for w, _ in x], pa.string()), pa.array([c for x in held for _, c in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(3).take(at), part.column(0).cast(pa.int64()).take(at), part.column(2).take(at), words, n], names=["row", "doc_id", "lang", "word", "n"])
+
+
+def _added(logs: Column, n: int, times=1) -> Column:
+    return F.array(*(F.sum(logs[k] * times) for k in range(n)))
+
+
+def _joined(docs: DataFrame, model: Model) -> DataFrame:
+    """What ``_scored_rows`` gives, by joins: n-grams with the models, words with their n-grams, texts with their words."""
+    size, order = len(model.langs), model.order
+    texts = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_text_words, "row long, doc_id long, lang string, word string, n long")
+    words = texts.filter("word is not null").select("word").distinct()
+    marked = words.select("word", F.concat(F.lit("\x02"), "word", F.lit("\x03")).alias("w"))
+    ends = marked.select("word", "w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("e"))
+    parts = materialise(ends.select("word", F.expr(f"substring(w, greatest(e - {order} + 1, 1), least(e, {order}))").alias("gram")), "parts")
+    grams = parts.select("gram").distinct().withColumn("p", F.array(*(F.lit(float(x)) for x in model.floor)))
+    for n in range(1, order + 1):
+        of = model.tables.filter(F.col("level") == n)
+        own = of.filter("part = 'gram'").select(F.col("key").alias("own_key"), F.col("v").alias("own"))
+        rest = of.filter("part = 'context'").select(F.col("key").alias("rest_key"), F.col("v").alias("rest"))
+        used = F.length("gram") >= n
+        grams = grams.withColumn("own_key", F.when(used, F.expr(f"substring(gram, -{n}, {n})"))).withColumn("rest_key", F.when(used, F.expr(f"substring(gram, -{n}, {n - 1})")))
+        grams = grams.join(small(own), "own_key", "left").join(small(rest), "rest_key", "left")
+        lower = F.when(F.col("rest").isNull(), F.col("p")).otherwise(F.zip_with("rest", "p", lambda a, b: a * b))
+        grams = grams.select("gram", F.when(~used | F.col("own").isNull(), lower).otherwise(F.zip_with("own", lower, lambda a, b: a + b)).alias("p"))
+    logs = grams.select("gram", F.transform("p", lambda x: F.log(F.greatest(x, F.lit(1e-12)))).alias("logs"))
+    per_word = parts.join(logs, "gram").groupBy("word").agg(_added(F.col("logs"), size).alias("logs"))
+    found = texts.join(per_word, "word", "left").groupBy("row", "doc_id", "lang").agg(
+        _added(F.col("logs"), size, F.col("n")).alias("sums"), F.sum(F.coalesce(F.length("word"), F.lit(0)) * F.col("n")).alias("letters"), F.sum("n").alias("words")
+    )
+    e = F.when(F.col("letters") > 0, F.transform("sums", lambda x: -x / (F.col("letters") + F.col("words")))).otherwise(F.array(*[F.lit(0.0)] * size))
+    langs = F.array(*map(F.lit, model.langs))
+    found = found.withColumn("e", e).withColumn("least", F.array_min("e"))
+    odds = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(-(x - F.col("least")) * F.least("letters", F.lit(50))))
+    lang = F.when(F.col("letters") > 0, F.element_at(langs, F.array_position("e", F.col("least")).cast("int"))).otherwise("und")
+    own = F.try_element_at("e", F.nullif(F.array_position(langs, F.col("lang")), F.lit(0)).cast("int"))
+    score = F.when(F.col("letters") > 0, 1 / odds).otherwise(0.0)
+    return found.select("doc_id", "lang", lang.alias("lang_pred"), score.alias("score"), F.col("least").alias("cross_entropy"), own.alias("own"), F.col("letters").cast("double").alias("letters"))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, lang, lang_pred, score, cross_entropy, own, letters`` of every whole text; ``own`` is the cross-entropy
+    under the language that the text has, null where that is none of the models'.
+
+    With arrays it is one pass without a shuffle, with tables a join.
+    """
+    rows = docs.select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+    if model.tables is not None:
+        return _joined(rows, model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(lambda it: _scored_rows(it, sent.value), SCORED)
+
+
+def quantiles(found: DataFrame, q: float) -> dict[str, float]:
+    """The quantile of ``e`` per language of ``found(lang, e)`` over all rows, to within 1e-6.
+
+    Rows are counted in bins of a thousandth, then the bins that hold it in bins of a millionth, so no task and not the
+    driver holds more than the bins. ``found`` is read twice.
+    """
+    bins: dict[str, list] = {}
+    coarse = F.floor(F.col("e") * 1000)
+    for lang, b, n in found.groupBy("lang", coarse.alias("b")).count().orderBy("lang", "b").collect():
+        bins.setdefault(lang, []).append((b, n))
+    ranks = {}
+    for lang, held in bins.items():
+        at = q * (sum(n for _, n in held) - 1)
+        for rank in {math.floor(at), math.ceil(at)}:
+            before = 0
+            for b, n in held:
+                if rank < before + n:
+                    break
+                before += n
+            ranks[lang, rank] = b, rank - before
+    if not ranks:
+        return {}
+    chosen = found.sparkSession.createDataFrame(sorted({(lang, b) for (lang, _), (b, _) in ranks.items()}), "lang string, b long")
+    fine = found.withColumn("b", coarse).join(F.broadcast(chosen), ["lang", "b"]).groupBy("lang", "b", F.floor(F.col("e") * 1_000_000).alias("f")).agg(F.count("*"), F.max("e"))
+    within: dict[tuple, list] = {}
+    for lang, b, _, n, e in fine.orderBy("lang", "b", "f").collect():
+        within.setdefault((lang, b), []).append((n, e))
+
+    def value(lang, rank):
+        b, left = ranks[lang, rank]
+        for n, e in within[lang, b]:
+            if left < n:
+                return e
+            left -= n
+
+    out = {}
+    for lang, held in bins.items():
+        at = q * (sum(n for _, n in held) - 1)
+        low, high = value(lang, math.floor(at)), value(lang, math.ceil(at))
+        out[lang] = low + (high - low) * (at - math.floor(at))
+    return out
+
+
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Set the thresholds of rejection from all training texts, ``rows`` being what ``scored`` gave for them."""
+    found = rows.filter((F.col("letters") >= CALIBRATION_LETTERS) & F.col("own").isNotNull()).select("lang", F.col("own").alias("e"))
+    limits = quantiles(found, REJECT_QUANTILE)
     model.reject = np.array([limits.get(lang, np.inf) for lang in model.langs]) * 1.25
+
+
+def fit(docs: DataFrame, order: int = ORDER, cells: int = MODEL_CELLS) -> Model | None:
+    """Fit on ``docs(doc_id, text, lang)``; None if no text with a language has a letter. Null languages are left out.
+
+    Models and thresholds cover all these documents; ``cells`` bounds only what is broadcast.
+    """
+    docs = docs.filter("lang is not null")
+    model = learn(docs, order, cells)
+    if model is not None:
+        calibrate(model, materialise(scored(docs, model).select("lang", "own", "letters"), "calibration"))
     return model
 
 
+def marked(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, lang_pred, score, cross_entropy, rejected`` from what ``scored`` gave."""
+    limit = F.try_element_at(F.array(*(F.lit(float(x)) for x in model.reject)), F.nullif(F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang_pred")), F.lit(0)).cast("int"))
+    doubt = F.coalesce((F.col("letters") > 0) & (F.col("cross_entropy") > limit), F.lit(False))
+    return rows.select("doc_id", "lang_pred", "score", "cross_entropy", doubt.alias("rejected"))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, lang_pred, score, cross_entropy, rejected`` of every whole text, in one pass without a shuffle.
+    """``doc_id, lang_pred, score, cross_entropy, rejected`` of every whole text.
 
     ``lang_pred`` is a learned language, or ``und`` for null texts and texts without letters (score 0) and without a
     model. ``rejected`` marks texts whose best cross-entropy is above the calibrated threshold of that language.
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("rejected"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _predict_rows(it, sent.value), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return marked(scored(docs, model), model)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    out = predict(docs, fit(docs.filter(~held)))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    model = learn(docs.filter(~held))
+    if model is None:
+        out = predict(docs, None)
+    else:
+        rows = materialise(scored(docs, model), "scored")  # texts are scored once, for the thresholds and the result
+        calibrate(model, rows.filter(~held))
+        out = marked(rows, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 ORACLE_SQL = None  # a fitted model; tests measure held-out accuracy and check the models against plain formulas

@@ -60,6 +60,46 @@ def test_gram_counts_match_plain_counts(spark):
     assert {(r.lang, r.gram): r.n for r in language_id.gram_counts(words, 3).collect()} == want
 
 
+def plain_counts(rows, order):
+    counts = {}
+    for _, text, lang in rows:
+        for w in text.split():
+            s = f"\x02{w}\x03"
+            for e in range(2, len(s) + 1):
+                g = s[max(0, e - order) : e]
+                counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    return counts
+
+
+def test_models_hold_every_gram_sent_or_joined(spark):
+    rows = [(i, t, "en") for i, t in enumerate(sentences(5, 40, EN + ["rare"]))] + [(100 + i, t, "de") for i, t in enumerate(sentences(6, 40, DE))]
+    docs = spark.createDataFrame(rows + [(7, "12", "en"), (None, "die the", "en"), (None, None, "xx")], "doc_id long, text string, lang string")
+    rows.append((None, "die the", "en"))
+    want = language_id.kneser_ney(plain_counts(rows, 4), 4)
+    sent, kept = language_id.fit(docs), language_id.fit(docs, cells=1)
+    assert sent.langs == want.langs == kept.langs and sent.tables is None and kept.tables is not None
+    words = ["the", "rare", "zeit", "thezeit", "q", "schönqz"]
+    assert sent.log_probs(words) == pytest.approx(want.log_probs(words))
+    assert sent.reject == pytest.approx(kept.reject, abs=1e-5)
+    a, b = (sorted(map(tuple, language_id.predict(docs.union(spark.createDataFrame([(900, "qqqq zzzz", None)], docs.schema)), m).collect()), key=repr) for m in (sent, kept))
+    assert len(a) == len(b) == docs.count() + 1
+    for x, y in zip(a, b):
+        assert (x[0], x[1], x[4]) == (y[0], y[1], y[4]) and x[2:4] == pytest.approx(y[2:4])
+
+
+def test_thresholds_cover_all_training_texts(spark):
+    # one text in two hundred is of other letters: more than 4,000 texts, of which none may be passed over
+    texts = [(i, "qxzj " * 8 if i >= 5000 else "the other hand and this thing", "en") for i in range(5025)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    e, _ = language_id.Scorer(model).entropies([t for _, t, _ in texts])
+    assert model.reject[0] == pytest.approx(1.25 * np.quantile(e[:, 0], language_id.REJECT_QUANTILE), abs=1e-5)
+    found = spark.createDataFrame([("a", x) for x in np.random.default_rng(1).gamma(2, size=3000).tolist()] + [("b", 0.5)], "lang string, e double")
+    for q in (0.0, 0.37, 0.999, 1.0):
+        got = language_id.quantiles(found, q)
+        assert got["a"] == pytest.approx(np.quantile([r.e for r in found.filter("lang = 'a'").collect()], q), abs=2e-6) and got["b"] == 0.5
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     v, w = np.array([0.1, 0.4, 0.2, 0.9, 0.3]), np.array([1.0, 2, 2, 1, 3])
     out = quality.isotonic(v, w)
