@@ -15,36 +15,89 @@ from quizmill.llm.common import materialise, small, table
 KEEP_SCORE = 0.7
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the documents ``ids(doc_id)``, which are broadcast only if a count shows that they are few."""
-    return docs.join(small(ids), "doc_id", "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a 64-bit hash that differs for rows of different id or text, null ids and texts included.
+
+    Stages decide by it, as ids may be null or repeated with other texts. A second hash shows whether two rows share one by
+    chance; then another seed is taken.
+    """
+    parts = [F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text"]
+    seed = 0
+    while True:
+        rows = docs.withColumn("_row", F.xxhash64(*parts, F.lit(seed)))
+        other = F.xxhash64(F.lit(seed), *parts)
+        met = rows.select("_row", other.alias("o")).groupBy("_row").agg(F.min("o").alias("a"), F.max("o").alias("b"))
+        if met.filter("a <> b").isEmpty():
+            return rows
+        seed += 1
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` of keyed rows for an operator, the key in place of the id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Keyed ``rows`` without those of ``gone(doc_id)``, keys that are broadcast only if a count shows that they are few."""
+    return rows.join(small(gone.select(F.col("doc_id").alias("_row"))), "_row", "left_anti").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below KEEP_SCORE go. The classifier learns from the labels of documents of this stage's input."""
+    """Rows scored below KEEP_SCORE go, those without an id too. The classifier learns from the labels of documents of this
+    stage's input; where none has a label there is no score, and all rows stay."""
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
-    scores = materialise(quality.score(docs, model), "scores")
-    return without(docs, scores.filter(F.col("score") < KEEP_SCORE).select("doc_id").distinct())
+    if model is None:
+        return docs
+    rows = keyed(docs)
+    scores = materialise(quality.score(as_documents(rows), model), "scores")
+    return without(rows, scores.filter(F.col("score") < KEEP_SCORE).select("doc_id").distinct()).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays; of rows that repeat an id, one."""
+    """Of equal texts one row stays, that with the largest id. A row without an id stays only if no equal text has one. Rows
+    that share an id but not the text, and rows without an id whose texts differ, do not touch each other.
+
+    Of rows that repeat the id that stays and its text, the first in the order of text (letters in capitals may differ) and
+    the other columns stays.
+    """
     found = materialise(exact_dedup.exact_dedup(docs, keep="largest"), "exact")
-    gone = found.filter(~F.col("kept"))
-    out = without(docs, gone.filter("doc_id <> keep_id").select("doc_id").distinct())
-    return out if gone.filter("doc_id <=> keep_id").isEmpty() else out.dropDuplicates(["doc_id"])
+    norm = exact_dedup.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn("_hash", F.sha2(norm.cast("binary"), 256))
+
+    def match(keys: DataFrame, how: str) -> DataFrame:
+        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_sha")), how)
+
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    again = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    again = materialise(again.select("doc_id", "text_sha256"), "repeats")
+    if again.isEmpty():
+        return match(gone, "left_anti").select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = match(again, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("text", *others)).alias("r")).select("doc_id", "r.*")
+    return match(gone.union(again), "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, similarity of 0.8) the document with the smallest id stays."""
-    found = materialise(jaccard_join.jaccard_join(docs, k=5, threshold=80), "near")
-    return without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    """Of each component of near duplicates (five words, similarity of 0.8) the row with the smallest id stays; rows without
+    an id come last, and of rows that share the id one stays."""
+    rows = keyed(docs)
+    found = materialise(jaccard_join.jaccard_join(as_documents(rows), k=5, threshold=80).select("doc_id", "component_id"), "near")
+    linked = found.filter("doc_id <> component_id").select("component_id").distinct()
+    members = found.join(small(linked), "component_id", "left_semi").select(F.col("doc_id").alias("_row"), "component_id")
+    members = rows.select("_row", F.col("doc_id").alias("id")).join(small(members), "_row").distinct()
+    members = materialise(members, "components")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "_row"))
+    best = members.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first._row").alias("best"))
+    gone = members.join(small(best), "component_id").filter("_row <> best").select(F.col("_row").alias("doc_id"))
+    return without(rows, gone).select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
-    found = materialise(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated"), "leaks")
-    return without(docs, found.filter("contaminated").select("doc_id"))
+    """Rows that hold ten consecutive words of a benchmark item, or a whole shorter item, go, those without an id too."""
+    rows = keyed(docs)
+    found = materialise(decontaminate.decontaminate(as_documents(rows), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated"), "leaks")
+    return without(rows, found.filter("contaminated").select("doc_id")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

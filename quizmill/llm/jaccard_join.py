@@ -374,11 +374,12 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, thres
 
     ids = materialise(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "involved")
     texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(lambda it: token_rows(it, k), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = materialise(texts.mapInArrow(lambda it: token_rows(it, k), "doc_id long, tokens array<long>").distinct(), "sets")
     left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     met = near.join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
-    return met.filter(F.col("i") * 100 >= F.col("u") * threshold).select("x", "y", "i", "u")
+    # an id with several texts links if one of them does
+    return met.filter(F.col("i") * 100 >= F.col("u") * threshold).groupBy("x", "y").agg(F.max_by(F.struct("i", "u"), F.col("i") / F.col("u")).alias("m")).select("x", "y", "m.i", "m.u")
 
 
 def all_of(parts: list[DataFrame]) -> DataFrame:

@@ -131,3 +131,10 @@ def test_large_sets(spark):
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(200, 300)], "x long, y long")
     assert {r.node: r.component for r in J.components(edges).collect()} == {**{i: 1 for i in range(1, 71)}, 200: 200, 300: 200}
+
+
+def test_any_text_of_a_repeated_id_links(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, base)] + [(2, f"other{i} " * 7 + f"tail{i}") for i in range(6)] + [(2, base + " more")], "doc_id long, text string").repartition(4)
+    out = J.jaccard_join(docs, k=5, threshold=80)
+    assert (2, 1) in {(r.doc_id, r.component_id) for r in out.collect()}

@@ -55,3 +55,38 @@ def test_repeated_rows_and_empty_input(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_exact_stage_tells_rows_of_one_id_apart(spark):
+    rows = [(None, "x"), (None, "x"), (None, "y"), (None, "A b"), (1, "A b"), (1, "A b"), (1, "a b"), (1, "c"), (2, "c"), (1, "d"), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, "x"), (None, "y"), (1, "A b"), (1, "d"), (2, "c"), (3, None)], key=repr)
+    assert kept(corpus_pipeline.exact_stage(spark, docs, SF)) == want
+    single = docs.filter("text in ('c', 'd', 'y')")
+    assert kept(corpus_pipeline.exact_stage(spark, single, SF)) == sorted([(None, "y"), (1, "d"), (2, "c")], key=repr)
+
+
+def test_later_stages_tell_rows_of_one_id_apart(spark):
+    near = LONG + " more"
+    docs = spark.createDataFrame([(1, LONG), (2, near), (2, "quite another text of its own"), (None, near + " words"), (None, "a last one")], "doc_id long, text string")
+    want = sorted([(1, LONG), (2, "quite another text of its own"), (None, "a last one")], key=repr)
+    assert kept(corpus_pipeline.near_stage(spark, docs, SF)) == want
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(1, item), (1, "clean"), (None, item), (None, "clean too")], "doc_id long, text string")
+    assert kept(corpus_pipeline.decontaminate_stage(spark, docs, SF)) == sorted([(1, "clean"), (None, "clean too")], key=repr)
+
+
+def test_quality_stage_by_row_and_without_a_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good"), (1, "bad"), (None, "bad"), (None, "good")], "doc_id long, text string")
+    monkeypatch.setattr(quality, "fit", lambda *_: None)
+    assert corpus_pipeline.quality_stage(spark, docs, SF).count() == 4
+    monkeypatch.setattr(quality, "fit", lambda *_: "model")
+    monkeypatch.setattr(quality, "score", lambda d, m: d.selectExpr("doc_id", "IF(text = 'bad', 0.0D, 1.0D) AS score"))
+    assert kept(corpus_pipeline.quality_stage(spark, docs, SF)) == sorted([(1, "good"), (None, "good")], key=repr)
