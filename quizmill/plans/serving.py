@@ -258,6 +258,13 @@ def _(t):
     return search.search_many(t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
+@query("r63_search_hundredth")
+def _(t):
+    """Every row whose id is divisible by 100 against all rows; ``r63_search_many`` has the five queries of its SQL."""
+    e = t.embeddings
+    return search.search_many(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 10)
+
+
 @query("r64_backfill")
 def _(t):
     q = t.questions.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").select("id", "content", "embedding")

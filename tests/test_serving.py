@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -195,3 +196,20 @@ def test_company_counts_and_feed(spark):
     assert [r.companies for r in catalog.feed(posts, links, q, companies, positions, company="B").collect()] == [["B"], ["B"]]
     details = {r.post_id: r for r in catalog.feed_details(page, q, posts).collect()}
     assert details[0].excerpt == "short" and [x.id for x in details[0].questions] == [2, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the given tables are not here")
+def test_every_hundredth_vector_is_searched_against_all(spark):
+    from quizmill.plans import serving  # noqa: F401  it registers the query
+    from quizmill.plans.registry import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    want = {}
+    for i in ids[ids % 100 == 0]:
+        sims = m @ m[ids == i][0]
+        want[i] = list(ids[np.lexsort((ids, -sims))[:10]])
+    got = {}
+    for r in QUERIES["r63_search_hundredth"](spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert len(want) == 20 and got == want
