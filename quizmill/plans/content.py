@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.operators import clean, extract, normalize
@@ -47,9 +47,13 @@ def _(t):
     return clean.route_posts(rows, 300).select("doc_id", "skip_reason", "extract_status", "extract_error")
 
 
-def payloads(t: Inputs) -> DataFrame:
-    """Conversations as extraction records in JSON: two turns make a round; some are cut off, some break a rule."""
-    q = F.struct(F.col("turn"), F.when(F.col("conv_id") % 19 == 7, F.lit("x")).otherwise(F.concat(F.lit("  "), F.substring("text", 1, 60))).alias("content"), F.when(F.col("turn") % 2 == 0, "HR").when(F.col("turn") % 4 == 1, "made up").alias("category"), F.when(F.col("turn") % 3 == 0, "brief").alias("answer_brief"))
+def payloads(t: Inputs, content: Column | None = None) -> DataFrame:
+    """Conversations as extraction records in JSON: two turns make a round; some are cut off, some break a rule.
+
+    A question's content is the whole text of a turn, unless ``content`` is given.
+    """
+    content = F.col("text") if content is None else content
+    q = F.struct(F.col("turn"), F.when(F.col("conv_id") % 19 == 7, F.lit("x")).otherwise(F.concat(F.lit("  "), content)).alias("content"), F.when(F.col("turn") % 2 == 0, "HR").when(F.col("turn") % 4 == 1, "made up").alias("category"), F.when(F.col("turn") % 3 == 0, "brief").alias("answer_brief"))
     number = F.when(F.col("conv_id") % 17 == 5, 99).when(F.col("conv_id") % 17 == 6, 1).otherwise(F.floor(F.col("turn") / 2) + 1).cast("int")
     rounds = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("nr")).agg(F.array_sort(F.collect_list(q)).alias("qs"), F.min(number).alias("round_no"), F.min("role").alias("role"))
     rounds = rounds.select("conv_id", F.struct("nr", "round_no", F.when(F.col("role") == "system", "HR面").otherwise(F.col("role")).alias("round_type"), F.transform("qs", lambda x: x.dropFields("turn")).alias("questions")).alias("round"))
@@ -59,8 +63,8 @@ def payloads(t: Inputs) -> DataFrame:
     return per.select(F.col("conv_id").alias("post_id"), F.when(F.col("conv_id") % 23 == 3, F.substring(text, 1, 40)).otherwise(text).alias("payload"))
 
 
-def parsed(t: Inputs) -> DataFrame:
-    return extract.normalise_extraction(extract.parse_extraction(payloads(t)))
+def parsed(t: Inputs, content: Column | None = None) -> DataFrame:
+    return extract.normalise_extraction(extract.parse_extraction(payloads(t, content)))
 
 
 @query("r23_parse_extraction", "SELECT conv_id AS post_id, conv_id % 23 = 3 AS corrupt, CASE WHEN conv_id % 23 <> 3 THEN count(DISTINCT turn // 2) END AS n_rounds FROM {conversations} GROUP BY conv_id")
@@ -88,17 +92,32 @@ QUESTIONS_SQL = """SELECT conv_id AS post_id, CASE WHEN conv_id % 17 = 6 THEN 1
 WHERE conv_id % 23 <> 3 AND conv_id % 17 <> 5 AND conv_id % 19 <> 7 AND conv_id % 5 <> 2 AND trim(substring(text, 1, 60)) <> ''"""
 
 
-def exploded(t: Inputs) -> DataFrame:
-    return extract.explode_questions(extract.split_valid(parsed(t))[0])
+def exploded(t: Inputs, content: Column | None = None) -> DataFrame:
+    return extract.explode_questions(extract.split_valid(parsed(t, content))[0])
+
+
+def sql_content() -> Column:
+    """The contents that QUESTIONS_SQL has: the first 60 characters. The queries ``r26_*_whole`` have whole texts and no SQL."""
+    return F.substring("text", 1, 60)
 
 
 @query("r26_explode_questions", QUESTIONS_SQL)
+def _(t):
+    return exploded(t, sql_content()).select("post_id", "round_no", "content", "category")
+
+
+@query("r26_explode_questions_whole")
 def _(t):
     return exploded(t).select("post_id", "round_no", "content", "category")
 
 
 @query("r26_replace_questions", f"""
 WITH n AS ({QUESTIONS_SQL}) SELECT post_id, content FROM {{questions}} WHERE post_id NOT IN (SELECT post_id FROM n) UNION ALL SELECT post_id, content FROM n""")
+def _(t):
+    return extract.replace_questions(t.questions.select("post_id", "content"), exploded(t, sql_content()).select("post_id", "content"))
+
+
+@query("r26_replace_questions_whole")
 def _(t):
     return extract.replace_questions(t.questions.select("post_id", "content"), exploded(t).select("post_id", "content"))
 

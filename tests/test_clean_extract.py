@@ -75,3 +75,16 @@ def test_page_date(spark):
     rows = [('<meta property="article:published_time" content="2024-05-06T07:08:09Z">', "x 2020-01-01"), ("<p>", "on 2021-02-30 or 2022年1月15日"), ("<p>", "none"), ('<meta content="bad" name="pubdate">', "2023/12/31")]
     got = [str(r[0]) for r in spark.createDataFrame(rows, "h string, t string").select(ingest.page_date(F.col("h"), F.col("t"))).collect()]
     assert got == ["2024-05-06 07:08:09", "2022-01-15 00:00:00", "None", "2023-12-31 00:00:00"]
+
+
+def test_questions_carry_whole_texts(spark):
+    from types import SimpleNamespace
+
+    from quizmill.plans import content
+
+    long, late = "word " * 40 + "end", " " * 80 + "late"
+    turns = [(10, 0, "user", long), (10, 1, "assistant", late), (10, 2, "user", '"quoted"\n\\ ' + long), (10, 3, "assistant", "short")]
+    t = SimpleNamespace(conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {(r.round_no, r.content) for r in content.exploded(t).collect()}
+    assert got == {(turn // 2 + 1, text.strip()) for _, turn, _, text in turns}
+    assert {r.round_no for r in content.exploded(t, content.sql_content()).collect()} == {1, 2}
