@@ -365,13 +365,14 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
     Offsets are code points, the end exclusive. ``source`` is ``pattern`` for the fixed patterns, which all stay, or
     ``field`` for spans that the field adds where none of the patterns has matched. Every whole text is read; one pass,
-    no shuffle. The field is trained on the driver from ``labelled``, at most a few hundred sentences.
+    no shuffle. The field is trained on the driver from all sentences of ``labelled``, in sorted order; the driver
+    holds them, so they should be few.
 
     Edge cases: null and empty texts have no spans; rows that repeat an id are searched each; a null id is searched too;
     an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = [r[0] for r in (labelled_table(spark) if labelled is None else labelled).limit(1000).collect()]
+    rows = list(LABELLED) if labelled is None else sorted(r[0] for r in labelled.collect())
     sent = spark.sparkContext.broadcast(train(rows))
     return docs.select("doc_id", "text").mapInArrow(lambda it: _find_rows(it, sent.value), SCHEMA)
 

@@ -67,3 +67,11 @@ def test_redact_and_query(spark, tmp_path):
     assert one.base_sha256 == hashlib.sha256(b"email:5:11,ip:16:24").hexdigest() and len(out) == 4
     text = pii.redact(docs.limit(1), pii.find_pii(docs.limit(1))).first().text
     assert text == "mail [email], ip [ip] x"
+
+
+def test_all_labelled_rows_train(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda rows: seen.extend(rows))
+    labelled = spark.createDataFrame([(f"sentence {i:04}",) for i in reversed(range(1200))], "marked string")
+    pii.find_pii(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labelled)
+    assert seen == [f"sentence {i:04}" for i in range(1200)]
