@@ -14,8 +14,8 @@ from quizmill.session import ship
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
-#: A side of a join is broadcast only if a count proved that it has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if a count proved that it takes no more bytes than this.
+BROADCAST_BYTES = 12_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else ``df`` as it is."""
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that its rows, of ``row_bytes`` each, take at most BROADCAST_BYTES, else
+    as it is. For rows of bounded size only: hashes, ids, numbers."""
+    rows = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
