@@ -65,7 +65,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_hash", F.sha2(norm.cast("binary"), 256))
 
     def match(keys: DataFrame, how: str) -> DataFrame:
-        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), 120)
         return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_sha")), how)
 
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
