@@ -175,7 +175,7 @@ class Bands:
                     met = others * share**left
                     cost = cost + part * keys * (SHARED_KEY * np.minimum(met, 1) + COMPARISON * met)
             best = int(cost.argmin())
-            self.plans[band] = best, int(b[best]), int(r[best])
+            self.plans[band] = int(a[best]), int(b[best]), int(r[best])
         return self.plans[band]
 
 
