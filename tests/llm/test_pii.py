@@ -1,4 +1,8 @@
 import hashlib
+import random
+import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -24,7 +28,7 @@ def test_luhn():
 def test_field_learns_its_table(field):
     for row in pii.LABELLED:
         text, spans = pii.parse_labelled(row)
-        runs = pii.chains(text)
+        runs = pii.chains(text, field.index)
         labels = field.viterbi([field.emissions(r) for r in runs]) if runs else []
         assert sorted(pii.field_spans(text, runs, labels)) == sorted(spans), row
 
@@ -75,3 +79,96 @@ def test_all_labelled_rows_train(spark, monkeypatch):
     labelled = spark.createDataFrame([(f"sentence {i:04}",) for i in reversed(range(1200))], "marked string")
     pii.find_pii(spark.createDataFrame([(1, "a")], "doc_id long, text string"), labelled)
     assert seen == [f"sentence {i:04}" for i in range(1200)]
+
+
+RULE = {  # the patterns as the rule words them
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in RULE.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            if kind == "ip":
+                good = all(int(x) <= 255 for x in m.group().split("."))
+            elif kind == "card":
+                odd, even = digits[::-1][::2], digits[::-1][1::2]
+                good = 13 <= len(digits) <= 19 and (sum(odd) + sum(sum(divmod(2 * d, 10)) for d in even)) % 10 == 0
+            else:
+                good = kind == "email" or 9 <= len(digits) <= 15
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_rule_on_random_strings():
+    rng, found = random.Random(6), 0
+    parts = ["a", "b.c", "@", "@", ".", "-", "+", " ", "(", ")", "4", "41", "255", "0", "256", "\n", "é", "4111111111111111", "+1 (017) 555-7713", "1.2.3.4"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 24)))
+        want = plain_spans(text)
+        found += len(want)
+        assert pii.base_spans(text) == want, text
+    assert found > 2000
+
+
+@pytest.mark.parametrize("text", ["9" * 1_000_000 + " .", "a" * 1_000_000 + " @", "1." * 300_000, "0" * 5000 + ".1.1.1", "a@" * 300_000, "+1 " * 300_000, "@" * 500_000, "1 " * 200_000, "x1" * 300_000])
+def test_long_runs_take_linear_time(field, text):
+    begin = time.time()
+    assert pii.base_spans(text) == ([("ip", 0, 5006)] if text.startswith("00") else pii.base_spans(text))
+    runs = pii.chains(text, field.index)
+    pii.field_spans(text, runs, field.viterbi([field.emissions(r) for r in runs]))
+    assert time.time() - begin < 60
+
+
+def test_spans_of_the_field_keep_clear_of_overlapping_base_spans():
+    base = [("card", 10, 40), ("phone", 12, 20), ("ip", 60, 70)]
+    more = [("phone", 0, 10), ("card", 5, 11), ("phone", 25, 30), ("email", 40, 60), ("ip", 65, 80), ("ip", 70, 90)]
+    assert pii.free_spans(base, more) == [("phone", 0, 10), ("email", 40, 60), ("ip", 70, 90)]
+
+
+def number(rng, n):
+    """Digits that pass the check of cards."""
+    body = rng.choice("3456") + "".join(rng.choice("0123456789") for _ in range(n - 2))
+    return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+
+def test_recall_of_what_the_patterns_miss_and_no_false_alarm(field):
+    """Planted spans of each kind that no base span covers, in wordings that the labelled table does not have."""
+    rng = random.Random(21)
+    words = ["mata", "solveig", "Trunk", "ounce,", "pilar", "und", "forest.", "née", "quartz"]
+    planted, caught = Counter(), Counter()
+    for _ in range(1500):
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04}"
+        local = f"({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04}"
+        mail = rng.choice(["aná", "kai.jö", "7_celiç", "o.ñ", "zoé"]) + f"@{rng.choice(['correo', 'haus', 'poste9', 'übung'])}.example.{rng.choice(['org', 'net'])}"
+        ip = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        card = number(rng, rng.choice([15, 16]))
+        items = rng.choice([[("phone", phone), ("card", card)], [("card", card), ("card", number(rng, 16))], [("phone", local)], [("email", mail)], [("card", card), ("phone", phone)], [("phone", phone), ("phone", f"+1 (310) 555-{rng.randrange(10_000):04}")], [("ip", ip), ("card", card)]])
+        text, spans = " ".join(rng.choices(words, k=3)), []
+        for kind, value in items:
+            spans.append((kind, len(text) + 1, len(text) + 1 + len(value)))
+            text += " " + value
+        text += " " + " ".join(rng.choices(words, k=3))
+        base = pii.base_spans(text)
+        runs = pii.chains(text, field.index)
+        added = pii.free_spans(base, pii.field_spans(text, runs, field.viterbi([field.emissions(r) for r in runs])))
+        for span in spans:
+            if all(b <= span[1] or span[2] <= a for _, a, b in base):
+                planted[span[0]] += 1
+                caught[span[0]] += span in added
+    assert min(planted[k] for k in ("email", "card", "phone")) > 100
+    recall = {k: caught[k] / planted[k] for k in planted}
+    assert all(recall[k] >= 0.9 for k in recall), recall
+    false = 0
+    for _ in range(1500):
+        thing = rng.choice([str(rng.randrange(10**6)), f"{rng.randrange(99)}.{rng.randrange(99)}", f"{rng.randrange(1, 28)}.{rng.randrange(1, 12)}.2017", f"{rng.randrange(24)}:{rng.randrange(60):02}", f"@name{rng.randrange(99)}", f"{rng.randrange(999)}-{rng.randrange(99)}", f"{rng.randrange(9)}x{rng.randrange(9)}"])
+        text = " ".join([*rng.choices(words, k=2), thing, *rng.choices(words, k=2)])
+        runs = pii.chains(text, field.index)
+        false += bool(pii.field_spans(text, runs, field.viterbi([field.emissions(r) for r in runs])))
+    assert false <= 15
