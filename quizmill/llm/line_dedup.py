@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import ascii_lower, table
+from quizmill.llm.common import BROADCAST_BYTES, ascii_lower, materialise, small, table
+
+#: Hashes of lines that are broadcast at most, at 64 bytes each.
+BROADCAST_HASHES = BROADCAST_BYTES // 64
+#: Rows of one hash, about, that meet in one task where hashes are joined by a shuffle.
+SALT_ROWS = 100_000
 
 #: Fixed by the rule: what is stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,13 +22,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line stripped of blanks and with A-Z lower-cased. Keys of at least ``min_chars`` code points found
     in at least ``min_docs`` distinct documents lose all their lines except those in the largest id that holds the key.
 
-    Plan: explode the distinct keys of each document, hash them to 128 bits, count documents per hash (combined before the
-    shuffle, so a line that a third of all documents hold leaves one row per task), and join back only the hashes over the
-    threshold with the (document, hash) pairs. What reaches the texts is a set of hashes per document that lost a line;
-    the lines are then filtered by position inside their own row, without moving or sorting them.
+    Plan: explode the distinct keys of each document, hash them to 128 bits and write (document, hash) rows once. Documents
+    per hash are counted with partial sums before the shuffle, so a line that a third of all documents hold leaves one row
+    per task. The hashes over the threshold meet the written rows again: broadcast if a count shows that they are few, else
+    by a join in which each hash is split by a salt, as many ways as its count asks for. What reaches the texts is a set of
+    hashes per document that lost a line; the lines are then filtered by position inside their own row, without moving or
+    sorting them.
 
-    Edge cases: null or empty text is one empty line; ids must identify documents: rows that repeat an id with the same
-    text count as one document and each get the same result; an empty table gives an empty table; other columns are ignored.
+    Edge cases: null or empty text is one empty line; rows that repeat an id count as one document, and each loses the lines
+    that any of them holds in excess; a null id counts as no document and keeps all its lines; an empty table gives an empty
+    table; other columns are ignored.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.split("text", "\n", -1)
@@ -35,10 +43,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.unhex(F.md5(c.cast("binary")))
 
     long_keys = F.array_distinct(F.filter(F.transform(lines, key), lambda k: F.length(k) >= min_chars))
-    held = src.select("doc_id", F.explode(long_keys).alias("k")).select("doc_id", digest(F.col("k")).alias("h"))
-    common = held.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
-    lost = held.join(common.select("h", "last"), "h").filter(F.col("doc_id") < F.col("last"))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
+    held = src.filter("doc_id is not null").select("doc_id", F.explode(long_keys).alias("k")).select("doc_id", digest(F.col("k")).alias("h"))
+    held = materialise(held, "lines")
+    # a hash comes once for each row; only if ids repeat must rows of one id be told apart
+    repeats = src.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = not repeats.isEmpty()
+    once = held.distinct() if again else held
+    common = once.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
+    common = materialise(common, "common")
+    if common.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        found = held.join(F.broadcast(common.select("h", "last")), "h")
+    else:
+        salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+        most = common.agg(F.max(salts)).first()[0]
+        spread = common.select("h", "last", salts.alias("salts"))
+        dealt = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter("salt < salts")
+        heavy = small(spread.filter("salts > 1").select("h", "salts"), 64)
+        salted = held.join(heavy, "h", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+        found = salted.drop("salts").join(dealt.drop("salts"), ["h", "salt"])
+    lost = found.filter(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
 
     stays = F.filter(lines, lambda x: ~((F.length(F.trim(x, F.lit(BLANKS))) >= min_chars) & F.array_contains("lost", digest(key(x)))))
     out = src.join(lost, "doc_id", "left").withColumn("kept_lines", F.when(F.col("lost").isNull(), lines).otherwise(stays))
