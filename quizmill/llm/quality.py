@@ -15,7 +15,11 @@ from quizmill.llm.jaccard_join import chunks
 
 #: At most so many labelled rows are used, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 60_000
-FEATURES, WIDTH, RIDGE, SEED = 384, 8.0, 1e-3, 20_240_101
+FEATURES, SEED = 384, 20_240_101
+#: The kernel's width and the ridge penalty are chosen among these, by the error over folds of the training rows.
+WIDTHS, RIDGES = (3.0, 5.0, 8.0, 12.0), (1e-4, 1e-3, 1e-2, 1e-1)
+#: Folds of the labelled rows, by a hash of the id; the last one calibrates.
+FOLDS = 4
 #: Raw scores are calibrated in so many bins of equal width.
 BINS = 400
 #: At most so many partial sums of the normal equations reach the driver.
@@ -103,9 +107,11 @@ class Model:
     weights: np.ndarray
     edges: np.ndarray
     levels: np.ndarray
+    width: float = WIDTHS[0]
+    ridge: float = RIDGES[0]
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        return fourier((stats - self.mean) / self.scale)
+        return fourier((stats - self.mean) / self.scale, self.width)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.weights
@@ -115,10 +121,10 @@ class Model:
         return np.clip(np.interp(self.raw(stats), self.edges, self.levels), 0.0, 1.0)
 
 
-def fourier(x: np.ndarray) -> np.ndarray:
-    """Features cos(w x + b) whose inner products approximate a Gaussian kernel of width WIDTH, and a constant."""
+def fourier(x: np.ndarray, width: float) -> np.ndarray:
+    """Features cos(w x + b) whose inner products approximate a Gaussian kernel of that width, and a constant."""
     rng = np.random.default_rng(SEED)
-    w, b = rng.normal(0, 1 / WIDTH, (x.shape[1], FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
+    w, b = rng.normal(0, 1 / width, (x.shape[1], FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     return np.hstack([np.sqrt(2 / FEATURES) * np.cos(np.clip(x, -6, 6) @ w + b), np.ones((len(x), 1))])
 
 
@@ -173,11 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Fit on labelled documents ``labels(doc_id, label)``; None if there are none.
 
     The labelled rows with the smallest hashes, ``sample_rows`` at most, are joined by broadcast, which that bound allows.
-    Three quarters fit the ridge weights, a quarter the calibration, by a hash of the id. Only sums reach the driver.
+    Three quarters fit the ridge weights, a quarter the calibration, by a hash of the id. Width and penalty are those of the
+    least squared error over the three folds of the former, each fold being predicted from the other two. Only sums reach
+    the driver: one fold's normal equations give both its share of a fit and its error under any weights.
     """
     hashed = F.xxhash64("doc_id", F.lit("sample"))
     chosen = labels.filter("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label"))
-    chosen = chosen.orderBy(hashed, "doc_id", "label").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"))
+    chosen = chosen.orderBy(hashed, "doc_id", "label").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "fold")
     sample = materialise(rows.mapInArrow(_stat_rows, "doc_id long, stats array<double>, label double, fold int"), "stats").coalesce(PARTIALS)
 
@@ -190,17 +198,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     model = Model(mean, scale, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
 
     def normal(x, y):
-        z = model.features(x)
-        return np.vstack([z.T @ z, z.T @ y])
-
-    sums = summed(sample.filter("fold <> 3"), normal)
-    if sums is None:
-        sums = summed(sample, normal)
-    sums = sums.reshape(FEATURES + 2, FEATURES + 1)
-    gram, right = sums[:-1], sums[-1]
-    penalty = RIDGE * max(gram[-1, -1], 1.0) / FEATURES * np.eye(FEATURES + 1)
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(gram + penalty, right)
+        z = np.hstack([model.features(x), y[:, None]])
+        return z.T @ z
+
+    def weights(sums, ridge):
+        gram, right = sums[:-1, :-1], sums[:-1, -1]
+        penalty = ridge * max(gram[-1, -1], 1.0) / FEATURES * np.eye(FEATURES + 1)
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(gram + penalty, right)
+
+    def error(sums, w):
+        w = np.append(w, -1.0)
+        return float(w @ sums @ w)
+
+    best = None
+    for model.width in WIDTHS:
+        found = [summed(sample.filter(F.col("fold") == fold), normal) for fold in range(FOLDS - 1)]
+        folds = [s.reshape(FEATURES + 2, FEATURES + 2) for s in found if s is not None]
+        if not folds:  # a handful of rows, all of the calibration fold
+            folds = [summed(sample, normal).reshape(FEATURES + 2, FEATURES + 2)]
+        total = sum(folds)
+        for ridge in RIDGES:
+            missed = sum(error(s, weights(total - s, ridge)) for s in folds) if len(folds) > 1 else 0.0
+            if best is None or missed < best[0]:
+                best = missed, model.width, ridge, weights(total, ridge)
+    _, model.width, model.ridge, model.weights = best
 
     edges = np.linspace(-0.5, 1.5, BINS + 1)
 
@@ -208,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         at = np.clip(np.searchsorted(edges, model.raw(x)) - 1, 0, BINS - 1)
         return np.vstack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)]).astype(float)
 
-    counts = summed(sample.filter("fold = 3"), histogram)
+    counts = summed(sample.filter(F.col("fold") == FOLDS - 1), histogram)
     if counts is None:
         counts = summed(sample, histogram)
     n, good = counts.reshape(2, BINS)
@@ -240,7 +262,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, training_labels(table(spark, sf_dir, "labels"))))
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))  # a null id is in no fold
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
