@@ -5,7 +5,7 @@ from all training texts: words are counted per language by Spark, then n-grams o
 totals and discounts. No n-gram is left out. Models that a count shows to be small are sent to the workers, in sorted arrays of
 64-bit n-gram hashes that all languages share, with a column of probabilities per language; larger ones stay tables that the
 distinct words are joined with. A text gets the language of least cross-entropy per letter; a threshold per language, a quantile
-over all training texts, marks doubtful ones.
+over training texts kept out of the counts, marks doubtful ones.
 """
 
 from __future__ import annotations
@@ -25,7 +25,10 @@ from quizmill.llm.common import materialise, small, table
 ORDER = 4
 #: N-grams times languages, at most, of models that are sent to the workers: 8 bytes each. Larger ones are joined with.
 MODEL_CELLS = 4_000_000
-REJECT_QUANTILE = 0.999
+#: A text is doubtful above this quantile of the calibration texts' cross-entropies, times this margin.
+REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.25
+#: One training text in so many gives thresholds in place of counts.
+CALIBRATION_PART = 10
 #: Letters that a text has at least to count for the thresholds of rejection.
 CALIBRATION_LETTERS = 20
 #: Distinct words that one task counts, or one worker remembers, before it starts anew.
@@ -124,53 +127,6 @@ class Model:
         return np.add.reduceat(logs, start, axis=0)
 
 
-def kneser_ney(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
-    """Interpolated Kneser-Ney models from ``{lang: {gram: count}}`` of the highest order (start of words: shorter grams).
-
-    The highest order has counts, each lower order the number of distinct characters found before a gram; grams at the
-    start of a word, which have nothing before them, keep their counts. Discounts are n1 / (n1 + 2 n2) per order.
-    """
-    langs = sorted(counts)
-    per_lang = {}
-    for lang in langs:
-        levels = {order: dict(counts[lang])}
-        for n in range(order - 1, 0, -1):
-            lower: dict[str, int] = {}
-            for g, c in levels[n + 1].items():
-                if len(g) == n + 1:
-                    lower[g[1:]] = lower.get(g[1:], 0) + 1
-                elif len(g) <= n:  # starts with the word mark
-                    lower[g] = c
-            levels[n] = lower
-        per_lang[lang] = levels
-    vocabulary = {lang: len({g[-1] for g in per_lang[lang][1]}) + 1 for lang in langs}
-    model = Model(langs, floor=np.array([1.0 / vocabulary[lang] for lang in langs]))
-    for n in range(1, order + 1):
-        value, rest = {}, {}
-        for k, lang in enumerate(langs):
-            # all grams of n characters, and shorter ones that begin a word
-            level = {g: c for g, c in per_lang[lang][n].items() if len(g) == n or n > 1}
-            ones, twos = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
-            d = ones / (ones + 2 * twos) if ones and twos else 0.5
-            total, kinds = Counter(), Counter()
-            for g, c in level.items():
-                total[g[:-1]] += c
-                kinds[g[:-1]] += 1
-            for g, c in level.items():
-                value.setdefault(g, np.zeros(len(langs)))[k] = (c - d) / total[g[:-1]]
-            for h, t in total.items():
-                rest.setdefault(h, np.ones(len(langs)))[k] = d * kinds[h] / t
-        tables = []
-        for entries in (value, rest):
-            keys = np.array([_hash(g) for g in entries], U) if entries else np.zeros(1, U)
-            table_ = np.array(list(entries.values())) if entries else np.zeros((1, len(langs)))
-            by = np.argsort(keys)
-            tables.append((keys[by], table_[by]))
-        model.grams.append(tables[0])
-        model.contexts.append(tables[1])
-    return model
-
-
 class Scorer:
     """Scores texts with one model and remembers the scores of words."""
 
@@ -214,8 +170,8 @@ def _scored_rows(batches, model: Model):
     at = {lang: k for k, lang in enumerate(model.langs)}
     for part, e, size in _fold(batches, model):
         best = e.argmin(1)
-        # the posterior of the best language, of texts taken as at most 50 letters long
-        odds = np.exp(-(e - e.min(1, keepdims=True)) * np.minimum(size, 50)[:, None])
+        # the posterior of the best language under equal priors; ties go to the first language in sort order
+        odds = np.exp(-(e - e.min(1, keepdims=True)) * size[:, None])
         score = np.where(size > 0, 1 / odds.sum(1), 0.0)
         lang = [model.langs[b] if s else "und" for b, s in zip(best, size)]
         own = [e[i, at[x]] if x in at else None for i, x in enumerate(part.column(2).to_pylist())]
@@ -224,7 +180,8 @@ def _scored_rows(batches, model: Model):
 
 
 def levels(top: DataFrame, order: int) -> DataFrame:
-    """``level, lang, gram, n``: the n-grams of the highest order and of all lower ones, counted as in ``kneser_ney``."""
+    """``level, lang, gram, n``: the n-grams of the highest order with their counts, and those of all lower orders with the
+    number of distinct characters found before them; what begins a word, with nothing before it, keeps its count."""
     held = [top.select(F.lit(order).alias("level"), "lang", "gram", "n")]
     for k in range(order - 1, 0, -1):
         up = held[-1]
@@ -323,7 +280,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
     e = F.when(F.col("letters") > 0, F.transform("sums", lambda x: -x / (F.col("letters") + F.col("words")))).otherwise(F.array(*[F.lit(0.0)] * size))
     langs = F.array(*map(F.lit, model.langs))
     found = found.withColumn("e", e).withColumn("least", F.array_min("e"))
-    odds = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(-(x - F.col("least")) * F.least("letters", F.lit(50))))
+    odds = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(-(x - F.col("least")) * F.col("letters")))
     lang = F.when(F.col("letters") > 0, F.element_at(langs, F.array_position("e", F.col("least")).cast("int"))).otherwise("und")
     own = F.try_element_at("e", F.nullif(F.array_position(langs, F.col("lang")), F.lit(0)).cast("int"))
     score = F.when(F.col("letters") > 0, 1 / odds).otherwise(0.0)
@@ -334,7 +291,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang, lang_pred, score, cross_entropy, own, letters`` of every whole text; ``own`` is the cross-entropy
     under the language that the text has, null where that is none of the models'.
 
-    With arrays it is one pass without a shuffle, with tables a join.
+    Rows without an id are scored too. With arrays it is one pass without a shuffle, with tables a join.
     """
     rows = docs.select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
     if model.tables is not None:
@@ -386,22 +343,31 @@ def quantiles(found: DataFrame, q: float) -> dict[str, float]:
     return out
 
 
+def calibration() -> Column:
+    """The texts, by a hash of the id, that give thresholds and no counts: one in CALIBRATION_PART. A null id is none of them."""
+    return F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION_PART)) == 0)
+
+
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Set the thresholds of rejection from all training texts, ``rows`` being what ``scored`` gave for them."""
-    found = rows.filter((F.col("letters") >= CALIBRATION_LETTERS) & F.col("own").isNotNull()).select("lang", F.col("own").alias("e"))
-    limits = quantiles(found, REJECT_QUANTILE)
-    model.reject = np.array([limits.get(lang, np.inf) for lang in model.langs]) * 1.25
+    """Set the thresholds of rejection from ``rows``, what ``scored`` gave for the training texts: quantiles over those of the
+    calibration part; of languages that have none there, over all."""
+    found = rows.filter((F.col("letters") >= CALIBRATION_LETTERS) & F.col("own").isNotNull())
+    limits = quantiles(found.filter(calibration()).select("lang", F.col("own").alias("e")), REJECT_QUANTILE)
+    if not limits.keys() >= set(model.langs):
+        limits = quantiles(found.select("lang", F.col("own").alias("e")), REJECT_QUANTILE) | limits
+    model.reject = np.array([limits.get(lang, np.inf) for lang in model.langs]) * REJECT_MARGIN
 
 
 def fit(docs: DataFrame, order: int = ORDER, cells: int = MODEL_CELLS) -> Model | None:
     """Fit on ``docs(doc_id, text, lang)``; None if no text with a language has a letter. Null languages are left out.
 
-    Models and thresholds cover all these documents; ``cells`` bounds only what is broadcast.
+    Texts of the calibration part give the thresholds and none of the counts, all other texts the counts; together they are
+    all these documents. Where one of the parts is empty, the other serves both. ``cells`` bounds only what is broadcast.
     """
     docs = docs.filter("lang is not null")
-    model = learn(docs, order, cells)
+    model = learn(docs.filter(~calibration()), order, cells) or learn(docs, order, cells)
     if model is not None:
-        calibrate(model, materialise(scored(docs, model).select("lang", "own", "letters"), "calibration"))
+        calibrate(model, materialise(scored(docs, model), "calibration"))
     return model
 
 
@@ -416,7 +382,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` of every whole text.
 
     ``lang_pred`` is a learned language, or ``und`` for null texts and texts without letters (score 0) and without a
-    model. ``rejected`` marks texts whose best cross-entropy is above the calibrated threshold of that language.
+    model; of equal cross-entropies the first language in sort order. ``score`` is its posterior, every language being as likely
+    beforehand. ``rejected`` marks texts whose best cross-entropy is above the calibrated threshold of that language.
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("rejected"))
@@ -425,15 +392,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    model = learn(docs.filter(~held))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))  # a null id is in no fold
+    known = docs.filter(~held & F.col("lang").isNotNull())
+    model = learn(known.filter(~calibration())) or learn(known)
     if model is None:
         out = predict(docs, None)
     else:
         rows = materialise(scored(docs, model), "scored")  # texts are scored once, for the thresholds and the result
         calibrate(model, rows.filter(~held))
         out = marked(rows, model)
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 ORACLE_SQL = None  # a fitted model; tests measure held-out accuracy and check the models against plain formulas

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,44 @@ def sentences(seed, n, words, size=30):
 EN, DE = ["the", "there", "thing", "other", "and", "hand", "with", "this"], ["der", "die", "über", "schön", "nicht", "eine", "und", "zeit"]
 
 
-def test_kneser_ney_is_a_distribution_and_prefers_seen_words():
-    counts = {"a": {"\x02a": 3, "\x02ab": 2, "ab\x03": 2, "\x02ac": 1, "ac\x03": 1}}
-    model = language_id.kneser_ney({"a": {g: c for g, c in counts["a"].items()}}, 3)
-    seen, unseen = model.log_probs(["ab", "cb"])[:, 0]
-    assert seen > unseen and seen < 0
-    # over all words of one letter and the end the probabilities sum to at most 1
-    total = sum(math.exp(x) for x in model.log_probs(["a", "b", "c"])[:, 0])
-    assert 0 < total <= 1 + 1e-9
+class Plain:
+    """Kneser-Ney by its formulas, one language, from the counts of n-grams of the highest order."""
+
+    def __init__(self, counts, order):
+        self.order, self.levels = order, {order: dict(counts)}
+        for n in range(order - 1, 0, -1):
+            lower = Counter(g[1:] for g in self.levels[n + 1] if len(g) == n + 1)
+            lower.update({g: c for g, c in self.levels[n + 1].items() if len(g) <= n})
+            self.levels[n] = dict(lower)
+        self.letters = len({g for g in self.levels[1] if len(g) == 1})
+        self.discount = {}
+        for n, level in self.levels.items():
+            ones, twos = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+            self.discount[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(self, context, c, n):
+        """Of c after the last n - 1 characters of the context."""
+        if n == 0:
+            return 1 / (self.letters + 1)
+        head = context[len(context) - n + 1 :]
+        seen = {g: x for g, x in self.levels[n].items() if len(g) == n and g[:-1] == head}
+        lower = self.p(context, c, n - 1)
+        if not seen:
+            return lower
+        d, total = self.discount[n], sum(seen.values())
+        return max(seen.get(head + c, d) - d, 0) / total + d * len(seen) / total * lower
+
+    def log_prob(self, word):
+        s = f"\x02{word}\x03"
+        return sum(math.log(self.p(s[:i], s[i], min(self.order, i + 1))) for i in range(1, len(s)))
+
+
+def test_plain_formulas_are_a_distribution():
+    plain = Plain({"\x02a": 3, "\x02ab": 2, "ab\x03": 2, "\x02ac": 1, "ac\x03": 1}, 3)
+    assert plain.log_prob("ab") > plain.log_prob("cb")
+    for context in ("\x02", "\x02a", "\x02ab", "\x02c"):
+        n = min(3, len(context) + 1)
+        assert sum(plain.p(context, c, n) for c in "abc\x03") <= 1 + 1e-9
 
 
 def test_language_id_held_out(spark):
@@ -32,7 +63,7 @@ def test_language_id_held_out(spark):
     held = [(i, t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     train = spark.createDataFrame([r for r in rows if r not in held] + [(5, "x", None), (6, None, "en")], "doc_id long, text string, lang string")
     model = language_id.fit(train)
-    odd = [(5000, None, None), (5001, "123 !!", None), (5002, "", None), (5003, "the " * 20_000, None), (None, "die zeit", None), (5004, "qqqq zxzx wkwkwk vvvv jjjj xqxqxq zzzz kkkkk", None)]
+    odd = [(5000, None, None), (5001, "123 !!", None), (5002, "", None), (5003, "the other hand with this thing " * 4_000, None), (None, "die zeit", None), (5004, "qqqq zxzx wkwkwk vvvv jjjj xqxqxq zzzz kkkkk", None)]
     docs = spark.createDataFrame([(*r, "clash") for r in held + odd], "doc_id long, text string, lang string, lang_pred string")
     out = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
     assert np.mean([out[i].lang_pred == lang for i, _, lang in held]) >= 0.95
@@ -75,11 +106,13 @@ def test_models_hold_every_gram_sent_or_joined(spark):
     rows = [(i, t, "en") for i, t in enumerate(sentences(5, 40, EN + ["rare"]))] + [(100 + i, t, "de") for i, t in enumerate(sentences(6, 40, DE))]
     docs = spark.createDataFrame(rows + [(7, "12", "en"), (None, "die the", "en"), (None, None, "xx")], "doc_id long, text string, lang string")
     rows.append((None, "die the", "en"))
-    want = language_id.kneser_ney(plain_counts(rows, 4), 4)
-    sent, kept = language_id.fit(docs), language_id.fit(docs, cells=1)
-    assert sent.langs == want.langs == kept.langs and sent.tables is None and kept.tables is not None
+    want = {lang: Plain(counts, 4) for lang, counts in plain_counts(rows, 4).items()}
+    sent, kept = language_id.learn(docs), language_id.learn(docs, cells=1)
+    for model in (sent, kept):
+        language_id.calibrate(model, language_id.scored(docs, model))
+    assert sent.langs == sorted(want) == kept.langs and sent.tables is None and kept.tables is not None
     words = ["the", "rare", "zeit", "thezeit", "q", "schönqz"]
-    assert sent.log_probs(words) == pytest.approx(want.log_probs(words))
+    assert sent.log_probs(words) == pytest.approx(np.array([[want[lang].log_prob(w) for lang in sent.langs] for w in words]))
     assert sent.reject == pytest.approx(kept.reject, abs=1e-5)
     a, b = (sorted(map(tuple, language_id.predict(docs.union(spark.createDataFrame([(900, "qqqq zzzz", None)], docs.schema)), m).collect()), key=repr) for m in (sent, kept))
     assert len(a) == len(b) == docs.count() + 1
@@ -87,19 +120,29 @@ def test_models_hold_every_gram_sent_or_joined(spark):
         assert (x[0], x[1], x[4]) == (y[0], y[1], y[4]) and x[2:4] == pytest.approx(y[2:4])
 
 
-def test_thresholds_cover_all_training_texts(spark):
-    # one text in two hundred is of other letters: more than 4,000 texts, of which none may be passed over
-    texts = [(i, "qxzj " * 8 if i >= 5000 else "the other hand and this thing", "en") for i in range(5025)]
+def test_thresholds_come_from_texts_outside_the_counts(spark):
+    # one text in two hundred is of other letters: all of the thousands of calibration texts count
+    texts = [(i, "qxzj " * 8 if i % 200 == 7 else "the other hand and this thing", "en") for i in range(6000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    apart = {r.doc_id for r in docs.filter(language_id.calibration()).collect()}
+    assert 400 < len(apart) < 800
     model = language_id.fit(docs)
-    e, _ = language_id.Scorer(model).entropies([t for _, t, _ in texts])
-    assert model.reject[0] == pytest.approx(1.25 * np.quantile(e[:, 0], language_id.REJECT_QUANTILE), abs=1e-5)
+    counts = plain_counts([r for r in texts if r[0] not in apart], language_id.ORDER)
+    assert model.log_probs(["the", "qxzj"])[:, 0] == pytest.approx([Plain(counts["en"], language_id.ORDER).log_prob(w) for w in ("the", "qxzj")])
+    e, _ = language_id.Scorer(model).entropies([t for i, t, _ in texts if i in apart])
+    assert model.reject[0] == pytest.approx(language_id.REJECT_MARGIN * np.quantile(e[:, 0], language_id.REJECT_QUANTILE), abs=1e-5)
     found = spark.createDataFrame([("a", x) for x in np.random.default_rng(1).gamma(2, size=3000).tolist()] + [("b", 0.5)], "lang string, e double")
     for q in (0.0, 0.37, 0.999, 1.0):
         got = language_id.quantiles(found, q)
         assert got["a"] == pytest.approx(np.quantile([r.e for r in found.filter("lang = 'a'").collect()], q), abs=2e-6) and got["b"] == 0.5
 
 
+def test_equal_entropies_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(i, "aba bab", lang) for i in range(40) for lang in ("z", "m")], "doc_id long, text string, lang string")
+    out = language_id.predict(spark.createDataFrame([(1, "aba")], "doc_id long, text string"), language_id.fit(docs)).first()
+    assert out.lang_pred == "m" and out.score == pytest.approx(0.5)
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     v, w = np.array([0.1, 0.4, 0.2, 0.9, 0.3]), np.array([1.0, 2, 2, 1, 3])
     out = quality.isotonic(v, w)
@@ -142,3 +185,38 @@ def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.fit(docs, spark.createDataFrame([], "doc_id long, label int")) is None
     assert quality.score(docs, None).first().score == 0.5
+
+
+def test_width_and_penalty_have_the_least_error_over_folds(spark, tmp_path):
+    """Chosen among training rows alone: a plain cross-validation over the same folds agrees."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(EN) if rng.random() < 0.8 else "ZZ!!" for _ in range(rng.randrange(3, 30)))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {i: int(t.count("ZZ") * 5 < len(t.split())) for i, t in rows}
+    model = quality.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, label int"))
+    fold = {r.doc_id: r.f for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) f").collect()}
+    used = [i for i, _ in rows if fold[i] != quality.FOLDS - 1]
+    stats = (quality.document_stats(pa.array([t for _, t in rows])) - model.mean) / model.scale
+    errors = {}
+    for width in quality.WIDTHS:
+        z = quality.fourier(stats, width)
+        for ridge in quality.RIDGES:
+            total = 0.0
+            for f in range(quality.FOLDS - 1):
+                inside, outside = [i for i in used if fold[i] != f], [i for i in used if fold[i] == f]
+                y = np.array([labels[i] for i in inside])
+                penalty = ridge * len(inside) / quality.FEATURES * np.eye(z.shape[1])
+                penalty[-1, -1] = 1e-9
+                w = np.linalg.solve(z[inside].T @ z[inside] + penalty, z[inside].T @ y)
+                total += ((z[outside] @ w - np.array([labels[i] for i in outside])) ** 2).sum()
+            errors[width, ridge] = total
+    assert errors[model.width, model.ridge] == pytest.approx(min(errors.values()), rel=1e-3)
+
+
+def test_quality_query_on_the_given_tables(spark):
+    """Accuracy on held-out rows of the small tables, of which no label took part in any choice."""
+    sf_dir = "/root/testdata/sf0.01"
+    out = {r.doc_id: r for r in quality.query(spark, sf_dir).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [i for i in labels if out[i].held_out]
+    assert len(held) > 50 and np.mean([out[i].predicted == labels[i] for i in held]) >= 0.9
