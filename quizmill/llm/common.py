@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.session import ship
+from quizmill.session import shared_base, ship
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -28,11 +26,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share: see ``quizmill.session.shared_base``."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

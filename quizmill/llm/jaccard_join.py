@@ -666,7 +666,7 @@ class Join:
         placed, links, parts = self.mixed(self.groups(), None), [], None
         for turn in range(HUB_ROUNDS):
             work = placed.agg(F.sum("size"), F.count("*")).first()  # a row of each set of each key
-            if turn and work[0] <= FEW * work[1]:
+            if not work[1] or turn and work[0] <= FEW * work[1]:
                 break
             more = self.hub_links(placed, links)
             if more.isEmpty():
