@@ -36,7 +36,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose driver is its only machine gets a temporary folder; on a cluster it is an error, as
+    executors could not read what others wrote.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return base.rstrip("/")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a local one where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{label}"
+    """A new path in the shared folder."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}-{label}"
