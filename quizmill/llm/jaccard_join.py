@@ -125,14 +125,14 @@ def fingerprints(tokens: np.ndarray, bounds: np.ndarray, seed: int = 0) -> tuple
     return f, g
 
 
-def chunks(batches):
-    """Arrow batches (doc_id, text) in pieces of about CHUNK_BYTES; a longer text is a piece of its own."""
+def chunks(batches, size: int = CHUNK_BYTES):
+    """Arrow batches (doc_id, text) in pieces of about ``size`` bytes; a longer text is a piece of its own."""
     for batch in batches:
         sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0), np.int64))
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
-            stop = max(int(np.searchsorted(sizes, done + CHUNK_BYTES, "right")), start + 1)
+            stop = max(int(np.searchsorted(sizes, done + size, "right")), start + 1)
             yield batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
             start = stop
 

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from quizmill.llm.jaccard_join import chunks
 
 #: A file holds about this many bytes of text; the longest document is the only thing that may exceed it.
 FILE_BYTES = 64_000_000
-#: Entries of one Python worker's cache of encoded words, about 90 MB; a full cache starts anew.
-CACHE_WORDS = 250_000
+#: Texts are encoded in chunks of about this many bytes, each distinct word of a chunk once.
+CHUNK_BYTES = 8 << 20
+#: A Python worker remembers the ids of so many words of letters, about 30 MB; beyond that, of those of the last chunk.
+KNOWN_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -36,11 +39,59 @@ def byte_letters() -> dict[int, str]:
 #: ASCII marks other than the apostrophe: after letters, the vocabulary's pattern parts them as a token of their own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TABLE = str.maketrans({chr(b): c for b, c in byte_letters().items() if chr(b) != " "})
+#: White space outside ASCII, which parts words too.
+_SPACES = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces ``values[start : start + size]``, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at]
+
+
+def after(words: pa.Array, begins: pa.Array) -> pa.Array:
+    """What follows in each of ``words`` after its beginning."""
+    sizes = np.asarray(pc.binary_length(words), np.int64)
+    skipped = np.asarray(pc.binary_length(begins), np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)].astype(np.int64)
+    tails = gathered(data, starts + skipped, sizes - skipped)
+    offsets = np.concatenate(([0], np.cumsum(sizes - skipped))).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(tails)])
+
+
+class Pieces:
+    """Token ids of many strings in one array."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, found) -> Pieces:
+        """From encodings of the library."""
+        return cls(np.concatenate([np.asarray(e.ids, "<u4") for e in found] or [np.empty(0, "<u4")]), np.array([len(e.ids) for e in found], np.int64))
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(gathered(self.ids, self.starts[at], self.sizes[at]), self.sizes[at])
+
+    def summed(self, counts: np.ndarray) -> np.ndarray:
+        """Ids of groups of so many consecutive strings."""
+        run = np.concatenate(([0], np.cumsum(self.sizes)))
+        ends = np.cumsum(counts)
+        return run[ends] - run[ends - counts]
+
+    def __add__(self, other: Pieces) -> Pieces:
+        return Pieces(np.concatenate((self.ids, other.ids)), np.concatenate((self.sizes, other.sizes)))
 
 
 class Encoder:
     """Encodes texts word by word (a word is what white space separates, which this vocabulary never joins), so that each
-    distinct word is encoded once, as far as the cache goes. Words of Latin letters go straight to the tokenizer's model;
+    distinct word of a chunk is encoded once. Words of Latin letters go straight to the tokenizer's model, many at a time;
     others pass all its steps. Built on first use in the worker, per path."""
 
     loaded: dict = {}
@@ -49,7 +100,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         spec = self.tokenizer.to_str()
         self.by_word = '"\\\\s+"' in spec and '"end_of_word_suffix":"</w>"' in spec and '"Lowercase"' in spec and '"NFC"' in spec
         self.plain = Tokenizer(self.tokenizer.model)
@@ -57,6 +108,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known, self.held = pa.array([], pa.string()), Pieces(np.empty(0, "<u4"), np.empty(0, np.int64))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -64,86 +116,115 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def whole(self, word: str) -> bytes:
+    def whole(self, words: list[str]) -> Pieces:
         """By all steps of the tokenizer."""
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return Pieces.of([e for i in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[i : i + 1000], add_special_tokens=False)])
 
-    def bulk(self, words: list[str], write) -> None:
-        """Put words into the cache that ``write`` turns into the model's letters, 1,000 at a time; the tokens that end a word
-        part them again."""
-        if not words:
-            return
+    def bulk(self, words: list[str], write) -> Pieces:
+        """Words that ``write`` turns into the model's letters, 1,000 at a time; the tokens that end a word part them again."""
         found = self.plain.encode_batch_fast([write(" ".join(words[i : i + 1000])) for i in range(0, len(words), 1000)], add_special_tokens=False)
-        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found])
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) == len(words):
-            starts = np.concatenate(([0], stops[:-1]))
-            self.cache.update(zip(words, map(ids.tobytes().__getitem__, map(slice, starts.tolist(), stops.tolist()))))
-        else:
-            self.cache.update((w, self.whole(w)) for w in words)
-
-    def letters(self, words: list[str]) -> None:
-        """Put words of letters into the cache. Latin ones are lower-cased here, character by character, as the tokenizer does
-        it, and have one form under NFC; others pass all steps of the tokenizer."""
-        self.bulk([w for w in words if w.isascii()], str.lower)
-        rest = [w for w in words if not w.isascii()]
-        latin = [w for w in rest if max(w) < "\u0250" and "\u0130" not in w]
-        self.bulk(latin, lambda text: text.lower().encode().decode("latin-1").translate(_TABLE))
-        if len(latin) < len(rest):
-            self.cache.update((w, self.whole(w)) for w in set(rest).difference(latin))
-
-    def learn(self, words) -> None:
-        """Put the ids of new words, as bytes, into the cache. Marks after letters, but for the apostrophe, are tokens apart."""
-        cache, parted, cores = self.cache, [], set()
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                cores.add(core)
-                if len(core) < len(w):
-                    parted.append((w, core, w[len(core) :]))
-            else:
-                cache[w] = self.whole(w)
-        self.letters(list(cores.difference(cache)))
-        for w, core, tail in parted:
-            if tail not in cache:
-                cache[tail] = self.whole(tail)
-            cache[w] = cache[core] + cache[tail]
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found] or [np.empty(0, "<u4")])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return Pieces(ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self.whole(words)
+
+    def letters(self, words: pa.Array) -> Pieces:
+        """Words of letters. Latin ones are lower-cased here, character by character, as the tokenizer does it, and have one
+        form under NFC; others pass all steps of the tokenizer."""
+        ascii_only = np.asarray(pc.string_is_ascii(words))
+        rest = words.filter(pa.array(~ascii_only)).to_pylist()
+        latin = np.array([max(w) < "\u0250" and "\u0130" not in w for w in rest], bool)
+        kind = np.zeros(len(words), np.int8)
+        kind[~ascii_only] = np.where(latin, 1, 2)
+        pieces = self.bulk(words.filter(pa.array(ascii_only)).to_pylist(), str.lower)
+        pieces += self.bulk([w for w, x in zip(rest, latin) if x], lambda text: text.lower().encode().decode("latin-1").translate(_TABLE))
+        pieces += self.whole([w for w, x in zip(rest, latin) if not x])
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(words))
+        return pieces.take(place)
+
+    def remembered(self, words: pa.Array) -> Pieces:
+        """Distinct words of letters, of which those not known yet are encoded."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        pieces = self.held + self.letters(new)
+        place = np.asarray(at.fill_null(0), np.int64)
+        place[np.asarray(at.is_null())] = len(self.known) + np.arange(len(new))
+        if len(self.known) + len(new) <= KNOWN_WORDS:
+            self.known, self.held = pa.concat_arrays([self.known, new]), pieces
+            return pieces.take(place)
+        found = pieces.take(place)
+        self.known, self.held = words, found
+        return found
+
+    def words(self, words: pa.Array) -> Pieces:
+        """Distinct words. Marks after letters, but for the apostrophe, are tokens apart, so that letters are encoded once."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = np.asarray(pc.utf8_is_alpha(core))
+        strange = words.filter(pa.array(~plain))
+        held, kept = words.filter(pa.array(plain)), core.filter(pa.array(plain))
+        cores = kept.dictionary_encode()
+        marked = np.asarray(pc.not_equal(pc.binary_length(held), pc.binary_length(kept)))
+        tails = after(held.filter(pa.array(marked)), kept.filter(pa.array(marked))).dictionary_encode()
+        pieces = self.remembered(cores.dictionary) + self.whole(tails.dictionary.to_pylist()) + self.whole(strange.to_pylist())
+        # a word is its letters and, where it has them, its marks
+        count = np.ones(len(words), np.int64)
+        count[np.flatnonzero(plain)[marked]] = 2
+        first = np.cumsum(count) - count
+        parts = np.empty(int(count.sum()), np.int64)
+        parts[first[plain]] = np.asarray(cores.indices)
+        parts[first[count == 2] + 1] = len(cores.dictionary) + np.asarray(tails.indices)
+        parts[first[~plain]] = len(cores.dictionary) + len(tails.dictionary) + np.arange(len(strange))
+        found = pieces.take(parts)
+        return Pieces(found.ids, found.summed(count))
+
+    def encode(self, texts: pa.Array) -> Pieces:
+        """The ids of each text; none for null."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            return [np.asarray(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # str.split also splits at four control characters that the vocabulary's \s does not
-        words = [t.split() if not any(c in t for c in _ODD) else [w for w in _plain_split(t) if w] for t in texts]
-        seen: set[str] = set()
-        for ws in words:
-            seen.update(ws)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.learn(seen.difference(self.cache))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
-
-
-_ODD = "\x1c\x1d\x1e\x1f"
-
-
-def _plain_split(text: str) -> list[str]:
-    import regex
-
-    return regex.split(r"[\t-\r \x85\p{Z}]+", text)
+            return self.whole(texts.to_pylist())
+        wide = pc.match_substring_regex(texts, _SPACES)
+        if pc.any(wide).as_py():
+            texts = pc.if_else(wide, pc.replace_substring_regex(texts, _SPACES, " "), texts)
+        lists = pc.ascii_split_whitespace(texts)
+        flat = lists.flatten()
+        filled = pc.not_equal(pc.binary_length(flat), 0)  # blanks at the ends of a text leave empty words
+        count = np.diff(np.concatenate(([0], np.cumsum(np.asarray(filled), dtype=np.int64)))[np.asarray(lists.offsets, np.int64)])
+        coded = flat.filter(filled).dictionary_encode()
+        found = self.words(coded.dictionary.cast(pa.string())).take(np.asarray(coded.indices))
+        return Pieces(found.ids, found.summed(count))
 
 
 def encode_batches(batches, path: str, end_id: int):
     """Arrow batches (doc_id, text) of one sorted partition -> (doc_id, local_start, n_tokens, ids)."""
-    encoder, end, at = Encoder.of(path), np.asarray([end_id], "<u4").tobytes(), 0
-    for ids, texts in chunks(batches):
-        parts = encoder.encode([t or "" for t in texts.to_pylist()], end)
-        sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-        starts = at + np.concatenate(([0], np.cumsum(sizes)))
-        at = int(starts[-1])
-        values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(parts))])
-        offsets = pa.array((starts - starts[0]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(starts[:-1]), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "local_start", "n_tokens", "ids"])
+    encoder, at = Encoder.of(path), 0
+    for ids, texts in chunks(_merged(batches), CHUNK_BYTES):
+        found = encoder.encode(texts)
+        sizes = found.sizes + 1
+        ends = np.cumsum(sizes)
+        values = np.full(int(ends[-1]), end_id, np.int32)
+        inside = np.ones(len(values), bool)
+        inside[ends - 1] = False
+        values[inside] = found.ids.view(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
+        # a batch of rows of bounded size for the JVM
+        step = max(1, len(sizes) * 4_000_000 // max(len(values), 1))
+        for i in range(0, len(sizes), step):
+            columns = [ids.slice(i, step).cast(pa.int64()), pa.array(at + (ends - sizes)[i : i + step]), pa.array(sizes[i : i + step]), lists.slice(i, step)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "local_start", "n_tokens", "ids"])
+        at += int(ends[-1])
+
+
+def _merged(batches):
+    """Batches joined up to about CHUNK_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > CHUNK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> None:

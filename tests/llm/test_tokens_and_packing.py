@@ -1,7 +1,9 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quizmill.llm import packing, token_output
@@ -18,22 +20,39 @@ def encoded(text):
     return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def ids_of(texts):
+    found = token_output.Encoder.of(PATH).encode(pa.array(texts, pa.string()))
+    assert len(found.sizes) == len(texts) and found.sizes.sum() == len(found.ids)
+    return [x.tolist() for x in np.split(found.ids, np.cumsum(found.sizes)[:-1])] if texts else []
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(PATH)
     rng = random.Random(1)
-    letters = "abcXYZéÜñßøĳſǅ .,!?'-_#0159\t\n ́"
+    letters = "abcXYZéÜñßøĳſǅ .,!?'-_#0159\t\n ́\u0085\u2003\x1c\u200b"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
-    got = token_output.Encoder.of(PATH).encode(texts, b"")
-    for text, ids in zip(texts, got):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
-
-
-def test_cache_starts_anew_when_full(monkeypatch):
-    monkeypatch.setattr(token_output, "CACHE_WORDS", 2)
-    e = token_output.Encoder(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(["one two three four", "one five"], np.asarray([1], "<u4").tobytes())] == [encoded("one two three four"), encoded("one five")]
+    # every assigned or unassigned block of the plane, characters alone, in words, before and after letters and marks
+    for low in [*range(0x40, 0xD800, 0x40), *range(0xE000, 0x11000, 0x40), *range(0x1F000, 0x1FC00, 0x40)]:
+        chars = [chr(low + rng.randrange(0x40)) for _ in range(6)]
+        texts.append(" ".join(["a" + chars[0], chars[1] + "B", chars[2], "x" + chars[3] + "y,", chars[4] + "." + chars[5]]))
+    got = ids_of(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == plain.encode(text, add_special_tokens=False).ids, ascii(text[:80])
+    assert ids_of([]) == [] and ids_of([None, " "]) == [[], []]
+
+
+def test_chunks_of_any_size_give_the_same_rows(monkeypatch):
+    monkeypatch.setattr(token_output, "KNOWN_WORDS", 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array(TEXTS)], names=["doc_id", "text"])
+    rows = []
+    for size in (10, 1 << 20):
+        monkeypatch.setattr(token_output, "CHUNK_BYTES", size)
+        rows.append(pa.Table.from_batches(token_output.encode_batches([batch, batch.slice(0, 0), batch.slice(3)], PATH, 1)).to_pylist())
+    assert rows[0] == rows[1] and [r["ids"] for r in rows[0]] == [encoded(t) for t in TEXTS + TEXTS[3:]]
+    at = np.cumsum([0] + [r["n_tokens"] for r in rows[0]])
+    assert [r["local_start"] for r in rows[0]] == at[:-1].tolist()
 
 
 def test_round_trip(spark, tmp_path):
@@ -52,11 +71,28 @@ def test_round_trip(spark, tmp_path):
     assert {r.doc_id for r in token_output.read_tokens(spark, path, 7, 14).collect()} == {i for i, _, _ in rows if i is not None and 7 <= i <= 14}
 
 
-def test_files_have_bloom_filters_and_pruning(spark, tmp_path):
+def test_files_have_indexes_bloom_filters_and_pruning(spark, tmp_path):
     path = str(tmp_path / "tokens")
-    token_output.write_tokens(spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text"), path, PATH)
+    token_output.write_tokens(spark.range(6000).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text"), path, PATH)
     plan = token_output.read_tokens(spark, path, 3, 4)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,3), LessThanOrEqual(doc_id,4)]" in plan
+    jvm, names = spark._jvm, sorted(x for x in os.listdir(path) if x.endswith(".orc"))
+    conf, kinds = jvm.org.apache.hadoop.conf.Configuration(), set()
+    for name in names:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{path}/{name}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(stripe))
+            for i in range(footer.getStreamsCount()):
+                stream = footer.getStreams(i)
+                kinds.add((stream.getKind().toString(), stream.getColumn()))
+            assert footer.getColumns(1).getKind().toString().startswith("DIRECT")  # run-length encoded integers
+        rows.close()
+    assert ("ROW_INDEX", 1) in kinds and any(k.startswith("BLOOM_FILTER") and c == 1 for k, c in kinds)
+    found = spark.read.orc(path).filter("doc_id = 4500")
+    assert [r.n_tokens for r in found.collect()] == [len(encoded("text 1500"))]
+    assert spark.read.orc(path).filter("doc_id = 4501").count() == 0
 
 
 def test_empty_table(spark, tmp_path):
