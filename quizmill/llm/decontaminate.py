@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Index: one posting (term, doc_id, pos) for every place where a document uses a term of the test set. Search: a window of a
-test item is looked up by its rarest terms. The postings of the rarest one give alignments (document position minus item
-position); each is kept only if the offset-adjusted list of the next rarest term has it too. What is left is compared word
-by word.
+Index: one posting (term, doc, pos) for every place where a document uses a term of the test set, or any term if the index is
+to serve later test sets. Search: a window of a test item is looked up by its rarest terms. The postings of the rarest one
+aim at places of the next rarest; postings near the aim are proximity matches, those at it alignments (document position minus
+item position). Of each alignment the offset-adjusted list of the whole item is intersected with the index, and runs of
+matching places as long as a window are exact matches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: The posting that closes each document; its position is the number of words. No word can be a line feed.
 END = "\n"
+#: Words that two rarest terms may stand off their distance in the item, for a proximity match.
+SLOP = 3
 
 
 def raw_words(text: Column) -> Column:
@@ -29,79 +32,84 @@ def words(text: Column) -> Column:
 
 
 def test_words(items: DataFrame) -> DataFrame:
-    """``item_id, ws`` of the items that have words. Rows that repeat an item's id and words count once."""
-    return items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0).distinct()
+    """``item, item_id, size, p, term`` of every word of the items, one row each, ``item`` being a hash of id and words. Rows
+    that repeat an item's id and words count once; items without words have none."""
+    ws = items.select("item_id", words(F.col("text")).alias("ws")).distinct()
+    places = ws.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "ws").alias("item"), "item_id", F.size("ws").alias("size"), F.posexplode("ws").alias("p", "w"))
+    return places.select("item", "item_id", "size", "p", "w", F.xxhash64("w").alias("term"))
 
 
-def build_index(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """Postings ``term long, doc_id, pos int`` for the words of ``tests``, and the closing posting of every document.
+def build_index(docs: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """Postings ``term long, doc long, pos int, doc_id``: the words of ``tests`` as they stand in ``docs``, all words without it,
+    and the closing posting of every row, which alone carries its id. ``doc`` numbers the rows.
 
-    The vocabulary of the tests is broadcast if a count shows that it is small, else joined by a shuffle. The index is
-    written once to the shared folder; the postings stay where the scan made them, so nothing is shuffled here.
+    An index of all words serves any test set. The vocabulary of the tests is broadcast if a count shows that it is small,
+    else joined by a shuffle. The index is written once to the shared folder; the postings stay where the scan made them,
+    so nothing is shuffled here. Terms are 64-bit hashes: of a million distinct words two share one with a chance of 3e-8.
     """
-    vocabulary = tests.select(F.explode("ws").alias("w")).union(tests.sparkSession.range(1).select(F.lit(END))).distinct()
-    vocabulary = vocabulary.select("w", F.xxhash64("w").alias("term"))
-    posted = docs.select("doc_id", F.posexplode(F.concat(raw_words(F.col("text")), F.array(F.lit(END)))).alias("pos", "raw"))
-    posted = posted.select("doc_id", "pos", ascii_lower(F.col("raw")).alias("w"))
-    return materialise(posted.join(small(vocabulary), "w").select("term", "doc_id", "pos"), "postings")
-
-
-def n_words(index: DataFrame) -> DataFrame:
-    """``doc_id, n_words`` from the closing postings."""
-    return index.filter(F.col("term") == F.xxhash64(F.lit(END))).groupBy("doc_id").agg(F.max("pos").cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), raw_words(F.col("text")).alias("ws"))
+    posted = rows.select("doc_id", "doc", F.posexplode(F.concat("ws", F.array(F.lit(END)))).alias("pos", "raw"))
+    posted = posted.select("doc_id", "doc", "pos", ascii_lower(F.col("raw")).alias("w"))
+    if tests is not None:
+        vocabulary = materialise(tests.select("w").union(tests.sparkSession.range(1).select(F.lit(END))).distinct(), "vocabulary")
+        most = vocabulary.agg(F.max(F.octet_length("w"))).first()[0] or 0
+        posted = posted.join(small(vocabulary, most + 40), "w")
+    own = F.when(F.col("w") == END, F.col("doc_id"))
+    return materialise(posted.select(F.xxhash64("w").alias("term"), "doc", "pos", own.alias("doc_id")), "postings")
 
 
 def anchors(index: DataFrame, tests: DataFrame, window: int) -> DataFrame:
-    """The rarest and the second rarest place of each window of each item, without repeats: ``item_id, p1, t1, p2, t2``.
+    """The two rarest places of each window of each item, of those whose term the index holds, without repeats:
+    ``item, p1, t1, p2, t2, whole``; ``whole`` if the index holds all terms of such a window.
 
-    Windows with a term that no document has can't occur and are left out. Frequencies are counted over the whole index.
-    A window of one word has the same place twice.
+    Frequencies are counted over the whole index. With one place only, it stands twice.
     """
     freq = index.groupBy("term").agg(F.count("*").alias("n"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - window, F.lit(0)))
-    places = tests.select("item_id", "ws", F.explode(starts).alias("off"))
-    places = places.select("item_id", "off", F.posexplode(F.slice("ws", F.col("off") + 1, window)).alias("i", "w"))
-    places = places.select("item_id", "off", (F.col("off") + F.col("i")).alias("p"), F.xxhash64("w").alias("term"))
-    every = Window.partitionBy("item_id", "off")
+    known = tests.join(small(materialise(freq.join(small(materialise(tests.select("term").distinct(), "terms")), "term", "left_semi"), "frequencies")), "term")
+    last = F.greatest(F.col("size") - window, F.lit(0))
+    offsets = F.sequence(F.greatest(F.col("p") - window + 1, F.lit(0)), F.least(F.col("p"), last))
+    places = known.withColumn("off", F.explode(offsets))
+    every = Window.partitionBy("item", "off")
     rarest = every.orderBy("n", "p")
-    ranked = places.join(freq, "term", "left").select(
-        "item_id", "off", F.col("p").alias("p1"), F.col("term").alias("t1"),
-        F.lead("p").over(rarest).alias("p2"), F.lead("term").over(rarest).alias("t2"),
-        F.row_number().over(rarest).alias("rank"), F.bool_and(F.col("n").isNotNull()).over(every).alias("known"),
+    ranked = places.select(
+        "item", F.col("p").alias("p1"), F.col("term").alias("t1"), F.lead("p").over(rarest).alias("p2"), F.lead("term").over(rarest).alias("t2"),
+        F.row_number().over(rarest).alias("rank"), (F.count("*").over(every) == F.least("size", F.lit(window))).alias("whole"),
     )
-    best = ranked.filter("rank = 1 and known").select("item_id", "p1", "t1", F.coalesce("p2", "p1").alias("p2"), F.coalesce("t2", "t1").alias("t2"))
-    return best.distinct()
+    best = ranked.filter("rank = 1").select("item", "p1", "t1", F.coalesce("p2", "p1").alias("p2"), F.coalesce("t2", "t1").alias("t2"), "whole")
+    return best.groupBy("item", "p1", "t1", "p2", "t2").agg(F.bool_or("whole").alias("whole"))
+
 
+def near_places(index: DataFrame, tests: DataFrame, window: int, slop: int) -> DataFrame:
+    """``doc, item, diag, exact, near``: places where the two rarest terms of a window stand up to ``slop`` words off their
+    distance; ``exact`` if at it and the index holds the whole window, ``near`` if the terms have two places.
 
-def alignments(index: DataFrame, tests: DataFrame, window: int) -> DataFrame:
-    """``doc_id, item_id, diag``: places where the two rarest terms of a window stand at the right distance."""
-    pairs = materialise(anchors(index, tests, window), "anchors")
-    first = index.join(small(pairs), index["term"] == pairs["t1"]).select("item_id", "doc_id", (F.col("pos") - F.col("p1")).alias("diag"), "p2", "t2")
-    first = first.select("item_id", "diag", "doc_id", F.col("t2").alias("term"), (F.col("diag") + F.col("p2")).alias("pos"))
+    Positions are joined by buckets of ``slop + 1`` words and their neighbours, not pairwise.
+    """
+    pairs, step = materialise(anchors(index, tests, window), "anchors"), slop + 1
+    first = index.join(small(pairs, 56), index["term"] == pairs["t1"]).select("item", "doc", "pos", "p1", "p2", "t2", "whole")
+    first = first.withColumn("aim", F.col("pos") + F.col("p2") - F.col("p1"))
+    first = first.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("aim") / step) + i for i in (-1, 0, 1)))))
     second = index.join(small(pairs.select(F.col("t2").alias("term")).distinct()), "term", "left_semi")
-    return first.join(second.distinct(), ["term", "doc_id", "pos"]).select("doc_id", "item_id", "diag").distinct()
+    second = second.select(F.col("term").alias("t2"), "doc", F.col("pos").alias("pos2"), F.floor(F.col("pos") / step).alias("bucket"))
+    met = first.join(second, ["t2", "doc", "bucket"]).filter(F.abs(F.col("pos2") - F.col("aim")) <= slop)
+    met = met.filter((F.col("p1") == F.col("p2")) & (F.col("pos") == F.col("pos2")) | (F.col("p1") != F.col("p2")) & (F.col("pos") != F.col("pos2")))
+    exact = F.bool_or(F.col("whole") & (F.col("pos2") == F.col("aim")))
+    return materialise(met.groupBy("doc", "item", (F.col("pos") - F.col("p1")).alias("diag")).agg(exact.alias("exact"), F.bool_or(F.col("p1") != F.col("p2")).alias("near")), "near")
 
 
-def phrase_matches(docs: DataFrame, tests: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """Per document with a match: ``doc_id, hits array<struct<start, len, item_id>>``, ordered by start.
+def phrase_matches(index: DataFrame, tests: DataFrame, aligned: DataFrame, window: int) -> DataFrame:
+    """``doc, item_id, start, len``: runs of words of a document that equal a run of an item, each at least a window long
+    (``window`` words, or the whole of a shorter item).
 
-    A hit is one occurrence of one window (``window`` consecutive words of an item, or the whole of a shorter item). Only
-    documents with an alignment have their text read again and compared word by word.
+    Only postings of documents with an alignment are met again, by document, place and term.
     """
-    found = materialise(alignments(index, tests, window), "alignments")
-    per_doc = found.join(small(tests), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diag", "ws")).alias("aligned"))
-    texts = docs.select("doc_id", "text").join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.select("doc_id", words(F.col("text")).alias("dw"))
-
-    def hits_of(a: Column) -> Column:
-        length = F.least(F.size(a["ws"]), F.lit(window))
-        starts = F.sequence(F.greatest(-a["diag"], F.lit(0)), F.greatest(F.size(a["ws"]) - length, F.greatest(-a["diag"], F.lit(0))))
-        inside = F.filter(starts, lambda o: (o + length <= F.size(a["ws"])) & (a["diag"] + o + length <= F.size("dw")))
-        same = F.filter(inside, lambda o: F.slice("dw", a["diag"] + o + 1, length) == F.slice(a["ws"], o + 1, length))
-        return F.transform(same, lambda o: F.struct((a["diag"] + o).alias("start"), length.alias("len"), a["item_id"].alias("item_id")))
-
-    hits = texts.join(per_doc, "doc_id").select("doc_id", F.flatten(F.transform("aligned", hits_of)).alias("hits"))
-    return hits.filter(F.size("hits") > 0).select("doc_id", F.array_sort("hits").alias("hits"))
+    expected = aligned.join(tests, "item").select("doc", "item", "item_id", "size", "diag", "p", "term", (F.col("diag") + F.col("p")).cast("int").alias("pos"))
+    held = index.select("term", "doc", "pos").join(small(materialise(aligned.select("doc").distinct(), "aligned")), "doc", "left_semi")
+    met = expected.join(held, ["doc", "pos", "term"])
+    order = Window.partitionBy("doc", "item", "diag").orderBy("p")
+    runs = met.withColumn("run", F.col("p") - F.row_number().over(order)).groupBy("doc", "item", "item_id", "size", "diag", "run")
+    runs = runs.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("len"))
+    return runs.filter(F.col("len") >= F.least("size", F.lit(window))).select("doc", "item_id", "start", "len")
 
 
 def covered(hits: Column) -> Column:
@@ -116,43 +124,36 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, add, lambda acc: acc["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, item_ids, hits, contaminated``.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = SLOP, index: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids, hits, contaminated, n_near``.
 
     ``n_hit`` counts the words of the document inside any occurrence of a window, ``item_ids`` lists the items with
-    occurring windows as strings in string order.
+    occurring windows as strings in string order; ``hits`` are the runs of words that contain them. ``n_near`` counts the
+    items of which a window's two rarest terms that occur at all stand within ``slop`` words of their distance in the item;
+    such matches never make a document contaminated. ``index`` is what ``build_index`` made of ``docs``, if at hand.
 
     Edge cases: a null or wordless text has no words and no hits; null or wordless items match nothing; rows that repeat a
-    document's id give one result row (hits of all of them); a null document id has no hits; empty tables give no
-    hits or an empty table; columns besides the ids and texts are ignored.
+    document's id are searched each, a null id too; items without an id match, but are not listed or counted; a very long
+    text is postings like any other; empty tables give no hits or an empty table; columns besides the ids and texts are
+    ignored.
     """
     tests = materialise(test_words(items), "tests")
-    index = build_index(docs, tests)
-    hits = phrase_matches(docs, tests, index, window).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-    out = n_words(index).join(hits, "doc_id", "left")
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
+    index = build_index(docs, tests) if index is None else index
+    found = near_places(index, tests, window, slop)
+    hits = phrase_matches(index, tests, found.filter("exact").select("doc", "item", "diag"), window)
+    hits = hits.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "len", "item_id"))).alias("hits"))
+    near = found.filter("near").join(small(materialise(tests.select("item", "item_id").distinct(), "items")), "item")
+    near = near.groupBy("doc").agg(F.count_distinct("item_id").alias("n_near"))
+    closed = index.filter(F.col("term") == F.xxhash64(F.lit(END))).select("doc", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    out = closed.join(hits, "doc", "left").join(near, "doc", "left")
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"].cast("string")), lambda x: x.isNotNull())))
     ids = F.coalesce(ids, F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "hits", F.col("hits").isNotNull().alias("contaminated"),
+        "doc_id", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        ids.alias("item_ids"), "hits", F.col("hits").isNotNull().alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:
-    """``item_id, p1, p2, doc_id, pos1, pos2``: the two rarest terms of a window stand up to ``slop`` words off their
-    distance in the item. Positions are joined by buckets of ``slop + 1`` words and their neighbours, not pairwise."""
-    tests = materialise(test_words(items), "tests")
-    index = build_index(docs, tests)
-    pairs = materialise(anchors(index, tests, window), "anchors").filter("p1 <> p2")
-    step = slop + 1
-    first = index.join(pairs, index["term"] == pairs["t1"]).select("item_id", "p1", "p2", "t2", "doc_id", F.col("pos").alias("pos1"))
-    aim = F.col("pos1") + F.col("p2") - F.col("p1")
-    first = first.withColumn("aim", aim).withColumn("bucket", F.explode(F.array(*(F.floor(F.col("aim") / step) + i for i in (-1, 0, 1)))))
-    second = index.select(F.col("term").alias("t2"), "doc_id", F.col("pos").alias("pos2"), F.floor(F.col("pos") / step).alias("bucket"))
-    near = first.join(second, ["t2", "doc_id", "bucket"]).filter((F.abs(F.col("pos2") - F.col("aim")) <= slop) & (F.col("pos1") != F.col("pos2")))
-    return near.select("item_id", "p1", "p2", "doc_id", "pos1", "pos2").distinct()
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
