@@ -1,12 +1,16 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents longer than the largest length are cut into pieces. Pieces are dealt by hash into shards of bounded size, so that
-no document, source or group decides how much one task holds; each shard is packed alone, by best-fit decreasing.
+no document, source or group decides how much one task holds; each shard is packed alone, by best-fit decreasing. Which
+length a new sequence gets is decided jointly for all lengths: a policy names, for the pieces that need at least a given length, the
+length to open; every policy is packed, and the one of least cost stays. Short pieces may so be gathered in long sequences,
+where less room is lost, or kept in short ones, where attention costs less.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import materialise, table
+from quizmill.llm.token_output import token_counts
 
 #: Pieces that one shard holds on average. Packing loses at most a few open bins per shard.
 SHARD_PIECES = 20_000
@@ -28,43 +33,51 @@ def cost(capacity) -> float:
     return FIXED + capacity + capacity * capacity / QUADRATIC
 
 
-def pack(lengths: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacities: tuple[int, ...], opens: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(bin of each item, capacity of each bin) for items in decreasing order of length.
 
-    An item goes into the open bin with the least room that still holds it (ties: the oldest bin). Without one, a bin is
-    opened: of the sizes that hold the item, the one of least cost per token, given how many tokens are still to come to
-    fill it. In the end every bin is downsized to the smallest size that holds its contents.
+    An item goes into the open bin with the least room that still holds it (ties: the oldest bin). Without one, a bin of
+    capacity ``opens[i]`` is opened, i being the place of the smallest capacity that holds the item. In the end every bin is
+    downsized to the smallest size that holds its contents.
     """
-    bins, used, size, room = np.empty(len(lengths), np.int64), [], [], []  # room: sorted (room left, bin)
-    left = int(lengths.sum())
+    bins, used, room = np.empty(len(lengths), np.int64), [], []  # room: sorted (room left, bin)
+    sizes = np.asarray(capacities)
+    needs = np.searchsorted(sizes, lengths).tolist()
     for i, n in enumerate(lengths.tolist()):
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            b = len(used)
-            free = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / min(c, max(left, 1)), c))
+            b, free = len(used), opens[needs[i]]
             used.append(0)
-            size.append(free)
         bins[i] = b
         used[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
-    fits = np.searchsorted(np.asarray(capacities), np.asarray(used, np.int64))
-    return bins, np.minimum(np.asarray(capacities)[np.minimum(fits, len(capacities) - 1)], np.asarray(size, np.int64))
+    return bins, sizes[np.searchsorted(sizes, np.asarray(used, np.int64))]
+
+
+def policies(capacities: tuple[int, ...]):
+    """What to open for each smallest capacity that holds an item: itself or any larger one."""
+    return product(*(capacities[i:] for i in range(len(capacities))))
 
 
 def pack_jointly(lengths: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest packing over all upper ends of the permitted sizes that hold the longest item."""
-    best = None
-    for k in range(1, len(capacities) + 1):
-        if len(lengths) and capacities[k - 1] < lengths[0]:
+    """The packing of least cost over all policies; of equal ones the first, which opens smaller bins.
+
+    Policies that differ only for sizes that no item needs are packed once.
+    """
+    needed = set(np.searchsorted(np.asarray(capacities), lengths).tolist())
+    best, seen = None, set()
+    for opens in policies(capacities):
+        key = tuple(c for i, c in enumerate(opens) if i in needed)
+        if key in seen:
             continue
-        tried = pack(lengths, capacities[:k])
-        total = float(sum(cost(float(c)) for c in tried[1]))
+        seen.add(key)
+        tried = pack(lengths, capacities, opens)
+        total = float(cost(tried[1].astype(float)).sum())
         if best is None or total < best[0]:
-            best = (total, tried)
+            best = total, tried
     return best[1]
 
 
@@ -107,8 +120,25 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+"), "")).cast("long")
 
 
+def sequences(tokens: DataFrame, packed: DataFrame) -> DataFrame:
+    """``shard, bin, capacity, used, ids, bounds``: the packed sequences of ``tokens(doc_id, ids)``, as ``best_fit`` of the numbers
+    of ids placed them. ``bounds`` tells each document's part: ``doc_id, piece, offset, length``.
+
+    A sequence is at most the largest capacity long, so no group is. An id must not repeat.
+    """
+    part = F.slice("ids", (F.col("start") + 1).cast("int"), "length")
+    rows = packed.join(tokens.select("doc_id", "ids"), "doc_id").select("shard", "bin", "capacity", "used", F.struct("offset", "length", "doc_id", "piece", part.alias("ids")).alias("p"))
+    held = rows.groupBy("shard", "bin", "capacity", "used").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    bounds = F.transform("ps", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length")))
+    return held.select("shard", "bin", "capacity", "used", F.flatten(F.transform("ps", lambda p: p["ids"])).alias("ids"), bounds.alias("bounds"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    """Sequences of token ids, each document with its end id: the same tokens as those of operator 1."""
+    import public_tokenizers
+
+    sized = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit(sized, F.col("n_tokens"))
 
 
-ORACLE_SQL = None  # packing is a sequence of choices; tests check bounds, completeness and a plain best-fit loop
+ORACLE_SQL = None  # packing is a sequence of choices; tests check bounds, completeness, plain loops and exhaustive search

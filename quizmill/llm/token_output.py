@@ -214,6 +214,17 @@ def encode_batches(batches, path: str, end_id: int):
         at += int(ends[-1])
 
 
+def _count_batches(batches, path: str):
+    encoder = Encoder.of(path)
+    for ids, texts in chunks(_merged(batches), CHUNK_BYTES):
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(encoder.encode(texts).sizes + 1)], names=["doc_id", "n_tokens"])
+
+
+def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``doc_id, n_tokens`` of every row, the end id included, in one pass without a shuffle."""
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _count_batches(it, tokenizer), "doc_id long, n_tokens long")
+
+
 def _merged(batches):
     """Batches joined up to about CHUNK_BYTES of text."""
     held, size = [], 0

@@ -101,29 +101,81 @@ def test_empty_table(spark, tmp_path):
     assert token_output.document_index(spark, path).count() == 0
 
 
-def naive(lengths, capacities):
+def naive(lengths, capacities, opens):
     """Best fit by looking through all bins."""
-    bins, left = [], sum(lengths)
+    bins = []
     for n in lengths:
-        fits = [b for b in bins if b[1] - b[0] >= n]
+        fits = [b for b in bins if b[1] - b[0] >= n and b[1] > b[0]]
         if fits:
             b = min(fits, key=lambda b: (b[1] - b[0], b[2]))
         else:
-            size = min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / min(c, max(left, 1)), c))
-            b = [0, size, len(bins)]
+            b = [0, next(o for c, o in zip(capacities, opens) if c >= n), len(bins)]
             bins.append(b)
         b[0] += n
-        left -= n
-    return [min(c for c in capacities if c >= b[0]) if b[0] else capacities[0] for b in bins]
+    return [min(c for c in capacities if c >= b[0]) for b in bins]
 
 
-def test_pack_equals_a_plain_loop():
+def total(sizes):
+    return sum(packing.cost(float(c)) for c in sizes)
+
+
+def test_pack_equals_a_plain_loop_and_the_best_policy_stays():
     rng = random.Random(2)
+    capacities = (16, 32, 64)
+    every = list(packing.policies(capacities))
+    assert len(every) == 6 and all(o >= c for opens in every for c, o in zip(capacities, opens))
     for _ in range(20):
         lengths = np.array(sorted((rng.randrange(0, 60) for _ in range(rng.randrange(1, 80))), reverse=True))
-        bins, sizes = packing.pack(lengths, (16, 32, 64))
-        used = np.bincount(bins, weights=lengths, minlength=len(sizes))
-        assert (used <= sizes).all() and sorted(sizes) == sorted(naive(lengths.tolist(), [16, 32, 64]))
+        for opens in every:
+            bins, sizes = packing.pack(lengths, capacities, opens)
+            used = np.bincount(bins, weights=lengths, minlength=len(sizes))
+            assert (used <= sizes).all() and sorted(sizes) == sorted(naive(lengths.tolist(), capacities, opens))
+        assert total(packing.pack_jointly(lengths, capacities)[1]) == min(total(naive(lengths.tolist(), capacities, o)) for o in every)
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_joint_choice_against_exhaustive_search():
+    """Lengths that fill no small sequence well go into long ones; on small sets the cost is near the least there is."""
+    capacities = (512, 1024, 2048, 4096)
+    thirds = np.array([340] * 12)
+    assert total(packing.pack_jointly(thirds, capacities)[1]) < 0.8 * total(packing.pack(thirds, capacities, capacities)[1])
+    halves = np.array([500] * 12)
+    assert set(packing.pack_jointly(halves, capacities)[1].tolist()) == {512}
+    rng, ratios = random.Random(5), []
+    for _ in range(30):
+        lengths = sorted((rng.choice([60, 200, 340, 400, 520, 700, 900, 1300]) for _ in range(7)), reverse=True)
+        least = min(total(min(c for c in capacities if c >= sum(b)) for b in p) for p in partitions(lengths) if all(sum(b) <= 4096 for b in p))
+        ratios.append(total(packing.pack_jointly(np.array(lengths), capacities)[1]) / least)
+    assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.06 and max(ratios) < 1.25
+
+
+def test_sequences_of_token_ids_read_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(100 + i, f"some words number {i} " * (i % 9), "") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    path = str(tmp_path / "tokens")
+    token_output.write_tokens(docs, path, PATH)
+    tokens = token_output.read_tokens(spark, path)
+    counts = token_output.token_counts(docs, PATH)
+    assert {r.doc_id: r.n_tokens for r in counts.collect()} == {r.doc_id: r.n_tokens for r in tokens.collect()}
+    packing.sequences(tokens, packing.best_fit(counts, F.col("n_tokens"), (64, 128, 1024), shard_pieces=40)).write.parquet(str(tmp_path / "sequences"))
+    parts = {}
+    for s in spark.read.parquet(str(tmp_path / "sequences")).collect():
+        assert len(s.ids) == s.used <= s.capacity and [b.offset for b in s.bounds] == np.cumsum([0] + [b.length for b in s.bounds])[:-1].tolist()
+        for b in s.bounds:
+            parts[b.doc_id, b.piece] = s.ids[b.offset : b.offset + b.length]
+    for i, text, _ in rows:
+        assert sum((parts[i, k] for k in range(len([1 for j, _ in parts if j == i]))), []) == encoded(text)
 
 
 def test_best_fit_is_whole_and_tight(spark):
