@@ -23,7 +23,7 @@ FOLDS = 4
 #: Raw scores are calibrated in so many bins of equal width.
 BINS = 400
 #: At most so many partial sums of the normal equations reach the driver.
-PARTIALS = 16
+PARTIALS = 8
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "mark": b"#$%&*", "shout": b"!", "bar": b"|", "stop": b".,;:?", "line": b"\n", "other": b"@^~<>{}[]\\/=+_`\"()-'"}
 STATS = ("bytes", "words", "word_len", "upper", "digit", "mark", "shout", "bar", "stop", "line", "other", "high", "distinct", "repeat", "short", "longest", "caps", "marked")
@@ -149,13 +149,13 @@ def _sums(batches, make):
             part = make(stats, np.asarray(b.column(1), float))
             total = part if total is None else total + part
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total, float).tobytes()], pa.binary())], names=["s"])
 
 
 def summed(sample: DataFrame, make) -> np.ndarray | None:
     """The sum over the rows of ``sample(stats, label)``, of which each partition returns its share."""
-    parts = sample.select("stats", "label").mapInArrow(lambda it: _sums(it, make), "s array<double>").collect()
-    return np.sum([np.asarray(r[0]) for r in parts], axis=0) if parts else None
+    parts = sample.select("stats", "label").mapInArrow(lambda it: _sums(it, make), "s binary").collect()  # a megabyte each
+    return sum(np.frombuffer(r[0]) for r in parts) if parts else None
 
 
 def _stat_rows(batches):
