@@ -39,8 +39,8 @@ SHARED_KEY, COMPARISON = 10.0, 0.1
 TASK_KEYS = 500_000
 #: Texts are worked on in chunks of about this many bytes, so memory does not grow with a partition.
 CHUNK_BYTES = 1 << 20
-#: Rounds in which a key names a centre, at most; after the first, none if a set has so few others to meet in a tile, on average.
-HUB_ROUNDS, FEW = 3, 500
+#: Rounds in which a key names a centre. More of them move many pairs for few links, which the tiles find as well.
+HUB_ROUNDS = 1
 #: Sets, and shingles in them, about, that one tile compares with as many others.
 TILE, TILE_TOKENS = 4000, 8_000_000
 #: 64-bit words of a parity sketch. Sets above FINE_FROM shingles have one 8 times as large, above 8 * FINE_FROM 64 times, ...
@@ -440,6 +440,8 @@ def near_rows(batches, threshold: int):
             fits = (part[left] != part[right]) & (left < right) & (100 * np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]))
             if not single:
                 fits &= cell[left] != cell[right]
+            # sets that are known to have a near one need not meet again if their components are joined in this tile
+            fits &= ~(touched[left] & touched[right] & (forest.label[left] == forest.label[right]))
             u, v = np.nonzero(fits)
             u, v = u + i, v + i
             near = _coarse_near(sketch, size, u, v, threshold)
@@ -664,10 +666,7 @@ class Join:
     def parts(self) -> DataFrame | None:
         """``node, component`` of the nodes that have links; None if there are none."""
         placed, links, parts = self.mixed(self.groups(), None), [], None
-        for turn in range(HUB_ROUNDS):
-            work = placed.agg(F.sum("size"), F.count("*")).first()  # a row of each set of each key
-            if not work[1] or turn and work[0] <= FEW * work[1]:
-                break
+        for _ in range(HUB_ROUNDS):
             more = self.hub_links(placed, links)
             if more.isEmpty():
                 break

@@ -64,7 +64,7 @@ def test_against_brute_force(spark, seed, k, threshold):
 
 def test_chain_of_links_and_hub(spark, monkeypatch):
     """Copies of one base that link with it but hardly with each other, and a chain."""
-    monkeypatch.setattr(J, "FEW", 0)
+    monkeypatch.setattr(J, "HUB_ROUNDS", 3)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(200)]
     docs = [(100 - i, " ".join(edited(rng, base, 3))) for i in range(40)] + [(500, " ".join(base))]
