@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizmill.session import stored
 from quizmill.operators.search import nearest
 
 
@@ -70,14 +71,14 @@ def resolve(aliases: DataFrame, alias_dict: DataFrame, canonicals: DataFrame, de
 
     ``matches(entity_type, alias, canonical_id, similarity)`` are vector matches, if there are any.
     """
-    names = aliases.select("entity_type", "alias").distinct()
-    first = resolve_dictionary(names, alias_dict)
+    names = stored(aliases.select("entity_type", "alias").distinct(), "names")  # every tier reads them
+    first = stored(resolve_dictionary(names, alias_dict), "dictionary")
     done = [first.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("dictionary").alias("source"), "confidence", F.lit(None).cast("string").alias("name"))]
     rest = first.filter("canonical_id is null").select("entity_type", "alias")
     if matches is not None:
         done.append(rest.join(matches, ["entity_type", "alias"]).select("entity_type", "alias", "canonical_id", F.lit("vector").alias("source"), F.col("similarity").alias("confidence"), F.lit(None).cast("string").alias("name")))
         rest = rest.join(matches, ["entity_type", "alias"], "left_anti")
-    decided = apply_decisions(rest, decisions)
+    decided = stored(apply_decisions(rest, decisions), "decided")
     done.append(decided.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("decision").alias("source"), "confidence", F.lit(None).cast("string").alias("name")))
     new, _ = create_canonicals(decided.filter("canonical_id is null"), canonicals)
     done.append(new.select("entity_type", "alias", "canonical_id", F.lit("new").alias("source"), "confidence", "name"))

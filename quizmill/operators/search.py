@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.session import work_folder
+from quizmill.session import stored, work_folder
 
 #: Vectors that every task holds, at most; more queries make more passes over the gallery.
 QUERY_BLOCK = 4096
@@ -73,14 +73,16 @@ def _against_queries(block: list, gallery: DataFrame, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` nearest rows of ``gallery(id, embedding)`` of each of
-    ``queries(query_id, embedding)``; ties go to the smaller id; similarities are rounded to 6 digits at the end.
+    ``queries(query_id, embedding)``, each row of which is searched, also if its id is null or repeats; ties go to the smaller id; similarities are rounded to 6 digits at the end.
 
     Up to QUERY_BLOCK queries go to every task and the gallery streams past them; else a gallery of up to that size goes to
     every task and the queries stream past it; else the gallery streams past one block of queries after the other, and the
     best of each block are written to the shared folder. Neither side is shuffled; what is merged is partitions * k rows a
     query.
     """
-    queries = queries.filter("embedding is not null").select("query_id", "embedding")
+    # rows are told apart by a number, as ids of queries may repeat or be null
+    numbered = stored(queries.filter("embedding is not null").select("query_id", "embedding", F.monotonically_increasing_id().alias("_row")), "queries")
+    queries = numbered.select(F.col("_row").alias("query_id"), "embedding")
     gallery = gallery.filter("embedding is not null").select("id", "embedding")
     block = queries.orderBy("query_id").limit(QUERY_BLOCK + 1).collect()
     if len(block) <= QUERY_BLOCK:
@@ -95,7 +97,8 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
             block = queries.filter(F.col("query_id") > block[-1][0]).orderBy("query_id").limit(QUERY_BLOCK).collect()
         found = queries.sparkSession.read.schema(FOUND).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("query_id", "_row")
+    return best.join(numbered.select("_row", "query_id"), "_row").select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def of_links(rows: DataFrame, links: DataFrame, company_id: int | None, position_id: int | None, key: str = "post_id") -> DataFrame:

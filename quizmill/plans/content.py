@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizmill.session import stored
 from quizmill.operators import clean, extract, normalize
 from quizmill.plans.ingest import CANONICALS_SQL, canonicals
 from quizmill.plans.registry import Inputs, query
@@ -87,23 +88,18 @@ def _(t):
     return valid.unionByName(rejected).select("post_id", F.when(F.col("corrupt"), "corrupt").otherwise(F.array_join("violations", ",")).alias("violations"))
 
 
-QUESTIONS_SQL = """SELECT conv_id AS post_id, CASE WHEN conv_id % 17 = 6 THEN 1 ELSE CAST(turn // 2 + 1 AS INT) END AS round_no, trim('  ' || substring(text, 1, 60)) AS content,
+QUESTIONS_SQL = """SELECT conv_id AS post_id, CASE WHEN conv_id % 17 = 6 THEN 1 ELSE CAST(turn // 2 + 1 AS INT) END AS round_no, trim('  ' || text) AS content,
   CASE WHEN turn % 2 = 0 THEN 'HR' WHEN turn % 4 = 1 THEN '其他' END AS category FROM {conversations}
-WHERE conv_id % 23 <> 3 AND conv_id % 17 <> 5 AND conv_id % 19 <> 7 AND conv_id % 5 <> 2 AND trim(substring(text, 1, 60)) <> ''"""
+WHERE conv_id % 23 <> 3 AND conv_id % 17 <> 5 AND conv_id % 19 <> 7 AND conv_id % 5 <> 2 AND trim(text) <> ''"""
 
 
 def exploded(t: Inputs, content: Column | None = None) -> DataFrame:
     return extract.explode_questions(extract.split_valid(parsed(t, content))[0])
 
 
-def sql_content() -> Column:
-    """The contents that QUESTIONS_SQL has: the first 60 characters. The queries ``r26_*_whole`` have whole texts and no SQL."""
-    return F.substring("text", 1, 60)
-
-
 @query("r26_explode_questions", QUESTIONS_SQL)
 def _(t):
-    return exploded(t, sql_content()).select("post_id", "round_no", "content", "category")
+    return exploded(t).select("post_id", "round_no", "content", "category")
 
 
 @query("r26_explode_questions_whole")
@@ -114,7 +110,7 @@ def _(t):
 @query("r26_replace_questions", f"""
 WITH n AS ({QUESTIONS_SQL}) SELECT post_id, content FROM {{questions}} WHERE post_id NOT IN (SELECT post_id FROM n) UNION ALL SELECT post_id, content FROM n""")
 def _(t):
-    return extract.replace_questions(t.questions.select("post_id", "content"), exploded(t, sql_content()).select("post_id", "content"))
+    return extract.replace_questions(t.questions.select("post_id", "content"), exploded(t).select("post_id", "content"))
 
 
 @query("r26_replace_questions_whole")
@@ -223,9 +219,35 @@ r AS (SELECT s.entity_type, s.alias, coalesce(dict_id, dec_id, e.id) AS canonica
 """
 
 
-def resolved(t: Inputs) -> DataFrame:
-    out = normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), decisions(t))
-    return out.withColumn("confidence", F.col("confidence").cast("double"))
+#: Vector matches of some names, so that all four tiers resolve.
+MATCHES_SQL = "SELECT DISTINCT entity_type, alias, CAST(1 + ascii(right(alias, 1)) % 4 AS BIGINT) AS canonical_id, CAST(0.9 AS DOUBLE) AS similarity FROM {mentions} WHERE ascii(right(alias, 1)) % 3 = 0 AND trim(alias) = alias AND alias <> ''"
+
+TIERS_SQL = RESOLVED_SQL.replace("dc AS (", f"vm AS ({MATCHES_SQL}), dc AS (", 1).replace(
+    "SELECT a.entity_type, a.alias, d.canonical_id AS dict_id, CASE WHEN dc", "SELECT a.entity_type, a.alias, d.canonical_id AS dict_id, vm.canonical_id AS vec_id, vm.similarity AS vec_sim, CASE WHEN vm.canonical_id IS NULL AND dc", 1).replace(
+    "LEFT JOIN dc ON", "LEFT JOIN vm ON a.entity_type = vm.entity_type AND a.alias = vm.alias LEFT JOIN dc ON", 1).replace(
+    "dict_id IS NULL AND dec_id IS NULL", "dict_id IS NULL AND vec_id IS NULL AND dec_id IS NULL").replace(
+    "coalesce(dict_id, dec_id, e.id)", "coalesce(dict_id, vec_id, dec_id, e.id)", 1).replace(
+    "THEN 'dictionary' WHEN", "THEN 'dictionary' WHEN vec_id IS NOT NULL THEN 'vector' WHEN", 1).replace(
+    "THEN 1.0 WHEN dec_id", "THEN 1.0 WHEN vec_id IS NOT NULL THEN vec_sim WHEN dec_id", 1)
+
+
+def resolved(t: Inputs, matches: DataFrame | None = None) -> DataFrame:
+    out = normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), decisions(t), matches)
+    return stored(out.withColumn("confidence", F.col("confidence").cast("double")), "resolved")
+
+
+def matches(t: Inputs) -> DataFrame:
+    return t.spark.sql(MATCHES_SQL, mentions=t.mentions)
+
+
+@query("r39_resolve_four_tiers", TIERS_SQL + "SELECT entity_type, alias, canonical_id, source, confidence FROM r")
+def _(t):
+    return resolved(t, matches(t)).select("entity_type", "alias", "canonical_id", "source", "confidence")
+
+
+@query("r42_shares_of_four_tiers", TIERS_SQL + "SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY source")
+def _(t):
+    return normalize.tier_shares(resolved(t, matches(t)))
 
 
 @query("r36_apply_decisions", RESOLVED_SQL + "SELECT entity_type, alias, canonical_id, confidence FROM r WHERE source = 'decision'")
@@ -258,7 +280,7 @@ def _(t):
 SELECT post_id, company_id, position_id FROM {{links}} WHERE post_id NOT IN (SELECT post_id FROM p)
 UNION ALL SELECT DISTINCT c.post_id, c.canonical_id, q.canonical_id FROM p c JOIN p q ON c.post_id = q.post_id WHERE c.entity_type = 'company' AND q.entity_type = 'position'""")
 def _(t):
-    per_post = normalize.post_aliases(t.mentions).filter("post_id % 2 = 0").join(resolved(t), ["entity_type", "alias"])
+    per_post = stored(normalize.post_aliases(t.mentions).filter("post_id % 2 = 0").join(resolved(t), ["entity_type", "alias"]), "per-post")
     return normalize.rebuild_links(per_post, t.links)
 
 

@@ -111,6 +111,30 @@ def _(t):
     return back.groupBy("extract_status").agg(F.count("*").alias("n"), F.count("quality_score").alias("scored"), F.sum("quality_score").alias("total"))
 
 
+ROUND_TRIP = ("companies", "positions", "posts", "links", "questions", "alias_dict")
+
+
+@query("r7_all_tables_round_trip", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(sum({'post_id' if name == 'links' else 'id' if name != 'alias_dict' else 'canonical_id'}) AS BIGINT) AS total FROM {{{name}}}" for name in ROUND_TRIP)
+  + " UNION ALL SELECT 'summaries', count(*), CAST(sum(length(source)) AS BIGINT) FROM {documents}")
+def _(t):
+    """All seven tables written and read back; summaries are one of each document, as the domain has none of its own."""
+    from quizmill.sources.schemas import TABLES
+    from quizmill.sources.tables import read_tables, write_table
+
+    folder = work_folder(t.spark, "tables")
+    summaries = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("company_id"), F.lit(0).cast("long").alias("position_id"), F.lit("all").alias("period"), F.col("source").alias("content_md"))
+    for name in (*ROUND_TRIP, "summaries"):
+        rows = summaries if name == "summaries" else getattr(t, name)
+        columns = [c.split() for c in TABLES[name].split(", ")]
+        write_table(rows.select(*(F.col(c) if c in rows.columns and rows.schema[c].dataType.simpleString() != "void" else F.lit(None).cast(kind).alias(c) for c, kind in columns)), folder, name)
+    back, out = read_tables(t.spark, folder), None
+    for name, rows in back.items():
+        key = {"links": F.col("post_id"), "alias_dict": F.col("canonical_id"), "summaries": F.length("content_md").cast("long")}.get(name, F.col("id") if "id" in rows.columns else None)
+        one = rows.agg(F.count("*").alias("n"), F.sum(key).alias("total")).select(F.lit(name).alias("name"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("r8_dedup_records", "SELECT content_id, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY page, pos) AS r FROM {records}) x WHERE r = 1")
 def _(t):
     return ingest.dedup_records(t.records, ["content_id"], ["page", "pos"]).select("content_id", "page", "pos")
@@ -122,12 +146,12 @@ def _(t):
 
 
 @query("r10_catch_up", """
-WITH r AS (SELECT page, pos, content_id, row_number() OVER (PARTITION BY content_id ORDER BY page, pos) = 1 AND content_id IS NOT NULL AS is_new FROM {records} WHERE content_id IS NOT NULL AND page % 37 <> 36),
+WITH r AS (SELECT page, pos, content_id, row_number() OVER (PARTITION BY content_id ORDER BY page, pos) = 1 AND content_id IS NOT NULL AS is_new FROM {records} WHERE content_id IS NOT NULL),
 p AS (SELECT page, count(*) FILTER (WHERE is_new) AS n FROM r GROUP BY page),
 w AS (SELECT page, n = 0 AND lag(n, 1, 1) OVER (ORDER BY page) = 0 AS ends, lead(page) OVER (ORDER BY page) > page + 1 AS gap FROM p)
 SELECT page, pos, content_id, is_new FROM r WHERE page <= coalesce((SELECT min(page) FROM w WHERE ends OR gap), 1000000000)""")
 def _(t):
-    rows = t.records.filter("content_id IS NOT NULL AND page % 37 <> 36").select("page", "pos", "content_id")
+    rows = t.records.filter("content_id IS NOT NULL").select("page", "pos", "content_id")
     return ingest.catch_up(rows).select("page", "pos", "content_id", "is_new")
 
 
@@ -173,14 +197,14 @@ def _(t):
 
 
 @query("r14_upsert_raw", f"""
-WITH g AS (SELECT concat('https://example.com/discuss/', page_id * 3) AS source_url, url AS html, CASE WHEN page_id % 2 = 0 THEN 'titled' END AS page_title FROM {{pages}})
+WITH g AS (SELECT concat('https://example.com/discuss/', page_id * 3) AS source_url, html, CASE WHEN page_id % 2 = 0 THEN 'titled' END AS page_title FROM {{pages}})
 SELECT coalesce(p.source_url, g.source_url) AS source_url, CASE WHEN g.html IS NULL THEN p.title ELSE coalesce(g.page_title, p.title) END AS title, g.html AS raw_html,
   CASE WHEN g.html IS NULL THEN p.fetched_at ELSE TIMESTAMP '{NOW}' END AS fetched_at,
   CASE WHEN g.html IS NOT NULL AND coalesce(p.extract_status, '') <> 'done' THEN 'pending' ELSE p.extract_status END AS extract_status,
   CASE WHEN g.html IS NOT NULL AND coalesce(p.extract_status, '') <> 'done' THEN NULL ELSE p.extract_error END AS extract_error
 FROM {{posts}} p FULL JOIN g ON p.source_url = g.source_url""")
 def _(t):
-    g = t.pages.select(F.concat(F.lit("https://example.com/discuss/"), F.col("page_id") * 3).alias("source_url"), F.col("url").alias("html"), F.when(F.col("page_id") % 2 == 0, "titled").alias("page_title"))
+    g = t.pages.select(F.concat(F.lit("https://example.com/discuss/"), F.col("page_id") * 3).alias("source_url"), "html", F.when(F.col("page_id") % 2 == 0, "titled").alias("page_title"))
     return ingest.upsert_raw(g, t.posts, NOW).drop("id")
 
 

@@ -141,12 +141,15 @@ def _(t):
 
 
 @query("r54_render_summary", """
-SELECT doc_id, rtrim(CASE WHEN doc_id % 3 > 0 THEN '## 高频考点 Top 10' || chr(10) || chr(10) || '### ' || lang || ' <sub>×' || n_chars || '</sub>' || chr(10) || chr(10) || '> ' || source || chr(10) || chr(10) || chr(10) ELSE '' END
-  || CASE WHEN doc_id % 2 > 0 THEN '## 重点考察方向' || chr(10) || chr(10) || '- ' || lang || chr(10) || chr(10) ELSE '' END, '') || '' AS content_md FROM {documents}""")
+SELECT doc_id, rtrim(CASE WHEN doc_id % 3 > 0 THEN '{h[0]}' || chr(10) || chr(10) || '### ' || lang || ' <sub>×' || n_chars || '</sub>' || chr(10) || chr(10) || '> ' || source || chr(10) || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 2 > 0 THEN '{h[1]}' || chr(10) || chr(10) || '- ' || lang || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 > 1 THEN '{h[2]}' || chr(10) || chr(10) || '### ' || source || chr(10) || chr(10) || '> ' || lang || chr(10) || chr(10) || '> ' || n_chars || chr(10) || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 7 > 2 THEN '{h[3]}' || chr(10) || chr(10) || '1. ' || source || chr(10) || '2. ' || lang || chr(10) || chr(10) ELSE '' END, '') || '' AS content_md FROM {documents}""".replace("{h[0]}", aggregate.HEADINGS[0]).replace("{h[1]}", aggregate.HEADINGS[1]).replace("{h[2]}", aggregate.HEADINGS[2]).replace("{h[3]}", aggregate.HEADINGS[3]))
 def _(t):
     topic = F.struct(F.col("lang").alias("topic"), F.col("n_chars").alias("frequency"), F.array("source").alias("sample_questions"))
+    edge = F.struct(F.col("source").alias("topic"), F.array(F.col("lang"), F.col("n_chars").cast("string")).alias("questions"))
     none = F.array().cast("array<string>")
-    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.array(topic)).otherwise(F.filter(F.array(topic), lambda x: F.lit(False))).alias("high_frequency_topics"), F.when(F.col("doc_id") % 2 > 0, F.array("lang")).otherwise(none).alias("focus_areas"), F.lit(None).cast("array<struct<topic:string,questions:array<string>>>").alias("edge_cases"), none.alias("prep_advice"))
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.array(topic)).otherwise(F.filter(F.array(topic), lambda x: F.lit(False))).alias("high_frequency_topics"), F.when(F.col("doc_id") % 2 > 0, F.array("lang")).otherwise(none).alias("focus_areas"), F.when(F.col("doc_id") % 5 > 1, F.array(edge)).alias("edge_cases"), F.when(F.col("doc_id") % 7 > 2, F.array("source", "lang")).otherwise(none).alias("prep_advice"))
     out = aggregate.render_summary(rows)
     return out.select("doc_id", F.when(F.col("content_md") == "", "").otherwise(F.concat("content_md", F.lit("\n"))).alias("content_md"))
 
@@ -253,14 +256,14 @@ def _(t):
 
 @query("r63_search_many", f"""
 SELECT query_id, id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY {DOT} DESC, a.vec_id) AS rank
-FROM {{embeddings}} a, {{embeddings}} b WHERE b.vec_id < 5) x WHERE rank <= 10""")
+FROM {{embeddings}} a, {{embeddings}} b WHERE b.vec_id % 100 = 0) x WHERE rank <= 10""")
 def _(t):
-    return search.search_many(t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10)
+    return search.search_many(t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
 @query("r63_search_hundredth")
 def _(t):
-    """Every row whose id is divisible by 100 against all rows; ``r63_search_many`` has the five queries of its SQL."""
+    """Every row whose id is divisible by 100 against all rows, as in ``r63_search_many``, which has SQL too."""
     e = t.embeddings
     return search.search_many(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
@@ -474,6 +477,14 @@ def _(t):
     return jobs.final_state(jobs.counters_stream(stream), "counters_" + path.rsplit("/", 1)[1].split("-")[0], work_folder(t.spark, "state"))
 
 
+@query("r87_counters_by_status", "SELECT stage, CASE WHEN cache_hit THEN 'cached' ELSE 'called' END AS status, count(*) AS runs, CAST(sum(CAST(round(ms * 100) AS BIGINT)) AS BIGINT) AS total_hundredths FROM {telemetry} GROUP BY ALL")
+def _(t):
+    path = work_folder(t.spark, "events")
+    t.telemetry.select("ts", "stage", F.when(F.col("cache_hit"), "cached").otherwise("called").alias("status"), "ms").repartition(4).write.parquet(path)
+    stream = t.spark.readStream.schema("ts timestamp, stage string, status string, ms double").option("maxFilesPerTrigger", 1).parquet(path)
+    return jobs.final_state(jobs.counters_stream(stream, ("stage", "status")), "statuses_" + path.rsplit("/", 1)[1].split("-")[0], work_folder(t.spark, "state"))
+
+
 @query("r88_daily_update", f"""
 SELECT 'imported' AS step, (SELECT count(DISTINCT detail_url) FROM ({"SELECT concat('https://example.com/discuss/', doc_id * 2) AS detail_url FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT concat('https://example.com/discuss/', doc_id) FROM {documents}"}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}})) AS n
 UNION ALL SELECT 'to_process', (SELECT count(*) FROM {{posts}} WHERE extract_status IN ('pending', 'failed')) + (SELECT count(DISTINCT detail_url) FROM ({"SELECT concat('https://example.com/discuss/', doc_id * 2) AS detail_url FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT concat('https://example.com/discuss/', doc_id) FROM {documents}"}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}}))

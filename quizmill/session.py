@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What queries rely on. Sizes and numbers of partitions are left to the cluster.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
@@ -53,3 +53,10 @@ def shared_base(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_base(spark)}/{uuid.uuid4().hex}-{label}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, whatever reads it."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

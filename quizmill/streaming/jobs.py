@@ -40,9 +40,9 @@ def stored_posts(spark: SparkSession, out: str) -> DataFrame | None:
     return spark.read.schema(CRAWL_POST + ", batch int").option("basePath", out).parquet(out)
 
 
-def counters_stream(events: DataFrame) -> DataFrame:
-    """Running count and total per stage of a stream (or batch) of events; state holds one row per stage."""
-    return events.groupBy("stage").agg(F.count("*").alias("runs"), F.sum(F.round(F.col("ms") * 100).cast("long")).alias("total_hundredths"))
+def counters_stream(events: DataFrame, by: tuple[str, ...] = ("stage",)) -> DataFrame:
+    """Running count and total per stage (or per stage and status) of a stream or batch of events; state holds a row for each."""
+    return events.groupBy(*by).agg(F.count("*").alias("runs"), F.sum(F.round(F.col("ms") * 100).cast("long")).alias("total_hundredths"))
 
 
 def throughput_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -213,3 +213,28 @@ def test_every_hundredth_vector_is_searched_against_all(spark):
     for r in QUERIES["r63_search_hundredth"](spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert len(want) == 20 and got == want
+
+
+def test_nearest_searches_every_row_of_repeated_and_null_ids(spark, monkeypatch):
+    from quizmill.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    vectors = {1: [1.0, 0.0], 2: [0.0, 1.0], 5: [0.6, 0.8], 7: [-1.0, 0.0]}
+    queries = [(1, vectors[1]), (2, vectors[2]), (5, vectors[5]), (5, [0.8, 0.6]), (7, vectors[7]), (None, [0.0, -1.0]), (9, None)]
+    gallery = [(i, v) for i, v in vectors.items()]
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>").coalesce(1)
+    g = spark.createDataFrame(gallery, "id long, embedding array<double>")
+    want = []
+    for i, v in queries:
+        if v:
+            best = sorted(gallery, key=lambda x: (-(v[0] * x[1][0] + v[1] * x[1][1]), x[0]))[:2]
+            want += [(i, b, round(v[0] * x[0] + v[1] * x[1], 6)) for b, x in best]
+    got = [(r.query_id, r.id, r.similarity) for r in search.nearest(q, g, 2).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_counters_by_status(spark):
+    from quizmill.streaming import jobs
+
+    events = spark.createDataFrame([("a", "ok", 1.5), ("a", "failed", 2.0), ("a", "ok", 0.25)], "stage string, status string, ms double")
+    assert sorted(map(tuple, jobs.counters_stream(events, ("stage", "status")).collect())) == [("a", "failed", 1, 200), ("a", "ok", 2, 175)]
