@@ -174,10 +174,10 @@ def test_tiles_return_rows_in_proportion_to_sets():
     ids = np.arange(60)
     columns = [np.zeros(60, np.int64), np.zeros(60, np.int32), ids, np.diff(bounds), ids]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array([None] * 60, pa.list_(pa.int64()))] + [pa.array(w) for w in words.T], names=[f"c{i}" for i in range(6 + J.SKETCH)])
-    kind, _, _ = (np.asarray(c) for c in pa.Table.from_batches(list(J.near_rows([batch], 88))).columns)
+    kind, _, _ = (np.asarray(c) for c in pa.Table.from_batches(list(J.near_rows([batch], 86))).columns)
     assert (kind == 0).sum() == 60 and (kind == 1).sum() == 59
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-    for threshold, merges in ((88, 0), (85, 59)):
+    for threshold, merges in ((86, 0), (85, 59)):
         batch = pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in (0, 1, 2, 4)] + [lists], names=["tile", "block", "f", "c", "tokens"])
         assert sum(b.num_rows for b in J.merge_rows([batch], threshold)) == merges
 
