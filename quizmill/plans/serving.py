@@ -9,7 +9,7 @@ from quizmill.functions.domains import importance
 from quizmill.functions.times import period_label
 from quizmill.operators import aggregate, answers, catalog, score, search, telemetry
 from quizmill.plans.content import payloads
-from quizmill.plans.ingest import batch
+from quizmill.plans.ingest import BATCH_SQL, batch
 from quizmill.plans.registry import Inputs, query
 from quizmill.operators.extract import parse_extraction
 from quizmill.session import work_folder
@@ -492,3 +492,22 @@ UNION ALL SELECT 'buckets', (SELECT count(DISTINCT (company_id, position_id)) FR
 UNION ALL SELECT 'answer_targets', (SELECT count(*) FROM ({TARGETS_SQL}) x)""")
 def _(t):
     return jobs.daily_update(t.posts, t.links, t.questions, batch(t), 2, vector="vec_id")
+
+
+#: Posts after the run's processing: every second waiting one is done.
+PROCESSED_SQL = """(SELECT id, posted_at, CASE WHEN extract_status IN ('pending', 'failed') AND id % 2 = 0 THEN 'done' ELSE extract_status END AS extract_status,
+  CASE WHEN extract_status IN ('pending', 'failed') AND id % 2 = 0 THEN 50 ELSE quality_score END AS quality_score FROM {posts})"""
+BUCKETS_SQL = f"SELECT company_id, position_id, count(*) AS n FROM ({CANDIDATES_SQL}) c GROUP BY company_id, position_id"
+BUCKETS_AFTER_SQL = BUCKETS_SQL.replace("{posts}", PROCESSED_SQL)
+
+
+@query("r88_daily_chain", f"""
+SELECT 'to_process' AS step, (SELECT count(*) FROM {{posts}} WHERE extract_status IN ('pending', 'failed')) + (SELECT count(DISTINCT detail_url) FROM ({BATCH_SQL}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}})) AS n
+UNION ALL SELECT 'imported', (SELECT count(DISTINCT detail_url) FROM ({BATCH_SQL}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}}))
+UNION ALL SELECT 'buckets', (SELECT count(*) FROM ({BUCKETS_AFTER_SQL}) a)
+UNION ALL SELECT 'changed_buckets', (SELECT count(*) FROM ({BUCKETS_AFTER_SQL}) a LEFT JOIN ({BUCKETS_SQL}) o ON a.company_id = o.company_id AND a.position_id = o.position_id WHERE o.n IS NULL OR o.n <> a.n)
+UNION ALL SELECT 'answer_targets', (SELECT count(*) FROM ({TARGETS_SQL.replace("{posts}", PROCESSED_SQL)}) x)""")
+def _(t):
+    outcomes = t.posts.filter("extract_status IN ('pending', 'failed') AND id % 2 = 0").select(F.col("id").alias("post_id"), F.lit("done").alias("outcome"), F.lit(50).alias("quality_score"))
+    before = candidates(t).groupBy(*aggregate.BUCKET).agg(F.count("*").alias("candidate_count"))
+    return jobs.daily_update(t.posts, t.links, t.questions, batch(t), 2, vector="vec_id", outcomes=outcomes, summaries=before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.operators.aggregate import bucket_candidates
+from quizmill.operators.aggregate import BUCKET, bucket_candidates, bucket_status
 from quizmill.operators.answers import answer_targets
 from quizmill.operators.ingest import dedup_records, import_posts
 from quizmill.sources.schemas import CRAWL_POST
@@ -57,16 +57,27 @@ def final_state(stream: DataFrame, name: str, checkpoint: str, mode: str = "comp
     return stream.sparkSession.table(name)
 
 
-def daily_update(posts: DataFrame, links: DataFrame, questions: DataFrame, batch: DataFrame, version: int, vector: str = "embedding") -> DataFrame:
+def daily_update(posts: DataFrame, links: DataFrame, questions: DataFrame, batch: DataFrame, version: int, vector: str = "embedding", outcomes: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
     """Counts of one daily run, a row per step: import the batch, posts to process (pending or failed), buckets to aggregate,
-    questions that need an answer."""
+    questions that need an answer.
+
+    ``outcomes(post_id, outcome, quality_score)`` of processed posts take effect before buckets and questions are counted. With
+    ``summaries`` a further step counts the buckets that are changed since theirs were written; the others are left alone.
+    """
     merged, counts = import_posts(batch, posts)
     steps = [counts.select(F.lit("imported").alias("step"), F.col("new").alias("n"))]
     waiting = merged.filter(F.col("extract_status").isin("pending", "failed"))
     steps.append(waiting.agg(F.count("*").alias("n")).select(F.lit("to_process").alias("step"), "n"))
-    buckets = bucket_candidates(posts, links, questions, vector=vector).select("company_id", "position_id").distinct()
+    after = merged.select("id", "posted_at", "extract_status").join(posts.select("id", "quality_score"), "id", "left")
+    if outcomes is not None:
+        o = outcomes.select(F.col("post_id").alias("id"), "outcome", F.col("quality_score").alias("score"))
+        after = after.join(o, "id", "left").select("id", "posted_at", F.coalesce("outcome", "extract_status").alias("extract_status"), F.coalesce("score", "quality_score").alias("quality_score"))
+    buckets = bucket_candidates(after, links, questions, vector=vector).groupBy(*BUCKET).agg(F.count("*").alias("candidate_count"))
     steps.append(buckets.agg(F.count("*").alias("n")).select(F.lit("buckets").alias("step"), "n"))
-    targets = answer_targets(questions, posts, links, version)
+    if summaries is not None:
+        changed = bucket_status(buckets, summaries).filter("reason = 'ok'")
+        steps.append(changed.agg(F.count("*").alias("n")).select(F.lit("changed_buckets").alias("step"), "n"))
+    targets = answer_targets(questions, after, links, version)
     steps.append(targets.agg(F.count("*").alias("n")).select(F.lit("answer_targets").alias("step"), "n"))
     out = steps[0]
     for s in steps[1:]:
