@@ -30,3 +30,18 @@ def test_counters_and_throughput_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.counters_stream(df).collect()))
     minutes = jobs.final_state(jobs.throughput_stream(stream), "minutes_test", str(tmp_path / "c2"))
     assert sum(r.n for r in minutes.collect()) == 200
+
+
+def test_daily_update_counts_after_processing(spark):
+    posts = spark.createDataFrame(
+        [(1, "u1", "t", "x", None, "done", 40), (2, "u2", "t", "x", None, "pending", None), (3, "u3", "t", "x", None, "failed", None)],
+        "id long, source_url string, title string, cleaned_text string, posted_at timestamp, extract_status string, quality_score int")
+    links = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 3, 1)], "post_id long, company_id long, position_id long")
+    questions = spark.createDataFrame([(10, 1, [1.0], "a", 2), (11, 2, [1.0], None, None), (12, 3, [1.0], None, None)], "id long, post_id long, embedding array<double>, answer_ai string, answer_ai_version int")
+    batch = spark.createDataFrame([("u1", "t", "x", "", 1), ("u9", "t", "x", "", 2), ("u9", "t", "y", "", 3)], "detail_url string, title string, content string, created_at string, line long")
+    plain = {r.step: r.n for r in jobs.daily_update(posts, links, questions, batch, 2).collect()}
+    assert plain == {"imported": 1, "to_process": 3, "buckets": 1, "answer_targets": 0}
+    outcomes = spark.createDataFrame([(2, "done", 60)], "post_id long, outcome string, quality_score int")
+    old = spark.createDataFrame([(1, 1, "all", 1, 1), (2, 1, "all", 1, 1)], "company_id long, position_id long, period string, sample_count long, candidate_count long")
+    got = {r.step: r.n for r in jobs.daily_update(posts, links, questions, batch, 2, outcomes=outcomes, summaries=old).collect()}
+    assert got == {"imported": 1, "to_process": 3, "buckets": 2, "changed_buckets": 1, "answer_targets": 1}
