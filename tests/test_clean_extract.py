@@ -87,4 +87,3 @@ def test_questions_carry_whole_texts(spark):
     t = SimpleNamespace(conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     got = {(r.round_no, r.content) for r in content.exploded(t).collect()}
     assert got == {(turn // 2 + 1, text.strip()) for _, turn, _, text in turns}
-    assert {r.round_no for r in content.exploded(t, content.sql_content()).collect()} == {1, 2}
