@@ -43,6 +43,8 @@ CHUNK_BYTES = 1 << 20
 HUB_ROUNDS = 1
 #: Sets, and shingles in them, about, that one tile compares with as many others.
 TILE, TILE_TOKENS = 4000, 8_000_000
+#: Bytes of tiles that a task works on at once, or one tile.
+TILE_BYTES = 32 << 20
 #: 64-bit words of a parity sketch. Sets above FINE_FROM shingles have one 8 times as large, above 8 * FINE_FROM 64 times, ...
 SKETCH, FINE_FROM = 16, 1200
 #: Keys that a task holds before it combines those that its documents share.
@@ -347,6 +349,25 @@ def token_rows(batches, k: int, seed: int = 0):
         yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), lists], names=["f", "tokens"])
 
 
+def whole_tiles(batches, size: int = TILE_BYTES):
+    """Rows sorted by their first column, the tile, in columns of whole tiles: about ``size`` bytes at a time, or one tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) < size:
+            continue
+        tile = np.asarray(batch.column(0))
+        others = np.flatnonzero(tile != tile[-1])
+        if len(others):  # the last tile may go on
+            cut = int(others[-1]) + 1
+            yield _columns([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield _columns(held)
+
+
 def _groups(tile: np.ndarray, *by: np.ndarray):
     """Row numbers of each tile, ordered by ``by`` within it, the last key first as for lexsort."""
     order = np.lexsort((*by, tile))
@@ -386,12 +407,16 @@ def _coarse_near(words, n, u, v, threshold):
     return apart * (100 + threshold) <= (100 - threshold) * (n[u] + n[v])
 
 
-class Fine:
-    """The larger sketches of the sets of one tile, folded to each size that a comparison needs, on first need."""
+class SketchTile:
+    """Which pairs of one tile's sets may link, by sketches: coarse ones of all sets, larger ones where both sets have them.
+    Larger sketches are folded to each size that a comparison needs, on first need."""
 
-    def __init__(self, held: dict[int, np.ndarray], n: np.ndarray):
-        self.held, self.n, self.folded = held, n, {}
-        self.words = np.array([level(x) for x in n]) if held else None
+    def __init__(self, columns: list, rows: np.ndarray, n: np.ndarray, threshold: int):
+        ends, values = np.asarray(columns[0].offsets), np.asarray(columns[0].values).view(U)
+        self.held = {i: values[ends[r] : ends[r + 1]] for i, r in enumerate(rows.tolist()) if ends[r + 1] > ends[r]}
+        self.coarse = np.stack([np.asarray(x)[rows] for x in columns[1:]], axis=1).view(U)
+        self.n, self.threshold, self.folded = n, threshold, {}
+        self.words = np.array([level(x) for x in n]) if self.held else None
 
     def at(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         if words not in self.folded:
@@ -401,8 +426,12 @@ class Fine:
             self.folded[words] = np.stack([fold(self.held[i], words) for i in rows.tolist()]), place
         return self.folded[words]
 
-    def near(self, u: np.ndarray, v: np.ndarray, threshold: int) -> np.ndarray:
-        """Which of the pairs stay near; those without a larger sketch do."""
+    def near(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that stay near."""
+        near = _coarse_near(self.coarse, self.n, u, v, self.threshold)
+        u, v = u[near], v[near]
+        if not self.held or not len(u):
+            return u, v
         out = np.ones(len(u), bool)
         both = np.minimum(self.words[u], self.words[v])
         for words in np.unique(both[both > SKETCH]).tolist():
@@ -410,98 +439,86 @@ class Fine:
             sketch, place = self.at(words)
             for part in np.array_split(at, len(at) * words // 4_000_000 + 1):
                 apart = np.bitwise_count(sketch[place[u[part]]] ^ sketch[place[v[part]]]).sum(1, dtype=np.int64)
-                out[part] = apart * (100 + threshold) <= (100 - threshold) * (self.n[u[part]] + self.n[v[part]])
-        return out
-
-
-def near_rows(batches, threshold: int):
-    """Rows (tile, block, f, n, c, fine, sketch words) -> ``kind, x, y``: sets x that have a near set in another component y
-    (kind 0: y is their own), and pairs of near components, a spanning forest for each tile (kind 1)."""
-    data = _columns(batches)
-    if data is None:
-        return
-    tile, block, f, n, c = map(np.asarray, data[:5])
-    ends, values = np.asarray(data[5].offsets), np.asarray(data[5].values).view(U)
-    fine = {i: values[ends[i] : ends[i + 1]] for i in np.flatnonzero(np.diff(ends)).tolist()}
-    words = np.stack([np.asarray(x) for x in data[6:]], axis=1).view(U)
-    # the largest component comes last: its sets need no comparison with one another
-    _, at, count = np.unique(mix(tile.view(U) + mix(c.view(U))), return_inverse=True, return_counts=True)
-    kinds, xs, ys = [], [], []
-    for rows in _groups(tile, f, c, count[at]):
-        forest, touched = Forest(c[rows]), np.zeros(len(rows), bool)
-        size, part, cell, sketch = n[rows], c[rows], block[rows], words[rows]
-        single = (cell == cell[0]).all()
-        larger = Fine({i: fine[r] for i, r in enumerate(rows.tolist()) if r in fine}, size)
-        step = max(1, 500_000 // len(rows) // SKETCH)
-        for i in range(0, len(rows), step):
-            if part[i] == part[-1]:
-                break
-            left, right = np.arange(i, min(i + step, len(rows)))[:, None], np.arange(i, len(rows))[None, :]
-            fits = (part[left] != part[right]) & (left < right) & (100 * np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]))
-            if not single:
-                fits &= cell[left] != cell[right]
-            # sets that are known to have a near one need not meet again if their components are joined in this tile
-            fits &= ~(touched[left] & touched[right] & (forest.label[left] == forest.label[right]))
-            u, v = np.nonzero(fits)
-            u, v = u + i, v + i
-            near = _coarse_near(sketch, size, u, v, threshold)
-            u, v = u[near], v[near]
-            if larger.held and len(u):
-                near = larger.near(u, v, threshold)
-                u, v = u[near], v[near]
-            touched[u] = touched[v] = True
-            a, b = forest.join(u, v)
-            kinds.append(np.ones(len(a), np.int32))
-            xs.append(part[a])
-            ys.append(part[b])
-        kinds.append(np.zeros(int(touched.sum()), np.int32))
-        xs.append(f[rows][touched])
-        ys.append(part[touched])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, xs, ys)], names=["kind", "x", "y"])
+                out[part] = apart * (100 + self.threshold) <= (100 - self.threshold) * (self.n[u[part]] + self.n[v[part]])
+        return u[out], v[out]
+
+
+def near_rows(batches, threshold: int, compare=SketchTile):
+    """Rows (tile, block, f, n, c, what ``compare`` needs), sorted by tile -> ``kind, x, y``: sets x that have a near set in
+    another component y (kind 0: y is their own), and pairs of near components, a spanning forest for each tile (kind 1)."""
+    for data in whole_tiles(batches):
+        tile, block, f, n, c = map(np.asarray, data[:5])
+        # the largest component comes last: its sets need no comparison with one another
+        _, at, count = np.unique(mix(tile.view(U) + mix(c.view(U))), return_inverse=True, return_counts=True)
+        kinds, xs, ys = [], [], []
+        for rows in _groups(tile, f, c, count[at]):
+            forest, touched = Forest(c[rows]), np.zeros(len(rows), bool)
+            size, part, cell = n[rows], c[rows], block[rows]
+            single = (cell == cell[0]).all()
+            sets = compare(data[5:], rows, size, threshold)
+            step = max(1, 500_000 // len(rows) // SKETCH)
+            for i in range(0, len(rows), step):
+                if part[i] == part[-1]:
+                    break
+                left, right = np.arange(i, min(i + step, len(rows)))[:, None], np.arange(i, len(rows))[None, :]
+                fits = (part[left] != part[right]) & (left < right) & (100 * np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]))
+                if not single:
+                    fits &= cell[left] != cell[right]
+                # sets that are known to have a near one need not meet again if their components are joined in this tile
+                fits &= ~(touched[left] & touched[right] & (forest.label[left] == forest.label[right]))
+                u, v = np.nonzero(fits)
+                u, v = sets.near(u + i, v + i)
+                touched[u] = touched[v] = True
+                a, b = forest.join(u, v)
+                kinds.append(np.ones(len(a), np.int32))
+                xs.append(part[a])
+                ys.append(part[b])
+            kinds.append(np.zeros(int(touched.sum()), np.int32))
+            xs.append(f[rows][touched])
+            ys.append(part[touched])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, xs, ys)], names=["kind", "x", "y"])
 
 
 def merge_rows(batches, threshold: int):
-    """Rows (tile, block, f, c, tokens) -> ``x, y``: linked sets of different components, one pair for each merge in a tile.
+    """Rows (tile, block, f, c, tokens), sorted by tile -> ``x, y``: linked sets of different components, one pair for each merge in a tile.
 
     A set is marked among the shingles of its tile and met with all near sets of other components at once; the sizes of the
     intersections are exact.
     """
-    data = _columns(batches)
-    if data is None:
-        return
-    tile, block, f, c = map(np.asarray, data[:4])
-    lists = data[4]
-    ends, values = np.asarray(lists.offsets, np.int64), np.asarray(lists.values).view(U)
-    xs, ys = [], []
-    for rows in _groups(tile, f, c):
-        forest, part, cell = Forest(c[rows]), c[rows], block[rows]
-        single = (cell == cell[0]).all()
-        tokens = [values[ends[r] : ends[r + 1]] for r in rows]
-        n = np.array(list(map(len, tokens)))
-        bounds = np.concatenate(([0], np.cumsum(n)))
-        _, token = np.unique(np.concatenate(tokens), return_inverse=True)
-        sketch = np.concatenate([sketches(np.concatenate(tokens[i : i + 1000]), bounds[i : i + 1001] - bounds[i], SKETCH) for i in range(0, len(rows), 1000)]).view(U)
-        mark = np.zeros(int(token.max()) + 1, bool)
-        for u in range(len(rows)):
-            v = np.arange(u + 1, len(rows))
-            v = v[(forest.label[v] != forest.label[u]) & (100 * np.minimum(n[v], n[u]) >= threshold * np.maximum(n[v], n[u]))]
-            if not single:
-                v = v[cell[v] != cell[u]]
-            v = v[_coarse_near(sketch, n, np.full(len(v), u), v, threshold)]
-            if not len(v):
-                continue
-            mark[token[bounds[u] : bounds[u + 1]]] = True
-            if len(v) * 4 > len(rows) - u:
-                both = np.add.reduceat(mark[token[bounds[u] :]], bounds[u:-1] - bounds[u], dtype=np.int64)[v - u]
-            else:
-                both = np.array([int(mark[token[bounds[i] : bounds[i + 1]]].sum()) for i in v])
-            mark[token[bounds[u] : bounds[u + 1]]] = False
-            linked = v[100 * both >= threshold * (n[u] + n[v] - both)]
-            a, b = forest.join(np.full(len(linked), u), linked)
-            xs.append(f[rows][a])
-            ys.append(f[rows][b])
-    none = [np.empty(0, np.int64)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs or none)), pa.array(np.concatenate(ys or none))], names=["x", "y"])
+    for data in whole_tiles(batches):
+        tile, block, f, c = map(np.asarray, data[:4])
+        lists = data[4]
+        ends, values = np.asarray(lists.offsets, np.int64), np.asarray(lists.values).view(U)
+        xs, ys = [], []
+        for rows in _groups(tile, f, c):
+            forest, part, cell = Forest(c[rows]), c[rows], block[rows]
+            single = (cell == cell[0]).all()
+            tokens = [values[ends[r] : ends[r + 1]] for r in rows]
+            n = np.array(list(map(len, tokens)))
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            _, token = np.unique(np.concatenate(tokens), return_inverse=True)
+            sketch = np.concatenate([sketches(np.concatenate(tokens[i : i + 1000]), bounds[i : i + 1001] - bounds[i], SKETCH) for i in range(0, len(rows), 1000)]).view(U)
+            mark = np.zeros(int(token.max()) + 1, bool)
+            for u in range(len(rows)):
+                v = np.arange(u + 1, len(rows))
+                v = v[(forest.label[v] != forest.label[u]) & (100 * np.minimum(n[v], n[u]) >= threshold * np.maximum(n[v], n[u]))]
+                if not single:
+                    v = v[cell[v] != cell[u]]
+                v = v[_coarse_near(sketch, n, np.full(len(v), u), v, threshold)]
+                if not len(v):
+                    continue
+                mark[token[bounds[u] : bounds[u + 1]]] = True
+                if len(v) * 4 > len(rows) - u:
+                    both = np.add.reduceat(mark[token[bounds[u] :]], bounds[u:-1] - bounds[u], dtype=np.int64)[v - u]
+                else:
+                    both = np.array([int(mark[token[bounds[i] : bounds[i + 1]]].sum()) for i in v])
+                mark[token[bounds[u] : bounds[u + 1]]] = False
+                linked = v[100 * both >= threshold * (n[u] + n[v] - both)]
+                a, b = forest.join(np.full(len(linked), u), linked)
+                xs.append(f[rows][a])
+                ys.append(f[rows][b])
+        none = [np.empty(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs or none)), pa.array(np.concatenate(ys or none))], names=["x", "y"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -530,14 +547,21 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
 
 
 class Join:
-    """The steps of one join: ``rows(doc_id, n, f, g, sketches)`` of all documents, and what they are compared by."""
+    """The steps of one join: ``rows(doc_id, n, f, g, ...)`` of all documents, and what they are compared by."""
+
+    #: What ``rows`` has besides, and what compares the sets of a tile by it.
+    columns, schema, compare = ["fine", *_WORDS], SET_SCHEMA, SketchTile
+
+    def describe(self, seed: int):
+        k = self.k
+        return lambda batches: set_rows(batches, k, seed)
 
     def __init__(self, docs: DataFrame, k: int, threshold: int):
         self.docs, self.k, self.threshold = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, threshold
         self.seed = 0
         while True:  # a node is named by 64 bits of its set's hash; another 64 bits and the size show if two sets share a name
             seed = self.seed
-            self.rows = materialise(self.docs.mapInArrow(lambda it: set_rows(it, k, seed), SET_SCHEMA), "sketches")
+            self.rows = materialise(self.docs.mapInArrow(self.describe(seed), self.schema), "sketches")
             named = self.rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("doc_id"))
             self.nodes = materialise(named, "nodes")
             if self.nodes.groupBy("f").count().filter("count > 1").isEmpty():
@@ -574,7 +598,10 @@ class Join:
         total = self.nodes.agg(F.sum("n")).first()[0] or 0
         expected = total * (100 - self.threshold) / max(self.threshold, 1) * 1.7
         dealt = self.docs.filter("doc_id is not null").mapInArrow(lambda it: key_rows(it, k, bands, seed), KEY_SCHEMA).repartition(int(expected // TASK_KEYS) + 1, "p")
-        held = materialise(dealt.mapInArrow(member_rows, "key long, f long, n int").distinct(), "members")
+        return self.lists(materialise(dealt.mapInArrow(member_rows, "key long, f long, n int").distinct(), "members"))
+
+    def lists(self, held: DataFrame) -> DataFrame:
+        """Of ``held(key, f, n)`` the keys that several sets hold; of keys held by the same sets, one."""
         same = held.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("f").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("f", F.lit(7))).alias("t"))
         same = same.filter("size > 1").groupBy("size", "s", "t").agg(F.min("key").alias("key"))
         return materialise(held.join(same, "key", "left_semi"), "groups")
@@ -605,6 +632,16 @@ class Join:
         raw = hub.join(placed.select("key", F.col("f").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy")), "key").filter(fits)
         pairs = materialise(raw.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
 
+        near = materialise(self.near_pairs(pairs), "near")
+        involved = materialise(near.select(F.explode(F.array("x", "y")).alias("f")).distinct(), "nodes")
+        sets = materialise(self.tokens(involved), "sets")
+        left, right = sets.select(F.col("f").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("f").alias("y"), F.col("tokens").alias("t"))
+        both = F.size(F.array_intersect("s", "t"))
+        met = near.join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
+        return materialise(met.filter(F.col("i") * 100 >= F.col("u") * self.threshold).select("x", "y"), "links")
+
+    def near_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs(x, y)`` that sketches do not refuse."""
         involved = materialise(pairs.select(F.explode(F.array("x", "y")).alias("f")).distinct(), "nodes")
         sketch = materialise(self.sketched(involved), "sketched")
         narrow = small(sketch.drop("fine"), 8 * (SKETCH + 2))
@@ -618,14 +655,7 @@ class Join:
         apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0).cast("long"), lambda a, x: a + x)
         refused = (F.size("fx") == F.size("fy")) & (apart * (100 + self.threshold) > most)
         near = near.join(left, "x", "left").join(right, "y", "left").filter(~F.coalesce(refused, F.lit(False)))
-        near = materialise(near.select("x", "y"), "near")
-
-        involved = materialise(near.select(F.explode(F.array("x", "y")).alias("f")).distinct(), "nodes")
-        sets = materialise(self.tokens(involved), "sets")
-        left, right = sets.select(F.col("f").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("f").alias("y"), F.col("tokens").alias("t"))
-        both = F.size(F.array_intersect("s", "t"))
-        met = near.join(left, "x").join(right, "y").select("x", "y", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
-        return materialise(met.filter(F.col("i") * 100 >= F.col("u") * self.threshold).select("x", "y"), "links")
+        return near.select("x", "y")
 
     def tiled(self, rows: DataFrame, group: str) -> DataFrame:
         """Rows of ``group, f, ..., size, total`` dealt to tiles: pairs of blocks of about TILE sets or TILE_TOKENS shingles."""
@@ -634,19 +664,22 @@ class Join:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return rows.withColumn("tile", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
 
+    def sketch_bytes(self, sketch: DataFrame) -> int:
+        return sketch.agg(F.sum(8 * (SKETCH + 2) + F.when(F.col("fine").isNull(), 0).otherwise(8 * F.size("fine")))).first()[0] or 0
+
     def near_clusters(self, placed: DataFrame) -> DataFrame:
         """``f, c, cluster``: sets that have a near one in another component, by clusters of near components."""
         threshold = self.threshold
         involved = materialise(placed.select("f").distinct(), "nodes")
         sketch = materialise(self.sketched(involved), "sketched")
         tiles = self.tiled(placed, "key").select("tile", "block", "f", "n", "c")
-        total = sketch.agg(F.sum(8 * (SKETCH + 2) + F.when(F.col("fine").isNull(), 0).otherwise(8 * F.size("fine")))).first()[0] or 0
-        if total <= BROADCAST_BYTES:
+        if self.sketch_bytes(sketch) <= BROADCAST_BYTES:
             tiles = tiles.repartition("tile").join(F.broadcast(sketch.drop("n")), "f")
         else:
             tiles = tiles.join(sketch.drop("n"), "f").repartition("tile")
-        tiles = tiles.select("tile", "block", "f", "n", "c", "fine", *_WORDS)
-        found = materialise(tiles.mapInArrow(lambda it: near_rows(it, threshold), "kind int, x long, y long").distinct(), "near")
+        tiles = tiles.select("tile", "block", "f", "n", "c", *self.columns).sortWithinPartitions("tile")
+        compare = self.compare
+        found = materialise(tiles.mapInArrow(lambda it: near_rows(it, threshold, compare), "kind int, x long, y long").distinct(), "near")
         if found.isEmpty():
             return found.select(F.col("x").alias("f"), F.col("y").alias("c"), F.col("y").alias("cluster"))
         clusters = components(found.filter("kind = 1").select("x", "y"))
@@ -660,7 +693,7 @@ class Join:
         rows = clusters.join(sets.select("f", F.size("tokens").alias("n")), "f")
         size = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
         tiles = self.tiled(rows.join(size, "cluster"), "cluster").select("tile", "block", "f", "c")
-        tiles = tiles.join(sets, "f").repartition("tile").select("tile", "block", "f", "c", "tokens")
+        tiles = tiles.join(sets, "f").repartition("tile").sortWithinPartitions("tile").select("tile", "block", "f", "c", "tokens")
         return materialise(tiles.mapInArrow(lambda it: merge_rows(it, threshold), "x long, y long").distinct(), "links")
 
     def parts(self) -> DataFrame | None:
@@ -696,7 +729,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     Shingles are equal if their 64-bit hashes are. Two sets of 20,000 shingles that share none meet a false one with a chance
     of 2e-11; that a set of a hundred million documents is taken for another has a chance of 3e-4 in all.
     """
-    join = Join(docs, k, threshold)
+    return classes(Join(docs, k, threshold))
+
+
+def classes(join: Join) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` of all documents of a join."""
     parts = join.parts()
     known = join.nodes.filter("doc_id is not null").select("f", F.col("doc_id").alias("class_id"))
     if parts is None:

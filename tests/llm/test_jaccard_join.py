@@ -192,3 +192,14 @@ def test_folded_sketches_and_forest():
     forest = J.Forest(np.array([7, 7, 3, 4, 5]))
     a, b = forest.join(np.array([0, 1, 2, 0, 1]), np.array([2, 2, 0, 3, 3]))
     assert len(a) == 2 and len(set(forest.label[:4])) == 1 and forest.label[4] != forest.label[0]
+
+
+def test_tiles_arrive_whole_and_one_by_one():
+    tile = np.repeat([1, 2, 5, 6, 9], [3, 40, 1, 1, 7])
+    table = pa.table({"tile": tile, "x": np.arange(len(tile))})
+    for rows in (1, 4, 50, 100):
+        got = list(J.whole_tiles(table.to_batches(rows), 64))
+        assert [x for g in got for x in np.asarray(g[1])] == list(range(len(tile)))
+        ends = [(np.asarray(g[0])[0], np.asarray(g[0])[-1]) for g in got]
+        assert all(a[1] != b[0] for a, b in zip(ends, ends[1:])) and (rows > 4 or len(got) > 2)
+    assert list(J.whole_tiles([])) == []
