@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizmill.llm import chat_format, conversation_repair, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, line_dedup, packing, pii, quality, token_output
+from quizmill.llm import chat_format, conversation_repair, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, line_dedup, minhash_join, packing, pii, quality, token_output
 
 MODULES = {
     "op1_token_output": token_output,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_quality": quality,
     "op9_language_id": language_id,
     "op10_exact_dedup": exact_dedup,
+    "op11_minhash_join": minhash_join,
     "op12_conversation_repair": conversation_repair,
     "op13_hard_negatives": hard_negatives,
 }
