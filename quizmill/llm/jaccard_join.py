@@ -358,12 +358,11 @@ def whole_tiles(batches, size: int = TILE_BYTES):
         held.append(batch)
         if sum(b.nbytes for b in held) < size:
             continue
-        tile = np.asarray(batch.column(0))
-        others = np.flatnonzero(tile != tile[-1])
-        if len(others):  # the last tile may go on
-            cut = int(others[-1]) + 1
-            yield _columns([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
+        last = batch.column(0)[-1].as_py()  # this tile may go on
+        i, at = next((i, at[0]) for i, b in enumerate(held) if len(at := np.flatnonzero(np.asarray(b.column(0)) == last)))
+        if i or at:
+            yield _columns([*held[:i], held[i].slice(0, at)])
+            held = [held[i].slice(at), *held[i + 1 :]]
     if held:
         yield _columns(held)
 
