@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions.times import parse_local
+from quizmill.operators.numbering import numbered
+from quizmill.session import stored
 
 
 def dedup_records(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -22,21 +24,30 @@ def catch_up(df: DataFrame, posts: DataFrame | None = None, patience: int = 2, k
     """Rows of the pages that are taken, with ``is_new``.
 
     A record is new if its key is seen for the first time (page, then pos) and, where ``posts`` are given, its URL is not
-    stored. ``patience`` pages in a row without a new record, or a missing page, end the run after them; a page with a new
-    record starts the count anew.
+    stored; rows that repeat key, page and pos are new together. ``patience`` pages in a row without a new record, or a
+    missing page, end the run after them; a page with a new record starts the count anew.
+
+    Plan: the first place of each key is a minimum, taken in part before the shuffle. Up to the first missing page pages have
+    consecutive numbers, so a run of ``patience`` blank ones ends at page p if p, p - 1, ... are blank: each blank page counts
+    for itself and the next ones, and sums by page number show the runs. No window orders the pages.
     """
-    first = Window.partitionBy(key).orderBy("page", "pos")
-    rows = df.withColumn("is_new", F.row_number().over(first) == 1)
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("page", "pos")).alias("_first"))
+    first = first.select("_key", F.col("_first.page").alias("_page"), F.col("_first.pos").alias("_pos"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("page") == F.col("_page")) & (F.col("pos") == F.col("_pos"))
+    rows = df.join(first, same, "left").withColumn("is_new", F.col("_page").isNotNull()).drop("_key", "_page", "_pos")
     if posts is not None:
-        stored = posts.select(F.col("source_url").alias(url)).distinct().withColumn("_stored", F.lit(True))
-        rows = rows.join(stored, url, "left").withColumn("is_new", F.col("is_new") & F.col("_stored").isNull()).drop("_stored")
-    pages = rows.groupBy("page").agg(F.count_if("is_new").alias("n"))
-    walk = Window.orderBy("page")  # one row per page: small
-    blank = F.when(F.col("n") == 0, 1).otherwise(0)
-    run = sum((F.lag(blank, i, 0).over(walk) for i in range(patience)), F.lit(0))
-    pages = pages.withColumn("ends", run == patience).withColumn("gap", F.lead("page").over(walk) > F.col("page") + 1)
-    last = pages.filter("ends or gap").agg(F.min("page").alias("last"))
-    return rows.crossJoin(F.broadcast(last)).filter(F.col("last").isNull() | (F.col("page") <= F.col("last"))).drop("last")
+        known = posts.select(F.col("source_url").alias(url)).distinct().withColumn("_stored", F.lit(True))
+        rows = rows.join(known, url, "left").withColumn("is_new", F.col("is_new") & F.col("_stored").isNull()).drop("_stored")
+    rows = stored(rows, "records")
+    pages = stored(rows.groupBy("page").agg(F.count_if("is_new").alias("n")), "pages")
+
+    reach = F.explode(F.sequence(F.lit(0), F.lit(patience - 1)))
+    blank = pages.filter("n = 0").select("page", reach.alias("i")).select((F.col("page") + F.col("i")).alias("page"), (F.col("i") == 0).cast("int").alias("own"))
+    ends = blank.groupBy("page").agg(F.count("*").alias("run"), F.max("own").alias("own")).filter((F.col("run") == patience) & (F.col("own") == 1)).select("page")
+    near = pages.select(F.explode(F.array(F.struct("page", F.lit(True).alias("there")), F.struct((F.col("page") + 1).alias("page"), F.lit(False).alias("there")))).alias("x")).select("x.*")
+    gaps = near.groupBy("page").agg(F.bool_or("there").alias("there")).filter(~F.col("there")).select((F.col("page") - 1).alias("page"))
+    last = ends.union(gaps).agg(F.min("page")).first()[0]
+    return rows if last is None else rows.filter(F.col("page") <= last)
 
 
 def filter_usable(df: DataFrame, since: str | None = None, until: str | None = None, id_col: str = "content_id", ts: str = "created") -> DataFrame:
@@ -52,43 +63,55 @@ def filter_usable(df: DataFrame, since: str | None = None, until: str | None = N
     return out
 
 
+def _after_largest(posts: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` rows with ids after the largest of ``posts``, in ``order``."""
+    top = posts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered(new, order, name="_nr").withColumn("id", F.col("_nr") + top).drop("_nr")
+
+
 def import_posts(batch: DataFrame, posts: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(posts, counts) after importing ``batch(title, content, detail_url, created_at, line)``.
 
-    Of lines with one URL the first wins. New URLs come in as pending; known ones are skipped or, with ``force``, get the
-    new text and become pending. ``counts``: new, skipped, updated. New posts get ids after the largest, by line.
+    Of lines with one URL the first wins. New URLs come in as pending, in version 0, with ids after the largest by line; known ones are skipped
+    or, with ``force``, get the new text and become pending. All columns of ``posts`` stay; ``outcome`` says what became of
+    a line (null: none was given). ``counts``: new, skipped, updated. Posts without an id count as stored.
     """
     rows = dedup_records(batch.filter(F.length(F.trim("detail_url")) > 0), ["detail_url"], ["line"])
-    rows = rows.select(F.col("detail_url").alias("source_url"), F.col("title").alias("b_title"), F.col("content").alias("b_text"), parse_local(F.col("created_at")).alias("b_posted"), "line")
-    p = posts.select("id", "source_url", "title", "cleaned_text", "posted_at", "extract_status")
-    both = p.join(rows, "source_url", "full_outer")
-    known, given = F.col("id").isNotNull(), F.col("line").isNotNull()
+    rows = rows.select(F.col("detail_url").alias("source_url"), F.struct("title", "content", parse_local(F.col("created_at")).alias("posted_at"), "line").alias("_new"))
+    both = stored(posts.withColumn("_known", F.lit(True)).join(rows, "source_url", "full_outer"), "imported")
+    known, given = F.col("_known").isNotNull(), F.col("_new").isNotNull()
     change = given & (~known | F.lit(force))
     kind = F.when(given & ~known, "new").when(given & known & F.lit(force), "updated").when(given, "skipped")
-    out = both.select(
-        "id", "source_url", "line",
-        F.when(known, F.col("title")).otherwise(F.col("b_title")).alias("title"),
-        F.when(change, F.col("b_text")).otherwise(F.col("cleaned_text")).alias("cleaned_text"),
-        F.when(known, F.col("posted_at")).otherwise(F.col("b_posted")).alias("posted_at"),
-        F.when(change, "pending").otherwise(F.col("extract_status")).alias("extract_status"), kind.alias("outcome"),
-    )
-    counts = out.agg(*(F.count_if(F.col("outcome") == k).alias(k) for k in ("new", "skipped", "updated")))
-    return out.drop("line"), counts
+    out = both.withColumns({
+        "title": F.when(known, F.col("title")).otherwise(F.col("_new.title")),
+        "cleaned_text": F.when(change, F.col("_new.content")).otherwise(F.col("cleaned_text")),
+        "posted_at": F.when(known, F.col("posted_at")).otherwise(F.col("_new.posted_at")),
+        "extract_status": F.when(change, "pending").otherwise(F.col("extract_status")), "outcome": kind,
+    })
+    if "extract_version" in posts.columns:
+        out = out.withColumn("extract_version", F.when(known, F.col("extract_version")).otherwise(F.lit(0)).cast(posts.schema["extract_version"].dataType))
+    out = out.withColumn("_line", F.col("_new.line"))
+    out = out.filter(known).unionByName(_after_largest(posts, out.filter(~known), ["_line", "source_url"])).select(*posts.columns, "outcome")
+    counts = both.agg(*(F.count_if(kind == k).alias(k) for k in ("new", "skipped", "updated")))
+    return out, counts
 
 
 def upsert_raw(pages: DataFrame, posts: DataFrame, now: str) -> DataFrame:
-    """``posts`` after storing ``pages(source_url, html, page_title)``: new ones are pending; known ones get the html, the
-    title if one is given, and the time; unless done they are pending again without an error."""
-    both = posts.join(pages.select("source_url", "html", "page_title").withColumn("_page", F.lit(True)), "source_url", "full_outer")
-    given = F.col("_page").isNotNull()
+    """``posts`` after storing ``pages(source_url, html, page_title)``, each URL once: new ones are pending, in version 0, with ids after the
+    largest by URL; known ones get the html, the title if one is given that is not empty, and the time, and are pending again
+    without an error unless they are done. All columns stay, and so does the html of posts that no page is given for."""
+    page = pages.select("source_url", F.struct("html", F.nullif("page_title", F.lit("")).alias("title")).alias("_page"))
+    both = stored(posts.withColumn("_known", F.lit(True)).join(page, "source_url", "full_outer"), "upserted")
+    known, given = F.col("_known").isNotNull(), F.col("_page").isNotNull()
     again = given & ~F.coalesce(F.col("extract_status") == "done", F.lit(False))
-    return both.select(
-        "id", "source_url", F.when(given, F.coalesce("page_title", "title")).otherwise(F.col("title")).alias("title"),
-        F.when(given, F.col("html")).alias("raw_html"),
-        F.when(given, F.lit(now).cast("timestamp")).otherwise(F.col("fetched_at").cast("timestamp")).alias("fetched_at"),
-        F.when(again, "pending").otherwise(F.col("extract_status")).alias("extract_status"),
-        F.when(again, None).otherwise(F.col("extract_error")).alias("extract_error"),
-    )
+    out = both.withColumns({
+        "title": F.coalesce("_page.title", "title"), "raw_html": F.when(given, F.col("_page.html")).otherwise(F.col("raw_html")),
+        "fetched_at": F.when(given, F.lit(now).cast("timestamp")).otherwise(F.col("fetched_at").cast("timestamp")),
+        "extract_status": F.when(again, "pending").otherwise(F.col("extract_status")), "extract_error": F.when(~again, F.col("extract_error")),
+    })
+    if "extract_version" in posts.columns:
+        out = out.withColumn("extract_version", F.when(known, F.col("extract_version")).otherwise(F.lit(0)).cast(posts.schema["extract_version"].dataType))
+    return out.filter(known).unionByName(_after_largest(posts, out.filter(~known), ["source_url"])).select(*posts.columns)
 
 
 def discover_urls(pages: DataFrame, base: str, shapes: list[str]) -> DataFrame:
@@ -127,7 +150,7 @@ def keyword_score(df: DataFrame, weights: dict[int, list[str]], threshold: int =
 
 
 def page_date(html: Column, text: Column, head: int = 3000) -> Column:
-    """The published date of a page: of two meta tags, else the first valid date in the first ``head`` characters. Days of two
+    """The published date of a page: of two meta tags (their public names are fixed values), else the first valid date in the first ``head`` characters. Days of two
     digits are read whole."""
     def meta(attr: str, name: str) -> Column:
         a = F.regexp_extract(html, f"(?i)<meta[^>]*{attr}=[\"']{name}[\"'][^>]*content=[\"']([^\"']+)[\"']", 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.session import stored
+from quizmill.operators.numbering import numbered
 from quizmill.operators.search import nearest
+from quizmill.session import small, stored
 
 
 def post_aliases(mentions: DataFrame) -> DataFrame:
@@ -43,12 +44,12 @@ def apply_decisions(unresolved: DataFrame, decisions: DataFrame, min_conf: float
 
 def create_canonicals(unresolved: DataFrame, canonicals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved aliases, new canonicals). The name is the proposed one or the alias; an existing name gives its id, others
-    the next ids of their type by name. Only distinct new names are numbered."""
+    the next ids of their type by name. Only distinct new names are numbered, in ranges of names."""
     named = unresolved.withColumn("name", F.coalesce(F.nullif(F.trim("proposed"), F.lit("")), "alias"))
     fresh = named.select("entity_type", F.col("name").alias("canonical")).distinct().join(canonicals, ["entity_type", "canonical"], "left_anti")
     top = canonicals.groupBy("entity_type").agg(F.max("id").alias("top"))
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("canonical"))
-    new = fresh.join(F.broadcast(top), "entity_type", "left").select("entity_type", (F.coalesce("top", F.lit(0)) + number).cast("long").alias("id"), "canonical")
+    fresh = numbered(fresh, ["canonical"], ["entity_type"])
+    new = fresh.join(small(top), "entity_type", "left").select("entity_type", (F.coalesce("top", F.lit(0)) + F.col("number")).cast("long").alias("id"), "canonical")
     every = canonicals.select("entity_type", "id", "canonical").unionByName(new)
     out = named.drop("canonical_id", "confidence").join(every.withColumnRenamed("canonical", "name").withColumnRenamed("id", "canonical_id"), ["entity_type", "name"])
     return out.withColumn("confidence", F.lit(0.5)), new

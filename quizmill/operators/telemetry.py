@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizmill.operators.numbering import order_statistic
+from quizmill.session import stored
+
 
 def usage_summary(events: DataFrame, price_in: float = 1.0, price_out: float = 2.0) -> DataFrame:
     """Hits, misses, total, hit rate (0 without any), tokens and cost, of ``events(cache_hit, tokens_in, tokens_out)``."""
@@ -22,12 +25,8 @@ def stage_latency(events: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Element n div 2, from 0, of the sorted values of each key. Values are counted before they are sorted, so a frequent key
-    costs its distinct values."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(key, col).agg(F.count("*").alias("n"))
-    every, upto = Window.partitionBy(key), Window.partitionBy(key).orderBy(col)
-    placed = counts.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(upto))
-    return placed.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min(col).alias("p50"), F.max("total").alias("n"))
+    """Element n div 2, from 0, of the sorted values of each key, found by counts in ranges (see ``order_statistic``)."""
+    return order_statistic(df, key, col, lambda n: F.floor(n / 2)).select(key, F.col("value").alias("p50"), "n")
 
 
 def throughput(events: DataFrame, now: str, ts: str = "ts", minutes: int = 60) -> DataFrame:
@@ -45,14 +44,20 @@ def to_quarantine(failed: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def list_dead(dead: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` of each task."""
-    return dead.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy("seq"))).filter(F.col("place") <= n)
+    """The first ``n`` of each task with their ``place``; Spark keeps n rows a task name before it shuffles."""
+    return dead.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy("seq", "payload", "error"))).filter(F.col("place") <= n)
 
 
 def drain(dead: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(the first ``n`` of each task, the rest)."""
-    placed = dead.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy("seq")))
-    return placed.filter(F.col("place") <= n).drop("place"), placed.filter(F.col("place") > n).drop("place")
+    """(the first ``n`` of each task by seq, payload and error, the rest). Rows that equal the last one taken go with it.
+
+    The last row that is taken is found among n rows a task; the others compare with it and are not ranked.
+    """
+    at = F.struct("seq", "payload", "error")
+    last = list_dead(dead, n).groupBy("task").agg(F.max(at).alias("_last"))
+    placed = dead.join(stored(last.select(F.col("task").alias("_of"), "_last"), "drained"), F.col("task").eqNullSafe(F.col("_of")), "left")
+    taken = F.coalesce(at <= F.col("_last"), F.lit(False))
+    return placed.filter(taken).drop("_of", "_last"), placed.filter(~taken).drop("_of", "_last")
 
 
 def dead_counts(dead: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def _(t):
     return rows.withColumn("parsed", F.unix_timestamp(parse_local(F.col("shown"))))
 
 
-BATCH_SQL = """SELECT concat('https://example.com/discuss/', doc_id * 2) AS detail_url, source AS title, text AS content, '' AS created_at, doc_id AS line FROM {documents} WHERE doc_id % 3 > 0
+BATCH_SQL = """SELECT concat('https://example.com/discuss/', doc_id * 31) AS detail_url, source AS title, text AS content, '' AS created_at, doc_id AS line FROM {documents} WHERE doc_id % 3 > 0
 UNION ALL SELECT concat('https://example.com/discuss/', doc_id), lang, '', '', doc_id + 1000000000 FROM {documents}"""
 
 
@@ -181,14 +181,22 @@ def batch(t: Inputs) -> DataFrame:
 
 IMPORT_SQL = f"""
 WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY detail_url ORDER BY line) AS r FROM ({BATCH_SQL}) x) y WHERE r = 1),
-j AS (SELECT coalesce(p.source_url, b.detail_url) AS source_url, CASE WHEN p.id IS NULL THEN b.title ELSE p.title END AS title, p.id, b.line,
-  CASE WHEN p.id IS NULL THEN 'pending' ELSE p.extract_status END AS extract_status FROM {{posts}} p FULL JOIN b ON p.source_url = b.detail_url)
+j AS (SELECT p.*, b.detail_url, b.title AS b_title, b.content AS b_content, b.line FROM {{posts}} p FULL JOIN b ON p.source_url = b.detail_url),
+n AS (SELECT *, (SELECT max(id) FROM {{posts}}) + row_number() OVER (PARTITION BY id IS NULL ORDER BY line) AS new_id FROM j)
 """
 
 
-@query("r13_import_posts", IMPORT_SQL + "SELECT source_url, title, extract_status, CASE WHEN line IS NULL THEN NULL WHEN id IS NULL THEN 'new' ELSE 'skipped' END AS outcome FROM j")
+@query("r13_import_posts", IMPORT_SQL + """SELECT coalesce(id, new_id) AS id, coalesce(source_url, detail_url) AS source_url, CASE WHEN id IS NULL THEN b_title ELSE title END AS title, raw_html,
+  CASE WHEN id IS NULL THEN b_content ELSE cleaned_text END AS cleaned_text, posted_at, fetched_at, CASE WHEN id IS NULL THEN 'pending' ELSE extract_status END AS extract_status, extract_error, quality_score,
+  CASE WHEN id IS NULL THEN 0 ELSE extract_version END AS extract_version, CASE WHEN line IS NULL THEN NULL WHEN id IS NULL THEN 'new' ELSE 'skipped' END AS outcome FROM n""")
 def _(t):
-    return ingest.import_posts(batch(t), t.posts)[0].select("source_url", "title", "extract_status", "outcome")
+    return ingest.import_posts(batch(t), t.posts)[0]
+
+
+@query("r13_import_forced", IMPORT_SQL + """SELECT coalesce(id, new_id) AS id, CASE WHEN line IS NOT NULL THEN b_content ELSE cleaned_text END AS cleaned_text, raw_html, quality_score,
+  CASE WHEN line IS NOT NULL THEN 'pending' ELSE extract_status END AS extract_status, CASE WHEN line IS NULL THEN NULL WHEN id IS NULL THEN 'new' ELSE 'updated' END AS outcome FROM n""")
+def _(t):
+    return ingest.import_posts(batch(t), t.posts, force=True)[0].select("id", "cleaned_text", "raw_html", "quality_score", "extract_status", "outcome")
 
 
 @query("r13_import_counts", IMPORT_SQL + "SELECT count(*) FILTER (WHERE id IS NULL) AS \"new\", CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE id IS NOT NULL AND line IS NOT NULL) AS updated FROM j")
@@ -197,15 +205,15 @@ def _(t):
 
 
 @query("r14_upsert_raw", f"""
-WITH g AS (SELECT concat('https://example.com/discuss/', page_id * 3) AS source_url, html, CASE WHEN page_id % 2 = 0 THEN 'titled' END AS page_title FROM {{pages}})
-SELECT coalesce(p.source_url, g.source_url) AS source_url, CASE WHEN g.html IS NULL THEN p.title ELSE coalesce(g.page_title, p.title) END AS title, g.html AS raw_html,
-  CASE WHEN g.html IS NULL THEN p.fetched_at ELSE TIMESTAMP '{NOW}' END AS fetched_at,
-  CASE WHEN g.html IS NOT NULL AND coalesce(p.extract_status, '') <> 'done' THEN 'pending' ELSE p.extract_status END AS extract_status,
-  CASE WHEN g.html IS NOT NULL AND coalesce(p.extract_status, '') <> 'done' THEN NULL ELSE p.extract_error END AS extract_error
-FROM {{posts}} p FULL JOIN g ON p.source_url = g.source_url""")
-def _(t):
-    g = t.pages.select(F.concat(F.lit("https://example.com/discuss/"), F.col("page_id") * 3).alias("source_url"), "html", F.when(F.col("page_id") % 2 == 0, "titled").alias("page_title"))
-    return ingest.upsert_raw(g, t.posts, NOW).drop("id")
+WITH g AS (SELECT concat('https://example.com/discuss/', page_id * 97) AS page_url, html, CASE WHEN page_id % 2 = 0 THEN 'titled' END AS page_title FROM {{pages}}),
+j AS (SELECT *, (SELECT max(id) FROM {{posts}}) + row_number() OVER (PARTITION BY id IS NULL ORDER BY page_url) AS new_id, page_url IS NOT NULL AS given,
+  page_url IS NOT NULL AND coalesce(extract_status, '') <> 'done' AS again FROM {{posts}} p FULL JOIN g ON p.source_url = g.page_url)
+SELECT coalesce(id, new_id) AS id, coalesce(source_url, page_url) AS source_url, coalesce(page_title, title) AS title, CASE WHEN given THEN html ELSE raw_html END AS raw_html, cleaned_text, posted_at,
+  CASE WHEN given THEN TIMESTAMP '{NOW}' ELSE fetched_at END AS fetched_at, CASE WHEN again THEN 'pending' ELSE extract_status END AS extract_status,
+  CASE WHEN again THEN NULL ELSE extract_error END AS extract_error, quality_score, CASE WHEN id IS NULL THEN 0 ELSE extract_version END AS extract_version FROM j""")
+def _(t):
+    g = t.pages.select(F.concat(F.lit("https://example.com/discuss/"), F.col("page_id") * 97).alias("source_url"), "html", F.when(F.col("page_id") % 2 == 0, "titled").alias("page_title"))
+    return ingest.upsert_raw(g, t.posts, NOW)
 
 
 @query("r15_discover_urls", r"""

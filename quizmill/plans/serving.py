@@ -135,7 +135,6 @@ SELECT company_id, position_id, period, topic, frequency, samples, CASE WHEN rar
 def _(t):
     s = aggregate.summarise_buckets(clusters(t))
     top = s.select("company_id", "position_id", "period", F.explode("high_frequency_topics").alias("x"), "edge_cases")
-    edge = F.element_at(F.filter("edge_cases", lambda e: e["topic"] == F.col("x.topic")), 1)
     edge = F.try_element_at(F.filter("edge_cases", lambda e: e["topic"] == F.col("x.topic")), F.lit(1))
     return top.select("company_id", "position_id", "period", F.col("x.topic").alias("topic"), F.col("x.frequency").alias("frequency"), F.array_join("x.sample_questions", "|").alias("samples"), F.array_join(edge["questions"], "|").alias("rare"))
 
@@ -261,13 +260,6 @@ def _(t):
     return search.search_many(t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
-@query("r63_search_hundredth")
-def _(t):
-    """Every row whose id is divisible by 100 against all rows, as in ``r63_search_many``, which has SQL too."""
-    e = t.embeddings
-    return search.search_many(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 10)
-
-
 @query("r64_backfill")
 def _(t):
     q = t.questions.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").select("id", "content", "embedding")
@@ -429,6 +421,11 @@ def _(t):
     return telemetry.upper_median(t.telemetry, "stage", "ms")
 
 
+@query("r83_upper_median_of_all", "SELECT 'all' AS stage, (list(ms ORDER BY ms))[count(*) // 2 + 1] AS p50, count(*) AS n FROM {telemetry}")
+def _(t):
+    return telemetry.upper_median(t.telemetry.select(F.lit("all").alias("stage"), "ms"), "stage", "ms")
+
+
 @query("r84_throughput", "SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM {telemetry} WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1")
 def _(t):
     return telemetry.throughput(t.telemetry, "2024-01-15 12:00:00")
@@ -453,6 +450,11 @@ def _(t):
     return first.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False))).select("task", "seq", "taken")
 
 
+@query("r85_list_dead", f"SELECT task, seq, payload, error, CAST(nr AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS nr FROM ({DEAD_SQL}) d) x WHERE nr <= 25")
+def _(t):
+    return telemetry.list_dead(dead(t), 25)
+
+
 @query("r85_dead_counts", f"SELECT task, count(*) AS n FROM ({DEAD_SQL}) d GROUP BY task")
 def _(t):
     return telemetry.dead_counts(dead(t))
@@ -486,8 +488,8 @@ def _(t):
 
 
 @query("r88_daily_update", f"""
-SELECT 'imported' AS step, (SELECT count(DISTINCT detail_url) FROM ({"SELECT concat('https://example.com/discuss/', doc_id * 2) AS detail_url FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT concat('https://example.com/discuss/', doc_id) FROM {documents}"}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}})) AS n
-UNION ALL SELECT 'to_process', (SELECT count(*) FROM {{posts}} WHERE extract_status IN ('pending', 'failed')) + (SELECT count(DISTINCT detail_url) FROM ({"SELECT concat('https://example.com/discuss/', doc_id * 2) AS detail_url FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT concat('https://example.com/discuss/', doc_id) FROM {documents}"}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}}))
+SELECT 'imported' AS step, (SELECT count(DISTINCT detail_url) FROM ({BATCH_SQL}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}})) AS n
+UNION ALL SELECT 'to_process', (SELECT count(*) FROM {{posts}} WHERE extract_status IN ('pending', 'failed')) + (SELECT count(DISTINCT detail_url) FROM ({BATCH_SQL}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}}))
 UNION ALL SELECT 'buckets', (SELECT count(DISTINCT (company_id, position_id)) FROM ({CANDIDATES_SQL}) c)
 UNION ALL SELECT 'answer_targets', (SELECT count(*) FROM ({TARGETS_SQL}) x)""")
 def _(t):

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What queries rely on. Sizes and numbers of partitions are left to the cluster.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
@@ -60,3 +61,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join is sent to all tasks only if a count proved that it takes no more bytes than this.
+BROADCAST_BYTES = 12_000_000
+
+
+def small(df: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that its rows, of ``row_bytes`` each at most, take BROADCAST_BYTES or less."""
+    rows = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -15,7 +15,7 @@ ADAPTERS = {
     "companies": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS canonical, r_name AS industry FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
     "positions": "SELECT DISTINCT CAST(substring(p_brand, 7) AS BIGINT) AS id, p_brand AS canonical, concat('cat', CAST(substring(p_brand, 7) AS BIGINT) % 4) AS category FROM {part}",
     "posts": """SELECT o_orderkey AS id, concat('https://example.com/discuss/', o_orderkey) AS source_url, o_orderpriority AS title,
-  concat('text of ', o_orderkey) AS cleaned_text,
+  concat('<p>', o_orderkey, '</p>') AS raw_html, concat('text of ', o_orderkey) AS cleaned_text,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS posted_at,
   CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY AS fetched_at,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS extract_status,
@@ -42,7 +42,8 @@ UNION ALL SELECT 'position', p_brand, CAST(substring(p_brand, 7) AS BIGINT), 1.0
 UNION ALL SELECT l_orderkey, 'position', CASE WHEN l_partkey % 9 = 0 THEN concat('x', p_brand) ELSE p_brand END FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "telemetry": """SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS stage, value AS ms, event_id % 5 = 0 AS cache_hit,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS tokens_in, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 7 AS tokens_out, user_id FROM {events}""",
-    "records": """SELECT CASE WHEN doc_id % 3 = 0 THEN 74 ELSE 250 END AS content_type, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 700 AS VARCHAR(20)) END AS content_id,
+    "records": """SELECT CASE WHEN doc_id % 3 = 0 THEN 74 ELSE 250 END AS content_type, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id >= (SELECT 4 * max(doc_id) / 5 FROM {documents}) THEN '1'
+    ELSE CAST(CAST(CASE WHEN doc_id % 4 = 0 THEN floor(doc_id / 8) ELSE doc_id END AS BIGINT) AS VARCHAR(20)) END AS content_id,
   CAST(doc_id AS VARCHAR(20)) AS moment_id, CASE WHEN doc_id % 2 = 0 THEN concat('u', doc_id) END AS uuid,
   CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE concat(' ', source, ' ') END AS title, concat('new ', lang) AS new_title,
   CASE WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS content, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 1700000000000 + doc_id * 60000 END AS created_ms,

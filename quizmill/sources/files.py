@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.functions.times import local_minute
+from quizmill.operators.numbering import numbered
 from quizmill.sources.schemas import API_RECORD, CRAWL_POST
 
 
@@ -77,8 +78,8 @@ def seed_aliases(seed: DataFrame, canonicals: DataFrame, alias_dict: DataFrame)
     names = seed.select("entity_type", "canonical").distinct()
     fresh = names.join(canonicals, ["entity_type", "canonical"], "left_anti")
     top = canonicals.groupBy("entity_type").agg(F.max("id").alias("top"))
-    order = Window.partitionBy("entity_type").orderBy("canonical")
-    fresh = fresh.join(top, "entity_type", "left").select("entity_type", (F.coalesce("top", F.lit(0)) + F.row_number().over(order)).cast("long").alias("id"), "canonical")
+    fresh = numbered(fresh, ["canonical"], ["entity_type"])
+    fresh = fresh.join(top, "entity_type", "left").select("entity_type", (F.coalesce("top", F.lit(0)) + F.col("number")).cast("long").alias("id"), "canonical")
     every = canonicals.select("entity_type", "id", "canonical").unionByName(fresh)
     aliases = seed.select("entity_type", "canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
     first = aliases.groupBy("entity_type", "alias").agg(F.min("canonical").alias("canonical")).join(alias_dict, ["entity_type", "alias"], "left_anti")

@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from quizmill.operators import ingest, normalize
+from quizmill.operators import ingest, normalize, numbering
 from quizmill.sources import files
 
 POSTS = "id long, source_url string, title string, cleaned_text string, posted_at timestamp, extract_status string, fetched_at timestamp, extract_error string"
@@ -36,17 +38,44 @@ def test_import_posts_twice_changes_nothing(spark):
     got = {r.source_url: r for r in out.collect()}
     assert counts.first().asDict() == {"new": 1, "skipped": 1, "updated": 0}
     assert got["u1"].title == "a" and str(got["u1"].posted_at) == "2024-01-01 00:30:00" and got["u2"].cleaned_text == "old"
-    again = out.select(F.coalesce("id", F.lit(9)).alias("id"), "source_url", "title", "cleaned_text", "posted_at", "extract_status")
+    assert out.columns == [*old.columns, "outcome"] and got["u1"].id == 2 and got["u2"].extract_error == "e"
+    again = out.drop("outcome")
+    assert sorted(map(tuple, ingest.import_posts(batch, again)[0].drop("outcome").collect())) == sorted(map(tuple, again.collect()))
     assert ingest.import_posts(batch, again)[1].first().asDict() == {"new": 0, "skipped": 2, "updated": 0}
     forced, counts = ingest.import_posts(batch, old, force=True)
     assert counts.first().updated == 1 and {r.source_url: r.extract_status for r in forced.collect()} == {"u1": "pending", "u2": "pending"}
 
 
-def test_upsert_raw(spark):
-    pages = spark.createDataFrame([("u1", "<h>", None), ("u3", "<n>", "new")], "source_url string, html string, page_title string")
-    out = {r.source_url: r for r in ingest.upsert_raw(pages, posts(spark, (1, "u1", "failed"), (2, "u2", "failed")), "2024-01-01 00:00:00").collect()}
-    assert (out["u1"].title, out["u1"].extract_status, out["u1"].extract_error) == ("t", "pending", None)
-    assert out["u2"].extract_error == "e" and out["u3"].extract_status == "pending" and out["u3"].title == "new"
+def test_upsert_raw_keeps_columns_html_and_gives_ids(spark):
+    pages = spark.createDataFrame([("u1", "<h>", None), ("u9", "<n>", ""), ("u3", "<n>", "new")], "source_url string, html string, page_title string")
+    old = posts(spark, (1, "u1", "failed"), (2, "u2", "failed"), (7, "u7", "done")).withColumn("raw_html", F.concat(F.lit("<"), "source_url")).withColumn("extract_version", F.lit(4))
+    new = ingest.upsert_raw(pages, old, "2024-01-01 00:00:00")
+    out = {r.source_url: r for r in new.collect()}
+    assert new.columns == old.columns and len(out) == 5
+    assert (out["u1"].title, out["u1"].extract_status, out["u1"].extract_error, out["u1"].raw_html, out["u1"].extract_version) == ("t", "pending", None, "<h>", 4)
+    assert out["u2"].extract_error == "e" and out["u2"].raw_html == "<u2" and out["u7"].raw_html == "<u7" and out["u7"].extract_status == "done"
+    assert (out["u3"].id, out["u3"].title, out["u3"].extract_status, out["u3"].extract_version) == (8, "new", "pending", 0) and (out["u9"].id, out["u9"].title) == (9, None)
+
+
+def test_numbers_run_on_over_ranges(spark):
+    rows = [(k, i * 7 % 100) for k, n in (("a", 100), ("b", 3), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    got = numbering.numbered(df, ["v"], ["k"]).collect()
+    for key in ("a", "b", None):
+        own = sorted((r.v, r.number) for r in got if r.k == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    every = sorted((r.v, r.nr) for r in numbering.numbered(df, ["v"], name="nr").collect())
+    assert [n for _, n in every] == list(range(1, 109))
+    assert numbering.numbered(df.filter("v < 0"), ["v"]).collect() == []
+
+
+def test_order_statistic_equals_sorting(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "RANGES", 4)
+    rng = random.Random(1)
+    values = {"hot": [rng.expovariate(1) ** 5 for _ in range(3000)], "ties": [1.5] * 40 + [2.5] * 41, "one": [7.0], "close": [1.0, 1.0 + 2**-50, 1.0 + 2**-49], "wide": [-1e300, 0.0, 1e300, 5.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)], "k string, v double").repartition(4)
+    got = {r.k: (r.value, r.n) for r in numbering.order_statistic(df, "k", "v", lambda n: F.floor(n / 2)).collect()}
+    assert got == {k: (sorted(vs)[len(vs) // 2], len(vs)) for k, vs in values.items()}
 
 
 def test_catch_up(spark):
@@ -55,6 +84,23 @@ def test_catch_up(spark):
     assert {r.page for r in ingest.catch_up(df).collect()} == {1, 2, 3, 4, 5}
     gap = spark.createDataFrame([(1, 1, "a"), (3, 1, "b")], "page long, pos long, content_id string")
     assert {r.page for r in ingest.catch_up(gap).collect()} == {1}
+    assert ingest.catch_up(df.filter("page < 0")).collect() == []
+    rng = random.Random(2)
+    for case in range(6):
+        rows = [(p, i, str(rng.randrange(4 + p // 3)), f"u{rng.randrange(60)}") for p in range(40) if rng.random() > 0.01 * case for i in range(3)]
+        stored = spark.createDataFrame([(f"u{i}",) for i in range(0, 60, 3)], "source_url string")
+        seen, known, run, taken, before = set(), {r[0] for r in stored.collect()}, 0, set(), None
+        for page in sorted({r[0] for r in rows}):
+            if run == 3 or before is not None and page > before + 1:
+                break
+            new = 0
+            for _, _, key, url in [r for r in rows if r[0] == page]:
+                new += key not in seen and url not in known
+                seen.add(key)
+            run, before = (0 if new else run + 1), page
+            taken.add(page)
+        df = spark.createDataFrame(rows, "page long, pos long, content_id string, detail_url string")
+        assert {r.page for r in ingest.catch_up(df, stored, patience=3).collect()} == taken
 
 
 def test_filter_usable_and_keywords(spark):
