@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quizmill.functions.times import period_label
 
@@ -35,6 +36,16 @@ def bucket_candidates(posts: DataFrame, links: DataFrame, questions: DataFrame,
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top_n).select(*BUCKET, "rank", "question_id", "quality_score")
 
 
+def fingerprints(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """Per bucket ``candidate_count`` and ``fingerprint``: the same for the same set of questions, in whatever order, and another
+    one, but for a chance of 2^-64, if a question or its content differs. Hashes of questions are combined by a sum and
+    an exclusive or, in part before the shuffle."""
+    q = questions.select(F.col("id").alias("question_id"), "content")
+    rows = candidates.join(q, "question_id").select(*BUCKET, F.xxhash64("question_id", "content").alias("h"), F.xxhash64("content", "question_id", F.lit(1)).alias("g"))
+    out = rows.groupBy(*BUCKET).agg(F.count("*").alias("candidate_count"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("g").alias("x"))
+    return out.select(*BUCKET, "candidate_count", F.concat_ws(":", F.col("s").cast("string"), F.col("x").cast("string")).alias("fingerprint"))
+
+
 def cluster_rows(vectors: list, threshold: float) -> tuple[list[int], list[int]]:
     """(representatives, their frequencies) of vectors in rank order: each goes to the most similar representative (the first
     of equal ones) if that reaches ``threshold``, else represents itself; one without a vector always does."""
@@ -115,7 +126,11 @@ HEADINGS = ("## 高频考点 Top 10", "## 重点考察方向", "## 易忽略的
 
 
 def render_summary(df: DataFrame) -> DataFrame:
-    """Adds ``content_md``: four sections, each left out if it is empty."""
+    """Adds ``content_md``: four sections, each left out if it is empty. A single object or text in place of a list counts as
+    a list of it."""
+    for c in ("high_frequency_topics", "focus_areas", "edge_cases", "prep_advice"):
+        if not isinstance(df.schema[c].dataType, ArrayType):
+            df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.array(c)))
     n = F.lit("\n")
     quotes = lambda qs: F.array_join(F.transform(F.coalesce(qs, F.array().cast("array<string>")), lambda q: F.concat(F.lit("> "), q, F.lit("\n\n"))), "")
     topics = F.transform("high_frequency_topics", lambda t: F.concat(F.lit("### "), F.coalesce(t["topic"], F.lit("")), F.lit(" <sub>×"), F.coalesce(t["frequency"], F.lit(1)).cast("string"), F.lit("</sub>\n\n"), quotes(t["sample_questions"]), n))

@@ -20,7 +20,9 @@ def answer_targets(questions: DataFrame, posts: DataFrame, links: DataFrame, ver
 
 
 def apply_answers(questions: DataFrame, answers: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-    """(questions with ``answers(id, answer)`` put in, counts of generated and failed ones). A null answer is a failure."""
+    """(questions with ``answers(id, answer)`` put in, counts of generated and failed ones). A null answer is a failure;
+    of several answers to a question the least one counts."""
+    answers = answers.groupBy("id").agg(F.min("answer").alias("answer"))
     a = answers.select("id", F.col("answer").alias("_a"))
     out = questions.join(a, "id", "left").withColumn("answer_ai_version", F.when(F.col("_a").isNotNull(), F.lit(version)).otherwise(F.col("answer_ai_version"))).withColumn("answer_ai", F.coalesce("_a", "answer_ai")).drop("_a")
     return out, answers.agg(F.count("answer").alias("generated"), F.count_if(F.col("answer").isNull()).alias("failed"))

@@ -81,9 +81,15 @@ def split_cached(df: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Dat
     return hits, df.select(key).distinct().join(cache.select(key), key, "left_anti")
 
 
+def first_of(df: DataFrame, key: str) -> DataFrame:
+    """Of rows that share a key the least one in the order of the other columns, nulls first."""
+    return df.groupBy(key).agg(F.min(F.struct(*(c for c in df.columns if c != key))).alias("_row")).select(key, "_row.*")
+
+
 def apply_outcomes(posts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``posts`` with ``outcomes(post_id, outcome, error, version)``: done sets the version and clears the error, failed sets
-    the error, skipped the reason."""
+    the error, skipped the reason. Of several outcomes of a post the least in the order of outcome, error, version counts."""
+    outcomes = first_of(outcomes.select("post_id", "outcome", "error", "version"), "post_id")
     o = outcomes.select(F.col("post_id").alias("id"), "outcome", "error", "version")
     done = F.col("outcome") == "done"
     return posts.join(o, "id", "left").withColumns({

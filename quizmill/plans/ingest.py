@@ -23,7 +23,7 @@ def nested(t: Inputs) -> DataFrame:
         F.struct(F.col("moment_id").alias("id"), "uuid", "title", F.col("new_title").alias("newTitle"), "content", F.col("created_ms").alias("createdAt"), s.alias("ip4Location")).alias("momentData"),
         F.struct(F.col("author").alias("nickname"), s.alias("educationInfo"), s.alias("secondMajorName"), s.alias("authDisplayInfo")).alias("userBrief"),
         F.struct(F.col("views").alias("viewCnt"), F.lit(None).cast("long").alias("likeCnt"), F.col("total_comments").alias("totalCommentCnt"), F.col("comments").alias("commentCnt")).alias("frequencyData"),
-        F.struct(s.alias("contentID_var")).alias("extraInfo"),
+        F.struct(s.alias("contentID_var")).alias("extraInfo"), "pos",
     )
 
 

@@ -9,10 +9,10 @@ from quizmill.functions.domains import importance
 from quizmill.functions.times import period_label
 from quizmill.operators import aggregate, answers, catalog, score, search, telemetry
 from quizmill.plans.content import payloads
-from quizmill.plans.ingest import BATCH_SQL, batch
+from quizmill.plans.ingest import BATCH_SQL, FLAT_SQL, batch, nested
 from quizmill.plans.registry import Inputs, query
 from quizmill.operators.extract import parse_extraction
-from quizmill.session import work_folder
+from quizmill.session import stored, work_folder
 from quizmill.sources.adapters import NOW
 from quizmill.streaming import jobs
 
@@ -178,6 +178,17 @@ def status(t: Inputs) -> DataFrame:
     return aggregate.bucket_status(counts, summaries(t))
 
 
+@query("r54_single_object", f"""
+SELECT doc_id, left(md, length(md) - 1) AS content_md FROM (SELECT doc_id, '{aggregate.HEADINGS[1]}' || chr(10) || chr(10) || '- ' || lang || chr(10) || chr(10)
+  || CASE WHEN doc_id % 5 > 1 THEN '{aggregate.HEADINGS[2]}' || chr(10) || chr(10) || '### ' || source || chr(10) || chr(10) || '> ' || lang || chr(10) || chr(10) || chr(10) ELSE '' END AS md FROM {{documents}}) x""")
+def _(t):
+    """Records with one object, or one text, where a list is usual."""
+    edge = F.struct(F.col("source").alias("topic"), F.array("lang").alias("questions"))
+    none = F.array().cast("array<string>")
+    rows = t.documents.select("doc_id", F.lit(None).cast("array<struct<topic:string,frequency:bigint,sample_questions:array<string>>>").alias("high_frequency_topics"), F.col("lang").alias("focus_areas"), F.when(F.col("doc_id") % 5 > 1, edge).alias("edge_cases"), none.alias("prep_advice"))
+    return aggregate.render_summary(rows).select("doc_id", "content_md")
+
+
 @query("r55_bucket_status", STATUS_SQL)
 def _(t):
     return status(t)
@@ -460,14 +471,38 @@ def _(t):
     return telemetry.dead_counts(dead(t))
 
 
-@query("r86_ingest_stream", """SELECT detail_url, min(content_id) AS content_id FROM (SELECT concat('https://example.com/discuss/', doc_id % 700) AS detail_url, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS content_id FROM {documents}) d GROUP BY detail_url""")
+#: Records arrive in five slices by their number, then those of the first slice again.
+SLICES = 5
+SLICE_SQL = "CAST(floor(pos * 5 / (SELECT max(pos) + 1 FROM {records})) AS BIGINT)"
+
+
+@query("r86_ingest_stream", f"""
+SELECT detail_url, content_id, title, created_at_ms FROM (SELECT *, row_number() OVER (PARTITION BY detail_url ORDER BY slice, created_at_ms, content_id, title) AS nr
+FROM ({FLAT_SQL.replace("FROM {records}", f", {SLICE_SQL} AS slice FROM {{records}}")}) f WHERE length(title) > 0) x WHERE nr = 1""")
 def _(t):
-    rows = t.documents.select(F.col("source").alias("title"), F.concat(F.lit("https://example.com/discuss/"), F.col("doc_id") % 700).alias("detail_url"), F.lit(0).cast("long").alias("created_at_ms"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("content_id"))
+    path, out = work_folder(t.spark, "arrivals"), work_folder(t.spark, "posts")
+    rows = stored(nested(t), "records")
+    top = rows.agg(F.max("pos")).first()[0] or 0
+    for i in [*range(SLICES), 0]:  # each is a trigger of four files
+        part = rows.filter(F.floor(F.col("pos") * SLICES / (top + 1)) == i).drop("pos")
+        part.repartition(4).write.mode("append").json(path)
+    jobs.ingest_stream(t.spark, path, out, work_folder(t.spark, "offsets"), "https://example.com", "joblist", files_per_batch=4, buckets=16).awaitTermination()
+    return jobs.stored_posts(t.spark, out).select("detail_url", "content_id", "title", "created_at_ms")
+
+
+@query("r84_throughput_stream", """
+SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM {telemetry} GROUP BY 1
+HAVING date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM {telemetry})""")
+def _(t):
+    """Events arrive in four files; every third is up to nine minutes late, less than the watermark allows."""
+    events = stored(t.telemetry.select("ts", (F.unix_micros("ts") + F.when(F.col("event_id") % 3 == 0, 540_000_000).otherwise(0)).alias("at")), "events")
     path = work_folder(t.spark, "arrivals")
-    rows.repartitionByRange(4, "content_id").write.json(path)
-    out = work_folder(t.spark, "posts")
-    jobs.ingest_stream(t.spark, path, out, work_folder(t.spark, "offsets"), files_per_batch=100).awaitTermination()
-    return jobs.stored_posts(t.spark, out).select("detail_url", "content_id")
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    for i in range(4):
+        part = events.filter((F.col("at") >= low + (high - low + 1) * i // 4) & (F.col("at") < low + (high - low + 1) * (i + 1) // 4))
+        part.select("ts").coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return jobs.appended(jobs.throughput_stream(stream), work_folder(t.spark, "minutes"), work_folder(t.spark, "state"))
 
 
 @query("r87_counters_stream", "SELECT stage, count(*) AS runs, CAST(sum(CAST(round(ms * 100) AS BIGINT)) AS BIGINT) AS total_hundredths FROM {telemetry} GROUP BY stage")
@@ -476,7 +511,7 @@ def _(t):
     events = t.telemetry
     events.select("ts", "stage", "ms").write.parquet(path)
     stream = t.spark.readStream.schema("ts timestamp, stage string, ms double").parquet(path)
-    return jobs.final_state(jobs.counters_stream(stream), "counters_" + path.rsplit("/", 1)[1].split("-")[0], work_folder(t.spark, "state"))
+    return jobs.final_state(jobs.counters_stream(stream), work_folder(t.spark, "counters"), work_folder(t.spark, "state"))
 
 
 @query("r87_counters_by_status", "SELECT stage, CASE WHEN cache_hit THEN 'cached' ELSE 'called' END AS status, count(*) AS runs, CAST(sum(CAST(round(ms * 100) AS BIGINT)) AS BIGINT) AS total_hundredths FROM {telemetry} GROUP BY ALL")
@@ -484,7 +519,7 @@ def _(t):
     path = work_folder(t.spark, "events")
     t.telemetry.select("ts", "stage", F.when(F.col("cache_hit"), "cached").otherwise("called").alias("status"), "ms").repartition(4).write.parquet(path)
     stream = t.spark.readStream.schema("ts timestamp, stage string, status string, ms double").option("maxFilesPerTrigger", 1).parquet(path)
-    return jobs.final_state(jobs.counters_stream(stream, ("stage", "status")), "statuses_" + path.rsplit("/", 1)[1].split("-")[0], work_folder(t.spark, "state"))
+    return jobs.final_state(jobs.counters_stream(stream, ("stage", "status")), work_folder(t.spark, "statuses"), work_folder(t.spark, "state"))
 
 
 @query("r88_daily_update", f"""
@@ -513,3 +548,35 @@ def _(t):
     outcomes = t.posts.filter("extract_status IN ('pending', 'failed') AND id % 2 = 0").select(F.col("id").alias("post_id"), F.lit("done").alias("outcome"), F.lit(50).alias("quality_score"))
     before = candidates(t).groupBy(*aggregate.BUCKET).agg(F.count("*").alias("candidate_count"))
     return jobs.daily_update(t.posts, t.links, t.questions, batch(t), 2, vector="vec_id", outcomes=outcomes, summaries=before)
+
+
+#: Buckets of companies and positions that a processed post has; even companies have a stored summary of the state before.
+DAILY_SQL = f"""
+WITH a AS (SELECT company_id, position_id, period, count(*) AS n, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) AS ids FROM ({CANDIDATES_SQL.replace("{posts}", PROCESSED_SQL)}) x GROUP BY ALL),
+b AS (SELECT company_id, position_id, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) AS old FROM ({CANDIDATES_SQL}) y GROUP BY ALL),
+k AS (SELECT company_id, position_id, count(*) AS samples FROM ({CLUSTERS_SQL.replace("{posts}", PROCESSED_SQL)}) z GROUP BY ALL),
+d AS (SELECT a.*, samples FROM a JOIN k USING (company_id, position_id) LEFT JOIN b USING (company_id, position_id)
+  WHERE (company_id, position_id) IN (SELECT (company_id, position_id) FROM {{links}} WHERE post_id IN (SELECT id FROM {{posts}} WHERE extract_status IN ('pending', 'failed') AND id % 2 = 0))
+  AND (company_id % 2 <> 0 OR old IS NULL OR old <> ids))
+"""
+
+
+def daily(t: Inputs) -> dict[str, DataFrame]:
+    outcomes = t.posts.filter("extract_status IN ('pending', 'failed') AND id % 2 = 0").select(F.col("id").alias("post_id"), F.lit("done").alias("outcome"), F.lit(50).alias("quality_score"))
+    vectors = t.questions.filter("vec_id is not null").select(F.col("id").alias("question_id"), "vec_id").join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("question_id", "embedding")
+    before = aggregate.fingerprints(candidates(t).filter("company_id % 2 = 0"), t.questions)
+    old = before.select(*aggregate.BUCKET, F.lit("old").alias("content_md"), F.lit(1).alias("sample_count"), F.col("candidate_count").cast("int").alias("candidate_count"), F.lit(NOW).cast("timestamp").alias("updated_at"), "fingerprint")
+    return jobs.daily_run(t.posts, t.links, t.questions, vectors, old, batch(t), outcomes, 2, NOW)
+
+
+@query("r88_daily_summaries", DAILY_SQL + "SELECT company_id, position_id, period, CAST(n AS INT) AS candidate_count, CAST(samples AS INT) AS sample_count FROM d")
+def _(t):
+    run = daily(t)
+    return run["summaries"].join(run["changed"].select(*aggregate.BUCKET), aggregate.BUCKET, "left_semi").filter("content_md <> 'old'").select(*aggregate.BUCKET, "candidate_count", "sample_count")
+
+
+@query("r88_daily_counts", DAILY_SQL + f"""
+SELECT 'changed_buckets' AS step, count(*) AS n FROM d UNION ALL SELECT 'imported', (SELECT count(DISTINCT detail_url) FROM ({BATCH_SQL}) b WHERE detail_url NOT IN (SELECT source_url FROM {{posts}}))
+UNION ALL SELECT 'answer_targets', (SELECT count(*) FROM ({TARGETS_SQL.replace("{posts}", PROCESSED_SQL)}) x)""")
+def _(t):
+    return daily(t)["counts"].filter("step IN ('changed_buckets', 'imported', 'answer_targets')")

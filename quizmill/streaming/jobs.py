@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.operators.aggregate import BUCKET, bucket_candidates, bucket_status
+from quizmill.operators.aggregate import BUCKET, bucket_candidates, bucket_status, cluster_questions, fingerprints, render_summary, summarise_buckets
 from quizmill.operators.answers import answer_targets
+from quizmill.operators.extract import first_of
 from quizmill.operators.ingest import dedup_records, import_posts
-from quizmill.sources.schemas import CRAWL_POST
+from quizmill.session import stored
+from quizmill.sources.files import flatten_records
+from quizmill.sources.schemas import API_RECORD, CRAWL_POST
 
 
-def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 4):
-    """New crawl files under ``path`` -> posts under ``out``, each URL once; known posts are skipped. Runs until all files that
-    are there have been read.
+#: What the ingest stream stores: posts by a hash of their URL, then by the batch that brought them.
+STORE = CRAWL_POST + ", bucket int, batch long"
 
-    Within a batch the first line of a URL wins; against earlier batches an anti join with the stored posts decides, so no
-    state grows with the stream. A batch is written under its own number, so a batch that is run again replaces itself.
+
+def url_bucket(url: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, base: str, source: str = "tab", files_per_batch: int = 1, late: str = "1 hour", buckets: int = 64):
+    """New files of nested records under ``path`` -> posts under ``out``, each URL once; known posts are skipped. Runs until all
+    files that are there have been read.
+
+    Records are flattened. A record that is sent again (the same URL and a hash of all fields) within ``late`` of its first arrival is
+    dropped by a stateful operator, whose state a watermark on the time of arrival clears; no record counts as late itself.
+    What stays is merged into the store: of a batch the first row of a URL wins (by creation time, content id, title), and
+    an anti join with the stored posts skips known URLs, however long ago they came. The store is partitioned by a hash of the
+    URL, and a batch reads the URLs of the partitions that its own URLs fall into. A batch that is run again overwrites what
+    it has written itself. Records without a title or URL are dropped.
     """
-    lines = spark.readStream.schema(CRAWL_POST).option("maxFilesPerTrigger", files_per_batch).json(path).filter("title is not null and length(trim(detail_url)) > 0")
+    spark.createDataFrame([], STORE).write.partitionBy("bucket", "batch").mode("append").parquet(out)  # a store that can be read
+    records = spark.readStream.schema(API_RECORD).option("maxFilesPerTrigger", files_per_batch).json(path)
+    posts = flatten_records(records, base, source).filter("length(title) > 0 and detail_url is not null")
+    marked = posts.withColumn("_same", F.xxhash64(*posts.columns)).withColumn("_seen", F.current_timestamp())
+    once = marked.withWatermark("_seen", late).dropDuplicatesWithinWatermark(["detail_url", "_same"]).drop("_seen", "_same")
 
     def store(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        first = dedup_records(batch, ["detail_url"], ["created_at_ms", "content_id", "title"])
-        known = stored_posts(session, out)
-        if known is not None:
-            first = first.join(known.filter(F.col("batch") < number).select("detail_url"), "detail_url", "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        merge_posts(batch, out, number, buckets)
 
-    return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored_posts(spark: SparkSession, out: str) -> DataFrame | None:
-    """What the ingest stream has stored, or None before its first batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop) or not any("batch=" in s.getPath().getName() for s in fs.listStatus(hadoop)):
-        return None
-    return spark.read.schema(CRAWL_POST + ", batch int").option("basePath", out).parquet(out)
+def merge_posts(batch: DataFrame, out: str, number: int, buckets: int = 64) -> DataFrame:
+    """Append the posts of ``batch`` whose URL the store lacks; returns the stored URLs it was compared with."""
+    first = dedup_records(batch, ["detail_url"], ["created_at_ms", "content_id", "title"]).withColumn("bucket", url_bucket(F.col("detail_url"), buckets))
+    first = stored(first, "arrived")
+    touched = [r[0] for r in first.select("bucket").distinct().collect()]  # ``buckets`` at most
+    known = stored_posts(batch.sparkSession, out).filter(F.col("bucket").isin(touched) & (F.col("batch") < number)).select("bucket", "detail_url")
+    new = first.join(known, ["bucket", "detail_url"], "left_anti").withColumn("batch", F.lit(number).cast("long"))
+    new.write.partitionBy("bucket", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
+    return known
+
+
+def stored_posts(spark: SparkSession, out: str) -> DataFrame:
+    """What the ingest stream has stored."""
+    return spark.read.schema(STORE).parquet(out)
 
 
 def counters_stream(events: DataFrame, by: tuple[str, ...] = ("stage",)) -> DataFrame:
@@ -46,15 +67,24 @@ def counters_stream(events: DataFrame, by: tuple[str, ...] = ("stage",)) -> Data
 
 
 def throughput_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Events per minute; minutes close when the watermark has passed them."""
+    """Events per minute. In append mode a minute is given once, when the watermark, ``late`` behind the latest event so
+    far, has passed its end; events that come later than that are dropped and change no minute."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("minute"), "n")
 
 
-def final_state(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now, keeping its result in the memory table ``name``."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def final_state(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now; the whole result after the last batch, written to ``out`` with every batch."""
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def appended(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now; the rows that it appends, once each, are files under ``out``."""
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def daily_update(posts: DataFrame, links: DataFrame, questions: DataFrame, batch: DataFrame, version: int, vector: str = "embedding", outcomes: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
@@ -83,3 +113,44 @@ def daily_update(posts: DataFrame, links: DataFrame, questions: DataFrame, batch
     for s in steps[1:]:
         out = out.unionByName(s)
     return out
+
+
+def daily_run(posts: DataFrame, links: DataFrame, questions: DataFrame, vectors: DataFrame, summaries: DataFrame, batch: DataFrame, outcomes: DataFrame, version: int, now: str, threshold: float = 0.92) -> dict[str, DataFrame]:
+    """One daily run over whole tables: ``posts`` (with what ``batch`` brought, and ``outcomes`` in effect), ``changed`` buckets,
+    ``summaries`` (with those of changed buckets written anew), ``targets`` (questions that need an answer) and ``counts``.
+
+    Only buckets of companies and positions of processed posts are computed. A bucket is changed if the fingerprint of its
+    set of questions differs from the stored one, so questions that are replaced by as many others show; buckets that lost
+    all candidates keep their summary. ``summaries`` has a column ``fingerprint``, null where none is known.
+    ``questions(id, post_id, content, category, ..)`` are those after processing, ``vectors(question_id, embedding)`` theirs.
+    A second run on what the first one returned imports and changes nothing.
+    """
+    merged, counts = import_posts(batch, posts)
+    o = first_of(outcomes, "post_id").select(F.col("post_id").alias("id"), F.col("outcome").alias("_outcome"), F.col("quality_score").alias("_score"))
+    after = merged.drop("outcome").join(o, "id", "left")
+    after = after.withColumns({"extract_status": F.coalesce("_outcome", "extract_status"), "quality_score": F.coalesce("_score", "quality_score")}).drop("_outcome", "_score")
+    after = stored(after, "posts")
+
+    touched = links.join(o.select(F.col("id").alias("post_id")), "post_id", "left_semi").select("company_id", "position_id").distinct()
+    near = links.join(stored(touched, "touched"), ["company_id", "position_id"], "left_semi")
+    asked = questions.join(vectors.select(F.col("question_id").alias("id"), F.lit(True).alias("_vector")), "id", "left")
+    candidates = stored(bucket_candidates(after, near, asked, vector="_vector"), "candidates")
+    prints = fingerprints(candidates, questions)
+    old = summaries.select(*BUCKET, F.col("fingerprint").alias("_old"))
+    changed = prints.join(old, BUCKET, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("_old"))).drop("_old")
+    changed = stored(changed, "changed")
+
+    clusters = cluster_questions(candidates.join(changed, BUCKET, "left_semi"), vectors, threshold)
+    clusters = stored(clusters.join(questions.select(F.col("id").alias("question_id"), "category", "content"), "question_id"), "clusters")
+    sizes = clusters.groupBy(*BUCKET).agg(F.count("*").cast("int").alias("sample_count"))
+    new = render_summary(summarise_buckets(clusters)).select(*BUCKET, "content_md").join(sizes, BUCKET).join(changed.withColumn("candidate_count", F.col("candidate_count").cast("int")), BUCKET)
+    new = stored(new.withColumn("updated_at", F.lit(now).cast("timestamp")), "written")
+    kept = summaries.join(new.select(*BUCKET), BUCKET, "left_anti")
+    written = kept.unionByName(new, allowMissingColumns=True)
+
+    targets = answer_targets(questions, after, links, version)
+    step = lambda name, n: n.select(F.lit(name).alias("step"), F.col(n.columns[0]).alias("n"))
+    every = step("imported", counts.select("new"))
+    for name, rows in (("to_process", merged.filter(F.col("extract_status").isin("pending", "failed"))), ("buckets", prints), ("changed_buckets", changed), ("answer_targets", targets)):
+        every = every.unionByName(step(name, rows.agg(F.count("*"))))
+    return {"posts": after, "changed": changed, "summaries": written, "targets": targets, "counts": every}

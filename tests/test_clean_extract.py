@@ -87,3 +87,14 @@ def test_questions_carry_whole_texts(spark):
     t = SimpleNamespace(conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     got = {(r.round_no, r.content) for r in content.exploded(t).collect()}
     assert got == {(turn // 2 + 1, text.strip()) for _, turn, _, text in turns}
+
+
+def test_repeated_outcomes_and_answers_do_not_multiply(spark):
+    from quizmill.operators import answers
+
+    posts = spark.createDataFrame([(1, "pending", None, 0)], "id long, extract_status string, extract_error string, extract_version int")
+    o = spark.createDataFrame([(1, "failed", "e", None), (1, "done", None, 3)], "post_id long, outcome string, error string, version int")
+    assert [tuple(r) for r in extract.apply_outcomes(posts, o).collect()] == [(1, "done", None, 3)]
+    q = spark.createDataFrame([(1, None, None)], "id long, answer_ai string, answer_ai_version int")
+    out, counts = answers.apply_answers(q, spark.createDataFrame([(1, "b"), (1, "a"), (1, None)], "id long, answer string"), 3)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", 3)] and counts.first().asDict() == {"generated": 1, "failed": 0}
