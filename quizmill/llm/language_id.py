@@ -38,8 +38,18 @@ LETTERS = re.compile(r"[^\W\d_]+")
 U = np.uint64
 
 
+#: ASCII letters stay, other ASCII characters become blanks, bytes of longer characters stay.
+_SEPARATE = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """The runs of letters of the text in lower case: ``LETTERS.findall``, in most texts by a split."""
+    if not text:
+        return []
+    ws = text.lower().encode().translate(_SEPARATE).decode().split()
+    if text.isascii() or "".join(ws).isalpha():
+        return ws
+    return [x for w in ws for x in ((w,) if w.isalpha() else LETTERS.findall(w))]
 
 
 def _word_counts(batches):
@@ -133,8 +143,9 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.at, self.table, self.n = model, {}, np.zeros((1024, len(model.langs))), 0
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per letter (and word end) under each language, and letters, of each text; no letters: zeros."""
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per letter and word end under each language, letters, and letters with word ends, of each text; no
+        letters: zeros."""
         held = [words_of(t) for t in texts]
         new = list({w for ws in held for w in ws} - self.at.keys())
         if self.n + len(new) > WORDS:
@@ -147,12 +158,13 @@ class Scorer:
             self.table[self.n : self.n + len(new)] = logs
             self.at.update(zip(new, range(self.n, self.n + len(new))))
             self.n += len(new)
-        out, size = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts))
+        out, size, units = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts)), np.zeros(len(texts))
         for i, ws in enumerate(held):
             if ws:
                 size[i] = sum(map(len, ws))
-                out[i] = -self.table[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(0) / (size[i] + len(ws))
-        return out, size
+                units[i] = size[i] + len(ws)
+                out[i] = -self.table[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(0) / units[i]
+        return out, size, units
 
 
 def _fold(text_rows, model: Model):
@@ -168,10 +180,10 @@ SCORED = "doc_id long, lang string, lang_pred string, score double, cross_entrop
 
 def _scored_rows(batches, model: Model):
     at = {lang: k for k, lang in enumerate(model.langs)}
-    for part, e, size in _fold(batches, model):
+    for part, e, size, units in _fold(batches, model):
         best = e.argmin(1)
         # the posterior of the best language under equal priors; ties go to the first language in sort order
-        odds = np.exp(-(e - e.min(1, keepdims=True)) * size[:, None])
+        odds = np.exp(-(e - e.min(1, keepdims=True)) * units[:, None])
         score = np.where(size > 0, 1 / odds.sum(1), 0.0)
         lang = [model.langs[b] if s else "und" for b, s in zip(best, size)]
         own = [e[i, at[x]] if x in at else None for i, x in enumerate(part.column(2).to_pylist())]
@@ -257,6 +269,7 @@ def _added(logs: Column, n: int, times=1) -> Column:
 def _joined(docs: DataFrame, model: Model) -> DataFrame:
     """What ``_scored_rows`` gives, by joins: n-grams with the models, words with their n-grams, texts with their words."""
     size, order = len(model.langs), model.order
+    row_bytes = 64 + 8 * size  # an n-gram and a value per language
     texts = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_text_words, "row long, doc_id long, lang string, word string, n long")
     words = texts.filter("word is not null").select("word").distinct()
     marked = words.select("word", F.concat(F.lit("\x02"), "word", F.lit("\x03")).alias("w"))
@@ -269,7 +282,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
         rest = of.filter("part = 'context'").select(F.col("key").alias("rest_key"), F.col("v").alias("rest"))
         used = F.length("gram") >= n
         grams = grams.withColumn("own_key", F.when(used, F.expr(f"substring(gram, -{n}, {n})"))).withColumn("rest_key", F.when(used, F.expr(f"substring(gram, -{n}, {n - 1})")))
-        grams = grams.join(small(own), "own_key", "left").join(small(rest), "rest_key", "left")
+        grams = grams.join(small(own, row_bytes), "own_key", "left").join(small(rest, row_bytes), "rest_key", "left")
         lower = F.when(F.col("rest").isNull(), F.col("p")).otherwise(F.zip_with("rest", "p", lambda a, b: a * b))
         grams = grams.select("gram", F.when(~used | F.col("own").isNull(), lower).otherwise(F.zip_with("own", lower, lambda a, b: a + b)).alias("p"))
     logs = grams.select("gram", F.transform("p", lambda x: F.log(F.greatest(x, F.lit(1e-12)))).alias("logs"))
@@ -280,7 +293,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
     e = F.when(F.col("letters") > 0, F.transform("sums", lambda x: -x / (F.col("letters") + F.col("words")))).otherwise(F.array(*[F.lit(0.0)] * size))
     langs = F.array(*map(F.lit, model.langs))
     found = found.withColumn("e", e).withColumn("least", F.array_min("e"))
-    odds = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(-(x - F.col("least")) * F.col("letters")))
+    odds = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(-(x - F.col("least")) * (F.col("letters") + F.col("words"))))
     lang = F.when(F.col("letters") > 0, F.element_at(langs, F.array_position("e", F.col("least")).cast("int"))).otherwise("und")
     own = F.try_element_at("e", F.nullif(F.array_position(langs, F.col("lang")), F.lit(0)).cast("int"))
     score = F.when(F.col("letters") > 0, 1 / odds).otherwise(0.0)

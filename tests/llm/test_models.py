@@ -129,7 +129,7 @@ def test_thresholds_come_from_texts_outside_the_counts(spark):
     model = language_id.fit(docs)
     counts = plain_counts([r for r in texts if r[0] not in apart], language_id.ORDER)
     assert model.log_probs(["the", "qxzj"])[:, 0] == pytest.approx([Plain(counts["en"], language_id.ORDER).log_prob(w) for w in ("the", "qxzj")])
-    e, _ = language_id.Scorer(model).entropies([t for i, t, _ in texts if i in apart])
+    e, _, _ = language_id.Scorer(model).entropies([t for i, t, _ in texts if i in apart])
     assert model.reject[0] == pytest.approx(language_id.REJECT_MARGIN * np.quantile(e[:, 0], language_id.REJECT_QUANTILE), abs=1e-5)
     found = spark.createDataFrame([("a", x) for x in np.random.default_rng(1).gamma(2, size=3000).tolist()] + [("b", 0.5)], "lang string, e double")
     for q in (0.0, 0.37, 0.999, 1.0):
@@ -143,6 +143,25 @@ def test_equal_entropies_go_to_the_first_language(spark):
     assert out.lang_pred == "m" and out.score == pytest.approx(0.5)
 
 
+def test_score_is_the_posterior_of_letters_and_word_ends(spark):
+    docs = spark.createDataFrame([(1, "a b ab a", "x"), (2, "b a ba b b", "y"), (3, "a a b", "x"), (4, "b b", "y")], "doc_id long, text string, lang string")
+    words = ["a", "b", "a", "a", "a", "ab", "a", "b"]
+    for cells in (language_id.MODEL_CELLS, 0):
+        sent, model = language_id.learn(docs), language_id.learn(docs, cells=cells)
+        logs = sent.log_probs(words).sum(0)
+        want = np.exp(logs - logs.max()).max() / np.exp(logs - logs.max()).sum()
+        r = language_id.scored(spark.createDataFrame([(9, "A, b a-a; a ab a\tb 7")], "doc_id long, text string"), model).first()
+        assert r.score == pytest.approx(want, rel=1e-6) and r.lang_pred == sent.langs[int(logs.argmax())]
+
+
+def test_words_are_runs_of_letters():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x250), rng.randrange(0x3000), rng.randrange(0xD800)])) for _ in range(rng.randrange(12)))
+        assert language_id.words_of(text) == language_id.LETTERS.findall(text.lower())
+    assert language_id.words_of(None) == [] == language_id.words_of("12 _")
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     v, w = np.array([0.1, 0.4, 0.2, 0.9, 0.3]), np.array([1.0, 2, 2, 1, 3])
     out = quality.isotonic(v, w)
