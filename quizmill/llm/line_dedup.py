@@ -30,8 +30,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sorting them.
 
     Edge cases: null or empty text is one empty line; rows that repeat an id count as one document, and each loses the lines
-    that any of them holds in excess; a null id counts as no document and keeps all its lines; an empty table gives an empty
-    table; other columns are ignored.
+    that any of them holds in excess; a null id counts as no document and keeps all its lines; a very long text stays in its own
+    row, of which only hashes of lines move; an empty table gives an empty table; other columns are ignored.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.split("text", "\n", -1)
@@ -54,10 +54,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if common.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
         found = held.join(F.broadcast(common.select("h", "last")), "h")
     else:
-        salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-        most = common.agg(F.max(salts)).first()[0]
-        spread = common.select("h", "last", salts.alias("salts"))
-        dealt = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter("salt < salts")
+        spread = common.select("h", "last", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+        dealt = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))  # as often as its own count asks for
         heavy = small(spread.filter("salts > 1").select("h", "salts"), 64)
         salted = held.join(heavy, "h", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
         found = salted.drop("salts").join(dealt.drop("salts"), ["h", "salt"])

@@ -78,3 +78,14 @@ def test_lines_count_documents_not_places_or_repeated_rows(spark):
     line = "a line of more than forty characters, said over and over"
     pairs = [(1, "\n".join([line] * 9)), (2, line), (3, line), (3, line), (3, line), (None, line)]
     assert all(r.n_dropped == 0 for r in line_dedup(make(spark, pairs)).collect())
+
+
+def test_hot_lines_are_joined_in_parts(spark, monkeypatch):
+    """Where lines are not broadcast, each is split as often as its own count asks for."""
+    from quizmill.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(module, "SALT_ROWS", 7)
+    lines = [f"a line number {i} of more than forty characters in all" for i in range(30)]
+    pairs = [(i, "\n".join([lines[0], *(x for k, x in enumerate(lines) if i % (k + 1) == 0), f"own {i}"])) for i in range(90)]
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(make(spark, pairs)).collect()} == plain_lines(pairs)
