@@ -157,7 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
 def query(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", joined.alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", joined.alias("items_sha256"), "contaminated", "n_near")
 
 
 ORACLE_SQL = r"""
@@ -176,8 +176,22 @@ WITH d AS (
 ), h AS (SELECT doc_id, item_id, o, n FROM dw JOIN bw USING (n, w)),
 p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(o, o + n)) AS pos FROM h) GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id),
+tw AS (  -- proximity: words of items, with places from 0
+  SELECT item, item_id, len(ws) AS size, unnest(ws) AS w, unnest(range(len(ws))) AS p
+  FROM (SELECT row_number() OVER () AS item, item_id, ws FROM (SELECT DISTINCT item_id, ws FROM b))
+), dp AS (SELECT doc_id, w, pos FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d) WHERE w IN (SELECT w FROM tw)),
+f AS (SELECT w, count(*) AS n FROM dp GROUP BY w),
+tr AS (
+  SELECT item, item_id, p, w, row_number() OVER (PARTITION BY item, o ORDER BY n, p) AS r, o
+  FROM (SELECT *, unnest(range(greatest(p - 9, 0), least(p, greatest(size - 10, 0)) + 1)) AS o FROM tw JOIN f USING (w))
+), tp AS (
+  SELECT DISTINCT x.item, x.item_id, x.p AS p1, x.w AS w1, y.p AS p2, y.w AS w2 FROM tr x JOIN tr y ON x.item = y.item AND x.o = y.o AND x.r = 1 AND y.r = 2
+), nr AS (
+  SELECT x.doc_id, count(DISTINCT item_id) AS n_near FROM tp JOIN dp x ON x.w = w1 JOIN dp y ON y.w = w2 AND y.doc_id = x.doc_id
+  WHERE abs(y.pos - (x.pos + p2 - p1)) <= 3 AND x.pos <> y.pos GROUP BY x.doc_id
+)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
