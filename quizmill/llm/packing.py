@@ -9,19 +9,21 @@ where less room is lost, or kept in short ones, where attention costs less.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import materialise, table
-from quizmill.llm.token_output import token_counts
+from quizmill.llm.token_output import encode_batches
 
-#: Pieces that one shard holds on average. Packing loses at most a few open bins per shard.
-SHARD_PIECES = 20_000
+#: Pieces, or ids, that one shard holds on average. Packing loses at most a few open bins per shard.
+SHARD_PIECES, SHARD_TOKENS = 20_000, 2_000_000
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence of n tokens: n for its slots and n * n / QUADRATIC for attention, plus FIXED.
 FIXED, QUADRATIC = 16.0, 16384.0
@@ -102,7 +104,7 @@ def best_fit(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPA
     partitions, as shards are dealt by a hash of id and piece and packed in a fixed order.
 
     Edge cases: documents of length 0 or null have one piece of length 0, put into some bin; rows that repeat an id are
-    packed like any other; a null id is packed too; an empty table gives an empty table; other columns are ignored.
+    packed like any other; a null id is packed too; a very long document is many pieces; equal lengths go by id; an empty table gives an empty table; other columns are ignored.
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
@@ -120,25 +122,125 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+"), "")).cast("long")
 
 
-def sequences(tokens: DataFrame, packed: DataFrame) -> DataFrame:
-    """``shard, bin, capacity, used, ids, bounds``: the packed sequences of ``tokens(doc_id, ids)``, as ``best_fit`` of the numbers
-    of ids placed them. ``bounds`` tells each document's part: ``doc_id, piece, offset, length``.
+SEQUENCES = "shard int, bin int, capacity int, used int, ids array<int>, bounds array<struct<doc_id:bigint,piece:int,start:bigint,offset:int,length:int>>"
+PIECES = "doc_id long, piece int, start long, ids array<int>"
+
+
+def cut(batches, top: int):
+    """Arrow batches with doc_id and ids -> pieces of at most ``top`` ids; a document without ids is one empty piece."""
+    for b in batches:
+        ids = b.column("ids")
+        at = np.asarray(ids.offsets, np.int64)
+        sizes = np.diff(at)
+        count = np.maximum(-(-sizes // top), 1)
+        row = np.repeat(np.arange(len(sizes)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        begin = at[:-1][row] + piece * top
+        values = ids.values.slice(int(at[0]), int(at[-1] - at[0]))
+        bounds = np.append(begin, at[-1]) - at[0]
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+        columns = [b.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece.astype(np.int64) * top), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "ids"])
+
+
+def _crcs(lists: pa.ListArray) -> np.ndarray:
+    at = np.asarray(lists.offsets, np.int64) * 4
+    data = memoryview(np.ascontiguousarray(np.asarray(lists.values), "<u4")).cast("B")
+    return np.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:])], np.int64)
+
+
+def _sequences_of_shard(t: pa.Table, capacities: tuple[int, ...]) -> pa.Table:
+    t = t.combine_chunks()
+    lists = pa.concat_arrays(t["ids"].chunks) if t["ids"].num_chunks != 1 else t["ids"].chunk(0)
+    length = np.diff(np.asarray(lists.offsets, np.int64))
+    doc, known = t["doc_id"].fill_null(0).to_numpy(), t["doc_id"].is_valid().to_numpy()
+    order = np.lexsort((_crcs(lists), t["piece"].to_numpy(), doc, known, -length))
+    bins, sizes = pack_jointly(length[order], capacities)
+    by = np.argsort(bins, kind="stable")
+    order, bins, length = order[by], bins[by], length[order][by]
+    run = np.concatenate(([0], np.cumsum(length)))
+    heads = np.searchsorted(bins, np.arange(len(sizes) + 1))
+    rows = pa.array(order)
+    parts = [t["doc_id"].take(rows), t["piece"].take(rows), t["start"].take(rows), pa.array((run[:-1] - run[heads[:-1]][bins]).astype(np.int32)), pa.array(length.astype(np.int32))]
+    bounds = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in parts], names=["doc_id", "piece", "start", "offset", "length"])
+    used = np.diff(run[heads])
+    columns = [
+        pa.array(np.full(len(sizes), t["shard"][0].as_py(), np.int32)), pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(sizes.astype(np.int32)), pa.array(used.astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(run[heads].astype(np.int32)), lists.take(rows).flatten()), pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), bounds),
+    ]
+    return pa.table(columns, names=["shard", "bin", "capacity", "used", "ids", "bounds"])
+
+
+def packed(pieces: DataFrame, shards: int, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """The sequences of ``pieces(doc_id, piece, start, ids)``: ``shard, bin, capacity, used, ids, bounds``.
+
+    Pieces are dealt with their ids, once, to shards by a hash of id and piece, and packed there as in ``best_fit``. ``bounds``
+    tells each piece's place: ``doc_id, piece, start, offset, length``. No sequence is longer than the largest capacity.
+    """
+    capacities = tuple(sorted(capacities))
+    # rows that repeat an id are spread by what they hold
+    spread = F.xxhash64("doc_id", "piece", F.slice("ids", 1, 16))
+    dealt = pieces.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(lambda t: _sequences_of_shard(t, capacities), SEQUENCES)
+
+
+def sequences(tokens: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The packed sequences, see ``packed``, of ``tokens(doc_id, ids)``.
+
+    Edge cases: every row gives its own pieces, so a null id and rows that repeat an id keep their ids apart; no ids (or
+    null) give one piece of length 0; a very long document is many pieces, in any shards; equal pieces are interchangeable; an
+    empty table gives an empty table; other columns are ignored.
+    """
+    top = max(capacities)
+    total = tokens.agg(F.sum(F.size("ids").cast("long"))).first()[0] or 0
+    rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+    return packed(rows.mapInArrow(lambda it: cut(it, top), PIECES), int(total // shard_tokens) + 1, capacities)
+
+
+def document_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The packed sequences of the token ids of ``docs(doc_id, text)``, those of operator 1, each document with its end id.
 
-    A sequence is at most the largest capacity long, so no group is. An id must not repeat.
+    Texts are encoded and cut where they are read; only pieces of ids move, once. The number of shards follows from the bytes of
+    text, four a token. Edge cases as in ``sequences``; a null text is an empty one.
     """
-    part = F.slice("ids", (F.col("start") + 1).cast("int"), "length")
-    rows = packed.join(tokens.select("doc_id", "ids"), "doc_id").select("shard", "bin", "capacity", "used", F.struct("offset", "length", "doc_id", "piece", part.alias("ids")).alias("p"))
-    held = rows.groupBy("shard", "bin", "capacity", "used").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    bounds = F.transform("ps", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length")))
-    return held.select("shard", "bin", "capacity", "used", F.flatten(F.transform("ps", lambda p: p["ids"])).alias("ids"), bounds.alias("bounds"))
+    top = max(capacities)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    pieces = rows.mapInArrow(lambda it: cut(encode_batches(it, tokenizer, end_id), top), PIECES)
+    return packed(pieces, int(total // (4 * shard_tokens)) + 1, capacities)
+
+
+def piece_rows(batches):
+    """Sequences as read -> one row per piece with the unsigned crc32 of its ids."""
+    for b in batches:
+        lists, bounds = b.column("ids"), b.column("bounds")
+        ids, at = np.ascontiguousarray(np.asarray(lists.values), "<u4"), np.asarray(lists.offsets, np.int64)
+        count = np.diff(np.asarray(bounds.offsets, np.int64))
+        row = np.repeat(np.arange(b.num_rows), count)
+        flat = bounds.flatten()
+        offset, length = np.asarray(flat.field("offset"), np.int64), np.asarray(flat.field("length"), np.int64)
+        begin = at[:-1][row] + offset
+        data = memoryview(ids).cast("B")
+        crc = np.array([zlib.crc32(data[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist())], np.int64)
+        rows = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("doc_id"), flat.field("piece"), flat.field("start"), flat.field("length"), *(b.column(c).take(rows) for c in ("shard", "bin")), flat.field("offset"), *(b.column(c).take(rows) for c in ("capacity", "used")), pa.array(crc)],
+            names=["doc_id", "piece", "start", "length", "shard", "bin", "offset", "capacity", "used", "ids_crc32"],
+        )
+
+
+def placed(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """One row per piece of ``document_sequences``, which are written and read back: ``doc_id, piece, start, length, shard, bin,
+    offset, capacity, used, ids_crc32``, the last from the ids as read."""
+    found = materialise(document_sequences(docs, tokenizer), "sequences")
+    return found.mapInArrow(piece_rows, SCHEMA + ", ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Sequences of token ids, each document with its end id: the same tokens as those of operator 1."""
+    """Sequences of token ids, each document with its end id: the same ids as those of operator 1."""
     import public_tokenizers
 
-    sized = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return best_fit(sized, F.col("n_tokens"))
+    return placed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 ORACLE_SQL = None  # packing is a sequence of choices; tests check bounds, completeness, plain loops and exhaustive search

@@ -159,23 +159,39 @@ def test_joint_choice_against_exhaustive_search():
 
 
 def test_sequences_of_token_ids_read_back(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(100 + i, f"some words number {i} " * (i % 9), "") for i in range(60)]
+    long = "several words of a long text " * 3000
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(100 + i, f"some words number {i} " * (i % 9), "") for i in range(60)] + [(200, long, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     path = str(tmp_path / "tokens")
     token_output.write_tokens(docs, path, PATH)
     tokens = token_output.read_tokens(spark, path)
-    counts = token_output.token_counts(docs, PATH)
-    assert {r.doc_id: r.n_tokens for r in counts.collect()} == {r.doc_id: r.n_tokens for r in tokens.collect()}
-    packing.sequences(tokens, packing.best_fit(counts, F.col("n_tokens"), (64, 128, 1024), shard_pieces=40)).write.parquet(str(tmp_path / "sequences"))
-    parts = {}
-    for s in spark.read.parquet(str(tmp_path / "sequences")).collect():
-        assert len(s.ids) == s.used <= s.capacity and [b.offset for b in s.bounds] == np.cumsum([0] + [b.length for b in s.bounds])[:-1].tolist()
-        for b in s.bounds:
-            parts[b.doc_id, b.piece] = s.ids[b.offset : b.offset + b.length]
-    for i, text, _ in rows:
-        assert sum((parts[i, k] for k in range(len([1 for j, _ in parts if j == i]))), []) == encoded(text)
+    made = [packing.sequences(tokens, (64, 128, 1024), shard_tokens=9000), packing.document_sequences(docs.repartition(3), PATH, 1, (64, 128, 1024), shard_tokens=9000)]
+    for k, sequences in enumerate(made):
+        sequences.write.parquet(str(tmp_path / f"sequences{k}"))
+        found = spark.read.parquet(str(tmp_path / f"sequences{k}"))
+        parts = {}
+        for s in found.collect():
+            assert len(s.ids) == s.used <= s.capacity and s.capacity in (64, 128, 1024)
+            assert [b.offset for b in s.bounds] == np.cumsum([0] + [b.length for b in s.bounds])[:-1].tolist()
+            for b in s.bounds:
+                assert (b.doc_id, b.piece) not in parts and b.start == b.piece * 1024
+                parts[b.doc_id, b.piece] = s.ids[b.offset : b.offset + b.length]
+        for i, text, _ in rows:
+            assert sum((parts[i, k] for k in range(len([1 for j, _ in parts if j == i]))), []) == encoded(text)
+        pieces = found.mapInArrow(packing.piece_rows, packing.SCHEMA + ", ids_crc32 long").collect()
+        assert {(r.doc_id, r.piece): r.ids_crc32 for r in pieces} == {k: zlib.crc32(np.array(ids, "<u4").tobytes()) for k, ids in parts.items()}
+        whole = {r.doc_id: r.ids_crc32 for r in pieces if sum(q.doc_id == r.doc_id for q in pieces) == 1}
+        index = {r.doc_id: r.ids_crc32 for r in token_output.document_index(spark, path).collect()}
+        assert len(whole) > 60 and all(index[i] == c for i, c in whole.items())  # operator 1's checksums
+
+
+def test_sequences_keep_null_and_repeated_ids_apart(spark):
+    tokens = spark.createDataFrame([(None, [7, 8, 9]), (None, [6]), (1, [1]), (1, [2]), (1, [2]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    found = packing.sequences(tokens, (4, 8)).collect()
+    parts = sorted(((b.doc_id, b.piece, s.ids[b.offset : b.offset + b.length]) for s in found for b in s.bounds), key=repr)
+    assert parts == sorted([(None, 0, [7, 8, 9]), (None, 0, [6]), (1, 0, [1]), (1, 0, [2]), (1, 0, [2]), (2, 0, []), (3, 0, [])], key=repr)
+    assert sum(s.used for s in found) == 7 == sum(len(s.ids) for s in found)
+    assert packing.sequences(tokens.limit(0)).collect() == []
 
 
 def test_best_fit_is_whole_and_tight(spark):
