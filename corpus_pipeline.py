@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir), calls one operator of ``quizmill.llm`` o
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,14 @@ from quizmill.llm.common import materialise, small, table
 KEEP_SCORE = 0.7
 
 
+def nested(docs: DataFrame, *own) -> DataFrame:
+    """Each row as one column ``doc``, beside what a stage derives from it, so that no column of ``docs`` can clash with one
+    of a stage."""
+    return docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")).select("*", *own)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a 64-bit hash that differs for rows of different id or text, null ids and texts included.
+    """``doc, doc_id, text`` with ``_row``, a 64-bit hash that differs for rows of different id or text, null ids and texts included.
 
     Stages decide by it, as ids may be null or repeated with other texts. A second hash shows whether two rows share one by
     chance; then another seed is taken.
@@ -24,7 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     parts = [F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text"]
     seed = 0
     while True:
-        rows = docs.withColumn("_row", F.xxhash64(*parts, F.lit(seed)))
+        rows = nested(docs, F.xxhash64(*parts, F.lit(seed)).alias("_row"))
         other = F.xxhash64(F.lit(seed), *parts)
         met = rows.select("_row", other.alias("o")).groupBy("_row").agg(F.min("o").alias("a"), F.max("o").alias("b"))
         if met.filter("a <> b").isEmpty():
@@ -38,31 +45,34 @@ def as_documents(rows: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Keyed ``rows`` without those of ``gone(doc_id)``, keys that are broadcast only if a count shows that they are few."""
-    return rows.join(small(gone.select(F.col("doc_id").alias("_row"))), "_row", "left_anti").drop("_row")
+    """The documents of keyed ``rows`` without those of ``gone(doc_id)``, keys that are broadcast only if a count shows that
+    they are few."""
+    return rows.join(small(gone.select(F.col("doc_id").alias("_row"))), "_row", "left_anti").select("doc.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below KEEP_SCORE go, those without an id too. The classifier learns from the labels of documents of this
-    stage's input; where none has a label there is no score, and all rows stay."""
+    """Rows scored below KEEP_SCORE go, those without an id, and null, empty and very long texts, like any other. The
+    classifier learns from the labels of documents of this stage's input; where none has a label there is no score, and all
+    rows stay."""
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
     if model is None:
         return docs
     rows = keyed(docs)
     scores = materialise(quality.score(as_documents(rows), model), "scores")
-    return without(rows, scores.filter(F.col("score") < KEEP_SCORE).select("doc_id").distinct()).select(docs.columns)
+    return without(rows, scores.filter(F.col("score") < KEEP_SCORE).select("doc_id").distinct())
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, that with the largest id. A row without an id stays only if no equal text has one. Rows
-    that share an id but not the text, and rows without an id whose texts differ, do not touch each other.
+    """Of equal texts, null ones counting as empty, one row stays, that with the largest id. A row without an id stays only if
+    no equal text has one. Rows that share an id but not the text, and rows without an id whose texts differ, do not touch
+    each other. Very long texts are compared whole.
 
     Of rows that repeat the id that stays and its text, the first in the order of text (letters in capitals may differ) and
     the other columns stays.
     """
     found = materialise(exact_dedup.exact_dedup(docs, keep="largest"), "exact")
     norm = exact_dedup.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_hash", F.sha2(norm.cast("binary"), 256))
+    rows = nested(docs, F.sha2(norm.cast("binary"), 256).alias("_hash"))
 
     def match(keys: DataFrame, how: str) -> DataFrame:
         keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), 120)
@@ -72,15 +82,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().filter("count > 1")
     again = materialise(again.select("doc_id", "text_sha256"), "repeats")
     if again.isEmpty():
-        return match(gone, "left_anti").select(docs.columns)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = match(again, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("text", *others)).alias("r")).select("doc_id", "r.*")
-    return match(gone.union(again), "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+        return match(gone, "left_anti").select("doc.*")
+    one = match(again, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("text", "doc")).alias("r")).select("r.doc.*")
+    return match(gone.union(again), "left_anti").select("doc.*").unionByName(one)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, similarity of 0.8) the row with the smallest id stays; rows without
-    an id come last, and of rows that share the id one stays."""
+    an id come last, and of rows that share the id one stays. Null, empty and blank texts have no near duplicates; very long
+    ones are compared whole."""
     rows = keyed(docs)
     found = materialise(jaccard_join.jaccard_join(as_documents(rows), k=5, threshold=80).select("doc_id", "component_id"), "near")
     linked = found.filter("doc_id <> component_id").select("component_id").distinct()
@@ -90,19 +100,21 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull(), "id", "_row"))
     best = members.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first._row").alias("best"))
     gone = members.join(small(best), "component_id").filter("_row <> best").select(F.col("_row").alias("doc_id"))
-    return without(rows, gone).select(docs.columns)
+    return without(rows, gone)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold ten consecutive words of a benchmark item, or a whole shorter item, go, those without an id too."""
+    """Rows that hold ten consecutive words of a benchmark item, or a whole shorter item, go, those without an id too. Null and
+    empty texts hold none and stay; very long ones are searched whole."""
     rows = keyed(docs)
     found = materialise(decontaminate.decontaminate(as_documents(rows), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated"), "leaks")
-    return without(rows, found.filter("contaminated").select("doc_id")).select(docs.columns)
+    return without(rows, found.filter("contaminated").select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of permitted lengths, counted in words."""
-    return packing.best_fit(docs, packing.n_words(F.col("text")))
+    """The pieces of the documents' token ids in sequences of permitted lengths, which are written and read back; every row has
+    pieces, null and empty texts that of the end id alone."""
+    return packing.placed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -1,9 +1,12 @@
 import os
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quizmill.llm import decontaminate, quality
+from quizmill.llm import decontaminate, quality, token_output
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -35,6 +38,11 @@ def test_stages_take_effect_and_columns_stay(spark):
         docs, seen = spark.createDataFrame(out.collect(), out.schema), set(rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == seen
+    texts, encoder = {r.doc_id: r.text for r in docs.collect()}, token_output.Encoder.of(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    for r in packed:  # the ids of each piece, as read from the sequences
+        ids = [*encoder.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    assert sum(r.length for r in packed) == sum(len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values())
 
 
 def decontaminate_fold(t):
@@ -90,3 +98,17 @@ def test_quality_stage_by_row_and_without_a_model(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit", lambda *_: "model")
     monkeypatch.setattr(quality, "score", lambda d, m: d.selectExpr("doc_id", "IF(text = 'bad', 0.0D, 1.0D) AS score"))
     assert kept(corpus_pipeline.quality_stage(spark, docs, SF)) == sorted([(1, "good"), (None, "good")], key=repr)
+
+
+def test_clashing_columns_and_odd_texts_pass_all_stages(spark):
+    names = ["_row", "_hash", "_id", "_sha", "doc", "id", "component_id", "text_sha256", "keep_id", "score"]
+    rows = [(1, LONG), (2, LONG), (3, LONG + " more"), (4, None), (5, ""), (6, "w " * 50_000), (None, "alone here")]
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    left = {"exact dedup": {2, 3, 5, 6, None}, "n-gram Jaccard join": {1, 4, 5, 6, None}, "benchmark decontamination": {1, 2, 3, 4, 5, 6, None}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert name not in left or set(got) == left[name]
+        assert all(got[i][n] == f"{n}{i}" for i in got for n in names)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {1, 2, 3, 4, 5, 6, None}
