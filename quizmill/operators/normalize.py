@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.operators.numbering import numbered
-from quizmill.operators.search import nearest
+from quizmill.operators.search import encode, hashed_grams, nearest
 from quizmill.session import small, stored
 
 
@@ -67,20 +67,51 @@ def learn_aliases(alias_dict: DataFrame, resolved: DataFrame) -> DataFrame:
     return alias_dict.select("entity_type", "alias", "canonical_id", F.col("confidence").cast("double").alias("confidence")).unionByName(new)
 
 
-def resolve(aliases: DataFrame, alias_dict: DataFrame, canonicals: DataFrame, decisions: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+def vector_tier(names: DataFrame, canonicals: DataFrame, encoder=hashed_grams, k: int = 5, high: float = 0.85, low: float = 0.55) -> tuple[DataFrame, DataFrame]:
+    """(matches, review) of ``names(entity_type, alias)``: ``entity_type, alias, canonical_id, similarity`` of those whose nearest
+    canonical of the type reaches ``high``, and ``entity_type, alias, candidates`` of the others, with canonicals from ``low``
+    on, best first (none: an empty array). Names and canonicals are encoded alike; each type, of the few that there are, is searched alone.
+    """
+    asked = stored(encode(names.select(F.monotonically_increasing_id().alias("alias_id"), "entity_type", "alias"), "alias", encoder), "names")
+    known = stored(encode(canonicals.select("entity_type", "id", "canonical"), "canonical", encoder), "canonicals")
+    ranked = None
+    for (kind,) in asked.select("entity_type").distinct().collect():  # a closed domain: companies and positions
+        own = F.col("entity_type").eqNullSafe(F.lit(kind))
+        one = resolve_vector(asked.filter(own).select("alias_id", "embedding"), known.filter(own).select(F.col("id").alias("canonical_id"), "embedding"), k, high)
+        ranked = one if ranked is None else ranked.unionByName(one)
+    if ranked is None:
+        ranked = asked.sparkSession.createDataFrame([], "alias_id long, canonical_id long, similarity double, rank int, matched boolean")
+    ranked = stored(ranked, "ranked")
+    ids = asked.select("alias_id", "entity_type", "alias")
+    matches = ids.join(ranked.filter("matched").select("alias_id", "canonical_id", "similarity"), "alias_id")
+    review = ids.join(matches.select("alias_id"), "alias_id", "left_anti").join(review_candidates(ranked, low), "alias_id", "left")
+    kind = review.schema["candidates"].dataType
+    return matches.drop("alias_id"), review.select("entity_type", "alias", F.coalesce("candidates", F.array().cast(kind)).alias("candidates"))
+
+
+def resolve(aliases: DataFrame, alias_dict: DataFrame, canonicals: DataFrame, decisions, encoder=None, high: float = 0.85, low: float = 0.55) -> DataFrame:
     """Distinct aliases ``entity_type, alias`` through all tiers: ``canonical_id, source, confidence, name``.
 
-    ``matches(entity_type, alias, canonical_id, similarity)`` are vector matches, if there are any.
+    Tiers: dictionary, vector (with an ``encoder``), decision, new canonical. ``decisions`` is a table, see ``apply_decisions``, or a
+    function that makes one from the names under review, ``entity_type, alias, candidates`` (see ``vector_tier``; without an
+    encoder there are no candidates). Several decisions on a name count as one, the least.
     """
     names = stored(aliases.select("entity_type", "alias").distinct(), "names")  # every tier reads them
     first = stored(resolve_dictionary(names, alias_dict), "dictionary")
-    done = [first.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("dictionary").alias("source"), "confidence", F.lit(None).cast("string").alias("name"))]
+    none = F.lit(None).cast("string").alias("name")
+    done = [first.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("dictionary").alias("source"), "confidence", none)]
     rest = first.filter("canonical_id is null").select("entity_type", "alias")
-    if matches is not None:
-        done.append(rest.join(matches, ["entity_type", "alias"]).select("entity_type", "alias", "canonical_id", F.lit("vector").alias("source"), F.col("similarity").alias("confidence"), F.lit(None).cast("string").alias("name")))
-        rest = rest.join(matches, ["entity_type", "alias"], "left_anti")
-    decided = stored(apply_decisions(rest, decisions), "decided")
-    done.append(decided.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("decision").alias("source"), "confidence", F.lit(None).cast("string").alias("name")))
+    review = rest.withColumn("candidates", F.array().cast("array<struct<rank:int,canonical_id:bigint,similarity:double>>"))
+    if encoder is not None:
+        matches, review = vector_tier(rest, canonicals, encoder, high=high, low=low)
+        done.append(matches.select("entity_type", "alias", "canonical_id", F.lit("vector").alias("source"), F.col("similarity").alias("confidence"), none))
+        review = stored(review, "review")
+        rest = review.select("entity_type", "alias")
+    given = decisions(review) if callable(decisions) else decisions
+    fields = ["canonical_id", "confidence", "is_match", "proposed"]
+    given = given.groupBy("entity_type", "alias").agg(F.min(F.struct(*fields)).alias("d")).select("entity_type", "alias", "d.*")
+    decided = stored(apply_decisions(rest, given), "decided")
+    done.append(decided.filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.lit("decision").alias("source"), "confidence", none))
     new, _ = create_canonicals(decided.filter("canonical_id is null"), canonicals)
     done.append(new.select("entity_type", "alias", "canonical_id", F.lit("new").alias("source"), "confidence", "name"))
     out = done[0]

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.session import stored, work_folder
+from quizmill.operators.blocks import block_join, block_rows
+from quizmill.session import stored
 
 #: Vectors that every task holds, at most; more queries make more passes over the gallery.
 QUERY_BLOCK = 4096
+#: Pivots of a block of vectors, and pairs that are bounded at once.
+PIVOTS, PAIRS = 128, 1 << 22
 FOUND = "query_id long, id long, similarity double"
 
 
@@ -71,31 +72,83 @@ def _against_queries(block: list, gallery: DataFrame, k: int) -> DataFrame:
     return gallery.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(best, FOUND)
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+def _pivots(g: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivots, the pivot of each row, its distance to it): up to ``count`` rows of ``g``, each the farthest from those before."""
+    chosen, of = [0], np.zeros(len(g), np.int64)
+    apart = np.linalg.norm(g - g[0], axis=1)
+    while len(chosen) < min(count, len(g)) and apart.max() > 0:
+        i = int(apart.argmax())
+        d = np.linalg.norm(g - g[i], axis=1)
+        nearer = d < apart
+        of[nearer], apart[nearer] = len(chosen), d[nearer]
+        chosen.append(i)
+    return g[chosen], of, apart
+
+
+def _block_best(rows: np.ndarray, q: np.ndarray, ids: np.ndarray, g: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
+    """([rows, ids, similarities] of the best ``k`` of each query, pairs that were multiplied).
+
+    By the triangle inequality the product with a row differs from that with its pivot by the query's length times their
+    distance at most. The k-th largest of the lower bounds of a query is one for its k-th best similarity; only rows whose
+    upper bound reaches it are multiplied with the query.
+    """
+    pivots, of, apart = _pivots(g, PIVOTS)
+    near_pivot, length = q @ pivots.T, np.linalg.norm(q, axis=1)
+    order = np.argsort(near_pivot.argmax(1), kind="stable")  # queries that lean the same way ask for the same rows
+    rows, q, near_pivot, length = rows[order], q[order], near_pivot[order], length[order]
+    out, pairs, step = [], 0, max(1, PAIRS // max(len(g), 1))
+    for i in range(0, len(q), step):
+        part = slice(i, i + step)
+        middle, spread = near_pivot[part][:, of], length[part, None] * apart[None, :] * (1 + 1e-9) + 1e-9
+        near = np.ones(middle.shape, bool)
+        if len(g) > k:
+            near = middle + spread >= np.partition(middle - spread, len(g) - k, axis=1)[:, [len(g) - k]]
+        u, v = np.nonzero(near)
+        at = np.unique(v)
+        found = np.full((len(near), len(at)), -np.inf)
+        if len(u) > 0.2 * found.size:
+            found[:] = q[part] @ g[at].T
+            pairs += found.size
+        else:
+            found[u, np.searchsorted(at, v)] = np.einsum("ij,ij->i", q[part][u], g[v])
+            pairs += len(u)
+        keys, sims = _top(found, ids[at], k)
+        held = sims > -np.inf
+        out.append([np.broadcast_to(rows[part, None], keys.shape)[held], keys[held], sims[held]])
+    return [np.concatenate(x) for x in zip(*out)], pairs
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, work: tuple | None = None) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` nearest rows of ``gallery(id, embedding)`` of each of
     ``queries(query_id, embedding)``, each row of which is searched, also if its id is null or repeats; ties go to the smaller id; similarities are rounded to 6 digits at the end.
 
     Up to QUERY_BLOCK queries go to every task and the gallery streams past them; else a gallery of up to that size goes to
-    every task and the queries stream past it; else the gallery streams past one block of queries after the other, and the
-    best of each block are written to the shared folder. Neither side is shuffled; what is merged is partitions * k rows a
-    query.
+    every task and the queries stream past it; neither side is shuffled then. Beyond that, blocks of queries meet blocks of
+    the gallery in one job (``quizmill.operators.blocks``), where distances to pivots of the block spare most inner products
+    of clustered vectors. The best ``k`` of each pair of blocks are merged by a limited window, which
+    Spark applies before its shuffle too. ``work`` may be two accumulators, for all pairs of the blocks and those multiplied.
     """
     # rows are told apart by a number, as ids of queries may repeat or be null
     numbered = stored(queries.filter("embedding is not null").select("query_id", "embedding", F.monotonically_increasing_id().alias("_row")), "queries")
     queries = numbered.select(F.col("_row").alias("query_id"), "embedding")
     gallery = gallery.filter("embedding is not null").select("id", "embedding")
-    block = queries.orderBy("query_id").limit(QUERY_BLOCK + 1).collect()
-    if len(block) <= QUERY_BLOCK:
-        found = _against_queries(block, gallery, k)
-    elif len(few := gallery.limit(QUERY_BLOCK + 1).collect()) <= QUERY_BLOCK:
-        found = _against_gallery(queries, few, k)
+    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        found = _against_queries(queries.collect(), gallery, k)
+    elif gallery.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        found = _against_gallery(queries, gallery.collect(), k)
     else:
-        path = work_folder(queries.sparkSession, "nearest")
-        block = block[:QUERY_BLOCK]
-        while block:
-            _against_queries(block, gallery, k).write.mode("append").parquet(path)
-            block = queries.filter(F.col("query_id") > block[-1][0]).orderBy("query_id").limit(QUERY_BLOCK).collect()
-        found = queries.sparkSession.read.schema(FOUND).parquet(path)
+        width = numbered.agg(F.max(F.size("embedding"))).first()[0]
+        right = stored(gallery.select(F.monotonically_increasing_id().alias("_row"), F.col("id").cast("long").alias("id"), "embedding"), "gallery")
+
+        def meet(_key, left: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            q, g = (np.vstack(x["embedding"].to_numpy()).astype(float) for x in (left, other))
+            best, pairs = _block_best(left["_row"].to_numpy(), q, other["id"].to_numpy(), g, k)
+            if work:
+                work[0].add(len(q) * len(g))
+                work[1].add(pairs)
+            return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), best)))
+
+        found = block_join(numbered.select("_row", "embedding").withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), "_row", ["_all"], block_rows(width), meet, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("query_id", "_row")
     return best.join(numbered.select("_row", "query_id"), "_row").select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -126,34 +179,50 @@ def search_many(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 
 
 def hashed_grams(texts, dim: int = 64, n: int = 3) -> np.ndarray:
-    """The default encoder: hashed character n-grams, L2-normalised; the same for the same text everywhere."""
-    out = np.zeros((len(texts), dim), np.float32)
-    for i, t in enumerate(texts):
-        s = f" {t or ''} ".lower()
-        for j in range(max(len(s) - n + 1, 1)):
-            h = int.from_bytes(hashlib.blake2b(s[j : j + n].encode(), digest_size=8).digest(), "little")
-            out[i, h % dim] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm == 0, 1, norm)
-
-
-def backfill(questions: DataFrame, encoder=hashed_grams, batch_size: int = 64, limit: int | None = None, force: bool = False) -> DataFrame:
-    """``id, embedding`` of the questions that lack a vector (or of all with ``force``), the smallest ids first with a limit.
+    """The default encoder: hashed character n-grams of the text between blanks, in lower case, L2-normalised; the same for the
+    same text everywhere.
 
-    ``encoder`` maps a list of texts to a matrix and is called with at most ``batch_size`` of them.
+    All texts are one array of code points. A gram is its code points as digits to base 31, times an odd constant, modulo 2^32;
+    of that, high bits give the place and another bit the sign.
     """
-    rows = questions if force else questions.filter("embedding is null")
-    rows = rows.select("id", "content")
-    if limit is not None:
-        rows = rows.orderBy("id").limit(limit)
-
-    def encode(frames):
+    marked = [f" {t or ''} ".lower() for t in texts]
+    marked = [t + "\0" * (n - len(t)) for t in marked]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    count = size - n + 1
+    row = np.repeat(np.arange(len(marked)), count)
+    at = np.arange(int(count.sum())) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        h = h * np.uint64(31) + codes[at + i]
+    h = (h * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    sign = ((h >> np.uint64(16)) & np.uint64(1)).astype(float) * 2 - 1
+    place = row * dim + ((h >> np.uint64(20)) % np.uint64(dim)).astype(np.int64)
+    out = np.bincount(place, sign, len(marked) * dim).reshape(-1, dim).astype(np.float32)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm == 0, np.float32(1), norm)
+
+
+def encode(df: DataFrame, text: str, encoder=hashed_grams, batch_size: int = 4096) -> DataFrame:
+    """``df`` with ``embedding``; ``encoder`` maps a list of texts to a matrix and is called with at most ``batch_size`` of them."""
+    def run(frames):
         for pdf in frames:
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at : at + batch_size]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": list(np.asarray(encoder(part["content"].tolist()), np.float32))})
+                yield part.assign(embedding=list(np.asarray(encoder(part[text].tolist()), np.float32)))
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+    return df.mapInPandas(run, schema + ", embedding array<float>")
 
-    return rows.mapInPandas(encode, "id long, embedding array<float>")
+
+def backfill(questions: DataFrame, encoder=hashed_grams, batch_size: int = 4096, limit: int | None = None, force: bool = False) -> DataFrame:
+    """``id, embedding`` of the questions that lack a vector (or of all with ``force``), the smallest ids first with a limit.
+    See ``encode``."""
+    rows = questions if force else questions.filter("embedding is null")
+    rows = rows.select("id", "content")
+    if limit is not None:
+        rows = rows.orderBy("id").limit(limit)
+    return encode(rows, "content", encoder, batch_size).select("id", "embedding")
 
 
 def with_vectors(questions: DataFrame, vectors: DataFrame) -> DataFrame:

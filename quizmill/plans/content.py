@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizmill.session import stored
 from quizmill.operators import clean, extract, normalize
+from quizmill.operators.search import hashed_grams
 from quizmill.plans.ingest import CANONICALS_SQL, canonicals
 from quizmill.plans.registry import Inputs, query
 
@@ -209,35 +210,61 @@ r AS (SELECT s.entity_type, s.alias, coalesce(dict_id, dec_id, e.id) AS canonica
 """
 
 
-#: Vector matches of some names, so that all four tiers resolve.
-MATCHES_SQL = "SELECT DISTINCT entity_type, alias, CAST(1 + ascii(right(alias, 1)) % 4 AS BIGINT) AS canonical_id, CAST(0.9 AS DOUBLE) AS similarity FROM {mentions} WHERE ascii(right(alias, 1)) % 3 = 0 AND trim(alias) = alias AND alias <> ''"
-
-TIERS_SQL = RESOLVED_SQL.replace("dc AS (", f"vm AS ({MATCHES_SQL}), dc AS (", 1).replace(
-    "SELECT a.entity_type, a.alias, d.canonical_id AS dict_id, CASE WHEN dc", "SELECT a.entity_type, a.alias, d.canonical_id AS dict_id, vm.canonical_id AS vec_id, vm.similarity AS vec_sim, CASE WHEN vm.canonical_id IS NULL AND dc", 1).replace(
-    "LEFT JOIN dc ON", "LEFT JOIN vm ON a.entity_type = vm.entity_type AND a.alias = vm.alias LEFT JOIN dc ON", 1).replace(
-    "dict_id IS NULL AND dec_id IS NULL", "dict_id IS NULL AND vec_id IS NULL AND dec_id IS NULL").replace(
-    "coalesce(dict_id, dec_id, e.id)", "coalesce(dict_id, vec_id, dec_id, e.id)", 1).replace(
-    "THEN 'dictionary' WHEN", "THEN 'dictionary' WHEN vec_id IS NOT NULL THEN 'vector' WHEN", 1).replace(
-    "THEN 1.0 WHEN dec_id", "THEN 1.0 WHEN vec_id IS NOT NULL THEN vec_sim WHEN dec_id", 1)
+def encoded_sql(rows: str, key: str, text: str) -> str:
+    """SQL of the default encoder over ``rows``: ``key, slot, v``, the components that are not zero, as the encoder's 32-bit floats."""
+    return f"""(SELECT {key}, slot, CAST(CAST(v AS FLOAT) / CAST(sqrt(sum(v * v) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS v FROM (
+  SELECT {key}, (x // 1048576) % 64 AS slot, sum(CASE WHEN (x // 65536) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM (
+    SELECT {key}, ((ord(substr(s, j, 1)) * 961 + ord(substr(s, j + 1, 1)) * 31 + ord(substr(s, j + 2, 1))) * 2654435761) % 4294967296 AS x
+    FROM (SELECT {key}, s, unnest(range(1, length(s) - 1)) AS j FROM (SELECT {key}, lower(concat(' ', {text}, ' ')) AS s FROM ({rows}) r) m) g) h
+  GROUP BY ALL) c WHERE v <> 0)"""
+
+
+#: All four tiers: names outside the dictionary are encoded and searched; what is left and has candidates is decided by length.
+TIERS_SQL = f"""
+WITH k AS ({CANONICALS_SQL}), a AS (SELECT DISTINCT entity_type, alias FROM ({ALIASES_SQL}) x),
+u AS (SELECT row_number() OVER () AS nr, * FROM a WHERE (entity_type, alias) NOT IN (SELECT entity_type, alias FROM {{alias_dict}})),
+kn AS (SELECT row_number() OVER () AS knr, * FROM k),
+eu AS {encoded_sql("SELECT * FROM u", "nr", "alias")}, ek AS {encoded_sql("SELECT * FROM kn", "knr", "canonical")},
+sim AS (SELECT nr, knr, sum(eu.v * ek.v) AS s FROM eu JOIN ek USING (slot) GROUP BY nr, knr),
+cand AS (SELECT u.nr, u.entity_type, u.alias, kn.id, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY u.nr ORDER BY coalesce(s, 0) DESC, kn.id) AS rank
+  FROM u JOIN kn ON u.entity_type = kn.entity_type LEFT JOIN sim ON sim.nr = u.nr AND sim.knr = kn.knr),
+s AS (SELECT a.entity_type, a.alias, d.canonical_id AS dict_id, CASE WHEN c.s >= 0.85 THEN c.id END AS vec_id, round(c.s, 6) AS vec_sim,
+  CASE WHEN c.s < 0.85 AND c.s >= 0.55 AND length(a.alias) % 2 = 0 THEN c.id END AS dec_id, CASE WHEN a.entity_type = 'company' THEN upper(a.alias) ELSE a.alias END AS name
+  FROM a LEFT JOIN {{alias_dict}} d ON a.entity_type = d.entity_type AND a.alias = d.alias LEFT JOIN cand c ON c.entity_type = a.entity_type AND c.alias = a.alias AND c.rank = 1),
+f AS (SELECT entity_type, canonical, (SELECT max(id) FROM k WHERE k.entity_type = n.entity_type) + row_number() OVER (PARTITION BY entity_type ORDER BY canonical) AS id
+  FROM (SELECT DISTINCT entity_type, name AS canonical FROM s WHERE dict_id IS NULL AND vec_id IS NULL AND dec_id IS NULL AND (entity_type, name) NOT IN (SELECT entity_type, canonical FROM k)) n),
+r AS (SELECT s.entity_type, s.alias, coalesce(dict_id, vec_id, dec_id, e.id) AS canonical_id,
+  CASE WHEN dict_id IS NOT NULL THEN 'dictionary' WHEN vec_id IS NOT NULL THEN 'vector' WHEN dec_id IS NOT NULL THEN 'decision' ELSE 'new' END AS source,
+  CAST(CASE WHEN dict_id IS NOT NULL THEN 1.0 WHEN vec_id IS NOT NULL THEN vec_sim WHEN dec_id IS NOT NULL THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence
+  FROM s LEFT JOIN (SELECT * FROM k UNION ALL SELECT entity_type, id, canonical FROM f) e ON s.entity_type = e.entity_type AND s.name = e.canonical)
+"""
 
 
-def resolved(t: Inputs, matches: DataFrame | None = None) -> DataFrame:
-    out = normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), decisions(t), matches)
+def resolved(t: Inputs) -> DataFrame:
+    out = normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), decisions(t))
     return stored(out.withColumn("confidence", F.col("confidence").cast("double")), "resolved")
 
 
-def matches(t: Inputs) -> DataFrame:
-    return t.spark.sql(MATCHES_SQL, mentions=t.mentions)
+def reviewed(review: DataFrame) -> DataFrame:
+    """Decisions on names under review: the best candidate, for names of even length; else a new name."""
+    best = F.try_element_at(F.col("candidates.canonical_id"), F.lit(1))
+    match = best.isNotNull() & (F.length("alias") % 2 == 0)
+    proposed = F.when(F.col("entity_type") == "company", F.upper("alias"))
+    return review.select("entity_type", "alias", match.alias("is_match"), F.when(match, best).alias("canonical_id"), F.lit(0.9).alias("confidence"), proposed.alias("proposed"))
+
+
+def tiers(t: Inputs) -> DataFrame:
+    return normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), reviewed, encoder=hashed_grams)
 
 
 @query("r39_resolve_four_tiers", TIERS_SQL + "SELECT entity_type, alias, canonical_id, source, confidence FROM r")
 def _(t):
-    return resolved(t, matches(t)).select("entity_type", "alias", "canonical_id", "source", "confidence")
+    return tiers(t).select("entity_type", "alias", "canonical_id", "source", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("r42_shares_of_four_tiers", TIERS_SQL + "SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY source")
 def _(t):
-    return normalize.tier_shares(resolved(t, matches(t)))
+    return normalize.tier_shares(stored(tiers(t), "tiers"))
 
 
 @query("r36_apply_decisions", RESOLVED_SQL + "SELECT entity_type, alias, canonical_id, confidence FROM r WHERE source = 'decision'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizmill.functions.domains import importance
 from quizmill.functions.times import period_label
 from quizmill.operators import aggregate, answers, catalog, score, search, telemetry
-from quizmill.plans.content import payloads
+from quizmill.plans.content import encoded_sql, payloads
 from quizmill.plans.ingest import BATCH_SQL, FLAT_SQL, batch, nested
 from quizmill.plans.registry import Inputs, query
 from quizmill.operators.extract import parse_extraction
@@ -271,10 +271,24 @@ def _(t):
     return search.search_many(t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
-@query("r64_backfill")
+@query("r63_search_every_row", f"""
+SELECT query_id, id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY {DOT} DESC, a.vec_id) AS rank
+FROM {{embeddings}} a, {{embeddings}} b) x WHERE rank <= 5""")
+def _(t):
+    return search.search_many(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 5)
+
+
+WITHOUT_SQL = "SELECT id, content FROM {questions} WHERE vec_id IS NULL"
+
+
+@query("r64_backfill", f"""
+SELECT q.id, string_agg(CAST(CAST(coalesce(v, 0) * 4294967296 AS BIGINT) AS VARCHAR), ',' ORDER BY slots.slot) AS vector
+FROM ({WITHOUT_SQL}) q CROSS JOIN (SELECT unnest(range(64)) AS slot) slots LEFT JOIN {encoded_sql(WITHOUT_SQL, "id", "content")} e ON e.id = q.id AND e.slot = slots.slot GROUP BY q.id""")
 def _(t):
+    """The whole vectors; a component is a multiple of 2^-32 in 32-bit floats, so it is told exactly."""
     q = t.questions.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").select("id", "content", "embedding")
-    return search.backfill(q).select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
+    parts = F.transform("embedding", lambda x: (x.cast("double") * 2**32).cast("long").cast("string"))
+    return search.backfill(q).select("id", F.array_join(parts, ",").alias("vector"))
 
 
 @query("r65_coverage", "SELECT count(vec_id) AS embedded, count(*) AS total, CAST(0 AS BIGINT) AS cleared FROM {questions}")

@@ -156,3 +156,24 @@ def test_seed(spark):
     names, aliases = files.seed_aliases(seed, canonicals, d)
     assert {r.canonical: r.id for r in names.collect()} == {"Old": 3, "A": 4, "B": 5}
     assert {r.alias: (r.canonical_id, r.confidence) for r in aliases.collect()} == {"Old": (3, 0.5), "A": (4, 1.0), "B": (5, 1.0), "b": (5, 1.0), "x": (4, 1.0)}
+
+
+def test_vector_tier_in_the_chain(spark):
+    """Near names match, others come under review with their candidates, far ones without any."""
+    vectors = {"Acme": [1.0, 0.0], "Bolt": [0.0, 1.0], "acme inc": [0.95, 0.312], "bo": [0.6, 0.8], "zed": [-1.0, 0.0], "dict": [0.0, 0.0]}
+    encoder = lambda texts: [vectors[t] for t in texts]
+    seen = {}
+
+    def decide(review):
+        seen.update({r.alias: [(c.canonical_id, round(c.similarity, 2)) for c in r.candidates] for r in review.collect()})
+        rows = [("company", "bo", True, 2, 0.8, None), ("company", "bo", True, 2, 0.9, None), ("company", "zed", False, None, None, "Zed")]
+        return spark.createDataFrame(rows, "entity_type string, alias string, is_match boolean, canonical_id long, confidence double, proposed string")
+
+    out = normalize.resolve(
+        spark.createDataFrame([("company", x) for x in ("dict", "acme inc", "bo", "zed")], "entity_type string, alias string"),
+        spark.createDataFrame([("company", "dict", 1, 1.0)], "entity_type string, alias string, canonical_id long, confidence double"),
+        spark.createDataFrame([("company", 1, "Acme"), ("company", 2, "Bolt"), ("position", 9, "Acme")], CANON), decide, encoder=encoder,
+    )
+    got = {r.alias: (r.canonical_id, r.source, r.confidence) for r in out.collect()}
+    assert got == {"dict": (1, "dictionary", 1.0), "acme inc": (1, "vector", 0.95), "bo": (2, "decision", 0.8), "zed": (3, "new", 0.5)}
+    assert seen == {"bo": [(2, 0.8), (1, 0.6)], "zed": []}

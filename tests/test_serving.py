@@ -210,7 +210,7 @@ def test_every_hundredth_vector_is_searched_against_all(spark):
         sims = m @ m[ids == i][0]
         want[i] = list(ids[np.lexsort((ids, -sims))[:10]])
     got = {}
-    for r in QUERIES["r63_search_hundredth"](spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+    for r in QUERIES["r63_search_many"](spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert len(want) == 20 and got == want
 
@@ -238,3 +238,63 @@ def test_counters_by_status(spark):
 
     events = spark.createDataFrame([("a", "ok", 1.5), ("a", "failed", 2.0), ("a", "ok", 0.25)], "stage string, status string, ms double")
     assert sorted(map(tuple, jobs.counters_stream(events, ("stage", "status")).collect())) == [("a", "failed", 1, 200), ("a", "ok", 2, 175)]
+
+
+def best_of(queries, gallery, k):
+    out = {}
+    for i, q in queries:
+        sims = sorted(((-round(float(np.dot(q, g)), 6), -float(np.dot(q, g)), j) for j, g in gallery), key=lambda x: (x[1], x[2]))[:k]
+        out[i] = [(j, -s) for s, _, j in sims]
+    return out
+
+
+def clustered(n, width, seed, centres=6):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, width))
+    x = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, width)) * 0.05
+    return [(i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 24])
+def test_search_in_blocks_equals_brute_force_and_spares_work(spark, monkeypatch, width):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "block_rows", lambda _: 150)
+    monkeypatch.setattr(search, "PAIRS", 1000)
+    queries, gallery = clustered(60, width, 1), clustered(500, width, 2)
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>").repartition(3)
+    g = spark.createDataFrame(gallery + [(900, None)], "id long, embedding array<double>").repartition(4)
+    work = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {}
+    for r in search.nearest(q, g, 5, work).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.similarity))
+    want = best_of(queries, gallery, 5)
+    assert {i: [j for j, _ in x] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 2e-6 for i in got for a, b in zip(got[i], want[i]))
+    assert work[0].value == 60 * 500 and (width < 24 or work[1].value < 0.4 * work[0].value)
+
+
+def test_distances_to_pivots():
+    g = np.random.default_rng(5).normal(size=(50, 12))
+    for count in (1, 7, 50, 80):
+        pivots, of, apart = search._pivots(g, count)
+        d = np.linalg.norm(g[:, None] - pivots[None], axis=2)
+        assert len(pivots) == min(count, 50) and np.allclose(apart, d.min(1)) and np.allclose(d[np.arange(50), of], apart)
+    assert len(search._pivots(np.ones((9, 3)), 5)[0]) == 1
+
+
+def test_encoder_equals_a_plain_loop():
+    texts = ["Backend engineer", "", None, "a", "İstanbul Ünï 面试 ☃", " padded  ", "aaaaaaaa" * 50]
+    for dim, n in ((64, 3), (16, 2), (8, 5)):
+        plain = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            s = f" {t or ''} ".lower()
+            s += "\0" * (n - len(s))
+            for j in range(len(s) - n + 1):
+                h = 0
+                for c in s[j : j + n]:
+                    h = h * 31 + ord(c)
+                h = h * 2654435761 % 2**32
+                plain[i, (h >> 20) % dim] += 1 if h >> 16 & 1 else -1
+        norm = np.linalg.norm(plain, axis=1, keepdims=True)
+        assert np.allclose(search.hashed_grams(texts, dim, n), plain / np.where(norm == 0, 1, norm), atol=1e-6)
+    assert search.hashed_grams([]).shape == (0, 64)
