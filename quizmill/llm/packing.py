@@ -210,30 +210,28 @@ def document_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacit
     return packed(pieces, int(total // (4 * shard_tokens)) + 1, capacities)
 
 
-def piece_rows(batches):
-    """Sequences as read -> one row per piece with the unsigned crc32 of its ids."""
+def _checked(batches):
+    """Rows of pieces whose last column is their ids -> the same with the unsigned crc32 of the ids in its place."""
     for b in batches:
-        lists, bounds = b.column("ids"), b.column("bounds")
-        ids, at = np.ascontiguousarray(np.asarray(lists.values), "<u4"), np.asarray(lists.offsets, np.int64)
-        count = np.diff(np.asarray(bounds.offsets, np.int64))
-        row = np.repeat(np.arange(b.num_rows), count)
-        flat = bounds.flatten()
-        offset, length = np.asarray(flat.field("offset"), np.int64), np.asarray(flat.field("length"), np.int64)
-        begin = at[:-1][row] + offset
-        data = memoryview(ids).cast("B")
-        crc = np.array([zlib.crc32(data[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist())], np.int64)
-        rows = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [flat.field("doc_id"), flat.field("piece"), flat.field("start"), flat.field("length"), *(b.column(c).take(rows) for c in ("shard", "bin")), flat.field("offset"), *(b.column(c).take(rows) for c in ("capacity", "used")), pa.array(crc)],
-            names=["doc_id", "piece", "start", "length", "shard", "bin", "offset", "capacity", "used", "ids_crc32"],
-        )
+        crc = pa.array(_crcs(b.column(b.num_columns - 1)))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], crc], names=[*b.schema.names[:-1], "ids_crc32"])
+
+
+def pieces_read(sequences: DataFrame) -> DataFrame:
+    """One row per piece of sequences as read: ``doc_id, piece, start, length, shard, bin, offset, capacity, used, ids_crc32``.
+
+    A sequence is cut into its pieces before rows go to Python, so a batch there holds pieces and not long sequences.
+    """
+    fields = ("doc_id", "piece", "start", "length", "offset")
+    part = F.transform("bounds", lambda b: F.struct(*(b[c].alias(c) for c in fields), F.slice("ids", b["offset"] + 1, b["length"]).alias("ids")))
+    rows = sequences.select("shard", "bin", "capacity", "used", F.explode(part).alias("p"))
+    rows = rows.select("p.doc_id", "p.piece", "p.start", "p.length", "shard", "bin", "p.offset", "capacity", "used", "p.ids")
+    return rows.mapInArrow(_checked, SCHEMA + ", ids_crc32 long")
 
 
 def placed(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One row per piece of ``document_sequences``, which are written and read back: ``doc_id, piece, start, length, shard, bin,
-    offset, capacity, used, ids_crc32``, the last from the ids as read."""
-    found = materialise(document_sequences(docs, tokenizer), "sequences")
-    return found.mapInArrow(piece_rows, SCHEMA + ", ids_crc32 long")
+    """One row per piece of ``document_sequences``, which are written and read back, see ``pieces_read``."""
+    return pieces_read(materialise(document_sequences(docs, tokenizer), "sequences"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

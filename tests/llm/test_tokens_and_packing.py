@@ -178,7 +178,7 @@ def test_sequences_of_token_ids_read_back(spark, tmp_path):
                 parts[b.doc_id, b.piece] = s.ids[b.offset : b.offset + b.length]
         for i, text, _ in rows:
             assert sum((parts[i, k] for k in range(len([1 for j, _ in parts if j == i]))), []) == encoded(text)
-        pieces = found.mapInArrow(packing.piece_rows, packing.SCHEMA + ", ids_crc32 long").collect()
+        pieces = packing.pieces_read(found).collect()
         assert {(r.doc_id, r.piece): r.ids_crc32 for r in pieces} == {k: zlib.crc32(np.array(ids, "<u4").tobytes()) for k, ids in parts.items()}
         whole = {r.doc_id: r.ids_crc32 for r in pieces if sum(q.doc_id == r.doc_id for q in pieces) == 1}
         index = {r.doc_id: r.ids_crc32 for r in token_output.document_index(spark, path).collect()}
