@@ -15,9 +15,11 @@ from quizmill.llm.jaccard_join import chunks
 
 #: At most so many labelled rows are used, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 60_000
+#: The largest number of features, which bounds the sums that the driver adds.
 FEATURES, SEED = 384, 20_240_101
-#: The kernel's width and the ridge penalty are chosen among these, by the error over folds of the training rows.
-WIDTHS, RIDGES = (3.0, 5.0, 8.0, 12.0), (1e-4, 1e-3, 1e-2, 1e-1)
+#: The kernel's width, the ridge penalty and the number of features are chosen among these, by the error over folds of the
+#: training rows. Fewer features are the first of more, so their sums are parts of the same sums.
+WIDTHS, RIDGES, SIZES = (3.0, 5.0, 8.0, 12.0), (1e-4, 1e-3, 1e-2, 1e-1), (96, 192, 384)
 #: Folds of the labelled rows, by a hash of the id; the last one calibrates.
 FOLDS = 4
 #: Raw scores are calibrated in so many bins of equal width.
@@ -109,9 +111,12 @@ class Model:
     levels: np.ndarray
     width: float = WIDTHS[0]
     ridge: float = RIDGES[0]
+    size: int = FEATURES
+    kept: np.ndarray | None = None  # of each statistic, 0 if it is left out
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        return fourier((stats - self.mean) / self.scale, self.width)
+        x = (stats - self.mean) / self.scale
+        return fourier(x if self.kept is None else x * self.kept, self.width, self.size)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.weights
@@ -121,11 +126,19 @@ class Model:
         return np.clip(np.interp(self.raw(stats), self.edges, self.levels), 0.0, 1.0)
 
 
-def fourier(x: np.ndarray, width: float) -> np.ndarray:
-    """Features cos(w x + b) whose inner products approximate a Gaussian kernel of that width, and a constant."""
+def fourier(x: np.ndarray, width: float, size: int = FEATURES) -> np.ndarray:
+    """The first ``size`` features cos(w x + b), whose inner products approximate a Gaussian kernel of that width, and a
+    constant."""
     rng = np.random.default_rng(SEED)
-    w, b = rng.normal(0, 1 / width, (x.shape[1], FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
-    return np.hstack([np.sqrt(2 / FEATURES) * np.cos(np.clip(x, -6, 6) @ w + b), np.ones((len(x), 1))])
+    w, b = rng.normal(0, 1 / width, (x.shape[1], FEATURES))[:, :size], rng.uniform(0, 2 * np.pi, FEATURES)[:size]
+    return np.hstack([np.sqrt(2 / size) * np.cos(np.clip(x, -6, 6) @ w + b), np.ones((len(x), 1))])
+
+
+def fewer(sums: np.ndarray, size: int) -> np.ndarray:
+    """The normal equations of the first ``size`` features from those of FEATURES."""
+    at = np.append(np.arange(size), [-2, -1])
+    scale = np.append(np.full(size, np.sqrt((len(sums) - 2) / size)), [1.0, 1.0])
+    return sums[np.ix_(at, at)] * scale[:, None] * scale
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -175,13 +188,36 @@ def _labelled_chunks(table: pa.Table):
             done += len(ids)
 
 
+def solved(sums: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from normal equations; the constant has no penalty."""
+    gram, right = sums[:-1, :-1], sums[:-1, -1]
+    size = len(gram) - 1
+    penalty = ridge * max(gram[-1, -1], 1.0) / size * np.eye(size + 1)
+    penalty[-1, -1] = 1e-9
+    return np.linalg.solve(gram + penalty, right)
+
+
+def missed(folds: list[np.ndarray], ridge: float) -> float:
+    """The squared error over the folds, each predicted from the others."""
+    total, out = sum(folds), 0.0
+    for s in folds if len(folds) > 1 else ():
+        w = np.append(solved(total - s, ridge), -1.0)
+        out += float(w @ s @ w)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on labelled documents ``labels(doc_id, label)``; None if there are none.
 
     The labelled rows with the smallest hashes, ``sample_rows`` at most, are joined by broadcast, which that bound allows.
-    Three quarters fit the ridge weights, a quarter the calibration, by a hash of the id. Width and penalty are those of the
-    least squared error over the three folds of the former, each fold being predicted from the other two. Only sums reach
-    the driver: one fold's normal equations give both its share of a fit and its error under any weights.
+    Three quarters fit the ridge weights, a quarter the calibration, by a hash of the id. All choices are those of the least
+    squared error over the three folds of the former, each fold being predicted from the other two: first width, penalty
+    and number of features; then, with the fewest features, each statistic is left out in turn, and those without which
+    the error is less are left out together if the error then is less with the best penalty and number of features too.
+    Only sums reach the driver: one fold's normal equations give both its share of a fit and its error under any weights.
+
+    Edge cases: labelled rows that repeat an id count each; of equal hashes the smaller id is taken; very long texts are
+    statistics like any other; empty tables, of documents or labels, give no model.
     """
     hashed = F.xxhash64("doc_id", F.lit("sample"))
     chosen = labels.filter("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label"))
@@ -201,28 +237,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         z = np.hstack([model.features(x), y[:, None]])
         return z.T @ z
 
-    def weights(sums, ridge):
-        gram, right = sums[:-1, :-1], sums[:-1, -1]
-        penalty = ridge * max(gram[-1, -1], 1.0) / FEATURES * np.eye(FEATURES + 1)
-        penalty[-1, -1] = 1e-9
-        return np.linalg.solve(gram + penalty, right)
+    def by_fold(make) -> list[np.ndarray]:
+        found = [summed(sample.filter(F.col("fold") == fold), make) for fold in range(FOLDS - 1)]
+        found = [s for s in found if s is not None]
+        return found or [summed(sample, make)]  # a handful of rows, all of the calibration fold
 
-    def error(sums, w):
-        w = np.append(w, -1.0)
-        return float(w @ sums @ w)
+    def tried(kept):
+        """The best of (error, width, size, ridge, kept, weights) at the model's width and statistics."""
+        folds = [s.reshape(FEATURES + 2, FEATURES + 2) for s in by_fold(normal)]
+        parts = {size: [fewer(s, size) for s in folds] for size in SIZES}
+        error, size, ridge = min((missed(parts[size], ridge), size, ridge) for size in SIZES for ridge in RIDGES)
+        return (error, model.width, size, ridge, kept, solved(sum(parts[size]), ridge)), parts[SIZES[0]]
 
     best = None
     for model.width in WIDTHS:
-        found = [summed(sample.filter(F.col("fold") == fold), normal) for fold in range(FOLDS - 1)]
-        folds = [s.reshape(FEATURES + 2, FEATURES + 2) for s in found if s is not None]
-        if not folds:  # a handful of rows, all of the calibration fold
-            folds = [summed(sample, normal).reshape(FEATURES + 2, FEATURES + 2)]
-        total = sum(folds)
-        for ridge in RIDGES:
-            missed = sum(error(s, weights(total - s, ridge)) for s in folds) if len(folds) > 1 else 0.0
-            if best is None or missed < best[0]:
-                best = missed, model.width, ridge, weights(total, ridge)
-    _, model.width, model.ridge, model.weights = best
+        found, fewest = tried(None)
+        if best is None or found[0] < best[0][0]:
+            best = found, fewest
+    best, fewest = best
+    model.width = best[1]
+    if len(fewest) > 1:
+        few = Model(mean, scale, model.weights, model.edges, model.levels, model.width, size=SIZES[0])
+        side = SIZES[0] + 2
+
+        def without_each(x, y):
+            out = np.empty((d, side, side))
+            for i in range(d):
+                few.kept = (np.arange(d) != i).astype(float)
+                z = np.hstack([few.features(x), y[:, None]])
+                out[i] = z.T @ z
+            return out
+
+        folds = [s.reshape(d, side, side) for s in by_fold(without_each)]
+        base = min(missed(fewest, ridge) for ridge in RIDGES)
+        kept = np.array([min(missed([s[i] for s in folds], ridge) for ridge in RIDGES) >= base for i in range(d)], float)
+        if 0 < kept.sum() < d:
+            model.kept = kept
+            best = min(best, tried(kept)[0], key=lambda x: x[0])
+    _, model.width, model.size, model.ridge, model.kept, model.weights = best
 
     edges = np.linspace(-0.5, 1.5, BINS + 1)
 

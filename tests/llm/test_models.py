@@ -206,8 +206,9 @@ def test_quality_without_labels(spark):
     assert quality.score(docs, None).first().score == 0.5
 
 
-def test_width_and_penalty_have_the_least_error_over_folds(spark, tmp_path):
-    """Chosen among training rows alone: a plain cross-validation over the same folds agrees."""
+def test_choices_have_the_least_error_over_folds(spark):
+    """Width, penalty, number of features and statistics are chosen among training rows alone: a plain cross-validation over
+    the same folds agrees; so do calibration and final scores with plain formulas."""
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(EN) if rng.random() < 0.8 else "ZZ!!" for _ in range(rng.randrange(3, 30)))) for i in range(160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -215,21 +216,48 @@ def test_width_and_penalty_have_the_least_error_over_folds(spark, tmp_path):
     model = quality.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, label int"))
     fold = {r.doc_id: r.f for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) f").collect()}
     used = [i for i, _ in rows if fold[i] != quality.FOLDS - 1]
-    stats = (quality.document_stats(pa.array([t for _, t in rows])) - model.mean) / model.scale
-    errors = {}
-    for width in quality.WIDTHS:
-        z = quality.fourier(stats, width)
-        for ridge in quality.RIDGES:
-            total = 0.0
-            for f in range(quality.FOLDS - 1):
-                inside, outside = [i for i in used if fold[i] != f], [i for i in used if fold[i] == f]
-                y = np.array([labels[i] for i in inside])
-                penalty = ridge * len(inside) / quality.FEATURES * np.eye(z.shape[1])
-                penalty[-1, -1] = 1e-9
-                w = np.linalg.solve(z[inside].T @ z[inside] + penalty, z[inside].T @ y)
-                total += ((z[outside] @ w - np.array([labels[i] for i in outside])) ** 2).sum()
-            errors[width, ridge] = total
-    assert errors[model.width, model.ridge] == pytest.approx(min(errors.values()), rel=1e-3)
+    every = quality.document_stats(pa.array([t for _, t in rows]))
+    assert np.allclose(model.mean, every.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(every.var(0), 1e-6)))
+    stats = (every - model.mean) / model.scale
+
+    def plain(width, size, ridge, kept):
+        z, total = quality.fourier(stats * kept, width, size), 0.0
+        for f in range(quality.FOLDS - 1):
+            inside, outside = [i for i in used if fold[i] != f], [i for i in used if fold[i] == f]
+            y = np.array([labels[i] for i in inside])
+            penalty = ridge * len(inside) / size * np.eye(z.shape[1])
+            penalty[-1, -1] = 1e-9
+            w = np.linalg.solve(z[inside].T @ z[inside] + penalty, z[inside].T @ y)
+            total += ((z[outside] @ w - np.array([labels[i] for i in outside])) ** 2).sum()
+        return total
+
+    d = len(quality.STATS)
+    ones, few = np.ones(d), quality.SIZES[0]
+    best = {width: min(plain(width, size, ridge, ones) for size in quality.SIZES for ridge in quality.RIDGES) for width in quality.WIDTHS}
+    width = min(best, key=best.get)
+    assert model.width == width
+    base = min(plain(width, few, ridge, ones) for ridge in quality.RIDGES)
+    kept = np.array([min(plain(width, few, r, (np.arange(d) != i).astype(float)) for r in quality.RIDGES) >= base for i in range(d)], float)
+    masked = min(plain(width, size, ridge, kept) for size in quality.SIZES for ridge in quality.RIDGES) if 0 < kept.sum() < d else np.inf
+    assert plain(model.width, model.size, model.ridge, ones if model.kept is None else model.kept) == pytest.approx(min(best[width], masked), rel=1e-3)
+
+    z = model.features(every)
+    assert z.shape[1] == model.size + 1
+    y, n = np.array([labels[i] for i in used], float), len(used)
+    penalty = model.ridge * n / model.size * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    raw = z @ np.linalg.solve(z[used].T @ z[used] + penalty, z[used].T @ y)
+    edges = np.linspace(-0.5, 1.5, quality.BINS + 1)
+    bins = np.clip(np.searchsorted(edges, raw) - 1, 0, quality.BINS - 1)
+    held = [i for i, _ in rows if fold[i] == quality.FOLDS - 1]
+    centres = sorted({bins[i] for i in held})
+    rate = np.array([np.mean([labels[i] for i in held if bins[i] == c]) for c in centres])
+    weight = np.array([sum(bins[i] == c for i in held) for c in centres], float)
+    # the closest non-decreasing sequence by its minimax formula
+    level = [max(min(np.average(rate[a : b + 1], weights=weight[a : b + 1]) for b in range(j, len(rate))) for a in range(j + 1)) for j in range(len(rate))]
+    want = np.clip(np.interp(raw, (edges[1:] + edges[:-1])[centres] / 2, level), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.mean([abs(got[i] - want[i]) < 1e-4 for i, _ in rows]) > 0.97  # rounding may move a row to the next bin
 
 
 def test_quality_query_on_the_given_tables(spark):
