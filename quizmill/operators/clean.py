@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,79 +36,80 @@ NOISE_PATTERNS = (
 )
 
 
-class _Text(HTMLParser):
-    """Text nodes outside dropped elements, and the title."""
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.title, self.muted, self.in_title, self.in_body, self.has_body = [], None, [], False, False, False
+#: Comments and dropped elements, each up to its end or that of the page; then any other tag, also one that the page breaks off.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(" + "|".join(DROPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\z)"
+_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+_TAG = r"""(?s)<(?:/?[a-zA-Z][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+|[!?/][^>]*+)(?:>|\z)|<[a-zA-Z/!?][^>]*+\z"""
+_BODY = r"""(?is)\A.*<body\b(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
+_PIECES = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
 
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.muted.append(tag)
-        elif tag == "title":
-            self.in_title = True
-        elif tag == "body":
-            self.has_body = True
-            self.parts.clear()
 
-    def handle_endtag(self, tag):
-        if tag in self.muted:
-            while self.muted.pop() != tag:
-                pass
-        elif tag == "title":
-            self.in_title = False
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def handle_data(self, data):
-        if self.in_title and self.title is None and data.strip():
-            self.title = data.strip()
-        elif not self.muted and not self.in_title and data.strip():
-            self.parts.extend(line.strip() for line in data.splitlines() if line.strip())
 
+def unescape(text: Column) -> Column:
+    """Character references by what they stand for: the names of the HTML standard, as the standard library lists them (those
+    that need no semicolon also without one), and numbers; what stands for nothing stays."""
+    names = F.map_from_arrays(F.array(*(F.lit("&" + n) for n in html5)), F.array(*(F.lit(v) for v in html5.values())))
+    low = F.array(*(F.lit(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(0x80, 0xA0)))  # as the standard reads these numbers
 
-def page_text(html: str | None) -> tuple[str | None, str]:
-    """(title, text) of a page: text nodes of the body, trimmed, one a line."""
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    return parser.title, "\n".join(parser.parts)
+    def number(n: Column) -> Column:
+        bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(bad, "\ufffd").when(n.between(0x80, 0x9F), F.element_at(low, (n - 0x7F).cast("int"))).otherwise(letter)
 
+    def one(p: Column) -> Column:
+        digits = F.rtrim(F.substring(p, 3, 12), F.lit(";"))
+        known = F.when(p == "&amp;", "&").when(p == "&nbsp;", "\xa0").when(p == "&lt;", "<").when(p == "&gt;", ">").when(p == "&quot;", '"')
+        known = known.when(p.rlike("^&#[xX]"), number(F.conv(F.substring(digits, 2, 9), 16, 10).cast("long"))).when(p.startswith("&#"), number(F.conv(F.substring(digits, 1, 10), 10, 10).cast("long")))
+        return F.when(~p.startswith("&"), p).otherwise(F.coalesce(known, F.try_element_at(names, p), p))
 
-def clean_html(pages: DataFrame, patterns: tuple = NOISE_PATTERNS, tokens: tuple = NOISE_TOKENS, marker: str = NOISE_MARKER) -> DataFrame:
-    """Replaces ``html`` by ``title, text, char_count``. Pages are parsed in Arrow batches; noise is stripped by built-in
-    functions after that."""
-    kept = [c for c in pages.columns if c != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html") + ", title string, text string"
+    return _once(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PIECES), F.lit(0)), one), "")).otherwise(t))
 
-    def parse(frames):
-        for pdf in frames:
-            found = [page_text(h) for h in pdf["html"]]
-            yield pdf[kept].assign(title=pd.Series([t for t, _ in found], dtype=object, index=pdf.index), text=pd.Series([x for _, x in found], dtype=object, index=pdf.index))
 
-    out = pages.mapInPandas(parse, schema).withColumn("text", strip_noise(F.col("text"), patterns, tokens, marker))
+def clean_html(pages: DataFrame, patterns: tuple = NOISE_PATTERNS, tokens: tuple = NOISE_TOKENS, marker: str = NOISE_MARKER) -> DataFrame:
+    """Replaces ``html`` by ``title, text, char_count``: the text of the body, or of the page without one, between tags, trimmed, a
+    line for each piece, without noise; the title is null if there is none or it is blank.
+
+    Built-in functions do all of it. Comments and the elements in DROPPED go with all they hold, up to their first end tag, or to
+    the page's end if they have none; a tag that the page breaks off goes too. Null and empty pages have the text ''.
+    """
+    seen = F.regexp_replace(F.coalesce("html", F.lit("")), _UNSEEN, "\n")
+    rows = pages.withColumn("_seen", seen)
+    title = _once(strip_wide(unescape(F.regexp_extract("_seen", _TITLE, 1))), lambda t: F.nullif(t, F.lit("")))
+    body = F.regexp_replace(F.regexp_replace("_seen", _TITLE, "\n"), _BODY, "")
+    lines = F.split(unescape(F.regexp_replace(body, _TAG, "\n")), LINES, -1)
+    text = F.array_join(F.filter(F.transform(lines, strip_wide), lambda x: x != ""), "\n")
+    out = rows.withColumn("title", title).withColumn("text", strip_noise(text, patterns, tokens, marker)).drop("html", "_seen")
     return out.withColumn("char_count", F.length("text"))
 
 
 def strip_noise(text: Column, patterns: tuple = NOISE_PATTERNS, tokens: tuple = NOISE_TOKENS, marker: str = NOISE_MARKER) -> Column:
     """Cut at the first line of 4 to 29 characters that matches ``marker``, then drop lines that match a pattern or equal a
-    token; blank lines stay; three or more line feeds become two; white space at both ends goes."""
-    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
-    size = lambda x: F.length(strip_wide(x))
-    marks = F.transform(lines, lambda x: (size(x) >= 4) & (size(x) < 30) & strip_wide(x).rlike(marker))
-    cut = F.array_position(marks, True)
-    head = F.when(cut > 0, F.slice(lines, F.lit(1), (cut - 1).cast("int"))).otherwise(lines)
+    token; blank lines stay; three or more line feeds become two; white space at both ends goes. Each line is stripped once."""
     noise = "|".join(f"(?:{p})" for p in patterns)
 
-    def stays(x: Column) -> Column:
-        s = strip_wide(x)
+    def marked(p: Column) -> Column:
+        return F.length(p["s"]).between(4, 29) & p["s"].rlike(marker)
+
+    def stays(p: Column) -> Column:
         drop = F.lit(False)
-        if patterns:
-            drop = drop | s.rlike(noise)
         if tokens:
-            drop = drop | s.isin(*tokens)
-        return (s == "") | ~drop
+            drop = drop | p["s"].isin(*tokens)
+        if patterns:
+            drop = drop | p["s"].rlike(noise)
+        return (p["s"] == "") | ~drop
+
+    def kept(pairs: Column) -> Column:
+        cut = F.array_position(F.transform(pairs, marked), True)
+        return F.filter(F.when(cut > 0, F.slice(pairs, F.lit(1), (cut - 1).cast("int"))).otherwise(pairs), stays)
 
-    joined = F.array_join(F.filter(head, stays), "\n")
+    pairs = F.transform(F.split(text, LINES, -1), lambda x: F.struct(x.alias("line"), strip_wide(x).alias("s")))
+    joined = F.array_join(_once(pairs, kept)["line"], "\n")
     return strip_wide(F.regexp_replace(joined, "\n{3,}", "\n\n"))
 
 

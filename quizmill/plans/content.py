@@ -21,7 +21,21 @@ SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(CASE WHEN cut > 0
   lambda x: trim(x) = '' OR NOT (regexp_matches(trim(x), '^[0-9]+(\s+[0-9]+)*\s*$|^The and .*$') OR trim(x) IN ('Les.', 'And ornd.'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM ({NOISE_SQL}) n"""
 
 
-@query("r19_clean_html")
+def unescaped_sql(text: str) -> str:
+    """The references that the given pages hold; a page may break one off."""
+    return f"replace(replace(replace(replace(regexp_replace({text}, '&amp$', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+UNSEEN_SQL = "(?is)<!--.*?(-->|$)|" + "|".join(rf"<{d}\b[^>]*>.*?(</{d}\s*>|$)" for d in clean.DROPPED)
+TITLE_SQL = "(?is)<title[^>]*>(.*?)</title>"
+BODY_SQL = f"regexp_replace(regexp_replace(regexp_replace(h, '{TITLE_SQL}', chr(10)), '(?is)^.*<body[^>]*>', ''), '(?s)<[/!?a-zA-Z][^>]*(>|$)', chr(10), 'g')"
+
+
+@query("r19_clean_html", rf"""
+WITH s AS (SELECT page_id, regexp_replace(coalesce(html, ''), '{UNSEEN_SQL}', chr(10), 'g') AS h FROM {{pages}}),
+b AS (SELECT page_id, nullif(trim({unescaped_sql(f"regexp_extract(h, '{TITLE_SQL}', 1)")}), '') AS title, {unescaped_sql(BODY_SQL)} AS t FROM s),
+l AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^\d+(\s+\d+)*\s*$')), chr(10)) AS text FROM b)
+SELECT page_id, title, text, CAST(length(text) AS INT) AS char_count FROM l""")
 def _(t):
     return clean.clean_html(t.pages.select("page_id", "html")).select("page_id", "title", "text", "char_count")
 

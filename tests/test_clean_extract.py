@@ -8,11 +8,9 @@ PAGE = """<html><head><title> The page </title><style>p{}</style></head><body><h
 <script>var a = "<p>no</p>";</script><p>Second &amp; last</p></article><footer>foot</footer></body></html>"""
 
 
-def test_page_text():
-    title, text = clean.page_text(PAGE)
+def test_page_text(spark):
+    title, text = spark.createDataFrame([(1, PAGE)], "page_id long, html string").transform(clean.clean_html).select("title", "text").first()
     assert title == "The page" and text == "Head\nFirst\nbold\ntext\nSecond & last"
-    assert clean.page_text("<html><body>abc</body></html>") == (None, "abc")
-    assert clean.page_text(None) == (None, "")
 
 
 def test_clean_html(spark):
@@ -98,3 +96,19 @@ def test_repeated_outcomes_and_answers_do_not_multiply(spark):
     q = spark.createDataFrame([(1, None, None)], "id long, answer_ai string, answer_ai_version int")
     out, counts = answers.apply_answers(q, spark.createDataFrame([(1, "b"), (1, "a"), (1, None)], "id long, answer string"), 3)
     assert [tuple(r) for r in out.collect()] == [(1, "a", 3)] and counts.first().asDict() == {"generated": 1, "failed": 0}
+
+
+def test_html_without_a_parser(spark):
+    pages = {
+        1: "<p>a<br>b <b>c</b></p><!-- <p>x</p> -->d",
+        2: "<body>x</body><BODY class='a>b'>y &amp; z&nbsp;&lt;p&gt; &copy;&copy &#65;&#x42; &#128; &#0; &nope; &</body>",
+        3: "<title> One &amp; two </title><title>Three</title>text<script>var a = '<p>no</p>';</script><nav>no<p>no</nav>yes<style>p{}",
+        4: "a < b and c > d <p title=\"x > y\">e</p> <a href='/q",
+        5: "<title> </title>", 6: "", 7: None, 8: "<!-- open", 9: "<header>never closed <p>x", 10: "l1\r\nl2 \x0b l3",
+    }
+    df = spark.createDataFrame([(i, h, "kept") for i, h in pages.items()], "page_id long, html string, text string")
+    out = {r.page_id: (r.title, r.text) for r in clean.clean_html(df.drop("text")).collect()}
+    assert out == {
+        1: (None, "a\nb\nc\nd"), 2: (None, "y & z\xa0<p> ©© AB € � &nope; &"), 3: ("One & two", "text\nyes"), 4: (None, "a < b and c > d\ne"),
+        5: (None, ""), 6: (None, ""), 7: (None, ""), 8: (None, ""), 9: (None, ""), 10: (None, "l1\nl2\nl3"),
+    }
