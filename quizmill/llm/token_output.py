@@ -21,9 +21,9 @@ from quizmill.llm.jaccard_join import chunks
 #: A file holds about this many bytes of text; the longest document is the only thing that may exceed it.
 FILE_BYTES = 64_000_000
 #: Texts are encoded in chunks of about this many bytes, each distinct word of a chunk once.
-CHUNK_BYTES = 8 << 20
-#: A Python worker remembers the ids of so many words of letters, about 30 MB; beyond that, of those of the last chunk.
-KNOWN_WORDS = 1_000_000
+CHUNK_BYTES = 4 << 20
+#: A Python worker remembers the ids of so many words of letters, about 10 MB; beyond that, of those of the last chunk.
+KNOWN_WORDS = 300_000
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
