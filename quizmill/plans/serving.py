@@ -99,10 +99,31 @@ def _(t):
     return candidates(t, True)
 
 
-@query("r51_cluster_questions")
+DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+#: Greedy clusters, rank by rank within a bucket: the representatives so far and their vectors pass from step to step.
+GREEDY_SQL = f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT c.company_id, c.position_id, c.rank, c.question_id, c.quality_score, q.vec_id FROM ({CANDIDATES_SQL}) c JOIN {{questions}} q ON c.question_id = q.id),
+sims AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y, {DOT} AS s FROM {{embeddings}} a, {{embeddings}} b),
+step AS (
+  SELECT company_id, position_id, rank, rank AS rep, [rank] AS reps, [vec_id] AS vecs FROM c WHERE rank = 1
+  UNION ALL
+  SELECT n.company_id, n.position_id, n.rank, CASE WHEN max(s) >= 0.25 THEN arg_max(r, (s, -r)) ELSE n.rank END AS rep,
+    CASE WHEN max(s) >= 0.25 THEN any_value(reps) ELSE list_append(any_value(reps), n.rank) END AS reps,
+    CASE WHEN max(s) >= 0.25 THEN any_value(vecs) ELSE list_append(any_value(vecs), any_value(n.vec_id)) END AS vecs
+  FROM (SELECT company_id, position_id, rank, reps, vecs, unnest(reps) AS r, unnest(vecs) AS v FROM step) p
+  JOIN c n ON n.company_id = p.company_id AND n.position_id = p.position_id AND n.rank = p.rank + 1 JOIN sims ON x = v AND y = n.vec_id
+  GROUP BY n.company_id, n.position_id, n.rank
+)
+SELECT company_id, position_id, 'all' AS period, question_id, CAST(freq AS INT) AS freq, CAST(row_number() OVER (PARTITION BY company_id, position_id ORDER BY freq DESC, coalesce(quality_score, -1) DESC, rank) AS INT) AS place
+FROM (SELECT company_id, position_id, rep, count(*) AS freq FROM step GROUP BY ALL) k JOIN c USING (company_id, position_id) WHERE c.rank = k.rep"""
+
+
+@query("r51_cluster_questions", GREEDY_SQL)
 def _(t):
     vectors = t.questions.filter("vec_id is not null").select(F.col("id").alias("question_id"), "vec_id").join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("question_id", "embedding")
-    return aggregate.cluster_questions(candidates(t), vectors, 0.25)
+    return aggregate.cluster_questions(candidates(t), vectors, 0.25).select("company_id", "position_id", "period", "question_id", "freq", "place")
 
 
 #: Clusters as they are with a threshold that no pair reaches but equal vectors: the best question of each vector stays.
@@ -245,9 +266,6 @@ def _(t):
     return aggregate.get_summary(summaries(t), 3, 5).select("company_id", "position_id", "period", "content_md", "content_length")
 
 
-DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-
-
 @query("r61_cosine", f"SELECT a.vec_id, round({DOT}, 6) AS similarity FROM {{embeddings}} a JOIN {{embeddings}} b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM {{embeddings}})")
 def _(t):
     e, n = t.embeddings, t.embeddings.count()

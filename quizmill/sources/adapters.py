@@ -81,6 +81,8 @@ def with_domain(sql: str) -> str:
     body = plain(sql).strip()
     if not heads:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {heads},\n{body[5:]}"
     return f"WITH {heads}\n{body}"
