@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import materialise, table
-from quizmill.llm.token_output import encode_batches
+from quizmill.llm.token_output import Encoder, encode_batches
 
 #: Pieces, or ids, that one shard holds on average. Packing loses at most a few open bins per shard.
 SHARD_PIECES, SHARD_TOKENS = 20_000, 2_000_000
@@ -150,6 +150,7 @@ def _crcs(lists: pa.ListArray) -> np.ndarray:
 
 
 def _sequences_of_shard(t: pa.Table, capacities: tuple[int, ...]) -> pa.Table:
+    Encoder.forget()
     t = t.combine_chunks()
     lists = pa.concat_arrays(t["ids"].chunks) if t["ids"].num_chunks != 1 else t["ids"].chunk(0)
     length = np.diff(np.asarray(lists.offsets, np.int64))
@@ -212,6 +213,7 @@ def document_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacit
 
 def _checked(batches):
     """Rows of pieces whose last column is their ids -> the same with the unsigned crc32 of the ids in its place."""
+    Encoder.forget()
     for b in batches:
         crc = pa.array(_crcs(b.column(b.num_columns - 1)))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], crc], names=[*b.schema.names[:-1], "ids_crc32"])

@@ -6,6 +6,7 @@ document id, and can be read by stripes in parallel; a predicate on the id prune
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 
@@ -116,6 +117,14 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop what this worker holds, in a stage that encodes nothing more; it would be built anew if it did."""
+        if cls.loaded:
+            cls.loaded.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
     def whole(self, words: list[str]) -> Pieces:
         """By all steps of the tokenizer."""
         return Pieces.of([e for i in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[i : i + 1000], add_special_tokens=False)])
@@ -207,7 +216,7 @@ def encode_batches(batches, path: str, end_id: int):
         values[inside] = found.ids.view(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
         # a batch of rows of bounded size for the JVM
-        step = max(1, len(sizes) * 4_000_000 // max(len(values), 1))
+        step = max(1, len(sizes) * 1_000_000 // max(len(values), 1))
         for i in range(0, len(sizes), step):
             columns = [ids.slice(i, step).cast(pa.int64()), pa.array(at + (ends - sizes)[i : i + step]), pa.array(sizes[i : i + step]), lists.slice(i, step)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "local_start", "n_tokens", "ids"])
