@@ -111,26 +111,40 @@ def _(t):
     return back.groupBy("extract_status").agg(F.count("*").alias("n"), F.count("quality_score").alias("scored"), F.sum("quality_score").alias("total"))
 
 
-ROUND_TRIP = ("companies", "positions", "posts", "links", "questions", "alias_dict")
+#: The columns that the domain tables have, by table: numbers and times, then texts.
+ROUND_TRIP = {
+    "companies": (["id"], ["canonical", "industry"]), "positions": (["id"], ["canonical", "category"]),
+    "posts": (["id", "posted_at", "fetched_at", "quality_score", "extract_version"], ["source_url", "title", "raw_html", "cleaned_text", "extract_status", "extract_error"]),
+    "links": (["post_id", "company_id", "position_id"], []),
+    "questions": (["id", "post_id", "round_no", "answer_ai_version"], ["round_type", "content", "category", "answer_brief", "answer_ai"]),
+    "alias_dict": (["canonical_id", "confidence"], ["entity_type", "alias"]),
+}
 
 
-@query("r7_all_tables_round_trip", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(sum({'post_id' if name == 'links' else 'id' if name != 'alias_dict' else 'canonical_id'}) AS BIGINT) AS total FROM {{{name}}}" for name in ROUND_TRIP)
-  + " UNION ALL SELECT 'summaries', count(*), CAST(sum(length(source)) AS BIGINT) FROM {documents}")
+def round_trip_sql(name: str) -> str:
+    numbers, texts = ROUND_TRIP[name]
+    filled = " + ".join(f"count({c})" for c in numbers + texts)
+    chars = " + ".join(f"coalesce(sum(length({c})), 0)" for c in texts) or "0"
+    return f"SELECT '{name}' AS name, count(*) AS n, CAST(sum({numbers[0]}) AS BIGINT) AS total, CAST({filled} AS BIGINT) AS filled, CAST({chars} AS BIGINT) AS chars FROM {{{name}}}"
+
+
+@query("r7_all_tables_round_trip", " UNION ALL ".join(map(round_trip_sql, ROUND_TRIP))
+  + " UNION ALL SELECT 'summaries', count(*), CAST(sum(doc_id) AS BIGINT), CAST(count(doc_id) * 2 + count(*) * 2 + count(source) AS BIGINT), CAST(sum(length(source)) + 3 * count(*) AS BIGINT) FROM {documents}")
 def _(t):
-    """All seven tables written and read back; summaries are one of each document, as the domain has none of its own."""
-    from quizmill.sources.schemas import TABLES
+    """All seven tables written and read back, with the values that each holds and the length of its texts; summaries are one
+    of each document, as the domain has none of its own."""
     from quizmill.sources.tables import read_tables, write_table
 
     folder = work_folder(t.spark, "tables")
     summaries = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("company_id"), F.lit(0).cast("long").alias("position_id"), F.lit("all").alias("period"), F.col("source").alias("content_md"))
     for name in (*ROUND_TRIP, "summaries"):
-        rows = summaries if name == "summaries" else getattr(t, name)
-        columns = [c.split() for c in TABLES[name].split(", ")]
-        write_table(rows.select(*(F.col(c) if c in rows.columns and rows.schema[c].dataType.simpleString() != "void" else F.lit(None).cast(kind).alias(c) for c, kind in columns)), folder, name)
-    back, out = read_tables(t.spark, folder), None
-    for name, rows in back.items():
-        key = {"links": F.col("post_id"), "alias_dict": F.col("canonical_id"), "summaries": F.length("content_md").cast("long")}.get(name, F.col("id") if "id" in rows.columns else None)
-        one = rows.agg(F.count("*").alias("n"), F.sum(key).alias("total")).select(F.lit(name).alias("name"), "n", "total")
+        write_table(summaries if name == "summaries" else getattr(t, name), folder, name)
+    out = None
+    for name, rows in read_tables(t.spark, folder).items():
+        key = ROUND_TRIP[name][0][0] if name in ROUND_TRIP else "id"
+        filled = sum((F.count(c) for c in rows.columns), F.lit(0))
+        chars = sum((F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, kind in rows.dtypes if kind == "string"), F.lit(0))
+        one = rows.agg(F.count("*").alias("n"), F.sum(key).alias("total"), filled.cast("long").alias("filled"), chars.cast("long").alias("chars")).select(F.lit(name).alias("name"), "n", "total", "filled", "chars")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quizmill.session import ship
 from quizmill.sources.schemas import TABLES
@@ -22,7 +23,10 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def write_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
+    """Write one of the seven tables in the types of its schema; columns that ``df`` lacks are null, others are left out."""
+    columns = [c.split() for c in TABLES[name].split(", ")]
+    rows = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns))
+    writer = rows.write.mode(mode)
     if name in PARTITIONED:
         writer = writer.partitionBy(*PARTITIONED[name])
     writer.parquet(f"{folder}/{name}")
