@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,12 @@ def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     as it is. For rows of bounded size only: hashes, ids, numbers."""
     rows = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release() -> None:
+    """Give memory that earlier work of this worker has freed back to the system; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every system's library has it
+    if trim:
+        trim(0)

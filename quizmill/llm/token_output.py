@@ -6,7 +6,6 @@ document id, and can be read by stripes in parallel; a predicate on the id prune
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 
@@ -16,15 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import shared_dir, table
+from quizmill.llm.common import release, shared_dir, table
 from quizmill.llm.jaccard_join import chunks
 
 #: A file holds about this many bytes of text; the longest document is the only thing that may exceed it.
 FILE_BYTES = 64_000_000
 #: Texts are encoded in chunks of about this many bytes, each distinct word of a chunk once.
-CHUNK_BYTES = 4 << 20
-#: A Python worker remembers the ids of so many words of letters, about 10 MB; beyond that, of those of the last chunk.
-KNOWN_WORDS = 300_000
+CHUNK_BYTES = 2 << 20
+#: A Python worker remembers the ids of so many words of letters, about 7 MB; beyond that, of those of the last chunk.
+KNOWN_WORDS = 200_000
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -114,6 +113,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls.loaded:
+            release()
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
@@ -122,8 +122,7 @@ class Encoder:
         """Drop what this worker holds, in a stage that encodes nothing more; it would be built anew if it did."""
         if cls.loaded:
             cls.loaded.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            release()
 
     def whole(self, words: list[str]) -> Pieces:
         """By all steps of the tokenizer."""
@@ -221,6 +220,7 @@ def encode_batches(batches, path: str, end_id: int):
             columns = [ids.slice(i, step).cast(pa.int64()), pa.array(at + (ends - sizes)[i : i + step]), pa.array(sizes[i : i + step]), lists.slice(i, step)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "local_start", "n_tokens", "ids"])
         at += int(ends[-1])
+    release()
 
 
 def _count_batches(batches, path: str):
