@@ -12,8 +12,10 @@ from quizmill.session import stored
 
 #: Vectors that every task holds, at most; more queries make more passes over the gallery.
 QUERY_BLOCK = 4096
-#: Pivots of a block of vectors, and pairs that are bounded at once.
-PIVOTS, PAIRS = 128, 1 << 22
+#: Pivots of a block of vectors, the rows that they are chosen from, and pairs that are multiplied at once.
+PIVOTS, PIVOT_ROWS, PAIRS = 128, 4096, 1 << 20
+#: Vectors that are gathered at once.
+PIECE = 1 << 14
 FOUND = "query_id long, id long, similarity double"
 
 
@@ -31,23 +33,76 @@ def cosine_pairs(q: np.ndarray, g: np.ndarray) -> np.ndarray:
     return q @ g.T
 
 
-def _top(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` of each row by similarity, then by the smaller key: (keys, similarities)."""
-    keys = np.broadcast_to(keys, sims.shape)
-    order = np.lexsort((keys, -sims), axis=1)[:, :k]
-    return np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
+def _below(x: np.ndarray) -> np.ndarray:
+    """``x`` in 32 bits, rounded down."""
+    return np.nextafter(np.clip(x, -3e38, 3e38).astype(np.float32), np.float32(-np.inf))
+
+
+class _Best:
+    """The best ``k`` rows of each of ``count`` queries, by similarity, then by the smaller id, of all that are shown.
+
+    Products of a piece, in 32 bits, are compared with the k-th best that a query has so far; only those that may reach it are
+    computed pair by pair in 64, which gives equal rows equal similarities wherever they lie, and are cut to ``k`` a query when they become many. So
+    memory depends on the piece and on ``count * k``, not on how many rows are shown.
+    """
+
+    def __init__(self, count: int, k: int):
+        self.k, self.least = k, np.full(count, -np.inf)
+        self.held: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        self.size = 0
+
+    def show(self, at: np.ndarray, q: np.ndarray, ids: np.ndarray, g: np.ndarray) -> None:
+        """Show the rows ``g`` of ``ids`` to the queries ``q``, which are those at the places ``at``."""
+        if not len(at) or not len(g):
+            return
+        with np.errstate(over="ignore", invalid="ignore"):
+            sims = q.astype(np.float32) @ g.astype(np.float32).T
+        # what 32 bits may be off; what overflows them is near, and then computed in 64
+        slack = 1.2e-7 * (g.shape[1] + 4) * np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", g, g).max()) + 1e-30
+        near = ~(sims < _below(self.least[at] - slack)[:, None])
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * self.k)
+        if len(many):
+            kth = np.partition(np.nan_to_num(sims[many], nan=-np.inf, posinf=-np.inf), len(g) - self.k, axis=1)[:, len(g) - self.k] - slack[many]
+            self.least[at[many]] = np.maximum(self.least[at[many]], kth)
+            near[many] = ~(sims[many] < _below(self.least[at[many]] - slack[many])[:, None])
+        u, v = np.divmod(np.flatnonzero(near), len(g))
+        for i in range(0, len(u), PIECE):
+            x, y = u[i : i + PIECE], v[i : i + PIECE]
+            self.held.append((at[x], ids[y], np.einsum("ij,ij->i", q[x], g[y])))
+            self.size += len(x)
+            if self.size > 2 * max(len(self.least) * self.k, PIECE):
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of queries, ids, similarities), ``k`` a query at most, best first."""
+        rows, ids, sims = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -sims, rows))
+        rows, ids, sims = rows[order], ids[order], sims[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == self.k - 1
+        self.least[rows[last]] = np.maximum(self.least[rows[last]], sims[last])
+        stay = place < self.k
+        self.held, self.size = [(rows[stay], ids[stay], sims[stay])], 0
+        return self.held[0]
+
+
+def _vectors(column) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(float)
 
 
 def _against_gallery(queries: DataFrame, rows: list, k: int) -> DataFrame:
     """Queries stream past a small gallery that every task holds."""
     ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+    step = max(1, PAIRS // max(len(ids), 1))
 
     def best(frames):
         for pdf in frames:
-            for at in range(0, len(pdf) if len(ids) else 0, QUERY_BLOCK):
-                part = pdf.iloc[at : at + QUERY_BLOCK]
-                keys, sims = _top(np.vstack(part["embedding"].to_numpy()).astype(float) @ matrix.T, ids, k)
-                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), keys.shape[1]), "id": keys.ravel(), "similarity": sims.ravel()})
+            for at in range(0, len(pdf) if len(ids) else 0, step):
+                part = pdf.iloc[at : at + step]
+                found = _Best(len(part), k)
+                found.show(np.arange(len(part)), _vectors(part["embedding"]), ids, matrix)
+                places, keys, sims = found.best()
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[places], "id": keys, "similarity": sims})
 
     return queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInPandas(best, FOUND)
 
@@ -55,19 +110,17 @@ def _against_gallery(queries: DataFrame, rows: list, k: int) -> DataFrame:
 def _against_queries(block: list, gallery: DataFrame, k: int) -> DataFrame:
     """The gallery streams past a block of queries; each partition gives its best k."""
     ids, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], float)
+    step = max(1, PAIRS // max(len(ids), 1))
 
     def best(frames):
-        held = None
+        found, every = _Best(len(ids), k), np.arange(len(ids))
         for pdf in frames:
-            if len(pdf) and len(ids):
-                keys, sims = _top(matrix @ np.vstack(pdf["embedding"].to_numpy()).astype(float).T, pdf["id"].to_numpy(), k)
-                if held is not None:
-                    keys, sims = np.hstack([held[0], keys]), np.hstack([held[1], sims])
-                    order = np.lexsort((keys, -sims), axis=1)[:, :k]
-                    keys, sims = np.take_along_axis(keys, order, 1), np.take_along_axis(sims, order, 1)
-                held = keys, sims
-        if held is not None:
-            yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "id": held[0].ravel(), "similarity": held[1].ravel()})
+            for at in range(0, len(pdf) if len(ids) else 0, step):
+                part = pdf.iloc[at : at + step]
+                found.show(every, matrix, part["id"].to_numpy(), _vectors(part["embedding"]))
+        places, keys, sims = found.best()
+        if len(places):
+            yield pd.DataFrame({"query_id": ids[places], "id": keys, "similarity": sims})
 
     return gallery.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(best, FOUND)
 
@@ -88,33 +141,43 @@ def _pivots(g: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _block_best(rows: np.ndarray, q: np.ndarray, ids: np.ndarray, g: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
     """([rows, ids, similarities] of the best ``k`` of each query, pairs that were multiplied).
 
-    By the triangle inequality the product with a row differs from that with its pivot by the query's length times their
-    distance at most. The k-th largest of the lower bounds of a query is one for its k-th best similarity; only rows whose
-    upper bound reaches it are multiplied with the query.
+    Rows lie in cells around pivots, which a spread of the rows gives. By the triangle inequality the product with a row differs
+    from that with its pivot by the query's length times the radius of the cell at most. The least products that the best
+    cells of a query can have, as many as hold ``k`` rows, bound its k-th best from below; a cell whose greatest product
+    does not reach the k-th best so far is not multiplied with the query. Bounds cost one value for each cell of a query, and
+    products are taken in pieces of PAIRS.
     """
-    pivots, of, apart = _pivots(g, PIVOTS)
+    pivots, _, _ = _pivots(g[:: max(1, len(g) // PIVOT_ROWS)], min(PIVOTS, int(len(g) ** 0.5) + 1))
+    of = np.concatenate([(g[i : i + PIECE] @ pivots.T - (pivots * pivots).sum(1) / 2).argmax(1) for i in range(0, len(g), PIECE)])
+    order = np.argsort(of, kind="stable")
+    ids, g, of = ids[order], g[order], of[order]
+    starts = np.searchsorted(of, np.arange(len(pivots) + 1))
+    sizes = np.diff(starts)
+    radius = np.array([np.linalg.norm(g[a:b] - p, axis=1).max(initial=0) for a, b, p in zip(starts, starts[1:], pivots)])
     near_pivot, length = q @ pivots.T, np.linalg.norm(q, axis=1)
-    order = np.argsort(near_pivot.argmax(1), kind="stable")  # queries that lean the same way ask for the same rows
+    order = np.argsort(near_pivot.argmax(1), kind="stable")  # queries that lean the same way ask for the same cells
     rows, q, near_pivot, length = rows[order], q[order], near_pivot[order], length[order]
-    out, pairs, step = [], 0, max(1, PAIRS // max(len(g), 1))
-    for i in range(0, len(q), step):
-        part = slice(i, i + step)
-        middle, spread = near_pivot[part][:, of], length[part, None] * apart[None, :] * (1 + 1e-9) + 1e-9
-        near = np.ones(middle.shape, bool)
-        if len(g) > k:
-            near = middle + spread >= np.partition(middle - spread, len(g) - k, axis=1)[:, [len(g) - k]]
-        u, v = np.nonzero(near)
-        at = np.unique(v)
-        found = np.full((len(near), len(at)), -np.inf)
-        if len(u) > 0.2 * found.size:
-            found[:] = q[part] @ g[at].T
-            pairs += found.size
-        else:
-            found[u, np.searchsorted(at, v)] = np.einsum("ij,ij->i", q[part][u], g[v])
-            pairs += len(u)
-        keys, sims = _top(found, ids[at], k)
-        held = sims > -np.inf
-        out.append([np.broadcast_to(rows[part, None], keys.shape)[held], keys[held], sims[held]])
+    out, pairs, width = [], 0, max(1, int(PAIRS**0.5))
+    for i in range(0, len(q), width):
+        part = slice(i, i + width)
+        spread = length[part, None] * radius * (1 + 1e-9) + 1e-9
+        upper, lower = near_pivot[part] + spread, near_pivot[part] - spread
+        found = _Best(len(upper), k)
+        if len(g) >= k:
+            by = np.argsort(-lower, axis=1)
+            enough = (np.cumsum(sizes[by], axis=1) >= k).argmax(1)
+            found.least[:] = lower[np.arange(len(by)), by[np.arange(len(by)), enough]]
+        cells = [c for c in np.argsort(-upper.max(0), kind="stable") if sizes[c]]
+        while cells:
+            few = max(1, int(np.searchsorted(np.cumsum(sizes[cells]), width // 2)))  # small cells are shown together
+            near = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in cells[:few]])
+            reach, cells = upper[:, cells[:few]].max(1), cells[few:]
+            for a in range(0, len(near), width):
+                at, piece = np.flatnonzero(reach >= found.least), near[a : a + width]
+                found.show(at, q[part][at], ids[piece], g[piece])
+                pairs += len(at) * len(piece)
+        places, keys, sims = found.best()
+        out.append([rows[part][places], keys, sims])
     return [np.concatenate(x) for x in zip(*out)], pairs
 
 
@@ -124,8 +187,8 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, work: tuple | None =
 
     Up to QUERY_BLOCK queries go to every task and the gallery streams past them; else a gallery of up to that size goes to
     every task and the queries stream past it; neither side is shuffled then. Beyond that, blocks of queries meet blocks of
-    the gallery in one job (``quizmill.operators.blocks``), where distances to pivots of the block spare most inner products
-    of clustered vectors. The best ``k`` of each pair of blocks are merged by a limited window, which
+    the gallery in one job (``quizmill.operators.blocks``), where cells around pivots of the block spare most inner products
+    of clustered vectors. A task multiplies PAIRS pairs at a time and holds the best so far (``_Best``). The best ``k`` of each pair of blocks are merged by a limited window, which
     Spark applies before its shuffle too. ``work`` may be two accumulators, for all pairs of the blocks and those multiplied.
     """
     # rows are told apart by a number, as ids of queries may repeat or be null
@@ -141,7 +204,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, work: tuple | None =
         right = stored(gallery.select(F.monotonically_increasing_id().alias("_row"), F.col("id").cast("long").alias("id"), "embedding"), "gallery")
 
         def meet(_key, left: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-            q, g = (np.vstack(x["embedding"].to_numpy()).astype(float) for x in (left, other))
+            q, g = _vectors(left["embedding"]), _vectors(other["embedding"])
             best, pairs = _block_best(left["_row"].to_numpy(), q, other["id"].to_numpy(), g, k)
             if work:
                 work[0].add(len(q) * len(g))

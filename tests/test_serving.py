@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,47 @@ def test_search_in_blocks_equals_brute_force_and_spares_work(spark, monkeypatch,
     assert work[0].value == 60 * 500 and (width < 24 or work[1].value < 0.4 * work[0].value)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05, 1.0])
+def test_search_multiplies_few_pairs_at_a_time_and_holds_few(monkeypatch, spread):
+    monkeypatch.setattr(search, "PAIRS", 900)
+    monkeypatch.setattr(search, "PIECE", 64)
+    seen, held = [], []
+
+    class Watched(search._Best):
+        def show(self, at, q, ids, g):
+            seen.append(len(at) * len(g))
+            super().show(at, q, ids, g)
+            held.append(self.size + len(self.held[0][0]))
+
+    monkeypatch.setattr(search, "_Best", Watched)
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(5, 12))[rng.integers(0, 5, 700)] + spread * rng.normal(size=(700, 12))  # with 0, copies of five rows
+    ids, q = rng.permutation(700), g[:90] * 2
+    (rows, keys, _), pairs = search._block_best(np.arange(90), q, ids, g, 4)
+    for i in range(90):
+        want = ids[np.lexsort((ids, -np.round(g @ q[i], 9)))[:4]]
+        assert list(keys[rows == i]) == list(want)
+    assert max(seen) <= 900 and max(held) < 90 * 4 * 8 and sum(seen) == pairs <= 90 * 700
+
+
+def test_queries_against_a_long_partition_multiply_few_pairs_at_a_time(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(search, "PAIRS", 200)
+    real = search._vectors
+    monkeypatch.setattr(search, "_vectors", lambda c: frames.append(len(c)) or real(c))
+
+    class Table:  # a gallery of one partition that runs here
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            return list(f(iter([pd.DataFrame({"id": np.arange(500), "embedding": [np.array([np.cos(i), np.sin(i)]) for i in range(500)]})])))
+
+    out = search._against_queries([(7, [1.0, 0.0]), (8, [0.0, 1.0])], Table(), 3)[0]
+    best = lambda x: [int(i) for i in np.argsort(-x, kind="stable")[:3]]
+    assert max(frames) <= 100 and list(out["id"]) == best(np.cos(np.arange(500))) + best(np.sin(np.arange(500)))
+
+
 def test_distances_to_pivots():
     g = np.random.default_rng(5).normal(size=(50, 12))
     for count in (1, 7, 50, 80):
