@@ -288,6 +288,14 @@ def backfill(questions: DataFrame, encoder=hashed_grams, batch_size: int = 4096,
     return encode(rows, "content", encoder, batch_size).select("id", "embedding")
 
 
+def join_vectors(questions: DataFrame, vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """``questions`` with the ``embedding`` of their ``key`` in ``vectors``, null where there is none. Null keys match nothing; the
+    join deals them to tasks by the question's id, so that those without a vector do not all meet in one task."""
+    v = vectors.select(F.col(key).alias("_key"), "embedding")
+    match = (F.col(key) == F.col("_key")) & (F.coalesce(key, "id") == F.col("_key"))
+    return questions.join(v, match, "left").drop("_key")
+
+
 def with_vectors(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     """Questions with new vectors put in; the others keep theirs."""
     new = vectors.select("id", F.col("embedding").alias("_v"))

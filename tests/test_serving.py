@@ -315,6 +315,20 @@ def test_queries_against_a_long_partition_multiply_few_pairs_at_a_time(spark, mo
     assert max(frames) <= 100 and list(out["id"]) == best(np.cos(np.arange(500))) + best(np.sin(np.arange(500)))
 
 
+def test_questions_without_a_vector_are_dealt_to_all_tasks(spark):
+    q = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("vec_id"))
+    v = spark.range(0, 4000, 8).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    out = search.join_vectors(q, v.hint("merge"))
+    sizes = [r[0] for r in out.filter("embedding is null").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 3500 and out.count() == 4000 and out.filter("embedding[0] = id").count() == 500
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r[0] for r in out.select("*").filter("embedding is null").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 1500
+
+
 def test_distances_to_pivots():
     g = np.random.default_rng(5).normal(size=(50, 12))
     for count in (1, 7, 50, 80):
