@@ -22,6 +22,24 @@ def test_buckets_are_limited_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text and "CartesianProduct" not in text
 
 
+def test_posts_of_buckets_are_dealt_to_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
+    t = {n: domain(spark, SF, n) for n in ("posts", "links", "questions")}
+    for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(c, "-1")
+    try:
+        want = sorted(map(tuple, aggregate.bucket_candidates(t["posts"], t["links"], t["questions"], vector="vec_id").collect()))
+        monkeypatch.setattr(aggregate, "POSTS_A_TASK", 50)
+        n = t["posts"].filter("extract_status = 'done' AND coalesce(quality_score, 0) >= 30").count()
+        out = aggregate.bucket_candidates(t["posts"], t["links"], t["questions"], vector="vec_id")
+        text = plan(out)
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(c)
+    dealt = [x for x in text.splitlines() if f", {-(-n // 50)})" in x or f", {-(-n // 50)}), " in x]
+    assert n > 100 and any("REPARTITION_BY_NUM" in x for x in dealt) and text.count("WindowGroupLimit") == 2
+
+
 def test_scans_are_pruned_and_filters_pushed(spark, tmp_path):
     domain(spark, SF, "posts").write.parquet(str(tmp_path / "posts"))
     posts = spark.read.parquet(str(tmp_path / "posts"))
