@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.operators.aggregate import BUCKET, bucket_candidates, bucket_status, cluster_questions, fingerprints, render_summary, summarise_buckets
+from quizmill.operators.aggregate import BUCKET, bucket_candidates, bucket_status, cluster_questions, fingerprints, of_candidates, render_summary, summarise_buckets
 from quizmill.operators.answers import answer_targets
 from quizmill.operators.extract import first_of
 from quizmill.operators.ingest import dedup_records, import_posts
@@ -140,8 +140,10 @@ def daily_run(posts: DataFrame, links: DataFrame, questions: DataFrame, vectors:
     changed = prints.join(old, BUCKET, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("_old"))).drop("_old")
     changed = stored(changed, "changed")
 
-    clusters = cluster_questions(candidates.join(changed, BUCKET, "left_semi"), vectors, threshold)
-    clusters = stored(clusters.join(questions.select(F.col("id").alias("question_id"), "category", "content"), "question_id"), "clusters")
+    asking = stored(candidates.join(changed, BUCKET, "left_semi"), "asking")
+    clusters = stored(cluster_questions(asking, of_candidates(vectors, asking), threshold), "grouped")
+    texts = of_candidates(questions.select(F.col("id").alias("question_id"), "category", "content"), clusters)
+    clusters = stored(clusters.join(texts, "question_id"), "clusters")
     sizes = clusters.groupBy(*BUCKET).agg(F.count("*").cast("int").alias("sample_count"))
     new = render_summary(summarise_buckets(clusters)).select(*BUCKET, "content_md").join(sizes, BUCKET).join(changed.withColumn("candidate_count", F.col("candidate_count").cast("int")), BUCKET)
     new = stored(new.withColumn("updated_at", F.lit(now).cast("timestamp")), "written")

@@ -40,6 +40,21 @@ def test_posts_of_buckets_are_dealt_to_as_many_tasks_as_their_number_asks_for(sp
     assert n > 100 and any("REPARTITION_BY_NUM" in x for x in dealt) and text.count("WindowGroupLimit") == 2
 
 
+def test_texts_are_filtered_by_the_candidates_before_a_shuffle(spark):
+    t = {n: domain(spark, SF, n) for n in ("posts", "links", "questions")}
+    found = aggregate.bucket_candidates(t["posts"], t["links"].filter("company_id = 3"), t["questions"], top_n=5, vector="vec_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = aggregate.fingerprints(found, t["questions"])
+        text = plan(out)
+        few = {r.question_id for r in found.collect()}
+        assert sum(r.candidate_count for r in out.collect()) == found.count() > len({r.period for r in out.collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in text and "BroadcastHashJoin" in text
+    assert {r.question_id for r in aggregate.of_candidates(t["questions"].withColumnRenamed("id", "question_id"), found).collect()} == few
+
+
 def test_scans_are_pruned_and_filters_pushed(spark, tmp_path):
     domain(spark, SF, "posts").write.parquet(str(tmp_path / "posts"))
     posts = spark.read.parquet(str(tmp_path / "posts"))
