@@ -10,11 +10,15 @@ from quizmill.sources.schemas import EXTRACTION
 
 
 def parse_extraction(df: DataFrame, json_col: str = "payload") -> DataFrame:
-    """Adds ``record`` and ``corrupt``: text that is no record of the schema. Null text is corrupt too."""
+    """Adds ``record`` and ``corrupt``: text that is no record of the schema. Null text is corrupt too.
+
+    The parsed record leaves a generator, which later filters and columns are not moved through: a text is parsed once, not
+    again for every field that they read.
+    """
     parsed = F.from_json(json_col, EXTRACTION + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    out = df.withColumn("record", parsed)
-    out = out.withColumn("corrupt", F.col("record").isNull() | F.col("record._corrupt").isNotNull())
-    return out.withColumn("record", F.when(~F.col("corrupt"), F.col("record").dropFields("_corrupt")))
+    out = df.select("*", F.explode(F.array(parsed)).alias("_parsed"))
+    out = out.withColumn("corrupt", F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull())
+    return out.withColumn("record", F.when(~F.col("corrupt"), F.col("_parsed").dropFields("_corrupt"))).drop("_parsed")
 
 
 def normalise_extraction(df: DataFrame, levels: tuple = LEVELS, round_types: tuple = ROUND_TYPES, categories: tuple = CATEGORIES, other: str = OTHER) -> DataFrame:
@@ -60,7 +64,7 @@ def explode_questions(df: DataFrame, id_col: str = "post_id") -> DataFrame:
 
 
 def replace_questions(questions: DataFrame, new: DataFrame) -> DataFrame:
-    """Questions with those of the posts in ``new`` replaced."""
+    """Questions with those of the posts in ``new`` replaced. ``new`` is read twice, so it is best stored."""
     return questions.join(new.select("post_id").distinct(), "post_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 

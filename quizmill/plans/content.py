@@ -120,7 +120,7 @@ def _(t):
 @query("r26_replace_questions", f"""
 WITH n AS ({QUESTIONS_SQL}) SELECT post_id, content FROM {{questions}} WHERE post_id NOT IN (SELECT post_id FROM n) UNION ALL SELECT post_id, content FROM n""")
 def _(t):
-    return extract.replace_questions(t.questions.select("post_id", "content"), exploded(t).select("post_id", "content"))
+    return extract.replace_questions(t.questions.select("post_id", "content"), stored(exploded(t).select("post_id", "content"), "exploded"))
 
 
 @query("r27_question_totals", "SELECT conv_id AS post_id, CASE WHEN conv_id % 23 = 3 THEN 0 ELSE count(*) END AS n_questions FROM {conversations} GROUP BY conv_id")

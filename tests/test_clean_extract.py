@@ -53,6 +53,19 @@ def test_extraction(spark):
     assert EXTRACTION.startswith("companies")
 
 
+def test_texts_are_parsed_once(spark):
+    from quizmill.plans import content
+    from quizmill.plans.registry import QUERIES
+
+    def parses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+
+    t = content.Inputs(spark, "/root/testdata/sf0.001")
+    assert parses(content.exploded(t)) == 1
+    assert parses(QUERIES["r25_split_valid"](spark, t.folder)) == 2  # one for each of the parts it puts together
+    assert parses(QUERIES["r26_replace_questions"](spark, t.folder)) == 0  # stored before it is read twice
+
+
 def test_content_key_is_stable(spark):
     df = spark.createDataFrame([("t", 1)], "a string, b int")
     one = df.select(extract.content_key({"a": F.col("a"), "b": F.col("b")}, "n", "v1")).first()[0]
