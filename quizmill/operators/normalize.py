@@ -15,6 +15,13 @@ def post_aliases(mentions: DataFrame) -> DataFrame:
     return mentions.select("post_id", "entity_type", F.trim("alias").alias("alias")).filter(F.length("alias") > 0).distinct()
 
 
+def post_canonicals(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The canonical of each mention, ``post_id, entity_type, canonical_id``, from ``mentions(post_id, entity_type, alias)`` and
+    ``resolved(entity_type, alias, canonical_id)``. Names leave before anything is dealt by post; repeated rows stay."""
+    names = mentions.select("post_id", "entity_type", F.trim("alias").alias("alias")).filter(F.length("alias") > 0)
+    return names.join(resolved.select("entity_type", "alias", "canonical_id"), ["entity_type", "alias"]).select("post_id", "entity_type", "canonical_id")
+
+
 def resolve_dictionary(aliases: DataFrame, alias_dict: DataFrame) -> DataFrame:
     """Aliases with ``canonical_id`` (null: not in the dictionary) and confidence 1."""
     known = alias_dict.select("entity_type", "alias", "canonical_id")
@@ -121,9 +128,10 @@ def resolve(aliases: DataFrame, alias_dict: DataFrame, canonicals: DataFrame, de
 
 
 def rebuild_links(resolved: DataFrame, links: DataFrame) -> DataFrame:
-    """Per post every company with every position, replacing the links of these posts; none if a side is empty."""
+    """Per post every company with every position, replacing the links of these posts; none if a side is empty. ``resolved`` is read
+    three times, so it is best stored; each side is dealt once, by post, for its distinct rows and the join."""
     def side(kind: str, out: str) -> DataFrame:
-        return resolved.filter(F.col("entity_type") == kind).select("post_id", F.col("canonical_id").alias(out)).distinct()
+        return resolved.filter(F.col("entity_type") == kind).select("post_id", F.col("canonical_id").alias(out)).repartition("post_id").distinct()
 
     new = side("company", "company_id").join(side("position", "position_id"), "post_id")
     kept = links.join(resolved.select("post_id").distinct(), "post_id", "left_anti")

@@ -207,8 +207,17 @@ DECISIONS_SQL = """SELECT DISTINCT entity_type, trim(alias) AS alias, length(ali
 FROM {mentions} WHERE trim(alias) <> '' AND alias = trim(alias)"""
 
 
-def decisions(t: Inputs) -> DataFrame:
-    return t.spark.sql(DECISIONS_SQL, mentions=t.mentions)
+def spellings(t: Inputs) -> DataFrame:
+    """The distinct aliases as they are written, few beside their mentions, which are read for them once."""
+    return stored(t.mentions.select("entity_type", "alias").distinct(), "spellings")
+
+
+def names_of(spelled: DataFrame) -> DataFrame:
+    return spelled.select("entity_type", F.trim("alias").alias("alias")).filter(F.length("alias") > 0).distinct()
+
+
+def decisions(t: Inputs, spelled: DataFrame) -> DataFrame:
+    return t.spark.sql(DECISIONS_SQL, mentions=spelled)
 
 
 RESOLVED_SQL = f"""
@@ -255,7 +264,8 @@ r AS (SELECT s.entity_type, s.alias, coalesce(dict_id, vec_id, dec_id, e.id) AS
 
 
 def resolved(t: Inputs) -> DataFrame:
-    out = normalize.resolve(normalize.post_aliases(t.mentions), t.alias_dict, canonicals(t), decisions(t))
+    spelled = spellings(t)
+    out = normalize.resolve(names_of(spelled), t.alias_dict, canonicals(t), decisions(t, spelled))
     return stored(out.withColumn("confidence", F.col("confidence").cast("double")), "resolved")
 
 
@@ -283,9 +293,9 @@ def _(t):
 
 @query("r36_apply_decisions", RESOLVED_SQL + "SELECT entity_type, alias, canonical_id, confidence FROM r WHERE source = 'decision'")
 def _(t):
-    names = normalize.post_aliases(t.mentions).select("entity_type", "alias").distinct()
-    rest = normalize.resolve_dictionary(names, t.alias_dict).filter("canonical_id is null").select("entity_type", "alias")
-    return normalize.apply_decisions(rest, decisions(t)).filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.col("confidence").cast("double").alias("confidence"))
+    spelled = spellings(t)
+    rest = normalize.resolve_dictionary(names_of(spelled), t.alias_dict).filter("canonical_id is null").select("entity_type", "alias")
+    return normalize.apply_decisions(rest, decisions(t, spelled)).filter("canonical_id is not null").select("entity_type", "alias", "canonical_id", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("r37_create_canonicals", RESOLVED_SQL + "SELECT entity_type, alias, name, canonical_id, confidence FROM r WHERE source = 'new'")
@@ -311,7 +321,7 @@ def _(t):
 SELECT post_id, company_id, position_id FROM {{links}} WHERE post_id NOT IN (SELECT post_id FROM p)
 UNION ALL SELECT DISTINCT c.post_id, c.canonical_id, q.canonical_id FROM p c JOIN p q ON c.post_id = q.post_id WHERE c.entity_type = 'company' AND q.entity_type = 'position'""")
 def _(t):
-    per_post = stored(normalize.post_aliases(t.mentions).filter("post_id % 2 = 0").join(resolved(t), ["entity_type", "alias"]), "per-post")
+    per_post = stored(normalize.post_canonicals(t.mentions.filter("post_id % 2 = 0"), resolved(t)), "per-post")
     return normalize.rebuild_links(per_post, t.links)
 
 

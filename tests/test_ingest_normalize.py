@@ -177,3 +177,30 @@ def test_vector_tier_in_the_chain(spark):
     got = {r.alias: (r.canonical_id, r.source, r.confidence) for r in out.collect()}
     assert got == {"dict": (1, "dictionary", 1.0), "acme inc": (1, "vector", 0.95), "bo": (2, "decision", 0.8), "zed": (3, "new", 0.5)}
     assert seen == {"bo": [(2, 0.8), (1, 0.6)], "zed": []}
+
+
+def test_links_are_rebuilt_from_ids_dealt_once_by_post(spark):
+    mentions = spark.createDataFrame([(2, "company", " a "), (2, "company", "a"), (2, "company", "b"), (2, "position", "p"), (2, "position", " "), (4, "company", "a"), (6, "company", "unknown")], "post_id long, entity_type string, alias string")
+    resolved = spark.createDataFrame([("company", "a", 1), ("company", "b", 1), ("position", "p", 7), ("position", "a", 9)], "entity_type string, alias string, canonical_id long")
+    links = spark.createDataFrame([(2, 5, 5), (4, 5, 5), (6, 5, 5)], "post_id long, company_id long, position_id long")
+    ids = normalize.post_canonicals(mentions, resolved)
+    assert sorted(tuple(r) for r in ids.distinct().collect()) == [(2, "company", 1), (2, "position", 7), (4, "company", 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # each side, the posts to replace and the links
+        out = normalize.rebuild_links(spark.createDataFrame(ids.collect(), ids.schema), links)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 4
+        assert sorted(tuple(r) for r in out.collect()) == [(2, 1, 7), (6, 5, 5)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_and_decisions_leave_the_mentions_at_once(spark):
+    from quizmill.plans import content
+
+    t = content.Inputs(spark, "/root/testdata/sf0.001")
+    spelled = content.spellings(t)
+    assert spelled.count() == spelled.distinct().count() < t.mentions.count() / 20
+    for df in (content.names_of(spelled), content.decisions(t, spelled)):
+        assert "l_orderkey" not in df._jdf.queryExecution().analyzed().toString()
+    assert sorted(content.names_of(spelled).collect()) == sorted(normalize.post_aliases(t.mentions).select("entity_type", "alias").distinct().collect())
