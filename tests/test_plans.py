@@ -5,7 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quizmill import session
 from quizmill.operators import aggregate, catalog, score
+from quizmill.plans import serving  # noqa: F401  it registers its queries
+from quizmill.plans.registry import QUERIES, Inputs
 from quizmill.sources.adapters import domain
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +58,36 @@ def test_texts_are_filtered_by_the_candidates_before_a_shuffle(spark):
     assert {r.question_id for r in aggregate.of_candidates(t["questions"].withColumnRenamed("id", "question_id"), found).collect()} == few
 
 
+@pytest.mark.parametrize("name", ["r52_question_block"])
+def test_only_candidates_meet_their_vectors(spark, monkeypatch, name):
+    seen, cluster = [], aggregate.cluster_questions
+
+    def spy(candidates, vectors, threshold):
+        seen.extend(r.question_id for r in vectors.collect())
+        return cluster(candidates, vectors, threshold)
+
+    monkeypatch.setattr(aggregate, "cluster_questions", spy)
+    assert QUERIES[name](spark, SF).count() > 100
+    assert sorted(seen) == sorted({r.question_id for r in QUERIES["r50_bucket_candidates"](spark, SF).collect()})
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_questions_of_some_posts_are_numbered_as_among_all(spark, monkeypatch, sent):
+    t = Inputs(spark, SF)
+    posts = t.posts.filter("id % 7 = 0").select(F.col("id").alias("post_id"))
+    want = sorted(map(tuple, t.questions.filter("post_id % 7 = 0").collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 12_000_000 if sent else 16)
+        out = t.of_posts("questions", posts)
+        text = plan(out)
+        assert sorted(map(tuple, out.collect()), key=repr) == want and len(want) > 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = text.index("BroadcastHashJoin" if sent else "SortMergeJoin [l_orderkey")
+    assert text.index("Window [row_number()") < joined and "LeftSemi" in text and ("BroadcastHashJoin" in text) == sent
+
+
 def test_scans_are_pruned_and_filters_pushed(spark, tmp_path):
     domain(spark, SF, "posts").write.parquet(str(tmp_path / "posts"))
     posts = spark.read.parquet(str(tmp_path / "posts"))
