@@ -58,7 +58,7 @@ def test_texts_are_filtered_by_the_candidates_before_a_shuffle(spark):
     assert {r.question_id for r in aggregate.of_candidates(t["questions"].withColumnRenamed("id", "question_id"), found).collect()} == few
 
 
-@pytest.mark.parametrize("name", ["r52_question_block"])
+@pytest.mark.parametrize("name", ["r52_question_block", "r53_summarise_buckets"])
 def test_only_candidates_meet_their_vectors(spark, monkeypatch, name):
     seen, cluster = [], aggregate.cluster_questions
 
